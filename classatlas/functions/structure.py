@@ -1,19 +1,19 @@
 """Contract of a Java source file as one column expression.
 
-The text is cut into coarse tokens by one regular expression and folded from
-left to right with ``aggregate``. The fold keeps nesting depths only, so bodies
-are skipped, and emits a segment at every declaration boundary together with a
-mask of its header, in which everything nested is overwritten by fillers. One
-pattern over the mask then lays out the header whatever its nesting. All of it
-stays inside the JVM and inside one row: no shuffle, no Python worker.
+A small Arrow-batched helper walks the tokens of a text, keeps nesting depths
+only and cuts out the declarations, each with a mask of its header in which
+everything nested is overwritten by fillers. All that follows is column
+expressions: one pattern over a mask lays out its header whatever the nesting.
+The work stays inside one row, so there is no shuffle.
 
 Input that is not Java gives empty lists; blank input gives NULL.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +28,7 @@ _TOKEN = (
     r'|"(?:[^"\\\n]|\\.)*+"?'
     r"|'(?:[^'\\\n]|\\.)*+'?"
     r"|//[^\n]*+"
-    r"|/\*[\s\S]*?(?:\*/|\z)"
+    r"|/\*[\s\S]*?(?:\*/|\Z)"
     r"|[{}()\[\]<>;,=]"
     r"|[^{}()\[\]<>;,=\"'/]++|/"
 )
@@ -42,6 +42,7 @@ _TYPE_WORD = rf"(?:^|\s)({_KINDS})\s"
 # mask fillers: text nested in brackets, and comments
 _NESTED = "\u0001"
 _REMARK = "\u0002"
+_SPLIT = "\u0003"
 
 _GAP = rf"[\s{_REMARK}]"
 _NAME = r"[\p{L}\p{N}_$]+"
@@ -72,217 +73,150 @@ _CALL_HEADER = (
 _CALL_LAYOUT = ("", "", " ", " ", " ", "", " ", " ")
 
 _MEMBERS = T.ArrayType(MEMBER)
-_NONE = -1
-
-_SEGMENT = (
-    "struct<level:int,start:int,code_end:int,mask:string,ender:string,constant:boolean,"
-    "assigned:boolean,owner:string,comment:string>"
-)
-
-
-def _pick(*cases: tuple[Column, object], otherwise: object) -> Column:
-    """First matching case, like SQL CASE."""
-    def lit(value: object) -> Column:
-        return value if isinstance(value, Column) else F.lit(value)
-
-    first, *rest = cases
-    chain = F.when(first[0], lit(first[1]))
-    chain = reduce(lambda acc, case: acc.when(case[0], lit(case[1])), rest, chain)
-    return chain.otherwise(lit(otherwise))
-
-
-def _is_comment(token: Column) -> Column:
-    return F.startswith(token, F.lit("//")) | F.startswith(token, F.lit("/*"))
-
-
-def _rtrim(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+_SCAN = T.StructType([
+    T.StructField("comments", T.ArrayType(T.StringType())),
+    T.StructField("segments", T.ArrayType(T.StructType([
+        T.StructField("level", T.IntegerType()),
+        T.StructField("ender", T.StringType()),
+        T.StructField("constant", T.BooleanType()),
+        T.StructField("owner", T.StringType()),
+        T.StructField("comment", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("header", T.StringType()),
+        T.StructField("mask", T.StringType()),
+    ]))),
+])
+
+
+def _starts_line(text: str, position: int) -> bool:
+    return not text[text.rfind("\n", 0, position) + 1 : position].strip()
+
+
+def _cut(text: str) -> tuple[list[str], list[tuple]]:
+    """Comments and declarations of one file.
+
+    A declaration runs from its first code token to ``;`` or to an opening body
+    at file level, to ``;`` or a closing body at type level, and to ``,`` between
+    enum constants. Comments before its first code token lead it; one that does
+    not start its own line cuts off those before it.
+    """
+    comments, found, lead, mask = [], [], [], []
+    braces = parens = angles = 0
+    begin = end = -1
+    word = owner = ""
+    constants = assigned = in_body = False
+    for match in re.finditer(_TOKEN, text):
+        token, at = match.group(), match.start()
+        if token.startswith(("//", "/*")):
+            comments.append(token.strip())
+            if begin < 0:
+                lead = [*lead, comments[-1]] if _starts_line(text, at) else []
+            elif not (in_body or assigned):
+                mask.append(_REMARK * len(token))
+            continue
+        level = braces if braces < 2 and not parens else -1
+        blank = token.isspace()
+        opens = token == "{"
+        closes_body = token == "}" and braces == 2 and not (parens or assigned or constants)
+        ends_constant = constants and level == 1 and token in ",;}"
+        boundary = (
+            closes_body
+            or ends_constant
+            or (level >= 0 and token == ";")
+            or (level == 0 and opens)
+            or (level == 1 and token == "}")
+        )
+        if boundary:
+            if begin >= 0 and not (token == "}" and level == 1 and not ends_constant):
+                header = "".join(mask)
+                until = end if ends_constant or opens else match.end()
+                found.append((
+                    max(level, 0) if not closes_body else 1, token, ends_constant, owner,
+                    "\n".join(lead) or None,
+                    None if closes_body or opens else text[begin:until],
+                    text[begin : begin + len(header)], header,
+                ))
+            if level == 0 and opens:
+                owner, constants = word, word == "enum"
+            elif level == 1 and token == "}":
+                owner, constants = "", False
+            elif token == ";":
+                constants = False
+            lead, mask, begin, end, angles = [], [], -1, -1, 0
+            assigned = in_body = False
+            word = ""
+        elif level == 1 and opens:
+            in_body = True
+            begin, end = (at if begin < 0 else begin), match.end()
+        elif level == 1 and (token == "=" or (owner == "@interface" and token.rstrip().endswith(" default"))):
+            assigned = True
+            begin, end = (at if begin < 0 else begin), match.end()
+        elif not blank or begin >= 0:
+            if not blank:
+                if begin < 0:
+                    begin = match.end() - len(token.lstrip())
+                end = at + len(token.rstrip())
+                if level == 0 and not word:
+                    kind = re.search(_TYPE_WORD, token)
+                    word = re.sub(r"\s", "", kind.group(1)) if kind else ""
+            if not (in_body or assigned):
+                shown = text[max(at, begin) : match.end()]
+                edge = (
+                    (token in "([" and not parens) or (token in ")]" and parens == 1)
+                    if token in "()[]"
+                    else not parens and ((token == "<" and not angles) or (token == ">" and angles == 1))
+                )
+                nested = angles > 0 if token in "()[]" else angles > 0 and not edge
+                if not parens and token == "<":
+                    angles += 1
+                elif not parens and token == ">":
+                    angles = max(angles - 1, 0)
+                hidden = nested or (parens > 0 and not edge)
+                mask.append(_NESTED * len(shown) if hidden else shown)
+        if token in "([":
+            parens += 1
+        elif token in ")]":
+            parens = max(parens - 1, 0)
+        elif opens:
+            braces += 1
+        elif token == "}":
+            braces = max(braces - 1, 0)
+    return comments, found
+
+
+@F.pandas_udf(_SCAN)
+def _scan(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_cut(text or "") for text in texts], columns=["comments", "segments"])
 
 
 def _blank(text: Column) -> Column:
     return F.rlike(text, F.lit(r"(?U)^\s*$"))
 
 
-def _scan(text: Column) -> Column:
-    """Fold the tokens into ``struct<comments, segments>``.
-
-    A segment runs from its first code token to a boundary: ``;`` or a closing
-    body at type level, ``;`` or an opening body at file level, and ``,`` between
-    enum constants. Comments seen before the first code token of a segment are
-    its leading comments; one that does not start its own line cuts off those
-    before it.
-    """
-    start = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(0).alias("braces"),
-        F.lit(0).alias("parens"),
-        F.lit("").alias("word"),
-        F.lit("").alias("owner"),
-        F.lit(False).alias("constants"),
-        F.lit(_NONE).alias("start"),
-        F.lit(_NONE).alias("code_end"),
-        F.lit("").alias("mask"),
-        F.lit(0).alias("angles"),
-        F.lit(False).alias("assigned"),
-        F.lit(False).alias("in_body"),
-        F.lit(True).alias("fresh_line"),
-        F.array().cast("array<string>").alias("lead"),
-        F.array().cast("array<string>").alias("comments"),
-        F.array().cast(f"array<{_SEGMENT}>").alias("segments"),
-    )
-
-    def step(s: Column, t: Column) -> Column:
-        comment = _is_comment(t)
-        blank = _blank(t)
-        code = ~comment & ~blank
-        size = F.length(t)
-        begun = s["start"] >= 0
-        file_level = (s["braces"] == 0) & (s["parens"] == 0)
-        type_level = (s["braces"] == 1) & (s["parens"] == 0)
-        level = file_level | type_level
-        opens_type = file_level & (t == "{")
-        closes_type = type_level & (t == "}")
-        closes_body = (
-            (t == "}") & (s["braces"] == 2) & (s["parens"] == 0) & ~s["assigned"] & ~s["constants"]
-        )
-        ends_statement = level & (t == ";")
-        ends_constant = s["constants"] & type_level & t.isin(",", ";", "}")
-        boundary = ends_statement | opens_type | closes_body | ends_constant | closes_type
-        emits = begun & (ends_statement | opens_type | closes_body | ends_constant)
-
-        segment = F.struct(
-            F.when(file_level, F.lit(0)).otherwise(F.lit(1)).alias("level"),
-            s["start"].alias("start"),
-            _pick(
-                (ends_constant | opens_type, s["code_end"]), otherwise=s["pos"] + size
-            ).alias("code_end"),
-            s["mask"].alias("mask"),
-            t.alias("ender"),
-            ends_constant.alias("constant"),
-            s["assigned"].alias("assigned"),
-            s["owner"].alias("owner"),
-            F.nullif(F.array_join(s["lead"], "\n"), F.lit("")).alias("comment"),
-        )
-        # inside an annotation type "default" introduces a value, as "=" does in a field
-        assigns = type_level & (
-            (t == "=")
-            | ((s["owner"] == "@interface") & F.rlike(t, F.lit(r"(?:^|\s)default\s*$")))
-        )
-        opens_body = type_level & (t == "{")
-        in_header = (
-            (begun | code) & ~s["assigned"] & ~assigns & ~s["in_body"] & ~opens_body
-        )
-        outside = s["parens"] == 0
-        edge = (
-            (t.isin("(", "[") & outside)
-            | (t.isin(")", "]") & (s["parens"] == 1))
-            | ((t == "<") & (s["angles"] == 0) & outside)
-            | ((t == ">") & (s["angles"] == 1) & outside)
-        )
-        shown = _pick(
-            (comment, F.repeat(F.lit(_REMARK), size)),
-            (edge & (s["angles"] - F.when(t == ">", 1).otherwise(0) <= 0), t),
-            (~outside | (s["angles"] > 0), F.repeat(F.lit(_NESTED), size)),
-            otherwise=F.when(begun, t).otherwise(F.regexp_replace(t, r"(?U)^\s+", "")),
-        )
-        last_line = F.substring_index(t, "\n", -1)
-        return F.struct(
-            (s["pos"] + size).alias("pos"),
-            _pick(
-                (t == "{", s["braces"] + 1),
-                (t == "}", F.greatest(s["braces"] - 1, F.lit(0))),
-                otherwise=s["braces"],
-            ).alias("braces"),
-            _pick(
-                (t.isin("(", "["), s["parens"] + 1),
-                (t.isin(")", "]"), F.greatest(s["parens"] - 1, F.lit(0))),
-                otherwise=s["parens"],
-            ).alias("parens"),
-            _pick(
-                (boundary, ""),
-                (
-                    code & file_level & (s["word"] == ""),
-                    F.regexp_replace(F.regexp_extract(t, _TYPE_WORD, 1), r"\s+", ""),
-                ),
-                otherwise=s["word"],
-            ).alias("word"),
-            _pick((opens_type, s["word"]), (closes_type, ""), otherwise=s["owner"]).alias("owner"),
-            _pick(
-                (opens_type, s["word"] == "enum"),
-                (closes_type | ends_statement, False),
-                otherwise=s["constants"],
-            ).alias("constants"),
-            _pick(
-                (boundary, _NONE),
-                (code & ~begun, s["pos"] + size - F.length(F.regexp_replace(t, r"(?U)^\s+", ""))),
-                otherwise=s["start"],
-            ).alias("start"),
-            _pick(
-                (boundary, _NONE), (code, s["pos"] + F.length(_rtrim(t))), otherwise=s["code_end"]
-            ).alias("code_end"),
-            _pick((boundary, ""), (in_header, F.concat(s["mask"], shown)), otherwise=s["mask"]).alias("mask"),
-            _pick(
-                (boundary, 0),
-                (in_header & (t == "<") & outside, s["angles"] + 1),
-                (in_header & (t == ">") & outside, F.greatest(s["angles"] - 1, F.lit(0))),
-                otherwise=s["angles"],
-            ).alias("angles"),
-            _pick((boundary, False), (assigns, True), otherwise=s["assigned"]).alias("assigned"),
-            _pick((boundary, False), (opens_body, True), otherwise=s["in_body"]).alias("in_body"),
-            _pick(
-                (F.contains(t, F.lit("\n")), _blank(last_line)),
-                (s["fresh_line"] & ~blank, False),
-                otherwise=s["fresh_line"],
-            ).alias("fresh_line"),
-            _pick(
-                (boundary, F.array().cast("array<string>")),
-                (comment & ~begun & s["fresh_line"], F.concat(s["lead"], F.array(strip_space(t)))),
-                (comment & ~begun, F.array().cast("array<string>")),
-                otherwise=s["lead"],
-            ).alias("lead"),
-            _pick(
-                (comment, F.concat(s["comments"], F.array(strip_space(t)))), otherwise=s["comments"]
-            ).alias("comments"),
-            _pick(
-                (emits, F.concat(s["segments"], F.array(segment))), otherwise=s["segments"]
-            ).alias("segments"),
-        )
-
-    return F.aggregate(
-        F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)),
-        start,
-        step,
-        lambda s: F.struct(s["comments"].alias("comments"), s["segments"].alias("segments")),
-    )
-
-
 def _lay_out(text: Column, mask: Column, pattern: str, layout: tuple[str, ...]) -> Column:
     """Join the parts the pattern finds in the mask, taken from the real text.
 
     Gaps vanish, except that a comment in a gap is a part of its own.
     """
-    parts = F.array(*[
-        F.struct(
-            F.regexp_extract(mask, pattern, 2 * i + 1).alias("part"),
-            F.regexp_extract(mask, pattern, 2 * i + 2).alias("gap"),
-            F.lit(lead).alias("lead"),
-        )
-        for i, lead in enumerate(layout)
-    ])
-
-    def append(s: Column, p: Column) -> Column:
-        after_part = s["pos"] + F.length(p["part"])
-        part = F.substr(text, s["pos"] + 1, F.length(p["part"]))
-        remark = strip_space(F.substr(text, after_part + 1, F.length(p["gap"])))
-        lead = F.when(s["line"] == "", F.lit("")).otherwise(p["lead"])
-        line = F.concat(s["line"], F.when(p["part"] == "", F.lit("")).otherwise(F.concat(lead, part)))
+    groups = _SPLIT.join(f"${i + 1}" for i in range(2 * len(layout)))
+    parts = F.split(F.regexp_replace(mask, pattern + r"[\s\S]*", groups), _SPLIT)
+    leads = F.array(*[F.lit(lead) for lead in layout])
+
+    def append(s: Column, i: Column) -> Column:
+        part_length = F.length(F.get(parts, i * 2))
+        gap_length = F.length(F.get(parts, i * 2 + 1))
+        part = F.substr(text, s["pos"] + 1, part_length)
+        gap = F.substr(text, s["pos"] + 1 + part_length, gap_length)
+        lead = F.when(s["line"] == "", F.lit("")).otherwise(F.get(leads, i))
+        line = F.when(part_length == 0, s["line"]).otherwise(F.concat(s["line"], lead, part))
         return F.struct(
-            (after_part + F.length(p["gap"])).alias("pos"),
-            F.when(remark == "", line).otherwise(F.concat_ws(" ", F.nullif(line, F.lit("")), remark)).alias("line"),
+            (s["pos"] + part_length + gap_length).alias("pos"),
+            F.when(_blank(gap), line)
+            .otherwise(F.concat_ws(" ", F.nullif(line, F.lit("")), strip_space(gap))).alias("line"),
         )
 
     return F.aggregate(
-        parts,
+        F.sequence(F.lit(0), F.lit(len(layout) - 1)),
         F.struct(F.lit(0).alias("pos"), F.lit("").alias("line")),
         append,
         lambda s: strip_space(s["line"]),
@@ -299,12 +233,6 @@ def class_structure(text: Column) -> Column:
     With several top-level types the last one gives declaration and comment,
     fields and methods accumulate.
     """
-    def source(s: Column) -> Column:
-        return F.substr(text, s["start"] + 1, s["code_end"] - s["start"])
-
-    def header(s: Column) -> Column:
-        return F.substr(text, s["start"] + 1, F.length(s["mask"]))
-
     def is_type(s: Column) -> Column:
         return F.rlike(s["mask"], F.lit(rf"^{_PREFIX}(?:{_KINDS}){_GAP}+{_NAME}"))
 
@@ -314,7 +242,8 @@ def class_structure(text: Column) -> Column:
     def assemble(scan: Column) -> Column:
         segments = scan["segments"]
         statements = F.transform(
-            F.filter(segments, lambda s: (s["level"] == 0) & (s["ender"] == ";")), source
+            F.filter(segments, lambda s: (s["level"] == 0) & (s["ender"] == ";")),
+            lambda s: s["source"],
         )
         package = F.filter(
             F.transform(
@@ -334,7 +263,7 @@ def class_structure(text: Column) -> Column:
         types = F.transform(
             F.filter(segments, lambda s: (s["level"] == 0) & (s["ender"] == "{") & is_type(s)),
             lambda s: F.struct(
-                _lay_out(header(s), s["mask"], _TYPE_HEADER, _TYPE_LAYOUT).alias("line"),
+                _lay_out(s["header"], s["mask"], _TYPE_HEADER, _TYPE_LAYOUT).alias("line"),
                 s["comment"].alias("comment"),
             ),
         )
@@ -344,13 +273,13 @@ def class_structure(text: Column) -> Column:
         )
         fields = F.transform(
             F.filter(members, lambda s: s["constant"] | ((s["ender"] == ";") & ~is_call(s))),
-            lambda s: _member(collapse_space(source(s)), s),
+            lambda s: _member(collapse_space(s["source"]), s),
         )
         methods = F.transform(
             F.filter(members, lambda s: ~s["constant"] & is_call(s)),
             lambda s: _member(
-                F.when(s["owner"] == "@interface", collapse_space(source(s))).otherwise(
-                    _lay_out(header(s), s["mask"], _CALL_HEADER, _CALL_LAYOUT)
+                F.when(s["owner"] == "@interface", collapse_space(s["source"])).otherwise(
+                    _lay_out(s["header"], s["mask"], _CALL_HEADER, _CALL_LAYOUT)
                 ),
                 s,
             ),

@@ -30,6 +30,7 @@ def containing(entries: DataFrame, fqns: DataFrame) -> DataFrame:
     wanted = fqns.select("fqn", names.entry_of_class(F.col("fqn")).alias("entry_name")).distinct()
     return (
         entries.where(F.endswith("entry_name", F.lit(names.CLASS_SUFFIX)))
+        .select("jar_path", "entry_name")
         .join(wanted, "entry_name")
         .select("fqn", "jar_path")
         .distinct()

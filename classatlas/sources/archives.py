@@ -57,17 +57,27 @@ def _entry_rows(path: str) -> Iterator[tuple]:
         yield path, index, name, None
 
 
-def _read_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    for batch in batches:
-        for path in batch.column("jar_path").to_pylist():
-            for row in _entry_rows(path):
-                rows.append(row)
-                if len(rows) >= _ROWS:
-                    yield _batch(rows, _ENTRY_ARROW)
-                    rows = []
-    if rows:
-        yield _batch(rows, _ENTRY_ARROW)
+def _reader(exact: str | None, suffix: str | None):
+    """Task function; names that cannot match are dropped before they leave Python."""
+    def wanted(name: str | None) -> bool:
+        if name is None:
+            return True
+        return (exact is None or name == exact) and (suffix is None or name.endswith(suffix))
+
+    def read_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for path in batch.column("jar_path").to_pylist():
+                for row in _entry_rows(path):
+                    if wanted(row[2]):
+                        rows.append(row)
+                    if len(rows) >= _ROWS:
+                        yield _batch(rows, _ENTRY_ARROW)
+                        rows = []
+        if rows:
+            yield _batch(rows, _ENTRY_ARROW)
+
+    return read_names
 
 
 def _check(archive: zipfile.ZipFile, infos: list[zipfile.ZipInfo]) -> None:
@@ -130,10 +140,15 @@ def _spread(paths: DataFrame, *keys: str) -> DataFrame:
     return paths.repartition(paths.sparkSession.sparkContext.defaultParallelism * 4, *keys)
 
 
-def read_entry_names(artifacts: DataFrame) -> DataFrame:
-    """Header row per archive (``entry_idx`` -1, ``error`` if unreadable) and its entries."""
+def read_entry_names(
+    artifacts: DataFrame, exact: str | None = None, suffix: str | None = None
+) -> DataFrame:
+    """Header row per archive (``entry_idx`` -1, ``error`` if unreadable) and its entries.
+
+    ``exact`` and ``suffix`` keep only entries of that name or ending.
+    """
     paths = _spread(artifacts.select("jar_path"), "jar_path")
-    return paths.mapInArrow(_read_names, ENTRIES)
+    return paths.mapInArrow(_reader(exact, suffix), ENTRIES)
 
 
 def read_sources(pairs: DataFrame) -> DataFrame:

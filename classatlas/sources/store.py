@@ -31,7 +31,7 @@ TABLES = {
     "jar_mtime": schemas.JAR_MTIME,
 }
 BY_CLASS = ("class_sources", "class_registry")
-_COMMITS = T.StructType([T.StructField("run", T.LongType())])
+_COMMITS = T.StructType([T.StructField("run", T.LongType()), T.StructField("tag", T.StringType())])
 
 
 def name_slot(fqn: Column, slots: int) -> Column:
@@ -65,13 +65,22 @@ class Store:
             fields.append(T.StructField("slot", T.IntegerType()))
         return T.StructType(fields)
 
+    def _commits(self) -> DataFrame | None:
+        location = self._location("commits")
+        return self.spark.read.schema(_COMMITS).parquet(location) if self._exists(location) else None
+
     def last_run(self) -> int:
         """Number of committed runs; they are numbered from 1 without gaps."""
-        if not self._exists(self._location("commits")):
+        commits = self._commits()
+        if commits is None:
             return 0
-        commits = self.spark.read.schema(_COMMITS).parquet(self._location("commits"))
         return commits.agg(F.coalesce(F.max("run"), F.lit(0)).alias("run")).first()["run"]
 
+    def has_run(self, tag: str) -> bool:
+        """Whether a run with this tag was committed, e.g. a repeated stream batch."""
+        commits = self._commits()
+        return commits is not None and not commits.where(F.col("tag") == tag).isEmpty()
+
     def rows(self, table: str) -> DataFrame:
         """Rows of all committed runs, with ``run``; opening does not write anything."""
         location = self._location(table)
@@ -89,7 +98,7 @@ class Store:
         return self.rows(table).where((F.col("slot") == name_slot(F.lit(fqn), self.slots)) & hit)
 
     @contextmanager
-    def run(self) -> Iterator[int]:
+    def run(self, tag: str | None = None) -> Iterator[int]:
         """Open a run; leaving the block without an error commits it.
 
         One writer at a time, as with a single write transaction. Left-overs of
@@ -102,7 +111,7 @@ class Store:
                 files.delete(left_over, True)
         try:
             yield self._open_run
-            self.spark.createDataFrame([(self._open_run,)], _COMMITS).coalesce(1).write.mode(
+            self.spark.createDataFrame([(self._open_run, tag)], _COMMITS).coalesce(1).write.mode(
                 "append"
             ).parquet(self._location("commits"))
         finally:
