@@ -199,28 +199,30 @@ def _lay_out(text: Column, mask: Column, pattern: str, layout: tuple[str, ...])
     Gaps vanish, except that a comment in a gap is a part of its own.
     """
     groups = _SPLIT.join(f"${i + 1}" for i in range(2 * len(layout)))
-    parts = F.split(F.regexp_replace(mask, pattern + r"[\s\S]*", groups), _SPLIT)
     leads = F.array(*[F.lit(lead) for lead in layout])
 
-    def append(s: Column, i: Column) -> Column:
-        part_length = F.length(F.get(parts, i * 2))
-        gap_length = F.length(F.get(parts, i * 2 + 1))
-        part = F.substr(text, s["pos"] + 1, part_length)
-        gap = F.substr(text, s["pos"] + 1 + part_length, gap_length)
-        lead = F.when(s["line"] == "", F.lit("")).otherwise(F.get(leads, i))
-        line = F.when(part_length == 0, s["line"]).otherwise(F.concat(s["line"], lead, part))
-        return F.struct(
-            (s["pos"] + part_length + gap_length).alias("pos"),
-            F.when(_blank(gap), line)
-            .otherwise(F.concat_ws(" ", F.nullif(line, F.lit("")), strip_space(gap))).alias("line"),
+    def joined(parts: Column) -> Column:
+        def append(s: Column, i: Column) -> Column:
+            part_length = F.length(F.get(parts, i * 2))
+            gap_length = F.length(F.get(parts, i * 2 + 1))
+            part = F.substr(text, s["pos"] + 1, part_length)
+            gap = F.substr(text, s["pos"] + 1 + part_length, gap_length)
+            lead = F.when(s["line"] == "", F.lit("")).otherwise(F.get(leads, i))
+            line = F.when(part_length == 0, s["line"]).otherwise(F.concat(s["line"], lead, part))
+            return F.struct(
+                (s["pos"] + part_length + gap_length).alias("pos"),
+                F.when(_blank(gap), line)
+                .otherwise(F.concat_ws(" ", F.nullif(line, F.lit("")), strip_space(gap))).alias("line"),
+            )
+
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(len(layout) - 1)),
+            F.struct(F.lit(0).alias("pos"), F.lit("").alias("line")),
+            append,
+            lambda s: strip_space(s["line"]),
         )
 
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(len(layout) - 1)),
-        F.struct(F.lit(0).alias("pos"), F.lit("").alias("line")),
-        append,
-        lambda s: strip_space(s["line"]),
-    )
+    return let(F.split(F.regexp_replace(mask, pattern + r"[\s\S]*", groups), _SPLIT), joined)
 
 
 def _member(declaration: Column, segment: Column) -> Column:
@@ -233,11 +235,14 @@ def class_structure(text: Column) -> Column:
     With several top-level types the last one gives declaration and comment,
     fields and methods accumulate.
     """
+    # a cheap test first: most declarations are decided by it
     def is_type(s: Column) -> Column:
-        return F.rlike(s["mask"], F.lit(rf"^{_PREFIX}(?:{_KINDS}){_GAP}+{_NAME}"))
+        return F.rlike(s["mask"], F.lit("class|interface|enum|record")) & F.rlike(
+            s["mask"], F.lit(rf"^{_PREFIX}(?:{_KINDS}){_GAP}+{_NAME}")
+        )
 
     def is_call(s: Column) -> Column:
-        return F.rlike(s["mask"], F.lit(_CALL_HEADER))
+        return F.contains(s["mask"], F.lit("(")) & F.rlike(s["mask"], F.lit(_CALL_HEADER))
 
     def assemble(scan: Column) -> Column:
         segments = scan["segments"]

@@ -56,24 +56,34 @@ def _first_not_null(items: Column, of: Callable[[Column], Column]) -> Column:
     return F.get(F.filter(F.transform(items, of), lambda x: x.isNotNull()), F.lit(0))
 
 
+def _may_name_type(line: Column) -> Column:
+    found = F.contains(line, F.lit(TYPE_KEYWORDS[0]))
+    for keyword in TYPE_KEYWORDS[1:]:
+        found = found | F.contains(line, F.lit(keyword))
+    return found
+
+
 def extract_class_name(text: Column) -> Column:
     """``package.Type`` from the first package line and the first type line.
 
     Lines that cannot name anything are dropped by a cheap test before the
     per-line extraction runs.
     """
-    def from_lines(lines: Column) -> Column:
-        package = _first_not_null(
+    def package(lines: Column) -> Column:
+        return _first_not_null(
             F.filter(lines, lambda x: F.contains(x, F.lit("package "))),
             lambda x: _package_of_line(strip_space(x)),
         )
-        kind = _first_not_null(
-            F.filter(lines, lambda x: F.rlike(x, F.lit("class |interface |enum |record "))),
-            lambda x: type_name_of_line(strip_space(x)),
+
+    def kind(lines: Column) -> Column:
+        return _first_not_null(
+            F.filter(lines, _may_name_type), lambda x: type_name_of_line(strip_space(x))
         )
-        return F.when(kind.isNotNull(), F.concat_ws(".", package, kind))
 
-    return let(F.split(text, "\n"), from_lines)
+    def named(lines: Column) -> Column:
+        return let(kind(lines), lambda k: F.when(k.isNotNull(), F.concat_ws(".", package(lines), k)))
+
+    return let(F.split(text, "\n"), named)
 
 
 def class_of_source(text: Column, entry_name: Column) -> Column:
@@ -88,12 +98,14 @@ def split_decompiled(output: Column) -> Column:
     are dropped; output without any banner is one class, kept untrimmed.
     """
     def pieces(text: Column) -> Column:
-        parts = F.split(text, r"\Q" + DECOMPILED_BANNER + r"\E")
-        return F.when(F.size(parts) == 1, F.array(text)).otherwise(
-            F.transform(
-                F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-                lambda p: strip_space(F.concat(F.lit(DECOMPILED_BANNER), p)),
-            )
+        return let(
+            F.split(text, r"\Q" + DECOMPILED_BANNER + r"\E"),
+            lambda parts: F.when(F.size(parts) == 1, parts).otherwise(
+                F.transform(
+                    F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+                    lambda p: strip_space(F.concat(F.lit(DECOMPILED_BANNER), p)),
+                )
+            ),
         )
 
     named = F.transform(

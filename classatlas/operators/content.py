@@ -26,15 +26,27 @@ def name_sources(texts: DataFrame) -> DataFrame:
     )
 
 
-def keep_first(named: DataFrame) -> DataFrame:
-    """First entry per ``(jar_path, fqn)`` in archive order.
+def first_text(rows: DataFrame, keys: list[str], order: str, *kept: str) -> DataFrame:
+    """The row of the smallest ``order`` per key, reduced to keys, ``order`` and ``kept``.
 
-    The minimum is found on narrow columns and combined before the exchange; the
-    texts then join on a key that includes the entry, so repetitions of one class
-    spread over all tasks.
+    One pass: each task reduces its own rows to one per key before anything is
+    exchanged, so a key with very many rows costs no more than any other.
     """
-    first = named.groupBy("jar_path", "fqn").agg(F.min("entry_idx").alias("entry_idx"))
-    return named.join(first, ["jar_path", "fqn", "entry_idx"], "left_semi")
+    best = rows.groupBy(*keys).agg(
+        F.min(order).alias(order), F.min_by(F.struct(*kept), order).alias("best")
+    )
+    return best.select(*keys, order, *[F.col(f"best.{name}").alias(name) for name in kept])
+
+
+def keep_first(named: DataFrame) -> DataFrame:
+    """First entry per ``(jar_path, fqn)`` in archive order."""
+    return first_text(named, ["jar_path", "fqn"], "entry_idx", "content")
+
+
+def keep_last(writes: DataFrame) -> DataFrame:
+    """Upsert of ``(fqn, jar_path, content, source, seq)``: the last write per key wins."""
+    latest = writes.withColumn("age", -F.col("seq"))
+    return first_text(latest, ["fqn", "jar_path"], "age", "content", "source").drop("age")
 
 
 def parse_output(outputs: DataFrame) -> DataFrame:
@@ -74,14 +86,17 @@ def needs_decompiling(artifacts: DataFrame, catalog: DataFrame, covered: DataFra
 def source_wins(from_sources: DataFrame, decompiled: DataFrame) -> DataFrame:
     """Sources united with decompiled classes the sources do not cover.
 
-    ``(jar_path, fqn, content, source)``, each class once.
+    ``(jar_path, fqn, content, source)``, each class once. Both kinds are ranked
+    and reduced together, which saves an anti-join over the texts.
     """
-    fill = decompiled.join(from_sources.select("jar_path", "fqn"), ["jar_path", "fqn"], "left_anti")
-    columns = ["jar_path", "fqn", "content"]
-    return (
-        from_sources.select(*columns).withColumn("source", F.lit(SOURCES_JAR))
-        .unionByName(keep_first(fill).select(*columns).withColumn("source", F.lit(DECOMPILED)))
-    )
+    def ranked(rows: DataFrame, rank: int, source: str) -> DataFrame:
+        return rows.select(
+            "jar_path", "fqn", "content", F.lit(source).alias("source"),
+            F.struct(F.lit(rank).alias("rank"), "entry_idx").alias("preference"),
+        )
+
+    both = ranked(from_sources, 0, SOURCES_JAR).unionByName(ranked(decompiled, 1, DECOMPILED))
+    return first_text(both, ["jar_path", "fqn"], "preference", "content", "source").drop("preference")
 
 
 def skip_loaded(targets: DataFrame, loaded: DataFrame) -> DataFrame:

@@ -67,12 +67,12 @@ def source_entry_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def source_point_read(spark: SparkSession, d: str) -> DataFrame:
     """The entry of one class from each sibling archive, first in archive order."""
-    rows = standin.sources_entries(spark, d)
-    first = rows.groupBy("jar_path", "entry_name").agg(F.min("entry_idx").alias("entry_idx"))
-    chosen = rows.join(first, ["jar_path", "entry_name", "entry_idx"], "left_semi")
+    chosen = content.first_text(
+        standin.sources_entries(spark, d), ["jar_path", "entry_name"], "entry_idx", "content"
+    )
     hits = resolve.with_version(standin.classes(spark, d).select("fqn", "jar_path").distinct())
     requests = hits.withColumn("entry_name", names.source_entry_of_class(F.col("fqn")))
-    read = requests.join(chosen.drop("fqn"), ["jar_path", "entry_name"], "left")
+    read = requests.join(chosen, ["jar_path", "entry_name"], "left")
     return read.select("fqn", "jar_path", "version", text.content_hash(F.col("content")).alias("content_hash"))
 
 
@@ -257,8 +257,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
         "cache_hit", F.lit(True)
     )
     loaded = content.source_wins(
-        content.keep_first(standin.sources_entries(spark, d)),
-        standin.decompiler_pieces(spark, d),
+        standin.sources_entries(spark, d), standin.decompiler_pieces(spark, d)
     ).withColumn("cache_hit", F.lit(False))
     fresh = loaded.join(cached.select("fqn", "jar_path"), ["fqn", "jar_path"], "left_anti")
     return cached.unionByName(fresh)
@@ -284,9 +283,7 @@ def default_version(spark: SparkSession, d: str) -> DataFrame:
 # -- content ----------------------------------------------------------------
 
 def _latest_cache(spark: SparkSession, d: str) -> DataFrame:
-    writes = standin.cache_writes(spark, d)
-    last = writes.groupBy("fqn", "jar_path").agg(F.max("seq").alias("seq"))
-    return writes.join(last, ["fqn", "jar_path", "seq"], "left_semi")
+    return content.keep_last(standin.cache_writes(spark, d))
 
 
 def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -311,9 +308,7 @@ def missing_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def load_union(spark: SparkSession, d: str) -> DataFrame:
-    loaded = content.source_wins(
-        content.keep_first(standin.sources_entries(spark, d)), standin.decompiler_pieces(spark, d)
-    )
+    loaded = content.source_wins(standin.sources_entries(spark, d), standin.decompiler_pieces(spark, d))
     return loaded.select("jar_path", "fqn", "source", text.content_hash(F.col("content")).alias("content_hash"))
 
 

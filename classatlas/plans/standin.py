@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from classatlas.functions import names
 from classatlas.functions.text import DECOMPILED_BANNER
 from classatlas.operators import hotspot
+from classatlas.session import use_all_slots
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -46,6 +47,12 @@ def classes(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def documents_spread(spark: SparkSession, directory: str) -> DataFrame:
+    """Classes with their texts, over all task slots, for costly work per text."""
+    wanted = classes(spark, directory).select("doc_id", "lang", "source", "simple_name", "text")
+    return use_all_slots(wanted)
+
+
 def entries(spark: SparkSession, directory: str) -> DataFrame:
     """Archive entries: classes, inner classes, descriptors, manifests and odd names."""
     path = cat("org/", F.col("lang"), "/core/", F.col("simple_name"))
@@ -109,7 +116,7 @@ def decompiler_output(spark: SparkSession, directory: str) -> DataFrame:
     """Raw tool output per document: noise, a class with the text, noise, a second class."""
     banner = DECOMPILED_BANNER + " 0.152.\n */\n"
     second = cat("package org.", F.col("lang"), ".alt;\n\ninterface I<T> {\n}\n")
-    return classes(spark, directory).select(
+    return documents_spread(spark, directory).select(
         "doc_id",
         cat(
             "Processing\r\n", banner, source_text(F.col("text")), banner, "// nothing here\r\n",
@@ -208,7 +215,7 @@ def named_texts(spark: SparkSession, directory: str) -> DataFrame:
     package = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(
         cat("package  org.", F.col("lang"), " ;;\r\n")
     )
-    return classes(spark, directory).select(
+    return documents_spread(spark, directory).select(
         "doc_id", cat("\n", package, head, "\n// ", F.col("text"), "\n}\n").alias("content")
     )
 
@@ -227,7 +234,7 @@ def java_files(spark: SparkSession, directory: str) -> DataFrame:
         "",
     )
     lang, source, simple = F.col("lang"), F.col("source"), F.col("simple_name")
-    return classes(spark, directory).select(
+    return documents_spread(spark, directory).select(
         "doc_id", "lang", "source", "simple_name",
         cat(
             "package org.", lang, ".core;\n\nimport java.util.*;\nimport static org.", lang, ".util.",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -53,3 +53,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="classatlas-checkpoint-"))
+
+
+def use_all_slots(frame: DataFrame) -> DataFrame:
+    """Spread rows ahead of costly per-row work, only if the input has too few partitions.
+
+    One small file is one task however many cores wait. Input with a partition
+    per slot, which is any large table, passes unchanged and without an exchange.
+    """
+    slots = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(slots) if frame.rdd.getNumPartitions() < slots else frame
