@@ -334,7 +334,16 @@ class Atlas:
         loads = self.load(self.warmup_targets(**choice).checkpoint())
         return warmup.run_summary(loads), loads
 
-    # -- counters -----------------------------------------------------------
+    # -- cache and counters -------------------------------------------------
+
+    def put_sources(self, writes: DataFrame) -> int:
+        """Upsert ``(fqn, jar_path, content, source, seq)``; the number of keys written."""
+        rows = content.keep_last(writes).checkpoint()
+        written = rows.count()
+        if written:
+            with self.store.run():
+                self.store.write("class_sources", rows)
+        return written
 
     def record_access(self, log: DataFrame, threshold: int = hotspot.WARMUP_THRESHOLD) -> DataFrame:
         """Count a batch of accesses ``(jar_path, epoch, order, warmed, class_count)``.
@@ -346,6 +355,17 @@ class Atlas:
             self.store.write("jar_hotspot", hotspot.increments(log))
         return wanted
 
+    def record_lookup(self, found: Found) -> DataFrame:
+        """Count one access to each artifact a lookup returned, at the current time."""
+        log = found.versions.select("jar_path").select(
+            "jar_path",
+            F.unix_timestamp().alias("epoch"),
+            F.lit(0).cast("long").alias("order"),
+            F.lit(False).alias("warmed"),
+            F.lit(0).cast("long").alias("class_count"),
+        )
+        return self.record_access(log)
+
     def stats(self) -> tuple[DataFrame, DataFrame]:
         """One row of counters and the most accessed artifacts."""
         hotspots = self.store.hotspots()

@@ -1,15 +1,16 @@
 """Distributed listing of archives below a directory on a shared file system.
 
-Directories are listed level by level: each level is one job whose tasks list
-the directories of that level, so neither the driver nor one task ever walks a
-whole tree, and a directory with very many sub-directories is spread again at
-the next level. Every level is checkpointed, which keeps the lineage flat and
-lists each directory once.
+A task lists a bounded number of directories below each one it was given and hands
+the rest back; those are spread over all tasks in the next round. Small trees take
+one round, large ones are balanced again and again, and neither the driver nor one
+task ever walks a whole tree. Every round is checkpointed, which keeps the lineage
+flat and lists each directory once.
 """
 
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
@@ -18,45 +19,66 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classatlas.functions.names import is_artifact_path, version_of_path
+from classatlas.functions.names import version_of_path
 from classatlas.session import ensure_checkpoint_dir
 
-_LISTING = "path string, is_dir boolean, mtime_ns long, length long"
-_BATCH = 4096
+# directories one task lists below each directory of its input
+_BUDGET = 256
+_ROWS = 4096
+_LISTING = "path string, artifact boolean, pending boolean, mtime_ns long, length long"
+_LISTING_ARROW = pa.schema([
+    ("path", pa.string()), ("artifact", pa.bool_()), ("pending", pa.bool_()),
+    ("mtime_ns", pa.int64()), ("length", pa.int64()),
+])
 
 
 def default_repository() -> str:
     return str(Path.home() / ".m2" / "repository")
 
 
+def _children(directory: str) -> Iterator[os.DirEntry]:
+    """Entries of a directory; none if it cannot be read."""
+    try:
+        with os.scandir(directory) as children:
+            yield from children
+    except OSError:
+        return
+
+
+def _walk(top: str) -> Iterator[tuple[str, bool, bool, int, int]]:
+    """Artifacts below a directory, and the directories left when the budget is spent."""
+    waiting, budget = deque([top]), _BUDGET
+    while waiting and budget:
+        budget -= 1
+        for child in _children(waiting.popleft()):
+            if child.name.endswith(".jar") and child.name != ".jar":
+                try:
+                    status = child.stat()
+                    yield child.path, True, False, max(status.st_mtime_ns, 0), status.st_size
+                except OSError:
+                    yield child.path, True, False, 0, 0
+            if child.is_dir(follow_symlinks=False):
+                waiting.append(child.path)
+    for directory in waiting:
+        yield directory, False, True, 0, 0
+
+
 def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """List each directory; unreadable ones and vanished files are left out."""
-    schema = pa.schema([
-        ("path", pa.string()), ("is_dir", pa.bool_()), ("mtime_ns", pa.int64()), ("length", pa.int64()),
-    ])
-    rows: list[tuple[str, bool, int, int]] = []
+    rows: list[tuple[str, bool, bool, int, int]] = []
+
+    def packed() -> pa.RecordBatch:
+        columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), _LISTING_ARROW)]
+        return pa.RecordBatch.from_arrays(columns, schema=_LISTING_ARROW)
+
     for batch in batches:
-        for directory in batch.column("path").to_pylist():
-            try:
-                with os.scandir(directory) as children:
-                    for child in children:
-                        try:
-                            followed = child.stat()
-                        except OSError:
-                            followed = None
-                        rows.append((
-                            child.path,
-                            child.is_dir(follow_symlinks=False),
-                            max(followed.st_mtime_ns, 0) if followed else 0,
-                            followed.st_size if followed else 0,
-                        ))
-                        if len(rows) >= _BATCH:
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=schema)
-                            rows = []
-            except OSError:
-                continue
+        for top in batch.column("path").to_pylist():
+            for row in _walk(top):
+                rows.append(row)
+                if len(rows) >= _ROWS:
+                    yield packed()
+                    rows.clear()
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=schema)
+        yield packed()
 
 
 def list_artifacts(spark: SparkSession, roots: str | list[str]) -> DataFrame:
@@ -68,17 +90,16 @@ def list_artifacts(spark: SparkSession, roots: str | list[str]) -> DataFrame:
     ensure_checkpoint_dir(spark)
     roots = [roots] if isinstance(roots, str) else roots
     slots = spark.sparkContext.defaultParallelism
-    level = spark.createDataFrame([(root,) for root in roots], "path string")
-    levels = []
+    frontier = spark.createDataFrame([(root,) for root in roots], "path string").coalesce(1)
+    rounds = []
     while True:
-        listed = (
-            level.repartition(slots, "path").mapInArrow(_list_directories, _LISTING).checkpoint()
-        )
-        levels.append(listed.where(is_artifact_path(F.col("path"))))
-        level = listed.where("is_dir").select("path")
-        if level.isEmpty():
+        listed = frontier.mapInArrow(_list_directories, _LISTING).checkpoint()
+        rounds.append(listed.where("artifact"))
+        pending = listed.where("pending").select("path")
+        if pending.isEmpty():
             break
-    found = reduce(DataFrame.unionByName, levels)
+        frontier = pending.repartition(slots, "path")
+    found = reduce(DataFrame.unionByName, rounds)
     return found.select(F.col("path").alias("jar_path"), "mtime_ns", "length").distinct()
 
 
