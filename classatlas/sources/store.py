@@ -180,7 +180,8 @@ class Store:
         return self.rows("jar_mtime").groupBy("jar_path").agg(F.max_by("mtime_ns", "run").alias("mtime_ns"))
 
     def clear(self) -> None:
-        """Drop every table; a store that does not exist is fine."""
-        files, path = self._filesystem(self.path)
-        if files.exists(path):
-            files.delete(path, True)
+        """Drop the tables of the store and nothing else; a missing store is fine."""
+        for table in ("commits", *TABLES):
+            files, path = self._filesystem(self._location(table))
+            if files.exists(path):
+                files.delete(path, True)

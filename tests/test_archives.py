@@ -118,3 +118,21 @@ def test_single_source_read(spark, tmp_path, jar):
     frame = spark.createDataFrame(rows, "jar_path string, sources_path string, entry_name string")
     found = read_source_entries(frame).collect()
     assert [(row["jar_path"], row["content"]) for row in found] == [("y.jar", "class A {\n}")]
+
+
+def test_catalog_of_the_archives_shipped_with_spark(spark):
+    """A realistic corpus, against a plain loop over the same files."""
+    import glob
+    import zipfile
+
+    import pyspark
+
+    folder = os.path.join(os.path.dirname(pyspark.__file__), "jars")
+    expected, jars = 0, 0
+    for path in glob.glob(f"{folder}/**/*.jar", recursive=True):
+        jars += 1
+        with zipfile.ZipFile(path) as archive:
+            expected += sum(n.endswith(".class") and "$" not in n for n in archive.namelist())
+    artifacts = list_artifacts(spark, folder)
+    assert artifacts.count() == jars
+    assert catalog.classes(read_entry_names(artifacts)).count() == expected
