@@ -6,6 +6,8 @@ list is ever built, so no key can outgrow a task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +57,7 @@ def index_summary(artifacts: DataFrame, status: DataFrame, catalog: DataFrame) -
     return side_by_side(scanned, opened, indexed)
 
 
-def side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """Put one-row results next to each other by an equi-join on a constant."""
-    joined = first.withColumn("_one", F.lit(1))
-    for other in others:
-        joined = joined.join(other.withColumn("_one", F.lit(1)), "_one")
-    return joined.drop("_one")
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Put one-row results next to each other: stack them, then take the only value per column."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])

@@ -17,7 +17,9 @@ from classatlas.operators import catalog, changes, content, hotspot, registry, r
 from classatlas.plans import standin
 from classatlas.plans.render import text_line, version_json
 from classatlas.schemas import DECOMPILED, SOURCES_JAR
+from classatlas.sources.store import Store
 from classatlas.streaming.access import replay_requests
+from classatlas.streaming.indexing import write_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -197,6 +199,16 @@ def registry_append_new(spark: SparkSession, d: str) -> DataFrame:
     return registry.new_pairs(_catalog(spark, d), _known_registry(spark, d))
 
 
+def registry_store(spark: SparkSession, d: str) -> DataFrame:
+    """The stored registry after two runs, the second one over everything."""
+    store = Store(spark, standin.scratch(spark, "registry"), slots=8)
+    for pairs in (_known_registry(spark, d), _catalog(spark, d)):
+        with store.run() as run:
+            numbered = pairs.withColumn("seq", F.lit(run).cast("long"))
+            store.write("class_registry", registry.new_pairs(numbered, store.registry()))
+    return store.registry()
+
+
 def registry_lookup(spark: SparkSession, d: str) -> DataFrame:
     requests = standin.raw_queries(spark, d).select(names.normalize_query(F.col("raw")).alias("fqn"))
     return registry.artifacts_of(registry.build(_catalog(spark, d)), requests)
@@ -294,6 +306,19 @@ def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def cache_upsert_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same cache, filled by a stream of documents."""
+    base = standin.scratch(spark, "cache")
+    store = Store(spark, f"{base}/store", slots=8)
+    rows = standin.classes_of(standin.stream(spark, d, "documents"))
+    writes = standin.cache_writes_of(rows, standin.labels(spark, d))
+    write_sources(writes, store, "documents", f"{base}/offsets").awaitTermination()
+    return store.sources().select(
+        names.source_key(F.col("fqn"), F.col("jar_path")).alias("cache_key"), "source",
+        text.content_hash(F.col("content")).alias("content_hash"),
+    )
+
+
 def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     hits = standin.classes(spark, d).select("fqn", "jar_path").distinct()
     return content.from_cache(hits, _latest_cache(spark, d)).select(
@@ -442,9 +467,9 @@ def queries() -> dict[str, Query]:
         source_entry_paths, source_point_read, bulk_sources_keep_first, normalize_query,
         version_from_path, version_filter, content_hash, extract_class_name, split_decompiled,
         collapse_whitespace, decode_text, class_structures, structure_members, member_search,
-        registry_build, registry_counts, registry_append_new, registry_lookup, registry_validated,
+        registry_build, registry_counts, registry_append_new, registry_store, registry_lookup, registry_validated,
         uncataloged_artifacts, index_summary, search_scopes, tiered_scan, find_fqn_versions,
-        find_simple_best, ambiguity, default_version, cache_upsert, cache_lookup, missing_sources,
+        find_simple_best, ambiguity, default_version, cache_upsert, cache_upsert_stream, cache_lookup, missing_sources,
         load_union, load_skip_flag, load_summary, hotspot_state, hotspot_requests,
         hotspot_requests_late, hotspot_requests_stream, hotspot_top10, hotspot_top_unwarmed,
         store_stats, mtime_changes, mtime_snapshot, warmup_queue_order, warmup_targets_group,

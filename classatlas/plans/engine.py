@@ -197,7 +197,7 @@ class Atlas:
         """Catalog every artifact not cataloged before; one row of counters."""
         artifacts = list_artifacts(self.spark, path or self.repository)
         fresh = registry.uncataloged(artifacts, self.store.manifest())
-        entries = read_entry_names(fresh).checkpoint()
+        entries = read_entry_names(fresh, suffix=names.CLASS_SUFFIX).checkpoint()
         status, classes = catalog.archive_status(entries), catalog.classes(entries)
         with self.store.run() as run:
             self._append_registry(classes, status.where("readable").select("jar_path"), run)
@@ -214,7 +214,7 @@ class Atlas:
         snapshot = self.store.mtimes()
         changed = changes.changed(artifacts, snapshot).checkpoint()
         moved = changes.moved_snapshot(artifacts, snapshot).checkpoint()
-        entries = read_entry_names(changed).checkpoint()
+        entries = read_entry_names(changed, suffix=names.CLASS_SUFFIX).checkpoint()
         status, classes = catalog.archive_status(entries), catalog.classes(entries)
         with self.store.run() as run:
             self.store.write("jar_mtime", moved)
@@ -275,7 +275,7 @@ class Atlas:
             targets = self.spark.createDataFrame([(targets,)], "jar_path string")
         flagged = content.skip_loaded(targets.select("jar_path").distinct(), self.store.loaded()).checkpoint()
         pending = flagged.where(~F.col("skipped")).select("jar_path")
-        classes = catalog.classes(read_entry_names(flagged)).checkpoint()
+        classes = catalog.classes(read_entry_names(flagged, suffix=names.CLASS_SUFFIX)).checkpoint()
         fresh = registry.uncataloged(classes, self.store.manifest())
         loaded, failed = self._classes_of(pending, classes, None, False)
         loaded, failed = loaded.checkpoint(), failed.checkpoint()
@@ -302,7 +302,7 @@ class Atlas:
         parts = []
         for mode, top_level_only in ((hotspot.ALL_CLASSES, False), (hotspot.TOP_LEVEL_ONLY, True)):
             targets = queue.where(F.col("mode") == mode).select("jar_path")
-            classes = catalog.classes(read_entry_names(targets)).checkpoint()
+            classes = catalog.classes(read_entry_names(targets, suffix=names.CLASS_SUFFIX)).checkpoint()
             loaded, failed = self._classes_of(targets, classes, excluded, top_level_only)
             parts.append((targets, loaded.checkpoint(), failed.checkpoint()))
         targets, loaded, failed = (a.unionByName(b) for a, b in zip(*parts))

@@ -231,6 +231,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT fqn, jar_path, min(doc_id) AS seq FROM cls
             WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.fqn = cls.fqn AND k.jar_path = cls.jar_path)
             GROUP BY ALL""",
+        "registry_store": _with(_CLASSES, _KNOWN) + """
+            SELECT DISTINCT fqn, jar_path, CASE WHEN EXISTS (
+              SELECT 1 FROM known k WHERE k.fqn = cls.fqn AND k.jar_path = cls.jar_path) THEN 1 ELSE 2 END::BIGINT AS seq
+            FROM cls""",
         "registry_lookup": _with(_CLASSES, _QUERIES) + """
             SELECT fqn, jar_path, min(doc_id) AS seq FROM cls WHERE fqn IN (SELECT class_name FROM req) GROUP BY ALL""",
         "registry_validated": _with(_CLASSES, _ENTRIES, _KNOWN) + """
@@ -273,6 +277,9 @@ def oracle_sql() -> dict[str, str]:
         "cache_upsert": _with(_CLASSES, _QUERIES, _CACHE) + """
             SELECT fqn || '::' || jar_path AS cache_key, 'sources-jar' AS source, sha256(content) AS content_hash
             FROM cache""",
+        "cache_upsert_stream": _with(_CLASSES, _QUERIES, _CACHE) + """
+            SELECT fqn || '::' || jar_path AS cache_key, 'sources-jar' AS source, sha256(content) AS content_hash
+            FROM cache""",
         "cache_lookup": _with(_CLASSES, _QUERIES, _CACHE) + """
             SELECT fqn, jar_path, c.content IS NOT NULL AS cache_hit,
               CASE WHEN c.content IS NOT NULL THEN 'sources-jar' END AS source, sha256(c.content) AS content_hash

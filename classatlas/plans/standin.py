@@ -7,13 +7,15 @@ rename and concatenate columns; selections belong to the operators.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from classatlas.functions import names
 from classatlas.functions.text import DECOMPILED_BANNER
 from classatlas.operators import hotspot
-from classatlas.session import use_all_slots
+from classatlas.session import ensure_checkpoint_dir, use_all_slots
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -24,7 +26,23 @@ def cat(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A given table as a stream of files."""
+    schema = table(spark, directory, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def classes(spark: SparkSession, directory: str) -> DataFrame:
+    return classes_of(table(spark, directory, "documents"))
+
+
+def classes_of(documents: DataFrame) -> DataFrame:
     """``doc_id, lang, source, text, jar_path, version, simple_name, fqn``.
 
     Artifacts lie below the package's own directory, below its parent or in a
@@ -38,7 +56,7 @@ def classes(spark: SparkSession, directory: str) -> DataFrame:
         .otherwise(cat("org/", lang, "/", source))
     )
     simple = cat("C", (doc % 7).cast("string"))
-    return table(spark, directory, "documents").select(
+    return documents.select(
         "doc_id", "lang", "source", "text",
         cat(home, "/", version, "/", source, "-", version, ".jar").alias("jar_path"),
         version.alias("version"),
@@ -90,8 +108,12 @@ def labels(spark: SparkSession, directory: str) -> DataFrame:
 
 def cache_writes(spark: SparkSession, directory: str) -> DataFrame:
     """Texts written to the cache: documents of quality 1, ``seq`` in writing order."""
-    good = labels(spark, directory).where("quality = 1").select("doc_id")
-    return with_content(classes(spark, directory).join(good, "doc_id", "left_semi")).select(
+    return cache_writes_of(classes(spark, directory), labels(spark, directory))
+
+
+def cache_writes_of(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    good = marks.where("quality = 1").select("doc_id")
+    return with_content(rows.join(good, "doc_id", "left_semi")).select(
         "fqn", "jar_path", "content", F.lit("sources-jar").alias("source"), F.col("doc_id").alias("seq")
     )
 

@@ -19,9 +19,16 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to an existing session."""
+    """Apply the run-time settings to an existing session.
+
+    On a cluster with more slots than shuffle partitions, exchanges start with
+    several partitions per slot; adaptive execution merges them when data is small.
+    """
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    slots = spark.sparkContext.defaultParallelism
+    if slots > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(4 * slots))
     return spark
 
 

@@ -100,7 +100,9 @@ def list_artifacts(spark: SparkSession, roots: str | list[str]) -> DataFrame:
             break
         frontier = pending.repartition(slots, "path")
     found = reduce(DataFrame.unionByName, rounds)
-    return found.select(F.col("path").alias("jar_path"), "mtime_ns", "length").distinct()
+    artifacts = found.select(F.col("path").alias("jar_path"), "mtime_ns", "length")
+    # only nested roots can list a path twice
+    return artifacts if len(roots) == 1 else artifacts.distinct()
 
 
 def with_version(artifacts: DataFrame) -> DataFrame:

@@ -31,7 +31,12 @@ TABLES = {
     "jar_mtime": schemas.JAR_MTIME,
 }
 BY_CLASS = ("class_sources", "class_registry")
-_COMMITS = T.StructType([T.StructField("run", T.LongType()), T.StructField("tag", T.StringType())])
+_COMMITS = T.StructType([
+    T.StructField("run", T.LongType()),
+    T.StructField("tag", T.StringType()),
+    # table that this run rewrote as a whole, so that older runs of it are obsolete
+    T.StructField("base_of", T.StringType()),
+])
 
 
 def name_slot(fqn: Column, slots: int) -> Column:
@@ -71,10 +76,18 @@ class Store:
 
     def last_run(self) -> int:
         """Number of committed runs; they are numbered from 1 without gaps."""
+        return self._visible(None)[1]
+
+    def _visible(self, table: str | None) -> tuple[int, int]:
+        """First and last run a reader of a table has to look at."""
         commits = self._commits()
         if commits is None:
-            return 0
-        return commits.agg(F.coalesce(F.max("run"), F.lit(0)).alias("run")).first()["run"]
+            return 0, 0
+        bounds = commits.agg(
+            F.coalesce(F.max(F.when(F.col("base_of") == table, F.col("run"))), F.lit(0)).alias("first"),
+            F.coalesce(F.max("run"), F.lit(0)).alias("last"),
+        ).first()
+        return bounds["first"], bounds["last"]
 
     def has_run(self, tag: str) -> bool:
         """Whether a run with this tag was committed, e.g. a repeated stream batch."""
@@ -86,10 +99,9 @@ class Store:
         location = self._location(table)
         if not self._exists(location):
             return self.spark.createDataFrame([], self._schema(table))
+        first, last = self._visible(table)
         return (
-            self.spark.read.schema(self._schema(table))
-            .parquet(location)
-            .where(F.col("run") <= self.last_run())
+            self.spark.read.schema(self._schema(table)).parquet(location).where(F.col("run").between(first, last))
         )
 
     def of_class(self, table: str, fqn: str) -> DataFrame:
@@ -98,7 +110,7 @@ class Store:
         return self.rows(table).where((F.col("slot") == name_slot(F.lit(fqn), self.slots)) & hit)
 
     @contextmanager
-    def run(self, tag: str | None = None) -> Iterator[int]:
+    def run(self, tag: str | None = None, base_of: str | None = None) -> Iterator[int]:
         """Open a run; leaving the block without an error commits it.
 
         One writer at a time, as with a single write transaction. Left-overs of
@@ -111,7 +123,7 @@ class Store:
                 files.delete(left_over, True)
         try:
             yield self._open_run
-            self.spark.createDataFrame([(self._open_run, tag)], _COMMITS).coalesce(1).write.mode(
+            self.spark.createDataFrame([(self._open_run, tag, base_of)], _COMMITS).coalesce(1).write.mode(
                 "append"
             ).parquet(self._location("commits"))
         finally:
@@ -125,10 +137,9 @@ class Store:
         target = f"{self._location(table)}/run={self._open_run}"
         ready = rows.select(*columns)
         if table in BY_CLASS:
-            # salt within a slot so that no single task writes a whole slot
-            salt = F.pmod(F.xxhash64("jar_path"), F.lit(16))
-            ready = ready.withColumn("slot", name_slot(F.col("fqn"), self.slots))
-            ready = ready.repartition(F.col("slot"), salt).sortWithinPartitions("slot", "fqn")
+            # adaptive execution merges small slots and splits a slot that grew large
+            ready = ready.withColumn("slot", name_slot(F.col("fqn"), self.slots)).hint("rebalance", F.col("slot"))
+            ready = ready.sortWithinPartitions("slot", "fqn")
             writer = ready.write.partitionBy("slot").option("parquet.bloom.filter.enabled#fqn", "true")
         else:
             writer = ready.write
@@ -179,6 +190,17 @@ class Store:
     def mtimes(self) -> DataFrame:
         return self.rows("jar_mtime").groupBy("jar_path").agg(F.max_by("mtime_ns", "run").alias("mtime_ns"))
 
+    def compact(self, table: str) -> None:
+        """Replace the history of a counter table by its current rows, one per key.
+
+        Keeps the cost of reading counters proportional to the number of
+        artifacts however many runs there were. Older runs stay on disk for
+        readers that still use them.
+        """
+        current = {"jar_hotspot": self.hotspots, "jar_mtime": self.mtimes}[table]()
+        with self.run(base_of=table):
+            self.write(table, current)
+
     def clear(self) -> None:
         """Drop the tables of the store and nothing else; a missing store is fine."""
         for table in ("commits", *TABLES):

@@ -8,17 +8,14 @@ handled by partial aggregation like in a batch job.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
-
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from classatlas.operators import hotspot
 from classatlas.plans import standin
-from classatlas.session import ensure_checkpoint_dir
 from classatlas.sources.store import Store
 
 _REQUESTS = "jar_path string, event_id long, priority long, mode string"
@@ -31,6 +28,7 @@ def count_accesses(
     on_requests: Callable[[DataFrame, int], None],
     checkpoint: str,
     threshold: int = hotspot.WARMUP_THRESHOLD,
+    compact_every: int = 100,
     **trigger,
 ) -> StreamingQuery:
     """Start counting a stream of ``(jar_path, epoch, order, warmed, class_count)`` rows.
@@ -38,7 +36,8 @@ def count_accesses(
     ``on_requests`` receives the warm-up requests and the number of each batch. A
     batch that Spark repeats after a failure is recognised by its tag and its
     increments are not added twice; its requests are delivered before the tag is
-    written, so they arrive at least once.
+    written, so they arrive at least once. Counters are compacted now and then, so
+    that a batch never reads more than one row per artifact and recent batch.
     """
     def handle(batch: DataFrame, number: int) -> None:
         tag = f"{name}:{number}"
@@ -49,6 +48,8 @@ def count_accesses(
             on_requests(hotspot.requests(rows, threshold, store.hotspots()), number)
             with store.run(tag):
                 store.write("jar_hotspot", hotspot.increments(rows))
+            if number % compact_every == compact_every - 1:
+                store.compact("jar_hotspot")
         finally:
             rows.unpersist()
 
@@ -67,10 +68,8 @@ def running_counts(log: DataFrame) -> DataFrame:
 
 def replay_requests(spark: SparkSession, directory: str) -> DataFrame:
     """Run all events through the stream and return every request it made."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/access-{uuid.uuid4().hex}"
-    schema = standin.table(spark, directory, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(directory)
+    base = standin.scratch(spark, "access")
+    log = standin.access_log_of(standin.stream(spark, directory, "events"))
 
     def keep(requests: DataFrame, number: int) -> None:
         # one folder per batch, so a repeated batch replaces its own output
@@ -78,8 +77,5 @@ def replay_requests(spark: SparkSession, directory: str) -> DataFrame:
             "overwrite"
         ).parquet(f"{base}/requests/batch={number}")
 
-    query = count_accesses(
-        standin.access_log_of(stream), Store(spark, f"{base}/store"), "access", keep, f"{base}/offsets"
-    )
-    query.awaitTermination()
+    count_accesses(log, Store(spark, f"{base}/store"), "access", keep, f"{base}/offsets").awaitTermination()
     return spark.read.schema(_REQUESTS).parquet(f"{base}/requests").drop("batch")

@@ -41,12 +41,18 @@ def test_access_stream_equals_one_batch(spark, tmp_path):
     def collect(requests, number):
         seen.update(tuple(row) for row in requests.collect())
 
-    count_accesses(stream(spark, tmp_path / "in", LOG), store, "log", collect, str(tmp_path / "c"), 3).awaitTermination()
+    count_accesses(
+        stream(spark, tmp_path / "in", LOG), store, "log", collect, str(tmp_path / "c"), 3, compact_every=2
+    ).awaitTermination()
     expected, state = model_requests(log, 3)
     assert seen == expected
     counts = {r["jar_path"]: (r["access_count"], r["warmed"]) for r in store.hotspots().collect()}
     assert counts == state
-    assert store.last_run() == 3
+    whole = {tuple(r) for r in hotspot.state(spark.createDataFrame(log, LOG)).collect()}
+    assert {tuple(r) for r in store.hotspots().collect()} == whole
+    # three batches and one compaction, whose run is the first one still read
+    assert store.last_run() == 4
+    assert store.rows("jar_hotspot").agg({"run": "min"}).first()[0] == 3
 
 
 def test_repeated_batch_is_counted_once(spark, tmp_path):
