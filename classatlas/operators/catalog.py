@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classatlas.functions import names
+from classatlas.operators.skew import join_lookup
 
 
 def classes(entries: DataFrame) -> DataFrame:
@@ -28,13 +29,8 @@ def containing(entries: DataFrame, fqns: DataFrame) -> DataFrame:
     the requests are many.
     """
     wanted = fqns.select("fqn", names.entry_of_class(F.col("fqn")).alias("entry_name")).distinct()
-    return (
-        entries.where(F.endswith("entry_name", F.lit(names.CLASS_SUFFIX)))
-        .select("jar_path", "entry_name")
-        .join(wanted, "entry_name")
-        .select("fqn", "jar_path")
-        .distinct()
-    )
+    files = entries.where(F.endswith("entry_name", F.lit(names.CLASS_SUFFIX))).select("jar_path", "entry_name")
+    return join_lookup(files, wanted, ["entry_name"]).select("fqn", "jar_path").distinct()
 
 
 def by_simple_name(entries: DataFrame, simple_names: DataFrame) -> DataFrame:
@@ -52,4 +48,4 @@ def by_simple_name(entries: DataFrame, simple_names: DataFrame) -> DataFrame:
         F.translate(F.regexp_replace(entry, r"(\.class)+$", ""), "/", ".").alias("fqn"),
     )
     wanted = simple_names.select("simple_name").distinct()
-    return candidates.join(wanted, "simple_name", "left_semi").distinct()
+    return join_lookup(candidates, wanted, ["simple_name"], "left_semi").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classatlas.functions import names, text
+from classatlas.operators.skew import join_lookup
 from classatlas.schemas import DECOMPILED, SOURCES_JAR
 
 
@@ -127,7 +128,7 @@ def source_requests(hits: DataFrame, existing: DataFrame) -> DataFrame:
 def without_excluded(classes: DataFrame, excluded: DataFrame, top_level_only: bool) -> DataFrame:
     """Warm-up exclusions: listed classes, descriptors, and inner classes if asked."""
     fqn = F.col("fqn")
-    kept = classes.join(excluded.select("fqn").distinct(), "fqn", "left_anti")
+    kept = join_lookup(classes, excluded.select("fqn").distinct(), ["fqn"], "left_anti")
     for special in names.SPECIAL_CLASSES:
         kept = kept.where(~F.endswith(fqn, F.lit(special)))
     return kept.where(~F.contains(fqn, F.lit("$"))) if top_level_only else kept

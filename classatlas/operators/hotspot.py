@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from classatlas.operators.skew import join_lookup
+
 # Thresholds, report size, priorities and modes
 WARMUP_THRESHOLD = 2
 TOP_REPORT = 10
@@ -73,8 +75,7 @@ def requests(log: DataFrame, threshold: int = WARMUP_THRESHOLD, before: DataFram
     hot = F.col("order") >= F.col("hot_from")
     cold = F.col("warm_from").isNull() | (F.col("order") < F.col("warm_from"))
     return (
-        accesses.select("jar_path", "order")
-        .join(bounds, "jar_path")
+        join_lookup(accesses.select("jar_path", "order"), bounds, ["jar_path"])
         .where(cold & (hot | (F.col("order") == F.col("first_at"))))
         .select(
             "jar_path",

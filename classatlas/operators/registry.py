@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from classatlas.operators.skew import join_lookup
+
 
 def build(catalog: DataFrame) -> DataFrame:
     """``(fqn, jar_path, seq)`` from ``(fqn, jar_path, seq)`` rows with repetitions.
@@ -34,12 +36,13 @@ def artifact_counts(registry: DataFrame) -> DataFrame:
 
 def artifacts_of(registry: DataFrame, fqns: DataFrame) -> DataFrame:
     """Registered artifacts of the requested classes, ``seq`` gives append order."""
-    return registry.join(fqns.select("fqn").distinct(), "fqn").select("fqn", "jar_path", "seq")
+    wanted = fqns.select("fqn").distinct()
+    return join_lookup(registry, wanted, ["fqn"], "left_semi").select("fqn", "jar_path", "seq")
 
 
 def uncataloged(artifacts: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Artifacts that were never cataloged."""
-    return artifacts.join(manifest, "jar_path", "left_anti")
+    """Artifacts, or rows of artifacts, that were never cataloged."""
+    return join_lookup(artifacts, manifest, ["jar_path"], "left_anti")
 
 
 def index_summary(artifacts: DataFrame, status: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from classatlas.functions import names
 from classatlas.operators import catalog
+from classatlas.operators.skew import join_lookup
 
 
 def valid_hits(hits: DataFrame, artifacts: DataFrame, entries: DataFrame) -> DataFrame:
     """Drop registry hits whose archive is gone or no longer holds the class."""
-    present = hits.join(artifacts.select("jar_path"), "jar_path", "left_semi")
+    present = join_lookup(hits, artifacts.select("jar_path"), ["jar_path"], "left_semi")
     holding = catalog.containing(entries, present)
     return present.join(holding, ["fqn", "jar_path"], "left_semi")
 
@@ -35,7 +36,7 @@ def search_scopes(fqns: DataFrame, artifacts: DataFrame) -> DataFrame:
     candidates = fqns.select("fqn").distinct().select(
         "fqn", F.posexplode(names.search_prefixes(F.col("fqn"))).alias("position", "scope")
     )
-    existing = candidates.join(directories, "scope", "left_semi")
+    existing = join_lookup(candidates, directories, ["scope"], "left_semi")
     # at most one row per segment of the name, so the window stays tiny
     ranked = existing.select(
         "fqn",
@@ -69,11 +70,11 @@ def narrowest(holding: DataFrame) -> DataFrame:
     A tier contains all narrower ones, so the tier of an artifact is a property
     of its path and no directory is searched twice. The best tier is a
     pre-combined minimum; it joins back instead of a window per class, so that a
-    class found in very many artifacts can be split over tasks.
+    class found in very many artifacts spreads over tasks.
     """
     tiered = holding.withColumn("tier", tier_of(F.col("fqn"), F.col("jar_path")))
     best = tiered.groupBy("fqn").agg(F.min("tier").alias("tier"))
-    return tiered.join(best, ["fqn", "tier"], "left_semi").select("fqn", "jar_path", "tier")
+    return join_lookup(tiered, best, ["fqn", "tier"], "left_semi").select("fqn", "jar_path", "tier")
 
 
 def best_qualified_name(matches: DataFrame) -> DataFrame:
@@ -93,7 +94,9 @@ def archives_of_best(matches: DataFrame) -> DataFrame:
     """``(simple_name, fqn, jar_path)`` of the winning name."""
     per_archive = matches.groupBy("simple_name", "jar_path").agg(F.min("fqn").alias("fqn"))
     best = best_qualified_name(matches)
-    return per_archive.join(best.select("simple_name", "fqn"), ["simple_name", "fqn"], "left_semi")
+    return join_lookup(
+        per_archive, best.select("simple_name", "fqn"), ["simple_name", "fqn"], "left_semi"
+    ).select("simple_name", "fqn", "jar_path")
 
 
 def with_version(hits: DataFrame) -> DataFrame:
