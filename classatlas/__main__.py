@@ -9,6 +9,7 @@ import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from classatlas.plans import render
 from classatlas.plans.engine import Atlas
@@ -85,6 +86,9 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
             frames = [atlas.index(options.path)]
         else:
             frames = list(atlas.stats())
+        if options.verb != "stats":
+            elapsed = int((time.monotonic() - started) * 1000)
+            frames[0] = frames[0].withColumn("duration_ms", F.lit(elapsed).cast("long"))
         for frame in frames:
             render.write(frame.toJSON().toLocalIterator(), None)
 

@@ -14,8 +14,11 @@ SPECIAL_CLASSES = ("package-info", "module-info")
 
 
 def strip_space(text: Column) -> Column:
-    """Remove leading and trailing Unicode white space (``trim`` knows only blanks)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Remove leading and trailing Unicode white space (``trim`` knows only blanks).
+
+    The look-behind keeps long runs of white space inside a text linear.
+    """
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def normalize_query(raw: Column) -> Column:
@@ -24,7 +27,7 @@ def normalize_query(raw: Column) -> Column:
     ``import`` is removed as a plain prefix, no blank is required after it.
     """
     without_import = F.regexp_replace(strip_space(raw), r"^import", "")
-    without_semicolons = F.regexp_replace(strip_space(without_import), r";+$", "")
+    without_semicolons = F.regexp_replace(strip_space(without_import), r"(?<!;);++$", "")
     return F.regexp_replace(without_semicolons, r"(?U)\s+", "")
 
 

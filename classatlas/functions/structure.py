@@ -88,10 +88,6 @@ _SCAN = T.StructType([
 ])
 
 
-def _starts_line(text: str, position: int) -> bool:
-    return not text[text.rfind("\n", 0, position) + 1 : position].strip()
-
-
 def _cut(text: str) -> tuple[list[str], list[tuple]]:
     """Comments and declarations of one file.
 
@@ -105,12 +101,18 @@ def _cut(text: str) -> tuple[list[str], list[tuple]]:
     begin = end = -1
     word = owner = ""
     constants = assigned = in_body = False
+    fresh_line = True
     for match in re.finditer(_TOKEN, text):
         token, at = match.group(), match.start()
+        starts_line = fresh_line
+        fresh_line = (starts_line or "\n" in token) and not token[token.rfind("\n") + 1 :].strip()
         if token.startswith(("//", "/*")):
             comments.append(token.strip())
             if begin < 0:
-                lead = [*lead, comments[-1]] if _starts_line(text, at) else []
+                if starts_line:
+                    lead.append(comments[-1])
+                else:
+                    lead = []
             elif not (in_body or assigned):
                 mask.append(_REMARK * len(token))
             continue

@@ -39,7 +39,7 @@ def type_name_of_line(line: Column) -> Column:
     def after(keyword: str) -> Column:
         rest = F.substring_index(line, keyword, 1)
         tail = F.substr(line, F.length(rest) + F.lit(len(keyword) + 1))
-        token = F.regexp_replace(F.regexp_extract(tail, r"(?U)^\s*(\S+)", 1), r"\{+$", "")
+        token = F.regexp_replace(F.regexp_extract(tail, r"(?U)^\s*(\S+)", 1), r"(?<!\{)\{++$", "")
         return F.when(
             F.contains(line, F.lit(keyword)), F.nullif(F.substring_index(token, "<", 1), F.lit(""))
         )
@@ -48,7 +48,7 @@ def type_name_of_line(line: Column) -> Column:
 
 
 def _package_of_line(line: Column) -> Column:
-    name = F.regexp_replace(F.regexp_replace(line, r"^(package )+", ""), r";+$", "")
+    name = F.regexp_replace(F.regexp_replace(line, r"^(package )+", ""), r"(?<!;);++$", "")
     return F.when(F.startswith(line, F.lit("package ")), F.nullif(strip_space(name), F.lit("")))
 
 

@@ -372,6 +372,12 @@ class Atlas:
         counts = stats.table_counts(
             self.store.rows("class_sources"), self.store.registry(), self.store.manifest(),
             self.store.loaded(), hotspots,
+        ).select(
+            F.lit(self.store.path).alias("db_path"), "*",
+            # writes are jobs: none is pending once a verb returned
+            F.lit(0).cast("long").alias("write_buffer_pending"),
+            F.lit(hotspot.WARMUP_THRESHOLD).cast("long").alias("warmup_threshold"),
+            F.lit(0).cast("long").alias("warmup_pending_tasks"),
         )
         return counts, hotspot.top_accessed(hotspots).drop("class_count")
 

@@ -40,6 +40,10 @@ CASES = {
         ("org.apache.commons.lang3.StringUtils", ["org/apache/commons/lang3", "org/apache/commons", "org/apache"]),
     ],
     names.parent_directories: [("a/b/c.jar", ["a", "a/b"]), ("c.jar", [])],
+    names.strip_space: [
+        ("  a  b \t\n", "a  b"), ("\u00a0x\u2003", "x"), (" \n ", ""), ("", ""),
+        ("a" + " " * 200000 + "b ", "a" + " " * 200000 + "b"),
+    ],
     text.collapse_space: [("  a\t\n b c ", "a b c"), ("", "")],
     text.type_name_of_line: [
         ("public final class Foo<T> extends Bar {", "Foo"), ("interface   X{", "X"), ("record P(int x) {}", "P(int"),

@@ -175,7 +175,10 @@ def test_deep_and_long_input(spark):
     generic = "class G { " + "List<" * 60 + "X" + ">" * 60 + " g() { } }"
     escapes = 'class S { String s = "' + "\\u0001" * 20000 + '"; int y; }'
     many = "class M {" + "".join(f" int f{i}; void m{i}() {{ }}" for i in range(3000)) + "}"
-    a, g, s, m = parse(spark, nested, generic, escapes, many)
+    remarks = "// one\n" * 50000 + "class R { " + "/* x */ " * 50000 + "int z; }"
+    a, g, s, m, r = parse(spark, nested, generic, escapes, many, remarks)
+    assert len(r["comments"]) == 100000 and r["fields"] == [{"declaration": "int z;", "comment": None}]
+    assert r["class_comment"].count("\n") == 49999
     assert [f["declaration"] for f in a["fields"]] == ["int x;"]
     assert len(g["methods"]) == 1 and g["methods"][0]["declaration"].endswith(" g()")
     assert [f["declaration"] for f in s["fields"]][1] == "int y;"
