@@ -23,11 +23,15 @@ _QUIET = ("--silent", "true", "--comments", "false")
 
 @dataclass(frozen=True)
 class Decompiler:
-    """Java decompiler jar and the ``java`` program that runs it."""
+    """Java decompiler jar and the ``java`` program that runs it.
+
+    ``max_parallel`` limits child processes over the whole cluster; by default
+    every task slot may run one.
+    """
 
     tool: str
     java: str = "java"
-    max_parallel: int = 2
+    max_parallel: int | None = None
 
     def class_command(self, jar_path: str, fqn: str) -> list[str]:
         return [self.java, "-jar", self.tool, "--extraclasspath", jar_path, fqn, *_QUIET]
@@ -49,7 +53,7 @@ class Decompiler:
 def decompile(requests: DataFrame, tool: Decompiler) -> DataFrame:
     """Run the tool for each ``(jar_path, fqn)``; a NULL ``fqn`` asks for the whole archive.
 
-    Child processes run at most ``max_parallel`` at a time, one per task.
+    A task runs one child process at a time.
     """
     def run_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -62,5 +66,6 @@ def decompile(requests: DataFrame, tool: Decompiler) -> DataFrame:
                 )
 
     ensure_checkpoint_dir(requests.sparkSession)
-    spread = requests.select("jar_path", "fqn").repartition(tool.max_parallel)
+    tasks = tool.max_parallel or requests.sparkSession.sparkContext.defaultParallelism * 4
+    spread = requests.select("jar_path", "fqn").repartition(tasks)
     return spread.mapInPandas(run_all, DECOMPILER_OUTPUT).checkpoint()

@@ -191,16 +191,33 @@ class Store:
         return self.rows("jar_mtime").groupBy("jar_path").agg(F.max_by("mtime_ns", "run").alias("mtime_ns"))
 
     def compact(self, table: str) -> None:
-        """Replace the history of a counter table by its current rows, one per key.
+        """Replace the history of a table by its current rows, one per key.
 
-        Keeps the cost of reading counters proportional to the number of
-        artifacts however many runs there were. Older runs stay on disk for
-        readers that still use them.
+        Keeps the cost of reading proportional to the content however many runs
+        there were. Older runs stay on disk for readers that still use them.
         """
-        current = {"jar_hotspot": self.hotspots, "jar_mtime": self.mtimes}[table]()
+        current = {
+            "class_sources": self.sources,
+            "class_registry": self.registry,
+            "artifact_manifest": self.manifest,
+            "jars": self.loaded,
+            "jar_hotspot": self.hotspots,
+            "jar_mtime": self.mtimes,
+        }[table]()
         with self.run(base_of=table):
             self.write(table, current)
 
+    def vacuum(self, table: str) -> None:
+        """Delete runs of a table that a compaction made obsolete; no reader may be left."""
+        first, _ = self._visible(table)
+        files, location = self._filesystem(self._location(table))
+        if not files.exists(location):
+            return
+        for status in files.listStatus(location):
+            name = status.getPath().getName()
+            if name.startswith("run=") and int(name.removeprefix("run=")) < first:
+                files.delete(status.getPath(), True)
+
     def clear(self) -> None:
         """Drop the tables of the store and nothing else; a missing store is fine."""
         for table in ("commits", *TABLES):

@@ -158,6 +158,8 @@ def test_partial_sources_are_completed_by_the_tool(atlas, repository, jar):
     )
     path = str(repository / "org/example/demo/1.0/demo-1.0.jar")
     assert rows(atlas.load(path))[0]["classes_loaded"] == 2
+    # the tool ran once, for the whole archive
+    assert open(atlas.calls).read().split() == ["-jar", "tool.jar", path, "--silent", "true", "--comments", "false"]
     kinds = {r["fqn"]: (r["source"], r["content"]) for r in rows(atlas.store.sources())}
     assert kinds["org.example.A"][0] == "sources-jar" and "original" in kinds["org.example.A"][1]
     assert kinds["org.example.B"][0] == "decompiled"

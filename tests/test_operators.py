@@ -124,6 +124,23 @@ def test_cache_keeps_the_last_write(spark, tmp_path):
     assert as_set(store.sources("A")) == {("A", "j", "3", "d")}
 
 
+def test_compaction_keeps_content_and_vacuum_removes_old_runs(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), slots=2)
+    schema = "fqn string, jar_path string, content string, source string, seq long"
+    for text in ("1", "2", "3"):
+        with store.run():
+            store.write("class_sources", content.keep_last(
+                spark.createDataFrame([("A", "j", text, "s", 1), (f"B{text}", "j", "x", "s", 1)], schema)))
+    before = as_set(store.sources())
+    store.compact("class_sources")
+    assert as_set(store.sources()) == before and len(before) == 4
+    assert store.rows("class_sources").select("run").distinct().count() == 1
+    store.vacuum("class_sources")
+    assert [p.name for p in (tmp_path / "store/class_sources").glob("run=*")] == ["run=4"]
+    assert as_set(store.sources()) == before
+    store.vacuum("jars")
+
+
 def test_opening_a_store_writes_nothing(spark, tmp_path):
     store = Store(spark, str(tmp_path / "none"))
     assert store.sources().count() == 0 and store.hotspots().count() == 0
