@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classatlas.llm import mixing, quality, url_filter
+import public_tokenizers
+from classatlas.llm import bpe, mixing, quality, token_shards, url_filter
+from classatlas.llm.common import text_or_empty
 
 #: The rules of the URL query; fixed values.
 URL_RULES = (
@@ -23,6 +25,16 @@ def read(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{table}.parquet")
 
 
+def op3_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    documents = read(spark, directory, "documents")
+    encoded = documents.select(
+        "doc_id", bpe.encoded(text_or_empty("text"), path, public_tokenizers.PATTERN).alias("ids"))
+    return encoded.withColumn("decoded", bpe.decoded(F.col("ids"), path)).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_url_filter(spark: SparkSession, directory: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return url_filter.judge(read(spark, directory, "pages").select("page_id", "url"), rules).drop("url")
@@ -39,10 +51,19 @@ def op6_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     return judged.select("doc_id", *quality.RESULT)
 
 
+def op9_token_shards(spark: SparkSession, directory: str) -> DataFrame:
+    manifest = token_shards.write_shards(
+        read(spark, directory, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_shards.read_shards(manifest).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_url_filter": op4_url_filter,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
+    "op9_token_shards": op9_token_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
