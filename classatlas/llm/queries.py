@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from classatlas.llm import bpe, mixing, quality, token_shards, url_filter
+from classatlas.llm import bpe, html_text, language, mixing, quality, token_shards, url_filter
 from classatlas.llm.common import text_or_empty
 
 #: The rules of the URL query; fixed values.
@@ -25,6 +25,23 @@ def read(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{table}.parquet")
 
 
+def held_out() -> Column:
+    """Documents that nothing is learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, directory: str) -> DataFrame:
+    documents = read(spark, directory, "documents").select("doc_id", "text", "lang")
+    model = language.train(documents.where(~held_out()))
+    return language.predict(documents.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op2_html_text(spark: SparkSession, directory: str) -> DataFrame:
+    extracted = html_text.with_main_text(read(spark, directory, "pages"))
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     documents = read(spark, directory, "documents")
@@ -59,6 +76,8 @@ def op9_token_shards(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_html_text": op2_html_text,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_url_filter": op4_url_filter,
     "op5_mix_sources": op5_mix_sources,
