@@ -24,19 +24,22 @@ rows. Other columns stay untouched.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
-#: Entries of the table of encoded pieces, and bytes of the longest piece that is kept.
-CACHE_ENTRIES = 400_000
-CACHE_BYTES = 64
+from classatlas.llm.pieces import PieceTable
+
+#: Entries of the tables of encoded pieces and of compatible pairs, and characters of the longest piece kept.
+CACHE_ENTRIES = 500_000
+CACHE_CHARS = 48
 
 
 class Vocabulary:
@@ -46,9 +49,10 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.suffixes = {t[k:] for t in ranks for k in range(len(t))}
+        #: every end of a token, with its rank if it is a token itself, else -1
+        self.suffixes = {t[k:]: -1 for t in ranks for k in range(len(t))} | ranks
         self._chains: dict[tuple[int, bool], tuple[tuple[int, int], ...]] = {}
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
 
     @staticmethod
     @functools.lru_cache(maxsize=2)
@@ -98,11 +102,11 @@ class Vocabulary:
                 i, left_end = i + 1, a_born
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self._compatible.get((left, right))
+        known = self._compatible.get(left << 32 | right)
         if known is None:
-            if len(self._compatible) > 4 * CACHE_ENTRIES:
+            if len(self._compatible) > CACHE_ENTRIES:
                 self._compatible.clear()
-            known = self._compatible[left, right] = self._border_holds(left, right, float("inf"))
+            known = self._compatible[left << 32 | right] = self._border_holds(left, right, float("inf"))
         return known
 
 
@@ -115,8 +119,8 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         at, self.data = len(self.data), self.data + more
-        for end in range(at + 1, len(self.data) + 1):
-            self.last.append(self._last_token(end, self.last))
+        for _ in self._filled(at + 1, self.last):
+            pass
 
     def replace(self, start: int, stop: int, by: bytes) -> None:
         """Exchange the bytes from ``start`` to ``stop``; only entries near the edit are filled anew."""
@@ -124,8 +128,7 @@ class PrefixTable:
         shift = after - stop
         self.data = self.data[:start] + by + self.data[stop:]
         last, agree = old[:start], 0
-        for end in range(start + 1, len(self.data) + 1):
-            last.append(self._last_token(end, last))
+        for end in self._filled(start + 1, last):
             # from here on the same bytes stand behind the same entries as before
             agree = agree + 1 if end > after and last[-1] == old[end - shift - 1] else 0
             if agree >= self.vocabulary.longest:
@@ -133,21 +136,32 @@ class PrefixTable:
                 break
         self.last = last
 
-    def _last_token(self, end: int, last: list[int]) -> int:
-        ranks, suffixes, compatible = self.vocabulary.ranks, self.vocabulary.suffixes, self.vocabulary.compatible
-        data, start, fitting = self.data, end - 1, []
-        while start >= 0:
-            part = data[start:end]
-            if part not in suffixes:
-                break
-            token = ranks.get(part)
-            if token is not None:
-                fitting.append((start, token))
-            start -= 1
-        for start, token in reversed(fitting):  # longest first
-            if start == 0 or compatible(last[start - 1], token):
-                return token
-        raise ValueError("a byte of the text is not in the vocabulary")
+    def _filled(self, first: int, last: list[int]) -> Iterator[int]:
+        """Adds to ``last`` the entries of the prefixes from length ``first`` on; yields each length done."""
+        data, suffix, known = self.data, self.vocabulary.suffixes.get, self.vocabulary._compatible.get
+        for end in range(first, len(data) + 1):
+            start, starts, tokens = end - 1, [], []
+            rank = suffix(data[start:end])
+            while rank is not None:
+                if rank >= 0:
+                    starts.append(start)
+                    tokens.append(rank)
+                start -= 1
+                if start < 0:
+                    break
+                rank = suffix(data[start:end])
+            while starts:  # longest first
+                start, token = starts.pop(), tokens.pop()
+                if start == 0:
+                    break
+                before = last[start - 1]
+                fits = known(before << 32 | token)
+                if fits or fits is None and self.vocabulary.compatible(before, token):
+                    break
+            else:
+                raise ValueError("a byte of the text is not in the vocabulary")
+            last.append(token)
+            yield end
 
     def tokens(self) -> list[int]:
         found, end = [], len(self.data)
@@ -158,31 +172,18 @@ class PrefixTable:
         return found[::-1]
 
 
-class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; repeated chunks and pieces are looked up."""
-
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary = vocabulary
-        self.pieces = regex.compile(pattern)
-        self._known: dict[str, bytes] = {}
-
-    @staticmethod
-    @functools.lru_cache(maxsize=2)
-    def load(path: str, pattern: str) -> Encoder:
-        return Encoder(Vocabulary.load(path), pattern)
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> PieceTable:
+    """Encodes texts to little-endian unsigned 32-bit ids by a file of ranks."""
+    vocabulary = Vocabulary.load(path)
 
-    def _piece(self, piece: str) -> bytes:
-        data = piece.encode()
-        ids = np.array(PrefixTable(self.vocabulary, data).tokens(), "<u4").tobytes()
-        if len(data) <= CACHE_BYTES:
-            if len(self._known) >= CACHE_ENTRIES:
-                self._known.clear()
-            self._known[piece] = ids
-        return ids
+    def encode_piece(piece: str) -> bytes:
+        ids = array.array("I", PrefixTable(vocabulary, piece.encode()).tokens())
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
-    def encode(self, text: str) -> bytes:
-        known, piece = self._known.get, self._piece
-        return b"".join([known(p) or piece(p) for p in self.pieces.findall(text)])
+    return PieceTable(pattern, encode_piece, CACHE_ENTRIES, CACHE_CHARS)
 
 
 class Decoder:
@@ -198,9 +199,9 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
 
     @pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder.load(path, pattern)
+        table = encoder(path, pattern)
         for texts in batches:
-            yield pd.Series([encoder.encode(t) if t else b"" for t in texts], dtype=object)
+            yield pd.Series([table.encode(t) if t else b"" for t in texts], dtype=object)
 
     return encode(text)
 
