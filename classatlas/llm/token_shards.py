@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -40,12 +39,13 @@ from pyspark.sql import functions as F
 
 from classatlas.llm import files
 from classatlas.llm.common import shared_folder, text_or_empty, written
+from classatlas.llm.pieces import PieceTable, byte_characters
 
 MAGIC = b"CATOKEN1"
 #: Bits of a level per key that is still without a slot.
 GAMMA = 1.7
 MAX_LEVELS = 48
-#: Entries of a worker's table of encoded chunks, and characters of the longest that is kept.
+#: Entries of a worker's table of encoded pieces, and characters of the longest that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
 
 MANIFEST = "shard long, path string, documents long, ids long, nulls long, first_key long, last_key long"
@@ -101,49 +101,26 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mixed(keys, MAX_LEVELS) >> np.uint64(32)).astype("<u4")
 
 
-class ChunkEncoder:
-    """Encodes texts with a tokenizer file; chunks that come again are looked up.
+class FileEncoder:
+    """Encodes texts with the byte-level BPE model of a tokenizer file; pieces that come again are looked up."""
 
-    Byte-level splitting never joins what stands before a single blank between two other
-    characters with what follows, so a text may be encoded chunk by chunk between such blanks.
-    """
+    def __init__(self, path: str, pattern: str):
+        from tokenizers import Tokenizer
 
-    SPACED = re.compile(r"\s[^\S ]|[^\S ]\s|  |^\s|\s$")
-    CUT = re.compile(r"(?<=\S)(?= \S)")
+        tokenizer = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        tokenize, kind, characters = tokenizer.model.tokenize, self.kind, byte_characters()
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        def encode_piece(piece: str) -> bytes:
+            written = "".join(map(characters.__getitem__, piece.encode()))
+            return np.array([t.id for t in tokenize(written)], kind).tobytes()
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.encode = PieceTable(pattern, encode_piece, CACHE_ENTRIES, CACHE_CHARS).encode
 
     @staticmethod
     @functools.lru_cache(maxsize=2)
-    def load(path: str) -> ChunkEncoder:
-        return ChunkEncoder(path)
-
-    def chunks(self, text: str) -> list[str]:
-        if self.SPACED.search(text):
-            return self.CUT.split(text)
-        first, *others = text.split(" ")
-        return [first, *[" " + w for w in others]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {}
-        known, cut = self.known, [self.chunks(t) for t in texts]
-        missing = list({c for chunks in cut for c in chunks if c not in known})
-        for at in range(0, len(missing), 1000):
-            part = missing[at: at + 1000]
-            for chunk, done in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[chunk] = np.array(done.ids, self.kind).tobytes()
-        encoded = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
-        for chunk in missing:
-            if len(chunk) > CACHE_CHARS:
-                del known[chunk]
-        return encoded
+    def load(path: str, pattern: str) -> FileEncoder:
+        return FileEncoder(path, pattern)
 
 
 class ShardWriter:
@@ -224,23 +201,28 @@ class Shard:
         return [self.ids(int(first[0]) + k) for k in range(int(count[0]))]
 
 
-def write_shards(documents: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
-    """Writes all documents (doc_id, text); returns the manifest."""
+def write_shards(
+    documents: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, folder: str | None = None,
+) -> DataFrame:
+    """Writes all documents (doc_id, text); returns the manifest.
+
+    ``pattern`` is the one by which the tokenizer file's byte-level model splits texts.
+    """
     folder = folder or shared_folder(documents.sparkSession, "token-shards")
     rows = documents.select("doc_id", text_or_empty("text").alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     numbered = ordered.withColumn("shard", F.spark_partition_id().cast("long"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, writer, shard = ChunkEncoder.load(tokenizer), None, None
+        encoder, writer, shard = FileEncoder.load(tokenizer, pattern), None, None
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             if writer is None and len(batch):
                 shard = int(batch["shard"].iloc[0])
                 writer = ShardWriter(f"{folder}/{shard:06d}-{uuid.uuid4().hex}.ids", encoder.kind)
             keys = batch["doc_id"].astype("Int64")
-            for key, ids in zip(keys, encoder.encode(batch["text"].tolist())):
-                writer.add(None if key is pd.NA else int(key), ids + end)
+            for key, text in zip(keys, batch["text"]):
+                writer.add(None if key is pd.NA else int(key), encoder.encode(text) + end)
         if writer is not None:
             yield pd.DataFrame([{"shard": shard, **writer.close()}]).astype({"first_key": "Int64", "last_key": "Int64"})
 
