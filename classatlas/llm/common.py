@@ -52,7 +52,10 @@ def words_of(text: Column) -> Column:
 
 
 def shingles_of(words: Column, size: int) -> Column:
-    """64-bit hashes of all runs of ``size`` words, repeats included; a shorter text is one shingle."""
+    """64-bit hashes of all runs of ``size`` words, repeats included; a shorter text is one shingle.
+
+    ``words`` must be a column of the rows, not an expression: it is looked at once per run.
+    """
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1)))
     runs = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size)))
     return F.when(F.size(words) > 0, runs).otherwise(F.array().cast("array<bigint>"))

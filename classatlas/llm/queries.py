@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from classatlas.llm import bpe, html_text, language, mixing, quality, token_shards, url_filter
+from classatlas.llm import bpe, fingerprint, html_text, language, mixing, quality, token_shards, url_filter, warc
 from classatlas.llm.common import text_or_empty
 
 #: The rules of the URL query; fixed values.
@@ -68,9 +68,26 @@ def op6_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     return judged.select("doc_id", *quality.RESULT)
 
 
+def op7_warc(spark: SparkSession, directory: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(read(spark, directory, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    rows = fingerprint.with_edited(read(spark, directory, "documents").select("doc_id", "text"))
+    sketch, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(sketch).alias("fingerprint"), fingerprint.as_text(edited).alias("edited_fingerprint"),
+        fingerprint.likeness(sketch, edited).alias("near_edited"),
+        fingerprint.likeness(sketch, following).alias("near_next"),
+        fingerprint.containment(sketch, edited).alias("contained_in_edited"))
+
+
 def op9_token_shards(spark: SparkSession, directory: str) -> DataFrame:
     manifest = token_shards.write_shards(
-        read(spark, directory, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+        read(spark, directory, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN)
     return token_shards.read_shards(manifest).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
@@ -82,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc": op7_warc,
+    "op8_fingerprints": op8_fingerprints,
     "op9_token_shards": op9_token_shards,
 }
 
