@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from classatlas.llm import bpe, fingerprint, html_text, language, mixing, quality, token_shards, url_filter, warc
+from classatlas.llm import bpe, fingerprint, html_text, language, mixing, near_duplicates, quality, token_shards, url_filter, warc
 from classatlas.llm.common import text_or_empty
 
 #: The rules of the URL query; fixed values.
@@ -92,6 +92,10 @@ def op9_token_shards(spark: SparkSession, directory: str) -> DataFrame:
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
+    return near_duplicates.classes(read(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_html_text": op2_html_text,
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_fingerprints": op8_fingerprints,
     "op9_token_shards": op9_token_shards,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
