@@ -51,6 +51,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text_or_empty(text), BLANK_RUN), lambda w: w != "")
 
 
+def computed_once(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The same rows, with ``columns`` behind a generator of one row.
+
+    A filter on them above then uses their values; else the optimizer would move it below
+    the projections and compute each of its columns anew from the text.
+    """
+    others = [c for c in rows.columns if c not in columns]
+    return rows.select(*(F.col(f"`{c}`") for c in others), F.inline(F.array(F.struct(*columns))))
+
+
 def shingles_of(words: Column, size: int) -> Column:
     """64-bit hashes of all runs of ``size`` words, repeats included; a shorter text is one shingle.
 

@@ -2,8 +2,7 @@
 
 Text is lower-cased and everything but letters becomes a blank; runs of 1 to ``ORDER``
 characters are hashed into ``BUCKETS``. Training counts buckets per language over a bounded
-sample of labelled rows: ``per_language`` rows each, those with the smallest hash of their
-id. The counts become a matrix of smoothed log probabilities, buckets by languages, which
+sample of labelled rows, ``per_language`` rows each on average. The counts become a matrix of smoothed log probabilities, buckets by languages, which
 goes to the tasks as a broadcast. A batch is scored sparsely: the rows of the matrix that
 belong to the n-grams of a text are added up; the whole text counts, in slices of bounded
 size.
@@ -27,9 +26,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from classatlas.llm.common import unit_random
+
 ORDER = 3
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -64,10 +65,18 @@ def buckets_of(text: str) -> Iterator[np.ndarray]:
 
 
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(text, lang): at most ``per_language`` rows of each language, the same ones in every run."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-    chosen = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    return chosen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("text", "lang")
+    """(text, lang): ``per_language`` rows of each language on average, the same ones in every run.
+
+    The share of a language's rows follows from its count; a row is in by a hash of its id
+    and text, so no task has to see all rows of a language.
+    """
+    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])))
+    chosen = unit_random(F.col("doc_id"), F.col("text")) < (share[F.col("lang")] if counts else F.lit(0.0))
+    return usable.where(chosen).select("text", "lang")
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
@@ -88,8 +97,6 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     counted = sample(labelled, per_language).mapInPandas(count, "lang string, bucket long, n long")
     rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} can be told apart")
     counts = np.full((BUCKETS, len(languages)), SMOOTHING)
     np.add.at(counts, (rows["bucket"].to_numpy(np.int64), np.searchsorted(languages, rows["lang"].to_numpy(str))), rows["n"].to_numpy())
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))

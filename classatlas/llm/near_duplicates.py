@@ -19,8 +19,8 @@ Groups of any size cost no all-pairs join. In a bucket
 2. nodes not yet in one class with the bucket's most central node (the most similar to the
    least one) are compared with that;
 3. only nodes outside the bucket's largest class are compared with all other classes of it.
-   The comparison of the signatures is part of the join, and a pair is emitted in the first
-   band it shares only.
+   The comparison is part of the join, and a pair is looked at in the first band it shares
+   only, so what the join emits are links, not pairs.
 
 So no pair that shares a bucket is left out unless it already is in one class. Classes are
 the connected components of the links; a class's name is its least document id.
@@ -29,7 +29,7 @@ Defined cases: null, empty and blank texts have no words, are like nothing, and
 own class. A text of fewer than five words is one shingle. Texts that differ in case or
 white space only are equal. Repeated rows share a class; rows with a null id are in the
 classes of their texts, and a class that has null ids only has a null name. An empty table
-gives no rows. Other columns are ignored by ``classes``.
+gives no rows. Other columns are ignored by ``classes`` and kept by ``one_per_class``.
 """
 
 from __future__ import annotations
@@ -38,11 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from classatlas.llm.common import shingles_of, words_of, written
+from classatlas.llm.common import BLANKS, computed_once, shingles_of, text_or_empty, words_of, written
 from classatlas.llm.components import components
 
 SHINGLE = 5
@@ -126,12 +126,17 @@ def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series([similarity(np.asarray(a, np.int64), np.asarray(b, np.int64)) for a, b in zip(left, right)], dtype=float)
 
 
+def _node(words: Column) -> Column:
+    return F.unhex(F.md5(F.array_join(words, " ")))
+
+
 def _shingled(documents: DataFrame) -> DataFrame:
-    """(doc_id, node, shingles): node is a digest of the words, null if there are none."""
-    words = documents.select("doc_id", words_of(F.lower("text")).alias("words"))
-    digest = F.unhex(F.md5(F.array_join("words", " ")))
-    return words.select("doc_id", F.when(F.size("words") > 0, digest).alias("node"),
-                        shingles_of(F.col("words"), SHINGLE).alias("shingles"))
+    """(doc_id, tie, node, shingles) of the rows that have words; node is a digest of the words, tie a hash of the text."""
+    words = documents.where(~_wordless()).select(
+        "doc_id", F.xxhash64("text").alias("tie"), words_of(F.lower("text")).alias("words"))
+    digested = words.select(
+        "doc_id", "tie", _node(F.col("words")).alias("node"), shingles_of(F.col("words"), SHINGLE).alias("shingles"))
+    return computed_once(digested, ["node", "shingles"])
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -178,55 +183,80 @@ def _central_pairs(members: DataFrame, links: DataFrame, roots: DataFrame) -> Da
     return apart.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
 
 
-def _remaining_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different classes in a bucket, at least one outside the bucket's largest class."""
+def _remaining_pairs(members: DataFrame, nodes: DataFrame, shingles: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of different classes in a bucket, at least one outside the bucket's largest class.
+
+    Shingles of weight one are compared exactly by the join itself, so that only links leave it.
+    """
     rooted = _rooted(members, roots).select("bucket", "band", "node", "root")
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes"))
     split = largest.where("classes > 1").select("bucket", F.col("top.root").alias("top"))
-    mixed = rooted.join(split, "bucket").join(nodes.select("node", "bands", "sig"), "node")
-    mixed = written(mixed, "near-remaining")
+    sets = shingles.select("node", F.array_distinct("shingles").alias("set"), F.size("shingles").alias("n"))
+    mixed = written(
+        rooted.join(split, "bucket").join(nodes.select("node", "bands", "sig"), "node").join(sets, "node"), "near-remaining")
     outside = mixed.where("root <> top").alias("x")
     seen_before = F.exists(
         F.zip_with(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("x.band")), lambda p, q: p == q),
         lambda same: same)
+    common = F.size(F.array_intersect("x.set", "y.set"))
+    exact = common / (F.size("x.set") + F.size("y.set") - common) >= THRESHOLD
+    weighted = (F.col("x.n") > F.size("x.set")) | (F.col("y.n") > F.size("y.set"))
     both_outside = F.col("y.root") != F.col("y.top")
     meets = (
         (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
-        & (~both_outside | (F.col("x.node") < F.col("y.node"))) & ~seen_before & _agree(F.col("x.sig"), F.col("y.sig")))
+        & (~both_outside | (F.col("x.node") < F.col("y.node"))) & ~seen_before & _agree(F.col("x.sig"), F.col("y.sig"))
+        & (weighted | exact))
     return outside.join(mixed.alias("y"), meets).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def classes(documents: DataFrame) -> DataFrame:
-    """(doc_id, class_id, class_size), one row per row of (doc_id, text)."""
-    shingled = _shingled(documents.select("doc_id", "text"))
-    signed = shingled.where("node IS NOT NULL").select("doc_id", "node", _signed("shingles").alias("s"))
-    wordless = shingled.where("node IS NULL").select("doc_id")
-    rows = written(signed.select("doc_id", "node", "s.*"), "near-signatures")
+def _classified(documents: DataFrame) -> DataFrame:
+    """(doc_id, node, root) of every row that has words; equal words are one node."""
+    texts = documents.select("doc_id", "text")
+    signed = _shingled(texts).select("doc_id", "tie", "node", _signed("shingles").alias("s"))
+    rows = written(signed.select("doc_id", "tie", "node", "s.*"), "near-signatures")
     nodes = written(rows.groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-nodes")
+        F.min(F.struct("doc_id", "tie")).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
     members = written(buckets.join(shared.drop("last"), "bucket"), "near-members")
-    # the shingles of one row per node that shares a bucket
-    wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    same = (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.rep"))
-    shingles = written(shingled.alias("d").join(wanted.alias("w"), same, "left_semi").dropDuplicates(["node"]).select(
-        "node", "shingles"), "near-shingles")
+    # the shingles of one row per node that shares a bucket; texts are joined before anything is computed of them
+    wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node").select("rep.*")
+    chosen = texts.withColumn("tie", F.xxhash64("text")).alias("t").join(
+        wanted.alias("w"), (F.col("t.tie") == F.col("w.tie")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+    shingles = written(_shingled(chosen.drop("tie")).select("node", "shingles"), "near-shingles")
 
     links = _Links(nodes, shingles)
     first = links.verify(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     roots = links.roots()
     links.verify(_central_pairs(members, first, roots))
     roots = links.roots()
-    links.verify(_remaining_pairs(members, nodes, roots), agreeing=True)
-    return _named(rows, links.roots(), wordless)
+    links.verify(_remaining_pairs(members, nodes, shingles, roots), agreeing=True)
+    return _rooted(rows.select("doc_id", "node"), links.roots())
+
 
+def _wordless() -> Column:
+    return F.translate(text_or_empty("text"), BLANKS, "") == ""
 
-def _named(rows: DataFrame, roots: DataFrame, wordless: DataFrame) -> DataFrame:
-    rooted = rows.select("doc_id", "node").join(roots, "node", "left").select(
-        "doc_id", F.coalesce("root", "node").alias("root"))
+
+def classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, class_id, class_size), one row per row of (doc_id, text)."""
+    rooted = _classified(documents)
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    alone = wordless.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    alone = documents.where(_wordless()).select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return rooted.join(names, "root").select("doc_id", "class_id", "class_size").unionByName(alone)
+
+
+def one_per_class(documents: DataFrame) -> DataFrame:
+    """The rows of (doc_id, text, ...) that have the least id of their class, one of equal ones; rows without words stay."""
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "node")).alias("first")
+    chosen = _classified(documents).groupBy("root").agg(first).select(
+        F.col("first.node").alias("_node"), F.col("first.doc_id").alias("_id"))
+    # texts are dealt out by node here, so that the choice among equal rows moves nothing again
+    keyed = documents.where(~_wordless()).withColumn("_node", _node(words_of(F.lower("text"))))
+    kept = keyed.join(chosen, "_node").where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    nth = F.row_number().over(Window.partitionBy("_node").orderBy("_node"))
+    return kept.withColumn("_nth", nth).where("_nth = 1").select(
+        *(F.col(f"`{c}`") for c in documents.columns)).unionByName(documents.where(_wordless()))

@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from classatlas.llm.common import BLANKS, shingles_of, text_or_empty, words_of
+from classatlas.llm.common import BLANKS, computed_once, shingles_of, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -128,7 +128,6 @@ def apply_rules(documents: DataFrame, text: str = "text", rules=RULES, base=BASE
     rows = documents.select(*(F.col(f"`{c}`") for c in documents.columns if c.lower() not in taken or c == text))
     for name, column in layers.items():
         rows = rows.withColumn(name, column)
-    return (
-        rows.withColumn("base_failed", ~_all(base)).withColumn("kept", ~F.col("base_failed") & _all(rules))
-        .drop("_words", "_lines", "_hashes", "_by_hash", "_places")
-    )
+    judged = rows.withColumn("base_failed", ~_all(base)).withColumn("kept", ~F.col("base_failed") & _all(rules))
+    public = [name for name in layers if not name.startswith("_")]
+    return computed_once(judged.drop(*(set(layers) - set(public))), [*public, "base_failed", "kept"])

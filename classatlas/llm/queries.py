@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from classatlas.llm import bpe, fingerprint, html_text, language, mixing, near_duplicates, quality, token_shards, url_filter, warc
+from classatlas.llm import bpe, fingerprint, html_text, language, mixing, near_duplicates, oracles, quality, token_shards, url_filter, warc
 from classatlas.llm.common import text_or_empty
 
 #: The rules of the URL query; fixed values.
@@ -109,4 +109,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.oracle_sql()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from classatlas.llm import files
-from classatlas.llm.common import shared_folder, text_or_empty, written
+from classatlas.llm.common import shared_folder, text_or_empty, unit_random, written
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -72,9 +72,11 @@ def with_refers_to(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def trained_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from at most ``SAMPLE_PAGES`` pages of at most ``SAMPLE_CHARS`` characters, the same in every run."""
+    """A dictionary from some ``SAMPLE_PAGES`` pages, twice as many at most, of at most ``SAMPLE_CHARS`` characters."""
     fitting = pages.where(F.length("html").between(1, SAMPLE_CHARS))
-    chosen = fitting.select("html", F.xxhash64("page_id", "html").alias("h")).orderBy("h").limit(SAMPLE_PAGES)
+    # by a hash and the share of rows wanted: no task holds or sends more than its part
+    share = SAMPLE_PAGES / max(1, fitting.count())
+    chosen = fitting.where(unit_random(F.col("page_id"), F.col("html")) < share).select("html").limit(2 * SAMPLE_PAGES)
     samples = [_record(0, None, r["html"].encode(), None) for r in chosen.collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
