@@ -38,7 +38,7 @@ from pyspark.sql.functions import pandas_udf
 from classatlas.llm.pieces import PieceTable
 
 #: Entries of the tables of encoded pieces and of compatible pairs, and characters of the longest piece kept.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 CACHE_CHARS = 48
 
 

@@ -11,13 +11,14 @@ Texts with equal words are one node. Nodes that agree in all ``ROWS`` registers
 ``BANDS`` bands share a bucket; at a similarity of 0.8 two miss each other in all bands once
 in 16,000 pairs. A pair from a bucket counts if the two signatures do not contradict it
 (four standard deviations) and its exact similarity is at least ``THRESHOLD``: the larger of
-the Jaccard and the probability Jaccard similarity of the shingles.
+the Jaccard similarities of the shingles without and with their repeats. The latter never
+exceeds the probability Jaccard similarity, so banding does not miss what it links.
 
 Groups of any size cost no all-pairs join. In a bucket
 
 1. all nodes are compared with the least one;
-2. nodes not yet in one class with the bucket's most central node (the most similar to the
-   least one) are compared with that;
+2. nodes not linked to it are compared with the bucket's most central node, the one most
+   similar to the least one;
 3. only nodes outside the bucket's largest class are compared with all other classes of it.
    The comparison is part of the join, and a pair is looked at in the first band it shares
    only, so what the join emits are links, not pairs.
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from classatlas.llm.common import BLANKS, computed_once, shingles_of, text_or_empty, words_of, written
+from classatlas.llm.common import NOT_BLANK, computed_once, shingles_of, text_or_empty, words_of, written
 from classatlas.llm.components import components
 
 SHINGLE = 5
@@ -103,27 +104,34 @@ def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                             "sig": [w.astype(np.uint16).view(np.int16) for w in winners]})
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """The larger of Jaccard and probability Jaccard similarity of two bags of shingles."""
-    ka, ca = np.unique(a, return_counts=True)
-    kb, cb = np.unique(b, return_counts=True)
-    common, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    jaccard = len(common) / (len(ka) + len(kb) - len(common))
-    if not len(common) or (ca.max() == 1 and cb.max() == 1):
-        return jaccard
-    # per common shingle i: 1 / sum over all j of max(x_j / x_i, y_j / y_i); sums by order of x_j / y_j
-    x, y = ca[ia].astype(float), cb[ib].astype(float)
-    order = np.argsort(x / y, kind="stable")
-    x, y = x[order], y[order]
-    only_x, only_y = ca.sum() - x.sum(), cb.sum() - y.sum()
-    y_below, x_above = np.cumsum(y), x.sum() - np.cumsum(x)
-    return max(jaccard, float((1 / ((x_above + only_x) / x + (y_below + only_y) / y)).sum()))
+@F.pandas_udf(T.StructType([T.StructField("set", T.ArrayType(T.LongType())), T.StructField("bag", T.ArrayType(T.LongType()))]))
+def _collected(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Different shingles, and if some repeat, one element per occurrence: the shingle, then hashes of it and a number."""
+    for rows in batches:
+        sets, bags = [], []
+        for row in rows:
+            keys, counts = np.unique(np.asarray(row, np.int64), return_counts=True)
+            sets.append(keys)
+            if counts.max() == 1:
+                bags.append(None)
+                continue
+            number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            each = np.repeat(keys, counts)
+            again = _mixed(each.view(np.uint64) + number.astype(np.uint64) * _STEP).view(np.int64)
+            bags.append(np.where(number == 0, each, again))
+        yield pd.DataFrame({"set": sets, "bag": pd.Series(bags, dtype=object)})
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return common / (F.size(a) + F.size(b) - common)
 
 
-@F.pandas_udf(T.DoubleType())
-def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in batches:
-        yield pd.Series([similarity(np.asarray(a, np.int64), np.asarray(b, np.int64)) for a, b in zip(left, right)], dtype=float)
+def similarity(set_a: Column, bag_a: Column, set_b: Column, bag_b: Column) -> Column:
+    """The larger of the Jaccard similarities of the shingles without and with their repeats."""
+    weighted = bag_a.isNotNull() | bag_b.isNotNull()
+    with_repeats = F.when(weighted, _jaccard(F.coalesce(bag_a, set_a), F.coalesce(bag_b, set_b)))
+    return F.greatest(_jaccard(set_a, set_b), with_repeats)
 
 
 def _node(words: Column) -> Column:
@@ -149,23 +157,28 @@ class _Links:
     def __init__(self, nodes: DataFrame, shingles: DataFrame):
         self.nodes, self.shingles, self.found = nodes, shingles, []
 
-    def _with(self, pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    @staticmethod
+    def _with(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
         for side in "ab":
-            pairs = pairs.join(table.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+            pairs = pairs.join(table.select(
+                F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
         return pairs
 
-    def verify(self, pairs: DataFrame, agreeing: bool = False) -> DataFrame:
-        if not agreeing:
-            pairs = self._with(pairs, self.nodes, "sig").where(_agree(F.col("sig_a"), F.col("sig_b")))
-        compared = self._with(pairs.select("a", "b"), self.shingles, "shingles").select(
-            "a", "b", _similarity("shingles_a", "shingles_b").alias("similarity"))
-        self.found.append(written(compared.where(F.col("similarity") >= THRESHOLD), "near-links"))
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, similarity) of the pairs that are links."""
+        agreeing = self._with(pairs, self.nodes, "sig").where(_agree(F.col("sig_a"), F.col("sig_b"))).select("a", "b")
+        compared = self._with(agreeing, self.shingles, "set", "bag").select(
+            "a", "b", similarity(*(F.col(c) for c in ("set_a", "bag_a", "set_b", "bag_b"))).alias("similarity"))
+        return self.add(computed_once(compared, ["similarity"]).where(F.col("similarity") >= THRESHOLD))
+
+    def add(self, links: DataFrame) -> DataFrame:
+        self.found.append(written(links, "near-links"))
         return self.found[-1]
 
     def roots(self) -> DataFrame:
-        links = self.found[0]
+        links = self.found[0].select("a", "b")
         for more in self.found[1:]:
-            links = links.unionByName(more)
+            links = links.unionByName(more.select("a", "b"))
         return written(components(links), "near-roots")
 
 
@@ -173,40 +186,36 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _central_pairs(members: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members not in the class of their bucket's most central node, with that node."""
-    near = members.join(links.select(F.col("a").alias("lead"), F.col("b").alias("node"), "similarity"), ["lead", "node"])
-    central = near.groupBy("bucket").agg(F.max(F.struct("similarity", "node")).alias("best")).select(
-        "bucket", F.col("best.node").alias("node"))
-    centers = _rooted(central, roots).select("bucket", F.col("node").alias("center"), F.col("root").alias("center_root"))
-    apart = _rooted(members, roots).join(centers, "bucket").where("root <> center_root")
+def _central_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members that are not linked to the least one of their bucket, with the member most similar to it."""
+    to_lead = links.select(F.col("a").alias("lead"), F.col("b").alias("node"), "similarity")
+    judged = members.where("node <> lead").join(to_lead, ["lead", "node"], "left")
+    best = F.max(F.struct("similarity", "node")).alias("best")
+    central = judged.where("similarity IS NOT NULL").groupBy("bucket").agg(best).select(
+        "bucket", F.col("best.node").alias("center"))
+    apart = judged.where("similarity IS NULL").join(central, "bucket")
     return apart.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
 
 
-def _remaining_pairs(members: DataFrame, nodes: DataFrame, shingles: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different classes in a bucket, at least one outside the bucket's largest class.
+def _remaining_links(members: DataFrame, nodes: DataFrame, shingles: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between different classes in a bucket, at least one end outside the bucket's largest class.
 
-    Shingles of weight one are compared exactly by the join itself, so that only links leave it.
+    Shingles are compared by the join itself, so that only links leave it.
     """
     rooted = _rooted(members, roots).select("bucket", "band", "node", "root")
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes"))
     split = largest.where("classes > 1").select("bucket", F.col("top.root").alias("top"))
-    sets = shingles.select("node", F.array_distinct("shingles").alias("set"), F.size("shingles").alias("n"))
     mixed = written(
-        rooted.join(split, "bucket").join(nodes.select("node", "bands", "sig"), "node").join(sets, "node"), "near-remaining")
+        rooted.join(split, "bucket").join(nodes.select("node", "bands", "sig"), "node").join(shingles, "node"), "near-remaining")
     outside = mixed.where("root <> top").alias("x")
-    seen_before = F.exists(
-        F.zip_with(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("x.band")), lambda p, q: p == q),
-        lambda same: same)
-    common = F.size(F.array_intersect("x.set", "y.set"))
-    exact = common / (F.size("x.set") + F.size("y.set") - common) >= THRESHOLD
-    weighted = (F.col("x.n") > F.size("x.set")) | (F.col("y.n") > F.size("y.set"))
+    before = lambda side: F.slice(f"{side}.bands", F.lit(1), F.col("x.band"))
+    seen_before = F.arrays_overlap(before("x"), before("y"))  # hashes of different bands differ
+    exact = similarity(*(F.col(c) for c in ("x.set", "x.bag", "y.set", "y.bag"))) >= THRESHOLD
     both_outside = F.col("y.root") != F.col("y.top")
     meets = (
         (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
-        & (~both_outside | (F.col("x.node") < F.col("y.node"))) & ~seen_before & _agree(F.col("x.sig"), F.col("y.sig"))
-        & (weighted | exact))
+        & (~both_outside | (F.col("x.node") < F.col("y.node"))) & ~seen_before & _agree(F.col("x.sig"), F.col("y.sig")) & exact)
     return outside.join(mixed.alias("y"), meets).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
@@ -225,19 +234,19 @@ def _classified(documents: DataFrame) -> DataFrame:
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node").select("rep.*")
     chosen = texts.withColumn("tie", F.xxhash64("text")).alias("t").join(
         wanted.alias("w"), (F.col("t.tie") == F.col("w.tie")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
-    shingles = written(_shingled(chosen.drop("tie")).select("node", "shingles"), "near-shingles")
+    collected = _shingled(chosen.drop("tie")).select("node", _collected("shingles").alias("c"))
+    shingles = written(collected.select("node", "c.set", "c.bag"), "near-shingles")
 
     links = _Links(nodes, shingles)
     first = links.verify(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    links.verify(_central_pairs(members, first))
     roots = links.roots()
-    links.verify(_central_pairs(members, first, roots))
-    roots = links.roots()
-    links.verify(_remaining_pairs(members, nodes, shingles, roots), agreeing=True)
+    links.add(_remaining_links(members, nodes, shingles, roots))
     return _rooted(rows.select("doc_id", "node"), links.roots())
 
 
 def _wordless() -> Column:
-    return F.translate(text_or_empty("text"), BLANKS, "") == ""
+    return ~text_or_empty("text").rlike(NOT_BLANK)
 
 
 def classes(documents: DataFrame) -> DataFrame:

@@ -48,24 +48,27 @@ class Splitter:
 class PieceTable:
     """Encodes texts piece by piece; encodings are kept up to a number of pieces and a length.
 
-    ``encode_piece`` gives the bytes of one piece's ids.
+    ``encode_piece`` gives the bytes of one piece's ids. Kept pieces are of two generations:
+    when the young one holds half of all entries it becomes the old one, and what is not
+    asked for again until the next time is forgotten.
     """
 
     def __init__(self, pattern: str, encode_piece: Callable[[str], bytes], entries: int, chars: int):
         self.split, self.encode_piece = Splitter(pattern).findall, encode_piece
         self.entries, self.chars = entries, chars
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         pieces = self.split(text)
-        if len(self.known) > self.entries:
-            self.known = {}
-        known = self.known
+        if len(self.known) > self.entries // 2:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
         new = set(pieces).difference(known)
         for piece in new:
-            known[piece] = self.encode_piece(piece)
+            known[piece] = old.get(piece) or self.encode_piece(piece)
         ids = b"".join(map(known.__getitem__, pieces))
-        if len(new) > self.entries:
+        if len(new) > self.entries // 2:
             self.known = {}
         else:
             for piece in new:

@@ -46,7 +46,7 @@ MAGIC = b"CATOKEN1"
 GAMMA = 1.7
 MAX_LEVELS = 48
 #: Entries of a worker's table of encoded pieces, and characters of the longest that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 
 MANIFEST = "shard long, path string, documents long, ids long, nulls long, first_key long, last_key long"
 
