@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed pattern of the contracts: a word is a run of characters other than blank and control spacing.
-BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
+NOT_BLANK = "[^\\x20\\x09-\\x0D]"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 
 _LOCAL_FOLDERS: dict[str, str] = {}

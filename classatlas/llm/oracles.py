@@ -47,7 +47,6 @@ def quality_rules() -> str:
         bounds += [f"{rule.measure} >= {rule.least}"] if rule.least is not None else []
         bounds += [f"{rule.measure} <= {rule.most}"] if rule.most is not None else []
     stop = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
-    symbols = "[#*$%&|<>]"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 words AS (
@@ -65,7 +64,7 @@ covered AS (
     FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM repeated) GROUP BY r),
 counted AS (
     SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars,
-        sum(length(w) - length(regexp_replace(w, '{symbols}', '', 'g'))) AS n_symbols,
+        sum(length(w) - length(regexp_replace(w, '{quality.SYMBOLS}', '', 'g'))) AS n_symbols,
         count(*) FILTER (WHERE lower(w) IN ({stop})) AS n_stop_words,
         count(*) FILTER (WHERE w = before) AS n_stutters
     FROM ordered GROUP BY r),

@@ -19,9 +19,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from classatlas.llm.common import BLANKS, computed_once, shingles_of, text_or_empty, words_of
+from classatlas.llm.common import NOT_BLANK, computed_once, shingles_of, text_or_empty, words_of
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 #: Frequent words of the four languages; running text contains some of them.
 STOP_WORDS = (
@@ -74,8 +74,7 @@ def _covered_words() -> Column:
 
 def measures(text: Column) -> dict[str, tuple[Column, ...]]:
     """Layers of measures; a layer may use the columns of those before it."""
-    lines = F.filter(F.split(text_or_empty(text), "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
-    squeezed = F.translate(text_or_empty(text), BLANKS, "")
+    lines = F.filter(F.split(text_or_empty(text), "\n", -1), lambda x: x.rlike(NOT_BLANK))
     words = F.col("_words")
     per_word = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
     indexed = F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
@@ -88,8 +87,8 @@ def measures(text: Column) -> dict[str, tuple[Column, ...]]:
         "_by_hash": F.when(repeats, F.sort_array(indexed)),
         "_places": _places_of_repeats(),
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(squeezed).cast("long"),
-        "n_symbols": (F.length(squeezed) - F.length(F.translate(squeezed, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(text_or_empty(text), F.lit(SYMBOLS)).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(_covered_words(), F.lit(0)).cast("long"),
