@@ -3,11 +3,15 @@
 Every change is one run: its rows are appended to the tables it touches and one
 row in ``commits`` then makes all of them visible together. A run that failed
 half-way, or whose executors were lost, never gets that row and stays unseen.
+A run holds the store's writer lock, a file created exclusively; whoever finds it
+there fails at once and changes nothing. Only a driver that died leaves it behind;
+``release`` removes it then.
 Rows are never rewritten, so the cost of a change follows the change and not the
 size of the store; readers merge by key.
 
 The two tables looked up by class name are partitioned by a hash of the name and
-carry a Bloom filter on it, so a lookup opens a fraction of the files.
+carry a Bloom filter on it, so a lookup opens a fraction of the files. The number
+of partitions is fixed when the store is first written and read back later.
 """
 
 from __future__ import annotations
@@ -37,6 +41,11 @@ _COMMITS = T.StructType([
     # table that this run rewrote as a whole, so that older runs of it are obsolete
     T.StructField("base_of", T.StringType()),
 ])
+_LAYOUT = T.StructType([T.StructField("slots", T.IntegerType())])
+
+
+class StoreLocked(RuntimeError):
+    """Another run is open on this store."""
 
 
 def name_slot(fqn: Column, slots: int) -> Column:
@@ -49,7 +58,8 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, slots: int = 64):
         self.spark = spark
         self.path = path.rstrip("/")
-        self.slots = slots
+        self._wanted_slots = slots
+        self._stored_slots: int | None = None
         self._open_run: int | None = None
 
     def _location(self, table: str) -> str:
@@ -64,6 +74,33 @@ class Store:
         files, path = self._filesystem(location)
         return files.exists(path)
 
+    @property
+    def slots(self) -> int:
+        """Hash partitions of the tables by class: what the store was written with, else what was asked for."""
+        if self._stored_slots is None and self._exists(self._location("layout")):
+            self._stored_slots = self.spark.read.schema(_LAYOUT).parquet(self._location("layout")).first()["slots"]
+        return self._stored_slots or self._wanted_slots
+
+    def _keep_layout(self) -> None:
+        slots = self.slots
+        if self._stored_slots is None:
+            self.spark.createDataFrame([(slots,)], _LAYOUT).coalesce(1).write.mode("overwrite").parquet(
+                self._location("layout"))
+
+    def _lock(self) -> None:
+        files, path = self._filesystem(self._location("writer.lock"))
+        try:
+            files.create(path, False).close()
+        except Exception as failure:
+            if files.exists(path):
+                raise StoreLocked(f"another run is writing to {self.path}") from failure
+            raise
+
+    def release(self) -> None:
+        """Remove the writer lock of a driver that died; no run may be open."""
+        files, path = self._filesystem(self._location("writer.lock"))
+        files.delete(path, False)
+
     def _schema(self, table: str) -> T.StructType:
         fields = [*TABLES[table].fields, T.StructField("run", T.LongType())]
         if table in BY_CLASS:
@@ -113,21 +150,25 @@ class Store:
     def run(self, tag: str | None = None, base_of: str | None = None) -> Iterator[int]:
         """Open a run; leaving the block without an error commits it.
 
-        One writer at a time, as with a single write transaction. Left-overs of
-        a failed run under the same number are removed first.
+        One writer at a time, as with a single write transaction: an open run
+        makes any other attempt raise ``StoreLocked``. Left-overs of a failed run
+        under the same number are removed first.
         """
-        self._open_run = self.last_run() + 1
-        for table in TABLES:
-            files, left_over = self._filesystem(f"{self._location(table)}/run={self._open_run}")
-            if files.exists(left_over):
-                files.delete(left_over, True)
+        self._lock()
         try:
+            self._open_run = self.last_run() + 1
+            self._keep_layout()
+            for table in TABLES:
+                files, left_over = self._filesystem(f"{self._location(table)}/run={self._open_run}")
+                if files.exists(left_over):
+                    files.delete(left_over, True)
             yield self._open_run
             self.spark.createDataFrame([(self._open_run, tag, base_of)], _COMMITS).coalesce(1).write.mode(
                 "append"
             ).parquet(self._location("commits"))
         finally:
             self._open_run = None
+            self.release()
 
     def write(self, table: str, rows: DataFrame) -> None:
         """Add rows to a table within the open run."""
@@ -194,8 +235,10 @@ class Store:
         """Replace the history of a table by its current rows, one per key.
 
         Keeps the cost of reading proportional to the content however many runs
-        there were. Older runs stay on disk for readers that still use them.
+        there were. Runs replaced just now stay on disk for readers that still use
+        them; those replaced by the compaction before are removed.
         """
+        self.vacuum(table)
         current = {
             "class_sources": self.sources,
             "class_registry": self.registry,
@@ -220,7 +263,8 @@ class Store:
 
     def clear(self) -> None:
         """Drop the tables of the store and nothing else; a missing store is fine."""
-        for table in ("commits", *TABLES):
+        for table in ("commits", "layout", *TABLES):
             files, path = self._filesystem(self._location(table))
             if files.exists(path):
                 files.delete(path, True)
+        self._stored_slots = None
