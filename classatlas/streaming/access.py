@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from classatlas.operators import hotspot
 from classatlas.plans import standin
 from classatlas.sources.store import Store
+from classatlas.streaming.tags import batch_tag
 
 _REQUESTS = "jar_path string, event_id long, priority long, mode string"
 
@@ -40,7 +41,7 @@ def count_accesses(
     that a batch never reads more than one row per artifact and recent batch.
     """
     def handle(batch: DataFrame, number: int) -> None:
-        tag = f"{name}:{number}"
+        tag = batch_tag(batch.sparkSession, name, checkpoint, number)
         if store.has_run(tag):
             return
         rows = batch.persist()

@@ -1,4 +1,4 @@
-"""Keeping index and cache fresh from streams."""
+"""Keeping the cache fresh from streams."""
 
 from __future__ import annotations
 
@@ -6,31 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from classatlas.operators import content
-from classatlas.plans.engine import Atlas
 from classatlas.sources.store import Store
-
-# Fixed value: time between two looks at the repository
-INTERVAL = "300 seconds"
-
-
-def poll_repository(atlas: Atlas, checkpoint: str, interval: str = INTERVAL) -> StreamingQuery:
-    """Update the index again and again until the query is stopped.
-
-    The rate source is only a clock; what changed is decided by modification
-    times against the stored snapshot, which also sees files that were replaced
-    under the same name.
-    """
-    clock = atlas.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-
-    def look(_: DataFrame, number: int) -> None:
-        atlas.update()
-
-    return (
-        clock.writeStream.foreachBatch(look)
-        .option("checkpointLocation", checkpoint)
-        .trigger(processingTime=interval)
-        .start()
-    )
+from classatlas.streaming.tags import batch_tag
 
 
 def write_sources(
@@ -43,7 +20,7 @@ def write_sources(
     stop the query instead of being lost.
     """
     def flush(batch: DataFrame, number: int) -> None:
-        tag = f"{name}:{number}"
+        tag = batch_tag(batch.sparkSession, name, checkpoint, number)
         if not store.has_run(tag):
             with store.run(tag):
                 store.write("class_sources", content.keep_last(batch))
@@ -54,11 +31,3 @@ def write_sources(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-
-
-def pending_writes(query: StreamingQuery | None) -> int:
-    """Rows of the batch being written, 0 when nothing runs."""
-    if query is None or not query.isActive or not query.status["isTriggerActive"]:
-        return 0
-    progress = query.lastProgress
-    return int(progress["numInputRows"]) if progress else 0
