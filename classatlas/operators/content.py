@@ -116,15 +116,6 @@ def from_cache(hits: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
-def source_requests(hits: DataFrame, existing: DataFrame) -> DataFrame:
-    """The entry to read from the sibling archive for each hit that has one."""
-    return (
-        with_sources_path(hits, existing)
-        .where("sources_path is not null")
-        .withColumn("entry_name", names.source_entry_of_class(F.col("fqn")))
-    )
-
-
 def without_excluded(classes: DataFrame, excluded: DataFrame, top_level_only: bool) -> DataFrame:
     """Warm-up exclusions: listed classes, descriptors, and inner classes if asked."""
     fqn = F.col("fqn")

@@ -231,8 +231,12 @@ class Atlas:
 
     def _classes_of(
         self, targets: DataFrame, classes: DataFrame, excluded: DataFrame | None, top_level_only: bool
-    ) -> tuple[DataFrame, DataFrame]:
-        """``(jar_path, fqn, content, source)`` and the artifacts that failed."""
+    ) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """``(jar_path, fqn, content, source)``, the artifacts that failed, and those with gaps.
+
+        Gaps, ``(jar_path, missing)``, are cataloged classes without any text; only
+        artifacts that could not be decompiled have them.
+        """
         def allowed(rows: DataFrame) -> DataFrame:
             return rows if excluded is None else content.without_excluded(rows, excluded, top_level_only)
 
@@ -245,14 +249,18 @@ class Atlas:
         if self.decompiler is None:
             # originals are all there is: only artifacts without any are failures
             failed = targets.join(sources, "jar_path", "left_anti")
-            return sources.select("jar_path", "fqn", "content", F.lit(SOURCES_JAR).alias("source")), failed
+            kept = sources.select("jar_path", "fqn", "content", F.lit(SOURCES_JAR).alias("source"))
+            return kept, failed, gaps.join(failed, "jar_path", "left_anti")
         outputs = decompile(gaps.select("jar_path", F.lit(None).cast("string").alias("fqn")), self.decompiler)
         failed = outputs.where("error is not null").select("jar_path")
         decompiled = allowed(content.parse_output(outputs))
-        return content.source_wins(sources, decompiled).join(failed, "jar_path", "left_anti"), failed
+        kept = content.source_wins(sources, decompiled).join(failed, "jar_path", "left_anti")
+        return kept, failed, gaps.limit(0)
 
-    def _store_classes(self, targets: DataFrame, loaded: DataFrame, failed: DataFrame) -> DataFrame:
-        """Write texts, loaded marks and warm marks of one run; ``(jar_path, classes_loaded)``."""
+    def _store_classes(
+        self, targets: DataFrame, loaded: DataFrame, failed: DataFrame, gaps: DataFrame
+    ) -> DataFrame:
+        """Write texts and, for artifacts without gaps, warm marks; ``(jar_path, classes_loaded)``."""
         done = targets.select("jar_path").join(failed, "jar_path", "left_anti")
         counts = loaded.groupBy("jar_path").agg(F.count("*").alias("n"))
         counted = done.join(counts, "jar_path", "left").select(
@@ -261,15 +269,18 @@ class Atlas:
         self.store.write("class_sources", loaded)
         self.store.write(
             "jar_hotspot",
-            hotspot.warmed_marks(counted.withColumnRenamed("classes_loaded", "class_count")),
+            hotspot.warmed_marks(
+                counted.join(gaps, "jar_path", "left_anti").withColumnRenamed("classes_loaded", "class_count")
+            ),
         )
         return counted
 
     def load(self, targets: DataFrame | str) -> DataFrame:
-        """Cache all classes of artifacts; ``(jar_path, classes_loaded, skipped, failed)``.
+        """Cache all classes of artifacts; ``(jar_path, classes_loaded, skipped, failed, gaps)``.
 
         Texts and the loaded mark become visible together. An artifact that fails
-        is reported and leaves no texts behind.
+        is reported and leaves no texts behind. One with ``gaps``, classes that have
+        no text as there is no decompiler, gets no mark and is loaded again next time.
         """
         if isinstance(targets, str):
             targets = self.spark.createDataFrame([(targets,)], "jar_path string")
@@ -277,18 +288,20 @@ class Atlas:
         pending = flagged.where(~F.col("skipped")).select("jar_path")
         classes = catalog.classes(read_entry_names(flagged, suffix=names.CLASS_SUFFIX)).checkpoint()
         fresh = registry.uncataloged(classes, self.store.manifest())
-        loaded, failed = self._classes_of(pending, classes, None, False)
-        loaded, failed = loaded.checkpoint(), failed.checkpoint()
+        loaded, failed, gaps = self._classes_of(pending, classes, None, False)
+        loaded, failed, gaps = loaded.checkpoint(), failed.checkpoint(), gaps.checkpoint()
         with self.store.run() as run:
             self._append_registry(fresh, fresh.select("jar_path").distinct(), run)
-            counted = self._store_classes(pending, loaded, failed)
-            self.store.write("jars", counted)
+            counted = self._store_classes(pending, loaded, failed, gaps)
+            self.store.write("jars", counted.join(gaps, "jar_path", "left_anti"))
         marks = failed.select("jar_path", F.lit(True).alias("failed_mark")).distinct()
-        return flagged.join(counted, "jar_path", "left").join(marks, "jar_path", "left").select(
+        described = flagged.join(counted, "jar_path", "left").join(marks, "jar_path", "left").join(gaps, "jar_path", "left")
+        return described.select(
             "jar_path",
             F.coalesce("classes_loaded", F.lit(0).cast("long")).alias("classes_loaded"),
             "skipped",
             F.coalesce("failed_mark", F.lit(False)).alias("failed"),
+            F.coalesce("missing", F.lit(0).cast("long")).alias("gaps"),
         )
 
     def warm(self, tasks: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -303,11 +316,11 @@ class Atlas:
         for mode, top_level_only in ((hotspot.ALL_CLASSES, False), (hotspot.TOP_LEVEL_ONLY, True)):
             targets = queue.where(F.col("mode") == mode).select("jar_path")
             classes = catalog.classes(read_entry_names(targets, suffix=names.CLASS_SUFFIX)).checkpoint()
-            loaded, failed = self._classes_of(targets, classes, excluded, top_level_only)
-            parts.append((targets, loaded.checkpoint(), failed.checkpoint()))
-        targets, loaded, failed = (a.unionByName(b) for a, b in zip(*parts))
+            loaded, failed, gaps = self._classes_of(targets, classes, excluded, top_level_only)
+            parts.append((targets, loaded.checkpoint(), failed.checkpoint(), gaps.checkpoint()))
+        targets, loaded, failed, gaps = (a.unionByName(b) for a, b in zip(*parts))
         with self.store.run():
-            counted = self._store_classes(targets, loaded, failed)
+            counted = self._store_classes(targets, loaded, failed, gaps)
         rows = counted.select("jar_path", "classes_loaded", F.lit(False).alias("failed"))
         lost = failed.select("jar_path", F.lit(0).cast("long").alias("classes_loaded"), F.lit(True).alias("failed"))
         return rows.unionByName(lost).withColumn("skipped", F.lit(False))

@@ -21,8 +21,11 @@ from classatlas.schemas import ENTRIES, ENTRY_TEXT
 
 _ROWS = 4096
 _BYTES = 16 << 20
+# what makes an archive absent or unreadable for good; other failures of reading
+# (stale handles, too many open files, timeouts) fail the task, and Spark tries again
 _ZIP_ERRORS = (
-    OSError, zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, ValueError, EOFError,
+    FileNotFoundError, NotADirectoryError, IsADirectoryError,
+    zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, ValueError, EOFError,
 )
 
 _ENTRY_ARROW = pa.schema([
@@ -92,8 +95,7 @@ def _text_rows(jar_path: str, sources_path: str, wanted: str | None) -> Iterator
     """One requested entry, or every class source when none is requested.
 
     A damaged entry makes the whole archive count as unreadable, so nothing may
-    be handed on before all of it was read: small archives are read in one go,
-    large ones are checked first and then streamed.
+    be handed on before all of it was read through once.
     """
     with zipfile.ZipFile(sources_path) as archive:
         if wanted is not None:
@@ -105,12 +107,9 @@ def _text_rows(jar_path: str, sources_path: str, wanted: str | None) -> Iterator
             for index, info in enumerate(archive.infolist())
             if info.filename.endswith(".java") and not info.filename.endswith(SPECIAL_SOURCES)
         ]
-        texts = ((jar_path, i, info.filename, decode(archive.read(info))) for i, info in chosen)
-        if sum(info.file_size for _, info in chosen) <= _BYTES:
-            yield from list(texts)
-        else:
-            _check(archive, [info for _, info in chosen])
-            yield from texts
+        _check(archive, [info for _, info in chosen])
+        for index, info in chosen:
+            yield jar_path, index, info.filename, decode(archive.read(info))
 
 
 def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

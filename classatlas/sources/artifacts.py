@@ -16,7 +16,7 @@ from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from classatlas.functions.names import version_of_path
@@ -37,11 +37,11 @@ def default_repository() -> str:
 
 
 def _children(directory: str) -> Iterator[os.DirEntry]:
-    """Entries of a directory; none if it cannot be read."""
+    """Entries of a directory; none if it is gone. Any other failure fails the task, and Spark tries again."""
     try:
         with os.scandir(directory) as children:
             yield from children
-    except OSError:
+    except (FileNotFoundError, NotADirectoryError):
         return
 
 
@@ -55,7 +55,7 @@ def _walk(top: str) -> Iterator[tuple[str, bool, bool, int, int]]:
                 try:
                     status = child.stat()
                     yield child.path, True, False, max(status.st_mtime_ns, 0), status.st_size
-                except OSError:
+                except FileNotFoundError:  # a link that leads nowhere, or a file deleted meanwhile
                     yield child.path, True, False, 0, 0
             if child.is_dir(follow_symlinks=False):
                 waiting.append(child.path)
@@ -108,8 +108,3 @@ def list_artifacts(spark: SparkSession, roots: str | list[str]) -> DataFrame:
 def with_version(artifacts: DataFrame) -> DataFrame:
     return artifacts.withColumn("version", version_of_path(F.col("jar_path")))
 
-
-def under(artifacts: DataFrame, directory: Column | str) -> DataFrame:
-    """Artifacts inside one directory."""
-    prefix = F.lit(directory) if isinstance(directory, str) else directory
-    return artifacts.where(F.startswith("jar_path", F.concat(F.rtrim(prefix, F.lit("/")), F.lit("/"))))

@@ -26,12 +26,14 @@ class Decompiler:
     """Java decompiler jar and the ``java`` program that runs it.
 
     ``max_parallel`` limits child processes over the whole cluster; by default
-    every task slot may run one.
+    every task slot may run one. A child that takes longer than ``timeout`` seconds
+    is ended and counts as failed.
     """
 
     tool: str
     java: str = "java"
     max_parallel: int | None = None
+    timeout: float = 1800
 
     def class_command(self, jar_path: str, fqn: str) -> list[str]:
         return [self.java, "-jar", self.tool, "--extraclasspath", jar_path, fqn, *_QUIET]
@@ -42,7 +44,9 @@ class Decompiler:
     def run(self, jar_path: str, fqn: str | None) -> tuple[str | None, str | None]:
         command = self.jar_command(jar_path) if fqn is None else self.class_command(jar_path, fqn)
         try:
-            done = subprocess.run(command, capture_output=True, check=False)
+            done = subprocess.run(command, capture_output=True, check=False, timeout=self.timeout)
+        except subprocess.TimeoutExpired:
+            return None, f"Decompilation failed: no end after {self.timeout:g} seconds"
         except OSError as failure:
             return None, f"Failed to execute java: {failure}"
         if done.returncode != 0:

@@ -18,7 +18,7 @@ def apply(spark, function, values):
 
 CASES = {
     names.normalize_query: [
-        ("import org.springframework.stereotype. Component ;", "org.springframework.stereotype.Component"),
+        ("import net.harbor.crane. Winch ;", "net.harbor.crane.Winch"),
         ("  a.b.C ;; ", "a.b.C"), ("important.Foo", "ant.Foo"), ("import static a.B;", "statica.B"),
         ("a ; ;", "a;"), ("import", ""), ("Foo", "Foo"),
     ],
