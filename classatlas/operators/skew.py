@@ -1,53 +1,23 @@
-"""Joins of many rows with one row per key, when some keys hold most of the rows.
+"""Joins of many rows with a small row per key, when some keys may hold most of the rows.
 
-Adaptive execution splits a hot key only if both join inputs come straight from an
-exchange. A side that was just reduced to one row per key does not, so one class
-found in a third of all archives would end up in one task. Large inputs are
-therefore joined in two parts: rows of the most frequent keys meet their lookup rows
-by broadcast and never move, all other rows are joined by exchange as usual. The
-number of frequent keys is fixed, which bounds the broadcast; a key not among them
-holds less than that fraction of the rows. The result is the same for any choice of
-keys.
+Adaptive execution splits the rows of a hot key if both join inputs come straight
+from an exchange. A lookup that was just reduced to one row per key does not, so it
+is checkpointed first: its rows are few and narrow, and what is left is an ordinary
+join that the engine broadcasts or splits by the true sizes it sees at run time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# a key outside this many most frequent ones holds less than 1/1024 of the rows
-HOT_KEYS = 1024
-# below this estimated input size one task can take any key
-MIN_BYTES_CONF = "spark.classatlas.skewJoin.minBytes"
-MIN_BYTES = 1 << 30
-
-
-def _estimated_bytes(frame: DataFrame) -> int:
-    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def _may_have_hot_keys(rows: DataFrame) -> bool:
-    minimum = int(rows.sparkSession.conf.get(MIN_BYTES_CONF, str(MIN_BYTES)))
-    return _estimated_bytes(rows) >= minimum
-
-
-def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
-    """The most frequent keys, at most ``HOT_KEYS`` of them."""
-    counted = rows.groupBy(*on).agg(F.count("*").alias("_rows"))
-    return counted.orderBy(F.col("_rows").desc(), *on).limit(HOT_KEYS).select(*on)
+from classatlas.session import ensure_checkpoint_dir
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a lookup that has each key at most once.
+    """Join with a lookup of few rows per key; ``rows`` may have keys of any frequency.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. Rows with a NULL
     key find no partner, as in any equi-join.
     """
-    if not _may_have_hot_keys(rows):
-        return rows.join(lookup, on, how)
-    hot = F.broadcast(hot_keys(rows.dropna(subset=on), on))
-    frequent = rows.join(hot, on, "left_semi")
-    others = rows.join(hot, on, "left_anti")
-    # one lookup row per key, so this is bounded like the keys themselves
-    few = F.broadcast(lookup.join(hot, on, "left_semi"))
-    return frequent.join(few, on, how).unionByName(others.join(lookup, on, how))
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.join(lookup.checkpoint(), on, how)

@@ -66,7 +66,10 @@ def classes_of(documents: DataFrame) -> DataFrame:
 
 
 def documents_spread(spark: SparkSession, directory: str) -> DataFrame:
-    """Classes with their texts, over all task slots, for costly work per text."""
+    """Classes with their texts, over all task slots, for costly work per text.
+
+    The given tables are single files; archives are spread by path when they are read.
+    """
     wanted = classes(spark, directory).select("doc_id", "lang", "source", "simple_name", "text")
     return use_all_slots(wanted)
 

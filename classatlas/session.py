@@ -57,19 +57,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable.
 
     A cluster names a folder all executors share in ``spark.checkpoint.dir``;
-    only where nothing is configured (one-machine tests) a scratch folder is used.
+    only a local session without one gets a scratch folder.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="classatlas-checkpoint-"))
 
 
 def use_all_slots(frame: DataFrame) -> DataFrame:
-    """Spread rows ahead of costly per-row work, only if the input has too few partitions.
-
-    One small file is one task however many cores wait. Input with a partition
-    per slot, which is any large table, passes unchanged and without an exchange.
-    """
-    slots = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(slots) if frame.rdd.getNumPartitions() < slots else frame
+    """Spread rows ahead of costly per-row work, at the price of one exchange of them."""
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism)

@@ -4,29 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__
 from classatlas.operators import skew
-from tests.compare import connect, mismatch
-
-# queries whose operators use the two-part join
-JOINING = (
-    "exact_probe", "suffix_probe", "registry_lookup", "registry_validated", "uncataloged_artifacts",
-    "search_scopes", "tiered_scan", "find_simple_best", "hotspot_requests", "hotspot_requests_late",
-    "warmup_exclusions",
-)
-
-
-@pytest.fixture()
-def guarded(spark, monkeypatch):
-    """Take the two-part path for any size and keep few hot keys, so that both parts have rows."""
-    monkeypatch.setattr(skew, "HOT_KEYS", 2)
-    spark.conf.set(skew.MIN_BYTES_CONF, "0")
-    yield
-    spark.conf.unset(skew.MIN_BYTES_CONF)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_two_parts_equal_one_join(spark, guarded, how):
+def test_lookup_equals_one_join(spark, how):
     keys = ["hot"] * 300 + ["warm"] * 200 + [f"k{i % 40}" for i in range(400)] + [None] * 5
     rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i long")
     lookup = spark.createDataFrame(
@@ -38,25 +20,24 @@ def test_two_parts_equal_one_join(spark, guarded, how):
     assert collected(skew.join_lookup(rows, lookup, ["k"], how)) == collected(rows.join(lookup, ["k"], how))
 
 
-def test_small_input_is_joined_directly(spark):
-    rows = spark.range(10).selectExpr("id as k")
-    plan = skew.join_lookup(rows, rows, ["k"])._jdf.queryExecution().optimizedPlan().toString()
-    assert "Union" not in plan
-
-
-def test_only_a_fixed_number_of_keys_is_broadcast(spark, guarded):
-    rows = spark.range(1000).selectExpr("id % 50 as k", "id")
-    assert skew.hot_keys(rows, ["k"]).count() == 2
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_hot_key_is_split_by_the_engine(spark):
+    """Rows of one key spread over tasks, although the lookup is an aggregate."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
-        plan = skew.join_lookup(rows, rows.select("k").distinct(), ["k"])._jdf.queryExecution().executedPlan().toString()
+        rows = spark.range(400_000, numPartitions=8).selectExpr("IF(id % 10 < 9, 0, id) AS k", "uuid() AS filler")
+        lookup = spark.range(1000).selectExpr("id % 500 AS k").groupBy("k").count()
+        joined = skew.join_lookup(rows, lookup, ["k"])
+        joined.write.format("noop").mode("overwrite").save()
+        counts = joined.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "TakeOrderedAndProject" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
-
-
-@pytest.mark.parametrize("name", JOINING)
-def test_queries_on_the_two_part_path(spark, guarded, name):
-    directory = "/root/testdata/sf0.001"
-    query = __spark_entry__.queries()[name]
-    assert mismatch(query(spark, directory), connect(directory), __spark_entry__.oracle_sql()[name]) is None
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    assert sum(counts) > 360_000 and max(counts) < sum(counts) / 3
