@@ -50,7 +50,7 @@ def sources_jar_path(spark: SparkSession, d: str) -> DataFrame:
 
 def sources_sibling(spark: SparkSession, d: str) -> DataFrame:
     jars = standin.classes(spark, d).select("jar_path").distinct()
-    sources = standin.sources_entries(spark, d).select(
+    sources = standin.sources_entries(spark, d).where(~standin.every(F.col("jar_path"), 3)).select(
         F.regexp_replace("jar_path", r"\.jar$", names.SOURCES_SUFFIX).alias("jar_path")
     ).distinct()
     return content.with_sources_path(jars, jars.unionByName(sources))
@@ -263,13 +263,18 @@ def find_fqn_versions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _sources_with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return standin.sources_entries(spark, d).where(~standin.every(F.col("jar_path"), 3))
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """Per class and artifact the cached text, else the source, else the decompiled one."""
-    cached = _latest_cache(spark, d).select("fqn", "jar_path", "content", "source").withColumn(
+    latest = _latest_cache(spark, d).where(~standin.every(F.col("jar_path"), 2))
+    cached = latest.select("fqn", "jar_path", "content", "source").withColumn(
         "cache_hit", F.lit(True)
     )
     loaded = content.source_wins(
-        standin.sources_entries(spark, d), standin.decompiler_pieces(spark, d)
+        _sources_with_gaps(spark, d), standin.decompiler_pieces(spark, d)
     ).withColumn("cache_hit", F.lit(False))
     fresh = loaded.join(cached.select("fqn", "jar_path"), ["fqn", "jar_path"], "left_anti")
     return cached.unionByName(fresh)
@@ -311,7 +316,7 @@ def cache_upsert_stream(spark: SparkSession, d: str) -> DataFrame:
     base = standin.scratch(spark, "cache")
     store = Store(spark, f"{base}/store", slots=8)
     rows = standin.classes_of(standin.stream(spark, d, "documents"))
-    writes = standin.cache_writes_of(rows, standin.labels(spark, d))
+    writes = standin.cache_writes_of(rows)
     write_sources(writes, store, "documents", f"{base}/offsets").awaitTermination()
     return store.sources().select(
         names.source_key(F.col("fqn"), F.col("jar_path")).alias("cache_key"), "source",
@@ -321,7 +326,9 @@ def cache_upsert_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     hits = standin.classes(spark, d).select("fqn", "jar_path").distinct()
-    return content.from_cache(hits, _latest_cache(spark, d)).select(
+    # as many artifacts again that were never cached
+    unknown = hits.select("fqn", standin.cat(F.col("jar_path"), ".old").alias("jar_path"))
+    return content.from_cache(hits.unionByName(unknown), _latest_cache(spark, d)).select(
         "fqn", "jar_path", "cache_hit", "source", text.content_hash(F.col("content")).alias("content_hash")
     )
 
@@ -333,7 +340,7 @@ def missing_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def load_union(spark: SparkSession, d: str) -> DataFrame:
-    loaded = content.source_wins(standin.sources_entries(spark, d), standin.decompiler_pieces(spark, d))
+    loaded = content.source_wins(_sources_with_gaps(spark, d), standin.decompiler_pieces(spark, d))
     return loaded.select("jar_path", "fqn", "source", text.content_hash(F.col("content")).alias("content_hash"))
 
 
@@ -346,7 +353,9 @@ def load_skip_flag(spark: SparkSession, d: str) -> DataFrame:
 def load_summary(spark: SparkSession, d: str) -> DataFrame:
     """Counters of a run: skipped, failed (no text at all) and loaded artifacts."""
     flagged = load_skip_flag(spark, d)
-    counts = standin.decompiler_pieces(spark, d).select("jar_path", "fqn").distinct().groupBy("jar_path").agg(
+    # the tool fails for some artifacts
+    pieces = standin.decompiler_pieces(spark, d).where(~standin.every(F.col("jar_path"), 4))
+    counts = pieces.select("jar_path", "fqn").distinct().groupBy("jar_path").agg(
         F.count("*").alias("n")
     )
     loads = flagged.join(counts, "jar_path", "left").select(
@@ -397,17 +406,12 @@ def store_stats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _mtimes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    now = standin.mtimes(spark, d, "click", "signup", "error", "view")
-    return now, standin.mtimes(spark, d, "click", "view", "purchase")
-
-
 def mtime_changes(spark: SparkSession, d: str) -> DataFrame:
-    return changes.changed(*_mtimes(spark, d))
+    return changes.changed(*standin.mtimes(spark, d))
 
 
 def mtime_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return changes.moved_snapshot(*_mtimes(spark, d))
+    return changes.moved_snapshot(*standin.mtimes(spark, d))
 
 
 def warmup_queue_order(spark: SparkSession, d: str) -> DataFrame:
@@ -449,7 +453,7 @@ def find_text(spark: SparkSession, d: str) -> DataFrame:
 def structure_sources(spark: SparkSession, d: str) -> DataFrame:
     """Text a contract is taken from: the sources archive, else what was found."""
     rows = _texts(spark, d).select("fqn", "jar_path", "content", "source")
-    original = content.keep_first(standin.sources_entries(spark, d)).select(
+    original = content.keep_first(_sources_with_gaps(spark, d)).select(
         "fqn", "jar_path", F.col("content").alias("original")
     )
     return rows.join(original, ["fqn", "jar_path"], "left").select(

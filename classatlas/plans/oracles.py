@@ -57,11 +57,11 @@ best AS (
 
 _CACHE = r"""
 cache AS (
-  SELECT fqn, jar_path, content FROM cls WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+  SELECT fqn, jar_path, content FROM cls
   QUALIFY row_number() OVER (PARTITION BY fqn, jar_path ORDER BY doc_id DESC) = 1
 ),
 srcs AS (
-  SELECT fqn, jar_path, doc_id, content FROM cls WHERE doc_id IN (SELECT doc_id FROM labels)
+  SELECT fqn, jar_path, doc_id, content FROM cls
   QUALIFY row_number() OVER (PARTITION BY fqn, jar_path ORDER BY doc_id) = 1
 ),
 dec AS (
@@ -73,7 +73,9 @@ texts AS (
     CASE WHEN c.content IS NOT NULL OR s.content IS NOT NULL THEN 'sources-jar' ELSE 'decompiled' END AS source,
     coalesce(c.content, s.content, d.content) AS content,
     s.content AS original
-  FROM dec d LEFT JOIN cache c USING (fqn, jar_path) LEFT JOIN srcs s USING (fqn, jar_path)
+  FROM dec d
+  LEFT JOIN (SELECT * FROM cache WHERE split_part(jar_path, '/', -2)::DOUBLE % 2 <> 0) c USING (fqn, jar_path)
+  LEFT JOIN (SELECT * FROM srcs WHERE split_part(jar_path, '/', -2)::DOUBLE % 3 <> 0) s USING (fqn, jar_path)
 ),
 found AS (
   SELECT fqn, split_part(jar_path, '/', -2) AS version, jar_path, sha256(content) AS content_hash,
@@ -118,15 +120,14 @@ numbered AS (
 )"""
 
 _MTIME = r"""
-new_t AS (
-  SELECT 'u' || user_id::VARCHAR || '/' || json_extract_string(props, '$.k') || '.jar' AS jar_path,
-    max(epoch_us(ts)) * 1000 AS mtime_ns
-  FROM events WHERE event_type IN ('click', 'signup', 'error', 'view') GROUP BY 1
+modified AS (
+  SELECT 'u' || user_id::VARCHAR || '/' || json_extract_string(props, '$.k') || '.jar' AS jar_path, user_id,
+    epoch_us(ts) * 1000 AS moment FROM events
 ),
+new_t AS (SELECT jar_path, max(moment) AS mtime_ns FROM modified GROUP BY 1),
 old_t AS (
-  SELECT 'u' || user_id::VARCHAR || '/' || json_extract_string(props, '$.k') || '.jar' AS jar_path,
-    max(epoch_us(ts)) * 1000 AS mtime_ns
-  FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1
+  SELECT jar_path, CASE WHEN min(user_id) % 3 = 0 THEN max(moment) ELSE min(moment) END AS mtime_ns
+  FROM modified GROUP BY 1 HAVING count(*) > 1
 )"""
 
 _JAVA = r"""
@@ -169,7 +170,7 @@ def oracle_sql() -> dict[str, str]:
             FROM paths""",
         "sources_sibling": _with(_CLASSES, _KNOWN) + """
             SELECT DISTINCT jar_path,
-              CASE WHEN jar_path IN (SELECT jar_path FROM known) THEN jar_path[:-5] || '-sources.jar' END AS sources_path
+              CASE WHEN version::DOUBLE % 3 <> 0 THEN jar_path[:-5] || '-sources.jar' END AS sources_path
             FROM cls""",
         "source_entry_paths": _with(_CLASSES) + """
             SELECT doc_id, 'org/' || lang || '/core/' || simple_name || '.java' AS entry_name,
@@ -283,7 +284,8 @@ def oracle_sql() -> dict[str, str]:
         "cache_lookup": _with(_CLASSES, _QUERIES, _CACHE) + """
             SELECT fqn, jar_path, c.content IS NOT NULL AS cache_hit,
               CASE WHEN c.content IS NOT NULL THEN 'sources-jar' END AS source, sha256(c.content) AS content_hash
-            FROM (SELECT DISTINCT fqn, jar_path FROM cls) LEFT JOIN cache c USING (fqn, jar_path)""",
+            FROM (SELECT fqn, jar_path FROM cls UNION SELECT fqn, jar_path || '.old' FROM cls)
+            LEFT JOIN cache c USING (fqn, jar_path)""",
         "missing_sources": _with(_CLASSES, _KNOWN) + """
             , gaps AS (
               SELECT c.jar_path, count(DISTINCT c.fqn) FILTER (k.fqn IS NULL) AS missing, count(k.fqn) AS covered
@@ -296,8 +298,11 @@ def oracle_sql() -> dict[str, str]:
         "load_skip_flag": _with(_CLASSES, _KNOWN) + """
             SELECT DISTINCT jar_path, jar_path IN (SELECT jar_path FROM known) AS skipped FROM cls""",
         "load_summary": _with(_CLASSES, _KNOWN) + """
-            SELECT count(DISTINCT jar_path) AS targets, count(DISTINCT jar_path) AS succeeded, 0::BIGINT AS failed,
-              count(DISTINCT (jar_path, fqn)) FILTER (jar_path NOT IN (SELECT jar_path FROM known)) AS classes_loaded
+            SELECT count(DISTINCT jar_path) AS targets,
+              count(DISTINCT jar_path) FILTER (version::DOUBLE % 4 <> 0) AS succeeded,
+              count(DISTINCT jar_path) FILTER (version::DOUBLE % 4 = 0) AS failed,
+              count(DISTINCT (jar_path, fqn)) FILTER (
+                version::DOUBLE % 4 <> 0 AND jar_path NOT IN (SELECT jar_path FROM known)) AS classes_loaded
             FROM cls""",
         "hotspot_state": _with(_LOG) + "SELECT * FROM state",
         "hotspot_requests": _with(_LOG) + requests.format(t=2),
@@ -310,8 +315,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT jar_path, access_count, last_access FROM state WHERE NOT warmed AND access_count > 0
             ORDER BY access_count DESC, last_access DESC, jar_path LIMIT 20""",
         "store_stats": _with(_CLASSES, _KNOWN, _LOG) + """
-            SELECT (SELECT count(DISTINCT (fqn, jar_path)) FROM cls
-                WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS source_entries,
+            SELECT (SELECT count(DISTINCT (fqn, jar_path)) FROM cls) AS source_entries,
               (SELECT count(DISTINCT fqn) FROM cls) AS indexed_classes,
               (SELECT count(DISTINCT jar_path) FROM cls) AS cataloged_jars,
               (SELECT count(DISTINCT jar_path) FROM known) AS loaded_jars,

@@ -109,22 +109,25 @@ def labels(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "labels")
 
 
+def every(jar_path: Column, n: int) -> Column:
+    """Artifacts whose version is a multiple of ``n``: keys left out where an anti-join needs gaps."""
+    return names.version_of_path(jar_path).cast("double") % n == 0
+
+
 def cache_writes(spark: SparkSession, directory: str) -> DataFrame:
-    """Texts written to the cache: documents of quality 1, ``seq`` in writing order."""
-    return cache_writes_of(classes(spark, directory), labels(spark, directory))
+    """Texts written to the cache, one per document, ``seq`` in writing order."""
+    return cache_writes_of(classes(spark, directory))
 
 
-def cache_writes_of(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    good = marks.where("quality = 1").select("doc_id")
-    return with_content(rows.join(good, "doc_id", "left_semi")).select(
+def cache_writes_of(rows: DataFrame) -> DataFrame:
+    return with_content(rows).select(
         "fqn", "jar_path", "content", F.lit("sources-jar").alias("source"), F.col("doc_id").alias("seq")
     )
 
 
 def sources_entries(spark: SparkSession, directory: str) -> DataFrame:
-    """Entries of sources archives: labelled documents."""
-    labelled = labels(spark, directory).select("doc_id")
-    return with_content(classes(spark, directory).join(labelled, "doc_id", "left_semi")).select(
+    """Entries of sources archives, one per document."""
+    return with_content(classes(spark, directory)).select(
         "jar_path", F.col("doc_id").alias("entry_idx"), "fqn", "content",
         names.source_entry_of_class(F.col("fqn")).alias("entry_name"),
     )
@@ -170,12 +173,21 @@ def access_log_of(events: DataFrame) -> DataFrame:
     )
 
 
-def mtimes(spark: SparkSession, directory: str, *event_types: str) -> DataFrame:
-    """Latest modification per path over some kinds of events, in nanoseconds."""
-    count = F.get_json_object("props", "$.k")
-    rows = table(spark, directory, "events").where(F.col("event_type").isin(*event_types))
-    return rows.groupBy(cat("u", F.col("user_id").cast("string"), "/", count, ".jar").alias("jar_path")).agg(
-        (F.max(F.unix_micros(F.col("ts").cast("timestamp"))) * 1000).alias("mtime_ns")
+def mtimes(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """Modification time per path now, and in an older snapshot, in nanoseconds.
+
+    Every event modifies its path. The snapshot knows the paths that were modified
+    more than once: for every third user as they are now, else as they were first.
+    """
+    path = cat("u", F.col("user_id").cast("string"), "/", F.get_json_object("props", "$.k"), ".jar")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    paths = table(spark, directory, "events").groupBy(path.alias("jar_path")).agg(
+        F.max(at).alias("last"), F.min(at).alias("first"), F.count("*").alias("n"), F.min("user_id").alias("user_id")
+    )
+    before = F.when(F.col("user_id") % 3 == 0, F.col("last")).otherwise(F.col("first"))
+    return (
+        paths.select("jar_path", F.col("last").alias("mtime_ns")),
+        paths.where("n > 1").select("jar_path", before.alias("mtime_ns")),
     )
 
 
