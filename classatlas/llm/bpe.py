@@ -194,6 +194,10 @@ class Decoder:
         return [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)]
 
 
+def _joined(tokens: list[bytes], ids: bytes | None) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())) if ids else b""
+
+
 def encoded(text: Column, path: str, pattern: str) -> Column:
     """The ids of each text as binary: little-endian unsigned 32-bit integers."""
 
@@ -213,7 +217,22 @@ def decoded(ids: Column, path: str) -> Column:
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens = Decoder.load(path)
         for rows in batches:
-            yield pd.Series([
-                b"".join(map(tokens.__getitem__, np.frombuffer(r, "<u4").tolist())) if r else b"" for r in rows], dtype=object)
+            yield pd.Series([_joined(tokens, r) for r in rows], dtype=object)
 
     return decode(ids)
+
+
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """Struct of the ids of each text and the bytes that they decode to.
+
+    One function for both, so that a task needs one Python worker with one vocabulary.
+    """
+
+    @pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table, tokens = encoder(path, pattern), Decoder.load(path)
+        for texts in batches:
+            ids = [table.encode(t) if t else b"" for t in texts]
+            yield pd.DataFrame({"ids": ids, "decoded": [_joined(tokens, r) for r in ids]})
+
+    return both(text)

@@ -44,12 +44,10 @@ def op2_html_text(spark: SparkSession, directory: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    documents = read(spark, directory, "documents")
-    encoded = documents.select(
-        "doc_id", bpe.encoded(text_or_empty("text"), path, public_tokenizers.PATTERN).alias("ids"))
-    return encoded.withColumn("decoded", bpe.decoded(F.col("ids"), path)).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    trip = bpe.round_trip(text_or_empty("text"), path, public_tokenizers.PATTERN)
+    return read(spark, directory, "documents").select("doc_id", trip.alias("trip")).select(
+        "doc_id", (F.octet_length("trip.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("trip.ids", 256).alias("ids_sha256"), F.sha2("trip.decoded", 256).alias("decoded_sha256"))
 
 
 def op4_url_filter(spark: SparkSession, directory: str) -> DataFrame:
