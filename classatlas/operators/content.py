@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +32,17 @@ def name_sources(texts: DataFrame) -> DataFrame:
 def first_text(rows: DataFrame, keys: list[str], order: str, *kept: str) -> DataFrame:
     """The row of the smallest ``order`` per key, reduced to keys, ``order`` and ``kept``.
 
-    One pass: each task reduces its own rows to one per key before anything is
-    exchanged, so a key with very many rows costs no more than any other.
+    ``order`` is unique within a key. Ranking looks at keys and ``order`` only, and
+    keeps the few keys that occur more than once; texts are neither sorted nor
+    aggregated, and they move only if those keys are too many to be broadcast.
     """
-    best = rows.groupBy(*keys).agg(
-        F.min(order).alias(order), F.min_by(F.struct(*kept), order).alias("best")
+    repeated = rows.groupBy(*keys).agg(F.min(order).alias("first_order"), F.count("*").alias("n")).where("n > 1")
+    same_key = reduce(
+        lambda a, b: a & b, (F.col(f"r.{key}").eqNullSafe(F.col(f"f.{key}")) for key in keys)
     )
-    return best.select(*keys, order, *[F.col(f"best.{name}").alias(name) for name in kept])
+    ranked = rows.alias("r").join(repeated.alias("f"), same_key, "left")
+    first = F.isnull("f.first_order") | (F.col(f"r.{order}") == F.col("f.first_order"))
+    return ranked.where(first).select(*(f"r.{name}" for name in (*keys, order, *kept)))
 
 
 def keep_first(named: DataFrame) -> DataFrame:
