@@ -17,30 +17,23 @@ from classatlas.session import configure
 from classatlas.sources.decompile import Decompiler
 
 VERBS = ("find", "load", "warmup", "index", "stats", "clear", "help")
-_WITH_VALUE = ("--m2", "--cfr", "--db")
 
 
-def with_implicit_find(arguments: list[str]) -> list[str]:
-    """Insert ``find`` before the first bare argument that is not a verb."""
-    position = 0
-    while position < len(arguments):
-        argument = arguments[position]
-        if argument == "--":
-            position += 1
-            break
-        if not argument.startswith("-"):
-            break
-        position += 2 if argument in _WITH_VALUE else 1
-    if position < len(arguments) and arguments[position] not in VERBS:
-        return [*arguments[:position], "find", *arguments[position:]]
-    return arguments
+def parse(arguments: list[str]) -> argparse.Namespace:
+    """Options of all verbs may stand anywhere; a first bare word that is no verb is looked up."""
+    shared = argparse.ArgumentParser(add_help=False, allow_abbrev=False)
+    shared.add_argument("--m2", metavar="PATH")
+    shared.add_argument("--cfr", metavar="FILE", default=os.environ.get("CFR_JAR"))
+    shared.add_argument("--db", metavar="PATH", default=str(Path.home() / ".local/share/classatlas/store"))
+    options, rest = shared.parse_known_args(arguments)
+    rest = rest[1:] if rest[:1] == ["--"] else rest
+    if rest and rest[0] not in VERBS and not rest[0].startswith("-"):
+        rest = ["find", *rest]
+    return _verbs(shared).parse_args(rest, options)
 
 
-def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="classatlas")
-    top.add_argument("--m2", metavar="PATH")
-    top.add_argument("--cfr", metavar="FILE", default=os.environ.get("CFR_JAR"))
-    top.add_argument("--db", metavar="PATH", default=str(Path.home() / ".local/share/classatlas/store"))
+def _verbs(shared: argparse.ArgumentParser) -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="classatlas", parents=[shared])
     verbs = top.add_subparsers(dest="verb", required=True)
     find = verbs.add_parser("find")
     find.add_argument("class_name")
@@ -76,25 +69,26 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
         atlas.clear()
     else:
         if options.verb == "load":
-            frames = [atlas.load(options.jar_path)]
+            summary, name, items = atlas.load(options.jar_path), None, None
         elif options.verb == "warmup":
-            frames = list(atlas.warmup(
+            summary, loads = atlas.warmup(
                 jar_path=options.jar_path, hot=options.hot, group=options.group,
                 top=options.top, limit=options.limit,
-            ))
+            )
+            name, items = "loaded_jars", loads
         elif options.verb == "index":
-            frames = [atlas.index(options.path)]
+            summary, name, items = atlas.index(options.path), None, None
         else:
-            frames = list(atlas.stats())
+            summary, items = atlas.stats()
+            name = "hotspots"
         if options.verb != "stats":
             elapsed = int((time.monotonic() - started) * 1000)
-            frames[0] = frames[0].withColumn("duration_ms", F.lit(elapsed).cast("long"))
-        for frame in frames:
-            render.write(frame.toJSON().toLocalIterator(), None)
+            summary = summary.withColumn("duration_ms", F.lit(elapsed).cast("long"))
+        render.write(render.document(summary, name, items), None)
 
 
 def main(arguments: list[str] | None = None) -> None:
-    options = parser().parse_args(with_implicit_find(arguments if arguments is not None else sys.argv[1:]))
+    options = parse(arguments if arguments is not None else sys.argv[1:])
     spark = SparkSession.builder.appName("classatlas").getOrCreate()
     run(spark, options)
 

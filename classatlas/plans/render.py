@@ -25,7 +25,10 @@ def version_json() -> Column:
 
 
 def text_line() -> Column:
-    """One version as a line of the plain summary."""
+    """One version as a line of the plain summary.
+
+    Fixed values: the wording of the line and the spelling of a version.
+    """
     version = F.when(F.col("version").isNull(), F.lit("None")).otherwise(
         F.concat(F.lit('Some("'), F.col("version"), F.lit('")'))
     )
@@ -94,8 +97,20 @@ def lines(atlas: Atlas, found: Found, style: str, elapsed_ms: int) -> Iterator[s
     yield "  ]\n}"
 
 
+def document(summary: DataFrame, name: str | None, items: DataFrame | None) -> Iterator[str]:
+    """One JSON document: the only row of a summary, with ``items`` as a list inside."""
+    head = json.dumps(summary.first().asDict(recursive=True), indent=2, ensure_ascii=False)
+    if items is None:
+        yield head
+        return
+    yield head[:-2] + f',\n  {json.dumps(name)}: ['
+    for number, row in enumerate(_rows(items)):
+        yield ("    " if number == 0 else "    ,") + json.dumps(row, ensure_ascii=False)
+    yield "  ]\n}"
+
+
 def write(report: Iterator[str], output: str | None) -> None:
-    """To standard output, or to a file whose folders are created."""
+    """To standard output, or to a file whose folders are created; lines are written as they come."""
     if output is None:
         for line in report:
             print(line, end="" if line.endswith("\n") else "\n")
@@ -104,4 +119,5 @@ def write(report: Iterator[str], output: str | None) -> None:
     if folder:
         os.makedirs(folder, exist_ok=True)
     with open(output, "w", encoding="utf-8") as target:
-        target.write("\n".join(report))
+        for number, line in enumerate(report):
+            target.write(("\n" if number else "") + line)

@@ -6,19 +6,24 @@ import json
 
 import pytest
 
-from classatlas.__main__ import parser, run, with_implicit_find
+from classatlas.__main__ import parse, run
 
 
-@pytest.mark.parametrize("given, expected", [
-    (["--db", "/tmp/x", "org.example.Demo"], ["--db", "/tmp/x", "find", "org.example.Demo"]),
-    (["--db=/tmp/x", "stats"], ["--db=/tmp/x", "stats"]),
-    (["Foo", "--code-only"], ["find", "Foo", "--code-only"]),
-    (["--m2", "r", "--cfr", "c", "index"], ["--m2", "r", "--cfr", "c", "index"]),
-    (["--", "Foo"], ["--", "find", "Foo"]),
-    ([], []),
+@pytest.mark.parametrize("given, verb, name", [
+    (["--db", "/tmp/x", "net.harbor.Quay"], "find", "net.harbor.Quay"),
+    (["--db=/tmp/x", "stats"], "stats", None),
+    (["Foo", "--code-only", "--db", "/tmp/x"], "find", "Foo"),
+    (["--m2", "r", "--cfr", "c", "--db", "/tmp/x", "index"], "index", None),
+    (["--db", "/tmp/x", "--", "Foo"], "find", "Foo"),
 ])
-def test_implicit_find(given, expected):
-    assert with_implicit_find(given) == expected
+def test_first_bare_word_is_looked_up(given, verb, name):
+    options = parse(given)
+    assert (options.verb, getattr(options, "class_name", None), options.db) == (verb, name, "/tmp/x")
+
+
+def test_no_verb_is_an_error():
+    with pytest.raises(SystemExit):
+        parse([])
 
 
 def test_verbs(spark, tmp_path, jar, capsys, fake_java):
@@ -27,7 +32,7 @@ def test_verbs(spark, tmp_path, jar, capsys, fake_java):
     jar(tmp_path / "repo/a/b/1.0/b-1.0-sources.jar", ("a/b/C.java", "package a.b;\nclass C { }\n"))
 
     def call(*arguments):
-        run(spark, parser().parse_args(with_implicit_find(["--m2", repo, "--db", db, *arguments])))
+        run(spark, parse(["--m2", repo, "--db", db, *arguments]))
         return capsys.readouterr().out
 
     assert json.loads(call("index"))["indexed_classes"] == 1
@@ -37,9 +42,11 @@ def test_verbs(spark, tmp_path, jar, capsys, fake_java):
     target = tmp_path / "out/C.json"
     call("find", "a.b.C", "-f", "structure", "-o", str(target))
     assert json.loads(target.read_text())["versions"][0]["structure"]["class_declaration"] == "class C"
-    counts, top = [json.loads(line) for line in call("stats").splitlines()]
-    assert counts["loaded_jars"] == 1 and top["access_count"] == 3
+    counts = json.loads(call("stats"))
+    assert counts["loaded_jars"] == 1 and [h["access_count"] for h in counts["hotspots"]] == [3]
     assert json.loads(call("load", path))["skipped"]
-    assert json.loads(call("warmup", "--hot").splitlines()[0])["targets"] == 0
+    warmed = json.loads(call("warmup", "--hot"))
+    assert warmed["targets"] == 0 and warmed["loaded_jars"] == []
+    assert [j["skipped"] for j in json.loads(call("warmup", path))["loaded_jars"]] == [True]
     call("clear")
-    assert json.loads(call("stats").splitlines()[0])["cataloged_jars"] == 0
+    assert json.loads(call("stats"))["cataloged_jars"] == 0
