@@ -104,7 +104,7 @@ class Vocabulary:
     def compatible(self, left: int, right: int) -> bool:
         known = self._compatible.get(left << 32 | right)
         if known is None:
-            if len(self._compatible) > CACHE_ENTRIES:
+            if len(self._compatible) > CACHE_ENTRIES // 2:
                 self._compatible.clear()
             known = self._compatible[left << 32 | right] = self._border_holds(left, right, float("inf"))
         return known
@@ -122,6 +122,19 @@ class PrefixTable:
         for _ in self._filled(at + 1, self.last):
             pass
 
+    def become(self, data: bytes) -> None:
+        """Take other bytes; the entries of a common beginning are kept."""
+        same = 0
+        for same, (old, new) in enumerate(zip(self.data, data)):
+            if old != new:
+                break
+        else:
+            same = min(len(self.data), len(data))
+        del self.last[same:]
+        self.data = data
+        for _ in self._filled(same + 1, self.last):
+            pass
+
     def replace(self, start: int, stop: int, by: bytes) -> None:
         """Exchange the bytes from ``start`` to ``stop``; only entries near the edit are filled anew."""
         old, after = self.last, start + len(by)
@@ -175,10 +188,11 @@ class PrefixTable:
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> PieceTable:
     """Encodes texts to little-endian unsigned 32-bit ids by a file of ranks."""
-    vocabulary = Vocabulary.load(path)
+    table = PrefixTable(Vocabulary.load(path))
 
     def encode_piece(piece: str) -> bytes:
-        ids = array.array("I", PrefixTable(vocabulary, piece.encode()).tokens())
+        table.become(piece.encode())
+        ids = array.array("I", table.tokens())
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
@@ -205,7 +219,7 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = encoder(path, pattern)
         for texts in batches:
-            yield pd.Series([table.encode(t) if t else b"" for t in texts], dtype=object)
+            yield pd.Series(table.encode_all(texts), dtype=object)
 
     return encode(text)
 
@@ -232,7 +246,7 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table, tokens = encoder(path, pattern), Decoder.load(path)
         for texts in batches:
-            ids = [table.encode(t) if t else b"" for t in texts]
+            ids = table.encode_all(texts)
             yield pd.DataFrame({"ids": ids, "decoded": [_joined(tokens, r) for r in ids]})
 
     return both(text)

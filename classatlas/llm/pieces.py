@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import regex
 
@@ -48,11 +48,15 @@ class Splitter:
 class PieceTable:
     """Encodes texts piece by piece; encodings are kept up to a number of pieces and a length.
 
-    ``encode_piece`` gives the bytes of one piece's ids. Kept pieces are of two generations:
-    when the young one holds half of all entries it becomes the old one, and what is not
-    asked for again until the next time is forgotten.
+    ``encode_piece`` gives the bytes of one piece's ids; it is called in the order of the
+    pieces, so that neighbours share beginnings. Kept pieces are of two generations: when the
+    young one holds half of all entries it becomes the old one, and what is not asked for
+    again until the next time is forgotten.
     """
 
+    #: Characters of the texts that are looked up together.
+    AT_ONCE = 1 << 18
+
     def __init__(self, pattern: str, encode_piece: Callable[[str], bytes], entries: int, chars: int):
         self.split, self.encode_piece = Splitter(pattern).findall, encode_piece
         self.entries, self.chars = entries, chars
@@ -60,21 +64,31 @@ class PieceTable:
         self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        pieces = self.split(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of every text; none for null."""
+        encoded, waiting, size = [], [], 0
+        for text in texts:
+            waiting.append(text or "")
+            size += len(waiting[-1])
+            if size >= self.AT_ONCE:
+                encoded += self._together(waiting)
+                waiting, size = [], 0
+        return encoded + self._together(waiting)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.entries // 2:
             self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        new = set(pieces).difference(known)
-        for piece in new:
+        known, old, pieces = self.known, self.old, [self.split(text) for text in texts]
+        new = set().union(*pieces).difference(known)
+        for piece in sorted(new):
             known[piece] = old.get(piece) or self.encode_piece(piece)
-        ids = b"".join(map(known.__getitem__, pieces))
-        if len(new) > self.entries // 2:
-            self.known = {}
-        else:
-            for piece in new:
-                if len(piece) > self.chars:
-                    del known[piece]
-        return ids
+        encoded = [b"".join(map(known.__getitem__, some)) for some in pieces]
+        for piece in new:
+            if len(piece) > self.chars:
+                del known[piece]
+        return encoded
 
 
 @functools.cache

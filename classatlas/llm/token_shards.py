@@ -115,7 +115,7 @@ class FileEncoder:
             written = "".join(map(characters.__getitem__, piece.encode()))
             return np.array([t.id for t in tokenize(written)], kind).tobytes()
 
-        self.encode = PieceTable(pattern, encode_piece, CACHE_ENTRIES, CACHE_CHARS).encode
+        self.encode_all = PieceTable(pattern, encode_piece, CACHE_ENTRIES, CACHE_CHARS).encode_all
 
     @staticmethod
     @functools.lru_cache(maxsize=2)
@@ -221,8 +221,8 @@ def write_shards(
                 shard = int(batch["shard"].iloc[0])
                 writer = ShardWriter(f"{folder}/{shard:06d}-{uuid.uuid4().hex}.ids", encoder.kind)
             keys = batch["doc_id"].astype("Int64")
-            for key, text in zip(keys, batch["text"]):
-                writer.add(None if key is pd.NA else int(key), encoder.encode(text) + end)
+            for key, ids in zip(keys, encoder.encode_all(batch["text"])):
+                writer.add(None if key is pd.NA else int(key), ids + end)
         if writer is not None:
             yield pd.DataFrame([{"shard": shard, **writer.close()}]).astype({"first_key": "Int64", "last_key": "Int64"})
 

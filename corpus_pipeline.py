@@ -6,6 +6,8 @@ again as the next one's input. All but the last return the columns of ``document
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,25 +48,34 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digest of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = docs.select(
-        "doc_id", "lang", "source", bpe.encoded(text_or_empty("text"), path, public_tokenizers.PATTERN).alias("ids"))
-    return ids.withColumn("decoded", bpe.decoded(F.col("ids"), path)).select(
-        "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    trip = bpe.round_trip(text_or_empty("text"), path, public_tokenizers.PATTERN)
+    return docs.select("doc_id", "lang", "source", trip.alias("trip")).select(
+        "doc_id", "lang", "source", (F.octet_length("trip.ids") / 4).cast("long").alias("n_tokens"),
+        F.col("trip.ids").alias("ids"), F.sha2("trip.decoded", 256).alias("decoded_sha256"))
+
+
+def _configured(stage):
+    """A stage that sets what its plan relies on, such as small batches for Python, however it is called."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(configure(spark), docs, sf_dir)
+
+    return run_stage
 
 
 STAGES = [
-    ("language_id", identify_language),
-    ("quality_rules", keep_good_quality),
-    ("near_duplicates", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("byte_bpe", encode),
+    ("language_id", _configured(identify_language)),
+    ("quality_rules", _configured(keep_good_quality)),
+    ("near_duplicates", _configured(drop_near_duplicates)),
+    ("mixing", _configured(mix_sources)),
+    ("byte_bpe", _configured(encode)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``."""
-    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
