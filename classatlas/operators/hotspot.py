@@ -40,13 +40,11 @@ def state(log: DataFrame) -> DataFrame:
     )
 
 
-def requests(log: DataFrame, threshold: int = WARMUP_THRESHOLD, before: DataFrame | None = None) -> DataFrame:
-    """Warm-up requests: ``(jar_path, order, priority, mode)``, one per triggering access.
+def marks(log: DataFrame, threshold: int, before: DataFrame | None = None) -> DataFrame:
+    """``(jar_path, first_at, hot_from, was_warm, warm_from)`` of artifacts that were not warm before.
 
-    ``order`` is any comparable column giving the sequence of events. ``before``
-    holds the counters accumulated by earlier batches.
+    The first access, the one that reaches the threshold, and the first warming event.
     """
-    threshold = max(threshold, 1)
     accesses = log.where(~F.col("warmed"))
     # the partial group limit keeps `threshold` rows per artifact and task
     earliest = accesses.select(
@@ -65,13 +63,23 @@ def requests(log: DataFrame, threshold: int = WARMUP_THRESHOLD, before: DataFram
             "was_warm": F.coalesce("was_warm", F.lit(False)),
         })
     number = F.col("n") + F.col("earlier")
-    marks = earliest.groupBy("jar_path").agg(
+    reached = earliest.groupBy("jar_path").agg(
         F.min(F.when(number == 1, F.col("order"))).alias("first_at"),
         F.min(F.when(number >= threshold, F.col("order"))).alias("hot_from"),
         F.bool_or("was_warm").alias("was_warm"),
     )
     warm = log.where("warmed").groupBy("jar_path").agg(F.min("order").alias("warm_from"))
-    bounds = marks.join(warm, "jar_path", "left").where(~F.col("was_warm"))
+    return reached.join(warm, "jar_path", "left").where(~F.col("was_warm"))
+
+
+def requests(log: DataFrame, threshold: int = WARMUP_THRESHOLD, before: DataFrame | None = None) -> DataFrame:
+    """Warm-up requests: ``(jar_path, order, priority, mode)``, one per triggering access.
+
+    ``order`` is any comparable column giving the sequence of events. ``before``
+    holds the counters accumulated by earlier batches.
+    """
+    bounds = marks(log, max(threshold, 1), before)
+    accesses = log.where(~F.col("warmed"))
     hot = F.col("order") >= F.col("hot_from")
     cold = F.col("warm_from").isNull() | (F.col("order") < F.col("warm_from"))
     return (

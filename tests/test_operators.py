@@ -65,7 +65,7 @@ def test_threshold_sequence(spark):
 
 
 def test_earliest_accesses_are_limited_before_the_exchange(spark):
-    plan = hotspot.requests(spark.createDataFrame(random_log(3, 50), LOG))._jdf.queryExecution().toString()
+    plan = hotspot.marks(spark.createDataFrame(random_log(3, 50), LOG), 2)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
