@@ -240,22 +240,24 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, limit: float =
                           (F.floor("rate") + F.col("extra")).cast("long").alias("copies"))
 
 
-def _share(nth: Column) -> Column:
+def _share(copies: Column, equal: Column, nth: Column) -> Column:
     """Copies of the nth of equal rows."""
-    return F.floor(F.col("copies") / F.col("equal")) + (nth <= F.col("copies") % F.col("equal")).cast("long")
+    return F.floor(copies / equal) + (nth <= copies % equal).cast("long")
 
 
 def per_row(mixed: DataFrame) -> DataFrame:
     """One row per document row, with its own ``copies``."""
     rows = mixed.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("equal"))))
-    return rows.withColumn("copies", _share(F.col("_nth"))).drop("_nth", "equal")
+    return rows.withColumn("copies", _share(F.col("copies"), F.col("equal"), F.col("_nth"))).drop("_nth", "equal")
 
 
 def apply_copies(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents themselves, each as often as its ``copies`` say."""
-    chosen = mixed.where("copies > 0").select("row_hash", "copies", "equal")
-    joined = documents.withColumn("row_hash", row_hash()).join(chosen, "row_hash")
-    nth = F.row_number().over(Window.partitionBy("row_hash").orderBy("row_hash"))
-    times = joined.withColumn("_times", _share(nth)).where("_times > 0")
-    return times.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(
+    chosen = mixed.where("copies > 0").select(
+        F.col("row_hash").alias("_mix_row"), F.col("copies").alias("_mix_copies"), F.col("equal").alias("_mix_equal"))
+    joined = documents.withColumn("_mix_row", row_hash()).join(chosen, "_mix_row")
+    nth = F.row_number().over(Window.partitionBy("_mix_row").orderBy("_mix_row"))
+    share = _share(F.col("_mix_copies"), F.col("_mix_equal"), nth)
+    times = joined.withColumn("_mix_times", share).where("_mix_times > 0")
+    return times.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times")))).select(
         *(F.col(f"`{c}`") for c in documents.columns))

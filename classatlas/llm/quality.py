@@ -104,6 +104,11 @@ def measures(text: Column) -> dict[str, tuple[Column, ...]]:
     }
 
 
+def added_columns() -> set[str]:
+    """Names of the columns that ``apply_rules`` adds."""
+    return {*measures(F.lit("")), "base_failed", "kept"}
+
+
 def _passes(rule: Rule) -> Column:
     value, verdict = F.col(rule.measure), F.lit(True)
     if rule.least is not None:

@@ -96,9 +96,9 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     )
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"))
     found = F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
-    best = hits.groupBy("host", "path").agg(F.max_by(found, rank).alias("best"))
+    best = hits.groupBy("host", "path").agg(F.max_by(found, rank).alias("_best"))
     return (
         parsed.join(best, ["host", "path"], "left")
-        .select(*(F.col(f"`{c}`") for c in kept), "host", "path", F.col("best.rule").alias("rule"),
-                F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+        .select(*(F.col(f"`{c}`") for c in kept), "host", "path", F.col("_best.rule").alias("rule"),
+                F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"))
     )

@@ -240,4 +240,8 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+    columns = dict(zip(names, zip(*rows) if rows else [()] * len(names)))
+    # made one by one: whole numbers next to nulls would become rounded ones
+    return pd.DataFrame({
+        n: pd.array(list(c), "Int64") if n in ("page_id", "payload_bytes", "refers_to") else pd.Series(list(c), dtype=object)
+        for n, c in columns.items()})

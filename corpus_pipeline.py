@@ -7,8 +7,9 @@ again as the next one's input. All but the last return the columns of ``document
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -23,16 +24,26 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None
 
 
+def _set_aside(docs: DataFrame, added: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """The rows with own columns renamed whose names an operator adds, and what brings the names back."""
+    clashes = {c for c in docs.columns if c.lower() in set(added)}
+    name = lambda c: f"_own_{c}" if c in clashes else c
+    return (docs.select(*(F.col(f"`{c}`").alias(name(c)) for c in docs.columns)),
+            [F.col(f"`{name(c)}`").alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language is uncertain."""
-    judged = language.predict(docs, language.train(docs))
+    aside, back = _set_aside(docs, language.RESULT)
+    judged = language.predict(aside, language.train(docs))
     accepted = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return judged.where(accepted).select(docs.columns)
+    return judged.where(accepted).select(back)
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that break a quality rule."""
-    return quality.apply_rules(docs).where("kept").select(docs.columns)
+    aside, back = _set_aside(docs, quality.added_columns())
+    return quality.apply_rules(aside).where("kept").select(back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

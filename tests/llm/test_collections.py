@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from classatlas.llm import components, fingerprint, mixing, near_duplicates, queries
+from classatlas.llm import components, fingerprint, mixing, near_duplicates, queries, url_filter
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -65,6 +65,19 @@ def test_mixing(session, table):
         assert repeated.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_columns_of_clashing_names_are_kept(session):
+    rows = [(k, f"w{k} the of and " * 8, "en", "s", 1, "a", "b", "c", "d") for k in range(12)] * 2
+    schema = "doc_id long, text string, lang string, source string, copies long, row_hash string, best string, kept string, score string"
+    docs = session.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(session, docs, "")
+        assert out.columns == docs.columns
+        assert {(r["copies"], r["row_hash"], r["best"], r["kept"], r["score"]) for r in out.collect()} <= {(1, "a", "b", "c", "d")}
+    rules = session.createDataFrame([("a.b", "/", "block")], "host string, path string, verdict string")
+    urls = session.createDataFrame([("http://a.b/", "x", "y")], "url string, best string, host string")
+    assert [tuple(r) for r in url_filter.judge(urls, rules).collect()] == [("http://a.b/", "x", "a.b", "/", "a.b/", "block")]
+
+
 def test_every_document_is_taken_as_often_as_expected(session):
     """Over many seeds the mean number of copies is the source's rate, for large and small documents."""
     rows = [(k, "w " * (50 if k % 7 == 0 else 3), "a" if k % 2 else "b") for k in range(40)]

@@ -49,7 +49,7 @@ def test_awkward_urls(session, table):
 def test_awkward_payloads(session, table):
     pages = ["<p>a</p>", None, "", "<p>a</p>", "é" * 70_000, "<p>a</p>", "\x00\r\n\r\nWARC/1.1\r\n"]
     urls = [None, "http://a b/\r\nX: y", "", "http://é/", "u", "u", "u"]
-    rows = [(k, u, h) for k, (u, h) in enumerate(zip(urls, pages))] + [(None, "u", "<p>null id</p>")]
+    rows = [(k, u, h) for k, (u, h) in enumerate(zip(urls, pages))] + [(None, "u", "<p>null id</p>"), ((1 << 60) + 1, "u", "<p>far</p>"), ((1 << 60) + 3, "u", "<p>far</p>")]
     _agrees(session, table("pages", rows, "page_id long, url string, html string"), "pages", "op7_warc")
 
 
