@@ -60,10 +60,15 @@ def source_entry_paths(spark: SparkSession, d: str) -> DataFrame:
     entry = names.source_entry_of_class(text.let(
         F.concat("fqn", F.lit("$Inner$1")), lambda name: name
     ))
+    class_entry = names.entry_of_class(F.col("fqn"))
+    kind = F.col("doc_id") % 4
+    # descriptors and compiled classes are no sources of a class
+    listed = F.when(kind == 1, F.regexp_replace(entry, r"[^/]+$", "package-info.java")).when(
+        kind == 2, class_entry).otherwise(entry)
     return standin.classes(spark, d).select(
-        "doc_id", entry.alias("entry_name"), names.entry_of_class(F.col("fqn")).alias("class_entry"),
+        "doc_id", entry.alias("entry_name"), class_entry.alias("class_entry"),
         names.class_of_source_entry(entry).alias("class_name"),
-        names.is_class_source(entry).alias("is_class_source"),
+        names.is_class_source(listed).alias("is_class_source"),
     )
 
 
@@ -168,7 +173,7 @@ def structure_members(spark: SparkSession, d: str) -> DataFrame:
 def member_search(spark: SparkSession, d: str) -> DataFrame:
     return _structures(spark, d).select(
         "doc_id", has_member(F.col("c.fields"), "f3 =").alias("has_field"),
-        has_member(F.col("c.methods"), "size(").alias("has_method"),
+        has_member(F.col("c.methods"), "C3(").alias("has_method"),
     )
 
 

@@ -37,7 +37,8 @@ ent AS (
 
 _QUERIES = r"""
 req AS (
-  SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'ant.' || simple_name ELSE fqn END AS class_name FROM cls
+  SELECT doc_id, CASE doc_id % 6 WHEN 3 THEN 'ant.' || simple_name WHEN 5 THEN simple_name ELSE fqn END AS class_name
+  FROM cls
 )"""
 
 _SUFFIX = r"""
@@ -175,14 +176,14 @@ def oracle_sql() -> dict[str, str]:
         "source_entry_paths": _with(_CLASSES) + """
             SELECT doc_id, 'org/' || lang || '/core/' || simple_name || '.java' AS entry_name,
               'org/' || lang || '/core/' || simple_name || '.class' AS class_entry, fqn AS class_name,
-              true AS is_class_source FROM cls""",
+              doc_id % 4 NOT IN (1, 2) AS is_class_source FROM cls""",
         "source_point_read": _with(_CLASSES, _QUERIES, _CACHE) + """
             SELECT d.fqn, d.jar_path, split_part(d.jar_path, '/', -2) AS version, sha256(s.content) AS content_hash
             FROM dec d LEFT JOIN srcs s USING (fqn, jar_path)""",
         "bulk_sources_keep_first": _with(_CLASSES, _QUERIES, _CACHE) + """
             SELECT jar_path, fqn, doc_id AS entry_idx, sha256(content) AS content_hash FROM srcs""",
         "normalize_query": _with(_CLASSES, _QUERIES) + """
-            SELECT doc_id, class_name, true AS is_qualified FROM req""",
+            SELECT doc_id, class_name, contains(class_name, '.') AS is_qualified FROM req""",
         "version_from_path": _with(_CLASSES, _PATHS) + """
             SELECT doc_id, CASE WHEN doc_id % 6 IN (3, 4) THEN NULL ELSE version END AS version FROM paths""",
         "version_filter": _with(_CLASSES) + "SELECT DISTINCT fqn, jar_path FROM cls WHERE version = '10.0'",
@@ -223,7 +224,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT doc_id, 'method', 1, simple_name || '()', NULL FROM java""",
         "member_search": _with(_CLASSES, _JAVA) + """
-            SELECT doc_id, len(lines) > 3 AS has_field, true AS has_method FROM java""",
+            SELECT doc_id, len(lines) > 3 AS has_field, simple_name = 'C3' AS has_method FROM java""",
         "registry_build": _with(_CLASSES) + "SELECT fqn, jar_path, min(doc_id) AS seq FROM cls GROUP BY ALL",
         "registry_counts": _with(_CLASSES) + """
             SELECT fqn, count(DISTINCT jar_path) AS artifacts, arg_min(jar_path, doc_id) AS first_jar

@@ -208,13 +208,14 @@ def warmup_tasks(spark: SparkSession, directory: str) -> DataFrame:
 
 def raw_queries(spark: SparkSession, directory: str) -> DataFrame:
     """Names as users paste them, one per document."""
-    kind = F.col("doc_id") % 5
+    kind = F.col("doc_id") % 6
     fqn, lang, simple = F.col("fqn"), F.col("lang"), F.col("simple_name")
     raw = (
         F.when(kind == 0, cat("  import org.", lang, ". core. ", simple, " ; "))
         .when(kind == 1, cat("import ", fqn, ";;;"))
         .when(kind == 2, cat("\timport\torg.", lang, ".core.", simple, "\n"))
         .when(kind == 3, cat("important.", simple))
+        .when(kind == 5, cat(" import ", simple, " ;"))
         .otherwise(cat(fqn, " "))
     )
     return classes(spark, directory).select("doc_id", raw.alias("raw"))
