@@ -23,6 +23,9 @@ Groups of any size cost no all-pairs join. In a bucket
    The comparison is part of the join, and a pair is looked at in the first band it shares
    only, so what the join emits are links, not pairs.
 
+Rows of a bucket or class meet one row per bucket or class only after that was written, so
+that adaptive execution can split a hot bucket or class over tasks.
+
 So no pair that shares a bucket is left out unless it already is in one class. Classes are
 the connected components of the links; a class's name is its least document id.
 
@@ -193,7 +196,7 @@ def _central_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     best = F.max(F.struct("similarity", "node")).alias("best")
     central = judged.where("similarity IS NOT NULL").groupBy("bucket").agg(best).select(
         "bucket", F.col("best.node").alias("center"))
-    apart = judged.where("similarity IS NULL").join(central, "bucket")
+    apart = judged.where("similarity IS NULL").join(written(central, "near-centers"), "bucket")
     return apart.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
 
 
@@ -207,7 +210,7 @@ def _remaining_links(members: DataFrame, nodes: DataFrame, shingles: DataFrame,
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes"))
     split = largest.where("classes > 1").select("bucket", F.col("top.root").alias("top"))
     mixed = written(
-        rooted.join(split, "bucket").join(nodes.select("node", "bands", "sig"), "node").join(shingles, "node"), "near-remaining")
+        rooted.join(written(split, "near-split"), "bucket").join(nodes.select("node", "bands", "sig"), "node").join(shingles, "node"), "near-remaining")
     outside = mixed.where("root <> top").alias("x")
     before = lambda side: F.slice(f"{side}.bands", F.lit(1), F.col("x.band"))
     seen_before = F.arrays_overlap(before("x"), before("y"))  # hashes of different bands differ
@@ -229,7 +232,7 @@ def _classified(documents: DataFrame) -> DataFrame:
         F.min(F.struct("doc_id", "tie")).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    members = written(buckets.join(shared.drop("last"), "bucket"), "near-members")
+    members = written(buckets.join(written(shared.drop("last"), "near-leads"), "bucket"), "near-members")
     # the shingles of one row per node that shares a bucket; texts are joined before anything is computed of them
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node").select("rep.*")
     chosen = texts.withColumn("tie", F.xxhash64("text")).alias("t").join(
@@ -255,7 +258,7 @@ def classes(documents: DataFrame) -> DataFrame:
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     alone = documents.where(_wordless()).select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return rooted.join(names, "root").select("doc_id", "class_id", "class_size").unionByName(alone)
+    return rooted.join(written(names, "near-names"), "root").select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
 def one_per_class(documents: DataFrame) -> DataFrame:
