@@ -197,7 +197,7 @@ def encoder(path: str, pattern: str) -> PieceTable:
             ids.byteswap()
         return ids.tobytes()
 
-    return PieceTable(pattern, encode_piece, CACHE_ENTRIES, CACHE_CHARS)
+    return PieceTable(pattern, encode_piece, CACHE_ENTRIES, CACHE_CHARS, in_order=True)
 
 
 class Decoder:

@@ -48,8 +48,8 @@ class Splitter:
 class PieceTable:
     """Encodes texts piece by piece; encodings are kept up to a number of pieces and a length.
 
-    ``encode_piece`` gives the bytes of one piece's ids; it is called in the order of the
-    pieces, so that neighbours share beginnings. Kept pieces are of two generations: when the
+    ``encode_piece`` gives the bytes of one piece's ids; with ``in_order`` it is called in
+    the order of the pieces, so that neighbours share beginnings. Kept pieces are of two generations: when the
     young one holds half of all entries it becomes the old one, and what is not asked for
     again until the next time is forgotten.
     """
@@ -57,7 +57,8 @@ class PieceTable:
     #: Characters of the texts that are looked up together.
     AT_ONCE = 1 << 18
 
-    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes], entries: int, chars: int):
+    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes], entries: int, chars: int, in_order: bool = False):
+        self.in_order = in_order
         self.split, self.encode_piece = Splitter(pattern).findall, encode_piece
         self.entries, self.chars = entries, chars
         self.known: dict[str, bytes] = {}
@@ -82,7 +83,7 @@ class PieceTable:
             self.known, self.old = {}, self.known
         known, old, pieces = self.known, self.old, [self.split(text) for text in texts]
         new = set().union(*pieces).difference(known)
-        for piece in sorted(new):
+        for piece in sorted(new) if self.in_order else new:
             known[piece] = old.get(piece) or self.encode_piece(piece)
         encoded = [b"".join(map(known.__getitem__, some)) for some in pieces]
         for piece in new:

@@ -27,8 +27,10 @@ name; only files in the manifest count.
 
 from __future__ import annotations
 
+import array
 import functools
 import json
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -46,7 +48,7 @@ MAGIC = b"CATOKEN1"
 GAMMA = 1.7
 MAX_LEVELS = 48
 #: Entries of a worker's table of encoded pieces, and characters of the longest that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
 
 MANIFEST = "shard long, path string, documents long, ids long, nulls long, first_key long, last_key long"
 
@@ -109,11 +111,18 @@ class FileEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        tokenize, kind, characters = tokenizer.model.tokenize, self.kind, byte_characters()
+        tokenize, characters, kind = tokenizer.model.tokenize, byte_characters(), "H" if self.kind.itemsize == 2 else "I"
+        blank, swapped = characters[0x20], sys.byteorder == "big"
 
         def encode_piece(piece: str) -> bytes:
-            written = "".join(map(characters.__getitem__, piece.encode()))
-            return np.array([t.id for t in tokenize(written)], kind).tobytes()
+            if piece.isascii() and piece.isprintable():  # of these only the blank is written differently
+                written = piece.replace(" ", blank)
+            else:
+                written = "".join(map(characters.__getitem__, piece.encode()))
+            ids = array.array(kind, [t.id for t in tokenize(written)])
+            if swapped:
+                ids.byteswap()
+            return ids.tobytes()
 
         self.encode_all = PieceTable(pattern, encode_piece, CACHE_ENTRIES, CACHE_CHARS).encode_all
 
@@ -211,7 +220,10 @@ def write_shards(
     folder = folder or shared_folder(documents.sparkSession, "token-shards")
     rows = documents.select("doc_id", text_or_empty("text").alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    numbered = ordered.withColumn("shard", F.spark_partition_id().cast("long"))
+    # a flag instead of null ids: whole numbers next to nulls would arrive as rounded ones
+    numbered = ordered.select(
+        F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text",
+        F.spark_partition_id().cast("long").alias("shard"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, writer, shard = FileEncoder.load(tokenizer, pattern), None, None
@@ -220,9 +232,8 @@ def write_shards(
             if writer is None and len(batch):
                 shard = int(batch["shard"].iloc[0])
                 writer = ShardWriter(f"{folder}/{shard:06d}-{uuid.uuid4().hex}.ids", encoder.kind)
-            keys = batch["doc_id"].astype("Int64")
-            for key, ids in zip(keys, encoder.encode_all(batch["text"])):
-                writer.add(None if key is pd.NA else int(key), ids + end)
+            for no_id, key, ids in zip(batch["no_id"], batch["doc_id"], encoder.encode_all(batch["text"])):
+                writer.add(None if no_id else int(key), ids + end)
         if writer is not None:
             yield pd.DataFrame([{"shard": shard, **writer.close()}]).astype({"first_key": "Int64", "last_key": "Int64"})
 
