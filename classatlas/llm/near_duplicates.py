@@ -11,8 +11,7 @@ Texts with equal words are one node. Nodes that agree in all ``ROWS`` registers
 ``BANDS`` bands share a bucket; at a similarity of 0.8 two miss each other in all bands once
 in 16,000 pairs. A pair from a bucket counts if the two signatures do not contradict it
 (four standard deviations) and its exact similarity is at least ``THRESHOLD``: the larger of
-the Jaccard similarities of the shingles without and with their repeats. The latter never
-exceeds the probability Jaccard similarity, so banding does not miss what it links.
+the Jaccard and the probability Jaccard similarity of the shingles.
 
 Groups of any size cost no all-pairs join. In a bucket
 
@@ -107,22 +106,22 @@ def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                             "sig": [w.astype(np.uint16).view(np.int16) for w in winners]})
 
 
-@F.pandas_udf(T.StructType([T.StructField("set", T.ArrayType(T.LongType())), T.StructField("bag", T.ArrayType(T.LongType()))]))
+@F.pandas_udf(T.StructType([T.StructField("set", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))]))
 def _collected(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Different shingles, and if some repeat, one element per occurrence: the shingle, then hashes of it and a number."""
+    """Different shingles, and if some repeat, how often each occurs."""
     for rows in batches:
-        sets, bags = [], []
+        sets, weights = [], []
         for row in rows:
             keys, counts = np.unique(np.asarray(row, np.int64), return_counts=True)
             sets.append(keys)
-            if counts.max() == 1:
-                bags.append(None)
-                continue
-            number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            each = np.repeat(keys, counts)
-            again = _mixed(each.view(np.uint64) + number.astype(np.uint64) * _STEP).view(np.int64)
-            bags.append(np.where(number == 0, each, again))
-        yield pd.DataFrame({"set": sets, "bag": pd.Series(bags, dtype=object)})
+            weights.append(counts if counts.max() > 1 else None)
+        yield pd.DataFrame({"set": sets, "counts": pd.Series(weights, dtype=object)})
+
+
+def _levels(keys: Column, counts: Column) -> Column:
+    """The shingles of every count that occurs; null without repeats."""
+    return F.transform(F.array_distinct(counts), lambda n: F.struct(
+        n.alias("n"), F.filter(keys, lambda _, i: F.get(counts, i) == n).alias("keys")))
 
 
 def _jaccard(a: Column, b: Column) -> Column:
@@ -130,10 +129,38 @@ def _jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def similarity(set_a: Column, bag_a: Column, set_b: Column, bag_b: Column) -> Column:
-    """The larger of the Jaccard similarities of the shingles without and with their repeats."""
-    weighted = bag_a.isNotNull() | bag_b.isNotNull()
-    with_repeats = F.when(weighted, _jaccard(F.coalesce(bag_a, set_a), F.coalesce(bag_b, set_b)))
+def _sum(rows: Column, value) -> Column:
+    return F.aggregate(rows, F.lit(0).cast("long"), lambda done, row: done + value(row))
+
+
+def _probability_jaccard(a: Column, b: Column) -> Column:
+    """Per common shingle i of counts x and y: 1 / sum over all j of max(x_j / x_i, y_j / y_i).
+
+    Common shingles of equal counts are one term. The larger ratio is x_j / x_i where x_j / y_j is not below x_i / y_i.
+    """
+    met = F.filter(F.flatten(F.transform(a, lambda p: F.transform(b, lambda q: F.struct(
+        p["n"].alias("x"), q["n"].alias("y"), F.size(F.array_intersect(p["keys"], q["keys"])).cast("long").alias("n"))))),
+        lambda g: g["n"] > 0)
+    total = lambda levels: _sum(levels, lambda p: p["n"] * F.size(p["keys"]))
+
+    def summed(g: Column) -> Column:
+        groups, only_a, only_b = g["met"], g["only_a"], g["only_b"]
+        return F.aggregate(groups, F.lit(0.0), lambda done, i: done + i["n"] / (
+            (only_a + _sum(groups, lambda j: F.when(j["x"] * i["y"] >= i["x"] * j["y"], j["n"] * j["x"]).otherwise(0))) / i["x"]
+            + (only_b + _sum(groups, lambda j: F.when(j["x"] * i["y"] < i["x"] * j["y"], j["n"] * j["y"]).otherwise(0))) / i["y"]))
+
+    # arrays of one element hold what is used several times
+    only = lambda m: F.struct(
+        m.alias("met"), (total(a) - _sum(m, lambda g: g["n"] * g["x"])).alias("only_a"),
+        (total(b) - _sum(m, lambda g: g["n"] * g["y"])).alias("only_b"))
+    return F.get(F.transform(F.transform(F.array(met), only), summed), F.lit(0))
+
+
+def similarity(set_a: Column, levels_a: Column, set_b: Column, levels_b: Column) -> Column:
+    """The larger of the Jaccard and the probability Jaccard similarity; they are equal without repeats."""
+    once = lambda keys: F.array(F.struct(F.lit(1).cast("long").alias("n"), keys.alias("keys")))
+    weighted = levels_a.isNotNull() | levels_b.isNotNull()
+    with_repeats = F.when(weighted, _probability_jaccard(F.coalesce(levels_a, once(set_a)), F.coalesce(levels_b, once(set_b))))
     return F.greatest(_jaccard(set_a, set_b), with_repeats)
 
 
@@ -170,8 +197,8 @@ class _Links:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of the pairs that are links."""
         agreeing = self._with(pairs, self.nodes, "sig").where(_agree(F.col("sig_a"), F.col("sig_b"))).select("a", "b")
-        compared = self._with(agreeing, self.shingles, "set", "bag").select(
-            "a", "b", similarity(*(F.col(c) for c in ("set_a", "bag_a", "set_b", "bag_b"))).alias("similarity"))
+        compared = self._with(agreeing, self.shingles, "set", "levels").select(
+            "a", "b", similarity(*(F.col(c) for c in ("set_a", "levels_a", "set_b", "levels_b"))).alias("similarity"))
         return self.add(computed_once(compared, ["similarity"]).where(F.col("similarity") >= THRESHOLD))
 
     def add(self, links: DataFrame) -> DataFrame:
@@ -214,7 +241,7 @@ def _remaining_links(members: DataFrame, nodes: DataFrame, shingles: DataFrame,
     outside = mixed.where("root <> top").alias("x")
     before = lambda side: F.slice(f"{side}.bands", F.lit(1), F.col("x.band"))
     seen_before = F.arrays_overlap(before("x"), before("y"))  # hashes of different bands differ
-    exact = similarity(*(F.col(c) for c in ("x.set", "x.bag", "y.set", "y.bag"))) >= THRESHOLD
+    exact = similarity(*(F.col(c) for c in ("x.set", "x.levels", "y.set", "y.levels"))) >= THRESHOLD
     both_outside = F.col("y.root") != F.col("y.top")
     meets = (
         (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
@@ -238,7 +265,7 @@ def _classified(documents: DataFrame) -> DataFrame:
     chosen = texts.withColumn("tie", F.xxhash64("text")).alias("t").join(
         wanted.alias("w"), (F.col("t.tie") == F.col("w.tie")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     collected = _shingled(chosen.drop("tie")).select("node", _collected("shingles").alias("c"))
-    shingles = written(collected.select("node", "c.set", "c.bag"), "near-shingles")
+    shingles = written(collected.select("node", "c.set", _levels(F.col("c.set"), F.col("c.counts")).alias("levels")), "near-shingles")
 
     links = _Links(nodes, shingles)
     first = links.verify(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())

@@ -145,7 +145,9 @@ def _bag(text):
 
 
 def _similar(a, b):
-    return max(len(a.keys() & b.keys()) / len(a.keys() | b.keys()), (a & b).total() / (a | b).total())
+    jaccard = len(a.keys() & b.keys()) / len(a.keys() | b.keys())
+    keys = a.keys() | b.keys()
+    return max(jaccard, sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in keys) for i in a.keys() & b.keys()))
 
 
 def _classes(rows):
@@ -216,6 +218,41 @@ def test_signature_estimates_similarity():
         assert abs(np.mean(gaps)) < 0.03
 
 
+def _probability_similar(a, b):
+    keys = a.keys() | b.keys()
+    return sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in keys) for i in a.keys() & b.keys())
+
+
+def test_exact_similarity_is_the_probability_jaccard(session):
+    from pyspark.sql import functions as F
+
+    draw, pairs = random.Random(12), []
+    for n in (1, 5, 30, 90):
+        for most in (1, 2, 7):
+            a = [k for k in range(n) for _ in range(draw.randint(1, most))]
+            b = [k for k in range(n // 4, n + 3) for _ in range(draw.randint(1, most))]
+            pairs.append((a, b))
+    frame = session.createDataFrame(pairs, "a array<bigint>, b array<bigint>").select("a", "b", *(
+        near_duplicates._collected(c).alias(f"c{c}") for c in "ab"))
+    sides = [x for c in "ab" for x in (F.col(f"c{c}.set"), near_duplicates._levels(F.col(f"c{c}.set"), F.col(f"c{c}.counts")))]
+    for r in frame.select("a", "b", near_duplicates.similarity(*sides).alias("s")).collect():
+        a, b = collections.Counter(r["a"]), collections.Counter(r["b"])
+        assert r["s"] == pytest.approx(max(len(a.keys() & b.keys()) / len(a.keys() | b.keys()), _probability_similar(a, b)))
+
+
+def test_copied_text_is_near_its_edited_copies(session, table):
+    """Several edited copies of a text in one: near by the probability Jaccard similarity only."""
+    draw, rows = random.Random(13), []
+    for k, copies in enumerate((3, 4)):
+        base = _words(draw, 300)
+        for text in (base, " ".join([base] + [_edited(draw, base, 8) for _ in range(copies - 1)])):
+            rows.append((2 * k + len(rows) % 2, text, None, None, None))
+        a, b = (_bag(r[1]) for r in rows[-2:])
+        assert _probability_similar(a, b) > 0.8 > max(len(a.keys() & b.keys()) / len(a.keys() | b.keys()), (a & b).total() / (a | b).total())
+    found = {r["doc_id"]: r["class_id"] for r in queries.op10_near_duplicates(session, table("documents", rows, DOCUMENTS)).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
 def test_components(session):
     draw = random.Random(9)
     links = [(k, k + 1) for k in range(0, 60)] + [(draw.randint(100, 160), draw.randint(100, 160)) for _ in range(50)] + [(200, k) for k in range(201, 240)]
