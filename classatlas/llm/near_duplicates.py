@@ -5,13 +5,15 @@ it occurs. Every shingle has a Poisson process of arrivals, at a rate that is it
 an arrival hits one of ``COMPONENTS`` registers, and a register keeps the shingle of its
 earliest hit. A shingle's arrivals end as soon as they come later than the latest of all
 registers. Two texts agree in a register with the probability of their probability Jaccard
-similarity, which for shingles of weight one is the Jaccard similarity.
+similarity, which for shingles of weight one is the Jaccard similarity. A text with repeated
+shingles has a second signature, of its shingles with weight one; for others both are equal.
 
 Texts with equal words are one node. Nodes that agree in all ``ROWS`` registers of one of
-``BANDS`` bands share a bucket; at a similarity of 0.8 two miss each other in all bands once
-in 16,000 pairs. A pair from a bucket counts if the two signatures do not contradict it
-(four standard deviations) and its exact similarity is at least ``THRESHOLD``: the larger of
-the Jaccard and the probability Jaccard similarity of the shingles.
+``BANDS`` bands of either signature share a bucket; at a similarity of 0.8 two miss each
+other in all bands once in 16,000 pairs. A pair from a bucket counts if its weighted or its
+unweighted signatures do not contradict it (four standard deviations) and its exact
+similarity is at least ``THRESHOLD``: the larger of the Jaccard and the probability Jaccard
+similarity of the shingles. Each of the two has the signature that estimates it.
 
 Groups of any size cost no all-pairs join. In a bucket
 
@@ -19,7 +21,7 @@ Groups of any size cost no all-pairs join. In a bucket
 2. nodes not linked to it are compared with the bucket's most central node, the one most
    similar to the least one;
 3. only nodes outside the bucket's largest class are compared with all other classes of it.
-   The comparison is part of the join, and a pair is looked at in the first band it shares
+   The comparison is part of the join, and a pair is looked at in the first bucket it shares
    only, so what the join emits are links, not pairs.
 
 Rows of a bucket or class meet one row per bucket or class only after that was written, so
@@ -98,12 +100,22 @@ def _bands(winner: np.ndarray) -> np.ndarray:
     return hashed.view(np.int64)
 
 
-@F.pandas_udf(T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.ShortType()))]))
+@F.pandas_udf(T.StructType([
+    T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.ShortType())),
+    T.StructField("set_sig", T.ArrayType(T.ShortType()))]))
 def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Hashes of the bands of both signatures, in order; the signatures, the second one only if shingles repeat."""
+    short = lambda winner: winner.astype(np.uint16).view(np.int16)
     for rows in batches:
-        winners = [signature(np.asarray(r, np.int64)) for r in rows]
-        yield pd.DataFrame({"bands": [_bands(w) for w in winners],
-                            "sig": [w.astype(np.uint16).view(np.int16) for w in winners]})
+        buckets, sigs, set_sigs = [], [], []
+        for row in rows:
+            shingles = np.asarray(row, np.int64)
+            distinct = np.unique(shingles)
+            winners = [signature(shingles)] + ([signature(distinct)] if len(distinct) < len(shingles) else [])
+            buckets.append(np.unique(np.concatenate([_bands(w) for w in winners])))
+            sigs.append(short(winners[0]))
+            set_sigs.append(short(winners[1]) if winners[1:] else None)
+        yield pd.DataFrame({"buckets": buckets, "sig": sigs, "set_sig": pd.Series(set_sigs, dtype=object)})
 
 
 @F.pandas_udf(T.StructType([T.StructField("set", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))]))
@@ -181,6 +193,12 @@ def _agree(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
 
 
+def _plausible(sig_a: Column, set_sig_a: Column, sig_b: Column, set_sig_b: Column) -> Column:
+    """The weighted or the unweighted signatures agree often enough."""
+    repeats = set_sig_a.isNotNull() | set_sig_b.isNotNull()
+    return _agree(sig_a, sig_b) | (repeats & _agree(F.coalesce(set_sig_a, sig_a), F.coalesce(set_sig_b, sig_b)))
+
+
 class _Links:
     """Verifies pairs of nodes (a, b) and gathers the links found."""
 
@@ -196,7 +214,8 @@ class _Links:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of the pairs that are links."""
-        agreeing = self._with(pairs, self.nodes, "sig").where(_agree(F.col("sig_a"), F.col("sig_b"))).select("a", "b")
+        plausible = _plausible(*(F.col(c) for c in ("sig_a", "set_sig_a", "sig_b", "set_sig_b")))
+        agreeing = self._with(pairs, self.nodes, "sig", "set_sig").where(plausible).select("a", "b")
         compared = self._with(agreeing, self.shingles, "set", "levels").select(
             "a", "b", similarity(*(F.col(c) for c in ("set_a", "levels_a", "set_b", "levels_b"))).alias("similarity"))
         return self.add(computed_once(compared, ["similarity"]).where(F.col("similarity") >= THRESHOLD))
@@ -232,20 +251,22 @@ def _remaining_links(members: DataFrame, nodes: DataFrame, shingles: DataFrame,
 
     Shingles are compared by the join itself, so that only links leave it.
     """
-    rooted = _rooted(members, roots).select("bucket", "band", "node", "root")
+    rooted = _rooted(members, roots).select("bucket", "place", "node", "root")
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes"))
     split = largest.where("classes > 1").select("bucket", F.col("top.root").alias("top"))
     mixed = written(
-        rooted.join(written(split, "near-split"), "bucket").join(nodes.select("node", "bands", "sig"), "node").join(shingles, "node"), "near-remaining")
+        rooted.join(written(split, "near-split"), "bucket").join(nodes.select("node", "buckets", "sig", "set_sig"), "node").join(shingles, "node"), "near-remaining")
     outside = mixed.where("root <> top").alias("x")
-    before = lambda side: F.slice(f"{side}.bands", F.lit(1), F.col("x.band"))
-    seen_before = F.arrays_overlap(before("x"), before("y"))  # hashes of different bands differ
+    # buckets are in order, so what both share before this one stands before it in both
+    before = lambda side: F.slice(f"{side}.buckets", F.lit(1), F.col(f"{side}.place"))
+    seen_before = F.arrays_overlap(before("x"), before("y"))
+    plausible = _plausible(*(F.col(c) for c in ("x.sig", "x.set_sig", "y.sig", "y.set_sig")))
     exact = similarity(*(F.col(c) for c in ("x.set", "x.levels", "y.set", "y.levels"))) >= THRESHOLD
     both_outside = F.col("y.root") != F.col("y.top")
     meets = (
         (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
-        & (~both_outside | (F.col("x.node") < F.col("y.node"))) & ~seen_before & _agree(F.col("x.sig"), F.col("y.sig")) & exact)
+        & (~both_outside | (F.col("x.node") < F.col("y.node"))) & ~seen_before & plausible & exact)
     return outside.join(mixed.alias("y"), meets).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
@@ -256,8 +277,9 @@ def _classified(documents: DataFrame) -> DataFrame:
     signed = _shingled(texts).select("doc_id", "tie", "node", _signed("shingles").alias("s"))
     rows = written(signed.select("doc_id", "tie", "node", "s.*"), "near-signatures")
     nodes = written(rows.groupBy("node").agg(
-        F.min(F.struct("doc_id", "tie")).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-nodes")
-    buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+        F.min(F.struct("doc_id", "tie")).alias("rep"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"),
+        F.first("set_sig").alias("set_sig")), "near-nodes")
+    buckets = nodes.select("node", F.posexplode("buckets").alias("place", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
     members = written(buckets.join(written(shared.drop("last"), "near-leads"), "bucket"), "near-members")
     # the shingles of one row per node that shares a bucket; texts are joined before anything is computed of them

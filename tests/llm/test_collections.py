@@ -253,6 +253,19 @@ def test_copied_text_is_near_its_edited_copies(session, table):
     assert found == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
+def test_repeated_passage_is_near_the_single_one(session, table):
+    """A passage that comes several times: near by the Jaccard similarity of the different shingles only."""
+    draw, rows = random.Random(14), []
+    for k, more in enumerate((9, 30)):
+        base = _words(draw, 300).split()
+        for times in (1, 1 + more, 2):
+            rows.append((3 * k + len(rows) % 3, " ".join(base[:60] * times + base[60:]), None, None, None))
+        a, b = _bag(rows[-3][1]), _bag(rows[-2][1])
+        assert len(a.keys() & b.keys()) / len(a.keys() | b.keys()) > 0.95 and _probability_similar(a, b) < 0.5
+    found = {r["doc_id"]: r["class_id"] for r in queries.op10_near_duplicates(session, table("documents", rows, DOCUMENTS)).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+
+
 def test_components(session):
     draw = random.Random(9)
     links = [(k, k + 1) for k in range(0, 60)] + [(draw.randint(100, 160), draw.randint(100, 160)) for _ in range(50)] + [(200, k) for k in range(201, 240)]
