@@ -30,9 +30,10 @@ from __future__ import annotations
 import array
 import functools
 import json
+import re
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -104,7 +105,11 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 
 class FileEncoder:
-    """Encodes texts with the byte-level BPE model of a tokenizer file; pieces that come again are looked up."""
+    """Encodes texts as a tokenizer file's library does; pieces that come again are looked up.
+
+    The file's added tokens are found first, from the left and the longest of those at one
+    place; the byte-level BPE model gets the texts between them.
+    """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
@@ -124,7 +129,30 @@ class FileEncoder:
                 ids.byteswap()
             return ids.tobytes()
 
-        self.encode_all = PieceTable(pattern, encode_piece, CACHE_ENTRIES, CACHE_CHARS).encode_all
+        self._between = PieceTable(pattern, encode_piece, CACHE_ENTRIES, CACHE_CHARS).encode_all
+        added = tokenizer.get_added_tokens_decoder()
+        for token in added.values():
+            if token.single_word or token.lstrip or token.rstrip or token.normalized:
+                raise ValueError(f"added token {token.content!r} has a rule of matching that is not supported")
+        self._added = {token.content: np.array([i], self.kind).tobytes() for i, token in added.items() if token.content}
+        longest_first = sorted(self._added, key=len, reverse=True)
+        self._split = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if self._added else None
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of every text; none for null."""
+        if self._split is None:
+            return self._between(texts)
+        whole, parted = [], {}
+        for k, text in enumerate(texts):
+            whole.append(text)
+            if text and any(token in text for token in self._added):
+                parted[k], whole[k] = self._split(text), None
+        encoded = self._between(whole)
+        for k, parts in parted.items():
+            parts[::2] = self._between(parts[::2])
+            parts[1::2] = map(self._added.__getitem__, parts[1::2])
+            encoded[k] = b"".join(parts)
+        return encoded
 
     @staticmethod
     @functools.lru_cache(maxsize=2)

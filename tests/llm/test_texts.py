@@ -93,6 +93,14 @@ def test_shards_hold_what_the_library_encodes(session, table):
     assert store.get(5) == [] and store.get(-(1 << 60)) == []
 
 
+def test_added_tokens_of_the_file_as_the_library():
+    encoder, tokenizer, end = token_shards.FileEncoder(FILE, public_tokenizers.PATTERN), Tokenizer.from_file(FILE), "<|endoftext|>"
+    texts = [*TEXTS, end, end * 3, f"a {end} b", f" {end}\n\n{end}  ", f"<|{end}|> <|endoftext|", f"é{end}漢", "plain"]
+    found = [np.frombuffer(ids, encoder.kind).tolist() for ids in encoder.encode_all(texts)]
+    assert found == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert found[TEXTS.index("<|endoftext|> plain")] == [50256, 8631]
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(3).integers(-(1 << 63), 1 << 63 - 1, 20_000))
     index = token_shards.PerfectHash.build(keys)
