@@ -2,8 +2,9 @@
 
 The page is read into a tree of elements. Elements that are never article text (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles and hidden
-parts) are left out by tag, role or the words of their class and id. What remains falls
-into blocks of text. Every block passes points for its length and commas to the elements
+parts) are left out by tag, role or the words of their class and id. Inside ``article`` and
+``main`` these words count for containers only, where ids are often made from headings: an
+id counts there if it has no other words. What remains falls into blocks of text. Every block passes points for its length and commas to the elements
 around it, fewer the farther away, discounted by the part of its text inside links. The
 element with most points, discounted by its own link density, is the container; if it lies
 inside an ``article`` or ``main`` element, that one is. Its siblings are kept if they have
@@ -55,6 +56,11 @@ BAD_WORDS = frozenset(
     "notice notification overlay pager pagination popup promo promoted promotion register related reply replies search "
     "share sharing shoutbox sidebar signup social sponsor sponsored sponsors subscribe subscription tags toolbar "
     "widget".split())
+#: Words an id may have besides those and still name no text; classes of adverts, on any element.
+PLAIN_WORDS = frozenset("area articles bar block bottom box container form item items left links list post posts right section top wrap wrapper".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement".split())
+#: What the words count for inside of articles; a section's id is its heading's.
+CONTAINERS = frozenset("address aside center details div dl fieldset footer header hgroup ol section table ul".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NEVER_LEFT_OUT = frozenset("html body article main".split())
 
@@ -95,9 +101,23 @@ def _looks(tag: str, attributes: str, parent: Element) -> tuple[bool, bool]:
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or (
         "style" in found and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found["style"], re.I))
     bad = words & BAD_WORDS and (tag != "div" and tag != "section" or not good or words & {"ad", "ads", "comments", "sidebar"})
+    if bad and _inside(parent, {"article", "main"}):
+        bad = _bad_in_article(tag, found.get("class", ""), found.get("id", ""))
     return bool(hidden or bad or found.get("role", "").lower() in BAD_ROLES), good
 
 
+def _bad_in_article(tag: str, classes: str, name: str) -> bool:
+    """Whether class and id, one of which has a bad word, name something else than text of the article around."""
+    if tag not in CONTAINERS:
+        return not ADVERTS.isdisjoint(classes.lower().split())
+    of_class, of_id = ({w.lower() for w in _WORDS.findall(x)} for x in (classes, name))
+    if of_class & BAD_WORDS:
+        return True
+    if tag not in ("div", "aside") or "section" in of_class:
+        return bool(of_id) and of_id <= {*ADVERTS, "comments", "sidebar"}
+    return of_id <= BAD_WORDS | PLAIN_WORDS
+
+
 def _inside(element: Element | None, tags: set[str]) -> bool:
     while element is not None:
         if element.tag in tags:

@@ -149,6 +149,16 @@ def test_main_text(page, text):
         assert html_text.extract(page) == text
 
 
+def test_slugs_in_an_article_cut_nothing():
+    kept = ("<h2 id='related-work'>A</h2><p id='notice-of-change'>B</p><section id='search-algorithms'><p>C</section>"
+            "<p>D <span class='tags'>E</span></p><ul><li id='login'>F</ul><div id='related-work'>G</div><div class='section' id='search'>H</div>"
+            "<table><tr><td class='header'>I</table>")
+    cut = ("<div class='share'>no</div><div id='comments'>no</div><div id='related-posts'>no</div><section class='newsletter-signup'>no</section>"
+           "<ul class='tags'><li>no</ul><p class='ad'>no</p><section id='comments'>no</section>")
+    for tag in ("article", "main"):
+        assert html_text.extract(f"<{tag}>{kept}{cut}</{tag}>") == "A\nB\nC\nD E\nF\nG\nH\nI"
+
+
 def test_main_text_of_given_pages(session):
     """The given pages hold their text in one article of headings and paragraphs."""
     import html
