@@ -8,7 +8,7 @@ id counts there if it has no other words. What remains falls into blocks of text
 around it, fewer the farther away, discounted by the part of its text inside links. The
 element with most points, discounted by its own link density, is the container; if it lies
 inside an ``article`` or ``main`` element, that one is. Its siblings are kept if they have
-a fair part of its points or are paragraphs of running text.
+a fair part of its points, or are headings or paragraphs that are not made of links.
 
 All blocks of what is kept are joined in page order, one per line: character references
 decoded, white space inside a block made one blank, ends trimmed.
@@ -61,6 +61,9 @@ PLAIN_WORDS = frozenset("area articles bar block bottom box container form item
 ADVERTS = frozenset("ad ads advert adverts advertisement".split())
 #: What the words count for inside of articles; a section's id is its heading's.
 CONTAINERS = frozenset("address aside center details div dl fieldset footer header hgroup ol section table ul".split())
+#: Part of the best container's worth that a sibling needs.
+SHARE = 0.05
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NEVER_LEFT_OUT = frozenset("html body article main".split())
 
@@ -268,15 +271,15 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
             best = around
             break
         around = around.parent
-    threshold = max(10.0, 0.2 * worth(best))
+    threshold = SHARE * worth(best)
     kept = {id(best): True}
 
     def belongs(block: Block) -> bool:
         path, element = [], block.owner
         while element is not None and id(element) not in kept:
             if element.parent is best.parent:
-                running = element.tag == "p" and len(block.text) >= 80 and block.linked < 0.25 * len(block.text)
-                kept[id(element)] = worth(element) >= threshold or running
+                running = element.tag in HEADINGS or element.tag == "p" and element.linked < 0.25 * element.chars
+                kept[id(element)] = running or worth(element) >= threshold > 0
                 break
             path.append(element)
             element = element.parent

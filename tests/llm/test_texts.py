@@ -159,6 +159,17 @@ def test_slugs_in_an_article_cut_nothing():
         assert html_text.extract(f"<{tag}>{kept}{cut}</{tag}>") == "A\nB\nC\nD E\nF\nG\nH\nI"
 
 
+def test_what_stands_beside_the_best_container_is_kept():
+    long = "".join(f"<p>Paragraph {k}, of some length, with commas, to be the best of all.</p>" for k in range(9))
+    lines = html_text.extract(long).split("\n")
+    page = f"<body><div class=post><h1>Title</h1><p>Lead.</p><div class=entry>{long}</div><p><a href=x>elsewhere</a></p></div></body>"
+    assert html_text.extract(page).split("\n") == ["Title", "Lead.", *lines]
+    short = "<div><h2>Second</h2><p>A short paragraph, one of few.</p><p>Another short paragraph.</p></div>"
+    links = "<div><a href=x>One of the links elsewhere</a> <a href=y>another link</a></div>"
+    page = f"<body><div class=all><div><h2>First</h2>{long}</div>{short}{links}</div></body>"
+    assert html_text.extract(page).split("\n") == ["First", *lines, "Second", "A short paragraph, one of few.", "Another short paragraph."]
+
+
 def test_main_text_of_given_pages(session):
     """The given pages hold their text in one article of headings and paragraphs."""
     import html
