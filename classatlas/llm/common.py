@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed pattern of the contracts: a word is a run of characters other than blank and control spacing.
@@ -76,10 +76,20 @@ def unit_random(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def more_tasks(frame: DataFrame, per_slot: int = 2) -> DataFrame:
-    """Spread rows of few large splits over the slots before costly per-row work.
+def in_order(rows: DataFrame, *order: Column, name: str) -> DataFrame:
+    """Adds the place of every row in a total order, counted from 1.
 
-    Adds one exchange of whole rows, so only for tables read from a handful of files.
+    Rows are dealt out by range and written with their place in the range; the sizes of the
+    ranges, one row per task of the exchange, give what stands before each. ``rows`` are read
+    twice, so they should be a written table.
     """
-    slots = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(slots * per_slot)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)  # the number of the task stands above the number of the row
+    placed = written(ranged, "in-order").withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per task of the range exchange: small at every size of the table
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.col("_at") - F.shiftleft("_part", 33)
+    return placed.join(F.broadcast(sizes), "_part").withColumn(
+        name, F.col("_before") + within + 1).drop("_at", "_part", "_before")

@@ -91,5 +91,76 @@ FROM measured
 """
 
 
+_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+IMPORTANCE = f"""
+WITH bytes(b, c) AS (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)
+    FROM (SELECT unnest(range(256)) AS b)),
+crc(tab) AS (SELECT list(c ORDER BY b) FROM bytes),
+d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+    FROM documents),
+t AS (
+    SELECT regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+    FROM benchmark),
+runs AS (
+    SELECT r, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS f
+    FROM (SELECT r, ws, unnest([1, 2, 3]) AS n FROM (SELECT r, ws FROM d UNION ALL SELECT 0, ws FROM t)) WHERE len(ws) >= n),
+hashed AS (
+    SELECT f, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(range(1, strlen(f) * 2, 2), lambda i: ('0x' || h[i:i + 1])::BIGINT)),
+        lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]))) % 10000 AS bucket
+    FROM (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM runs)), crc),
+counts AS (SELECT r, bucket, count(*) AS n FROM runs JOIN hashed USING (f) GROUP BY r, bucket),
+sums AS (
+    SELECT bucket, coalesce(sum(n) FILTER (WHERE r = 0), 0)::BIGINT AS t, coalesce(sum(n) FILTER (WHERE r > 0), 0)::BIGINT AS s
+    FROM counts GROUP BY bucket),
+gains AS (
+    SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1) * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+    FROM sums),
+weights AS (SELECT r, sum(n * gain)::BIGINT AS weight, sum(n)::BIGINT AS n_features FROM counts JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+    SELECT r, doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((
+            ('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM d LEFT JOIN weights USING (r)),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (r)
+"""
+
+LEXICAL_SEARCH = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws
+    FROM documents),
+sizes AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS terms FROM d WHERE len(ws) > 0),
+q AS (
+    SELECT i, item_id, w, count(*) AS times
+    FROM (SELECT row_number() OVER () AS i, item_id,
+            unnest(regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS w
+        FROM benchmark)
+    GROUP BY i, item_id, w),
+tf AS (
+    SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d)
+    WHERE w IN (SELECT w FROM q) GROUP BY r, w),
+weights AS (
+    SELECT w, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+    FROM (SELECT w, count(*) AS df FROM tf GROUP BY w), sizes),
+scored AS (
+    SELECT i, item_id, r, doc_id,
+        sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(ws) * docs) // terms))))::BIGINT AS score
+    FROM tf JOIN q USING (w) JOIN weights USING (w) JOIN d USING (r), sizes
+    GROUP BY i, item_id, r, doc_id),
+placed AS (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank
+    FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": URL_FILTER, "op6_quality_rules": quality_rules(), "op7_warc": WARC}
+    return {"op4_url_filter": URL_FILTER, "op6_quality_rules": quality_rules(), "op7_warc": WARC,
+            "op11_importance": IMPORTANCE, "op12_lexical_search": LEXICAL_SEARCH}

@@ -1,4 +1,4 @@
-"""The ten named queries over the given tables, and their SQL where SQL can express them."""
+"""The named queries over the given tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from classatlas.llm import bpe, fingerprint, html_text, language, mixing, near_duplicates, oracles, quality, token_shards, url_filter, warc
+from classatlas.llm import (
+    bpe, fingerprint, html_text, importance, language, lexical_search, mixing, near_duplicates, oracles, quality,
+    simhash, token_shards, url_filter, warc,
+)
 from classatlas.llm.common import text_or_empty
 
 #: The rules of the URL query; fixed values.
@@ -94,6 +97,19 @@ def op10_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
     return near_duplicates.classes(read(spark, directory, "documents"))
 
 
+def op11_importance(spark: SparkSession, directory: str) -> DataFrame:
+    drawn = importance.resample(read(spark, directory, "documents"), read(spark, directory, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_lexical_search(spark: SparkSession, directory: str) -> DataFrame:
+    return lexical_search.search(read(spark, directory, "benchmark"), read(spark, directory, "documents"))
+
+
+def op13_simhash(spark: SparkSession, directory: str) -> DataFrame:
+    return simhash.linked(read(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_html_text": op2_html_text,
@@ -105,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_token_shards": op9_token_shards,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_importance": op11_importance,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = oracles.oracle_sql()
