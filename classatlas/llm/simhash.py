@@ -82,12 +82,13 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 # -- masks ------------------------------------------------------------------------
 
 def masks(fixed: int = 0) -> list[int]:
-    """``fixed`` with about half of the other positions, for each of the covering vectors."""
+    """``fixed`` with about half of the other positions, at least one, for each of the covering vectors."""
     free = [p for p in range(64) if not fixed >> p & 1]
-    vectors = (1 << RADIUS + 1) - 1
-    # neighbours in the order get different vectors, each vector as many positions as any
-    vector_of = {p: 1 + 11 * k % vectors for k, p in enumerate(free)}
-    return [fixed | sum(1 << p for p in free if (vector_of[p] & v).bit_count() & 1) for v in range(1, vectors + 1)]
+    basis = [1 << k for k in range(RADIUS + 1)]
+    # the basis comes first: with all of it no product is even for all positions, so every mask takes one
+    vectors = basis + [v for v in range(1, 1 << RADIUS + 1) if v not in basis]
+    vector_of = {p: vectors[k % len(vectors)] for k, p in enumerate(free)}
+    return [fixed | sum(1 << p for p in free if (vector_of[p] & v).bit_count() & 1) for v in sorted(vectors)]
 
 
 def _signed(mask: int) -> int:
