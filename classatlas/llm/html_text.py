@@ -1,14 +1,29 @@
 """Main text of a web page by tree scoring.
 
-The page is read into a tree of elements. Elements that are never article text (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles and hidden
-parts) are left out by tag, role or the words of their class and id. Inside ``article`` and
-``main`` these words count for containers only, where ids are often made from headings: an
-id counts there if it has no other words. What remains falls into blocks of text. Every block passes points for its length and commas to the elements
-around it, fewer the farther away, discounted by the part of its text inside links. The
-element with most points, discounted by its own link density, is the container; if it lies
-inside an ``article`` or ``main`` element, that one is. Its siblings are kept if they have
-a fair part of its points, or are headings or paragraphs that are not made of links.
+The page is read into a tree of elements, and what remains after cutting falls into blocks of
+text. Every block passes points for its length and commas to the elements around it, fewer
+the farther away, discounted by the part of its text inside links. The element with most
+points, discounted by its own link density, is the container; if it lies inside an
+``article`` or ``main`` element, the nearest of these is. Its siblings are kept if they have
+a fair part of its points, or are headings or paragraphs that are not made of links. Inside
+the container lists, tables and sections that are mostly links are left out, and headings
+that have nothing else below them.
+
+What is cut:
+
+- by tag: menus, footers, asides, form fields, scripts, styles, hidden parts, and headers
+  outside of articles;
+- by the words of class, id or role: sidebars, notices, adverts, menus and the like. Such an
+  element is kept if it holds the page's main article (of the ``article`` and ``main``
+  elements the one with most points), or, on a page without any, most of the points. Words
+  of a name that says ``with``, ``has`` or ``no`` count for nothing. Inside ``article`` and
+  ``main`` they count for containers only, where ids are often made from headings: an id
+  counts there if it has no other words;
+- reader comments, also where each is an ``article``; these are kept in no case but where
+  the page has no other article.
+
+Points pass through the tree by one walk from its end to its start, so a page takes time in
+proportion to its length at any depth.
 
 All blocks of what is kept are joined in page order, one per line: character references
 decoded, white space inside a block made one blank, ends trimmed.
@@ -16,15 +31,16 @@ decoded, white space inside a block made one blank, ends trimmed.
 Defined cases: null, empty and text-free pages give an empty text. A page without any
 markup is one block. Unclosed and crossing tags are closed where HTML closes them implicitly
 or at the end of their parent. Nesting of any depth and pages of any length are read in one
-loop, without recursion. Repeated rows get equal results, an empty table no rows, and other
-columns are kept; an input column named like the result is replaced.
+loop, without recursion. Of containers with equal points the first in the page is taken.
+Repeated rows get equal results, an empty table no rows, and other columns are kept; an input
+column named like the result is replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,14 +50,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 LEFT_OUT = frozenset(
-    "head script style noscript template nav header footer aside form button select option textarea iframe svg math "
+    "head script style noscript template nav header footer aside button select option textarea iframe svg math "
     "canvas audio video object embed applet map menu dialog title xmp noembed noframes datalist".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody "
     "tfoot thead tr ul".split())
 #: Opening one of these ends an open paragraph.
-ENDS_PARAGRAPH = BLOCKS - frozenset("body html tbody tfoot thead tr caption legend summary li dd dt".split()) | {"li", "dd", "dt"}
+ENDS_PARAGRAPH = BLOCKS - frozenset("body html tbody tfoot thead tr caption legend summary".split())
 #: Opening the first ends an open one of the second, up to the nearest of the third.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -52,20 +68,35 @@ ENDS = {
 GOOD_WORDS = frozenset("article body content entry main post story text page column".split())
 BAD_WORDS = frozenset(
     "ad ads advert adverts advertisement adv banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "copyright disclaimer disqus footer footnote gdpr header login masthead menu modal nav navbar navigation newsletter "
-    "notice notification overlay pager pagination popup promo promoted promotion register related reply replies search "
-    "share sharing shoutbox sidebar signup social sponsor sponsored sponsors subscribe subscription tags toolbar "
-    "widget".split())
-#: Words an id may have besides those and still name no text; classes of adverts, on any element.
+    "copyright disclaimer discussion discussions disqus footer footnote gdpr header login masthead menu modal nav navbar "
+    "navigation newsletter notice notification overlay pager pagination popup promo promoted promotion register related "
+    "replies reply search share sharing shoutbox sidebar signup social sponsor sponsored sponsors subscribe subscription "
+    "tags toolbar widget".split())
+#: Those of reader comments.
+COMMENT_WORDS = frozenset("comment comments discussion discussions disqus replies reply shoutbox".split())
+#: First words of names that tell of a layout, not of what the element is.
+MODIFIERS = frozenset("has hide is no not show with without".split())
+#: A header with one of these in its name is an article's own.
+OF_ARTICLE = frozenset("article entry post story".split())
+#: Words an id may have besides bad ones and still name no text; classes of adverts, on any element.
 PLAIN_WORDS = frozenset("area articles bar block bottom box container form item items left links list post posts right section top wrap wrapper".split())
 ADVERTS = frozenset("ad ads advert adverts advertisement".split())
 #: What the words count for inside of articles; a section's id is its heading's.
 CONTAINERS = frozenset("address aside center details div dl fieldset footer header hgroup ol section table ul".split())
+#: Left out inside the container if they are mostly links.
+LINK_LISTS = frozenset("center details dir div dl fieldset menu ol section table ul".split())
+#: Part of the text inside links from which on they are.
+MOSTLY = 0.6
 #: Part of the best container's worth that a sibling needs.
 SHARE = 0.05
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Their points go to what is around them; text straight inside a container is the container's own.
+PASSED_ON = HEADINGS | {"p", "pre", "blockquote", "li"}
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NEVER_LEFT_OUT = frozenset("html body article main".split())
+ARTICLES = frozenset(["article", "main"])
+
+#: Kinds of elements by their names.
+TEXT, SUSPECT, COMMENTS = 0, 1, 2
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
@@ -75,12 +106,18 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "left_out", "points", "chars", "linked", "good")
+    __slots__ = ("tag", "parent", "left_out", "kind", "good", "in_article", "held", "chars", "linked", "own", "near", "far", "cut")
 
-    def __init__(self, tag: str, parent: Element | None, left_out: bool, good: bool):
-        self.tag, self.parent, self.left_out, self.good = tag, parent, left_out, good
-        self.points = 0.0
+    def __init__(self, tag: str, parent: Element | None, left_out: bool, kind: int, good: bool):
+        self.tag, self.parent, self.left_out, self.kind, self.good = tag, parent, left_out, kind, good
+        self.in_article = parent is not None and (parent.in_article or parent.tag in ARTICLES)
+        self.held = self.own = self.near = self.far = 0.0
         self.chars = self.linked = 0
+        self.cut = False
+
+    @property
+    def points(self) -> float:
+        return self.own + self.near / 2 + self.far
 
 
 class Block:
@@ -90,49 +127,59 @@ class Block:
         self.owner, self.text, self.linked = owner, text, linked
 
 
-def _looks(tag: str, attributes: str, parent: Element) -> tuple[bool, bool]:
-    """(left out, has a word of article containers in its class or id)."""
-    if tag in LEFT_OUT and not (tag == "header" and _inside(parent, {"article", "main"})):
-        return True, False
+def _words(names: str) -> set[str]:
+    """Words of class names or an id; ``with-sidebar`` and the like say what is elsewhere."""
+    found: set[str] = set()
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if words and words[0] not in MODIFIERS:
+            found.update(words)
+            if "header" in words and not OF_ARTICLE.isdisjoint(words):
+                found.discard("header")
+    return found
+
+
+def _looks(tag: str, attributes: str, parent: Element) -> tuple[bool, int, bool]:
+    """(left out, kind, has a word of article containers in its class or id)."""
+    in_article = parent.in_article or parent.tag in ARTICLES
+    if tag in LEFT_OUT and not (tag == "header" and in_article):
+        return True, TEXT, False
+    kind = SUSPECT if tag == "form" else TEXT
     if not attributes.strip():
-        return False, False
+        return False, kind, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    words = {w.lower() for w in _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    good = bool(words & GOOD_WORDS)
-    if tag in NEVER_LEFT_OUT:
-        return False, good
-    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or (
-        "style" in found and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found["style"], re.I))
-    bad = words & BAD_WORDS and (tag != "div" and tag != "section" or not good or words & {"ad", "ads", "comments", "sidebar"})
-    if bad and _inside(parent, {"article", "main"}):
-        bad = _bad_in_article(tag, found.get("class", ""), found.get("id", ""))
-    return bool(hidden or bad or found.get("role", "").lower() in BAD_ROLES), good
-
-
-def _bad_in_article(tag: str, classes: str, name: str) -> bool:
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or (
+            "style" in found and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found["style"], re.I)):
+        return True, TEXT, False
+    of_class, of_id = _words(found.get("class", "")), _words(found.get("id", ""))
+    bad = (of_class | of_id) & BAD_WORDS
+    if bad and (_bad_in_article(tag, of_class, of_id, found.get("class", "")) if in_article else tag not in HEADINGS or bad != {"header"}):
+        kind = COMMENTS if bad & COMMENT_WORDS else SUSPECT
+    elif found.get("role", "").lower() in BAD_ROLES:
+        kind = SUSPECT
+    return False, kind, bool((of_class | of_id) & GOOD_WORDS)
+
+
+def _bad_in_article(tag: str, of_class: set[str], of_id: set[str], classes: str) -> bool:
     """Whether class and id, one of which has a bad word, name something else than text of the article around."""
+    if tag == "article":
+        return bool(of_class & BAD_WORDS) or of_id <= BAD_WORDS | PLAIN_WORDS
     if tag not in CONTAINERS:
         return not ADVERTS.isdisjoint(classes.lower().split())
-    of_class, of_id = ({w.lower() for w in _WORDS.findall(x)} for x in (classes, name))
-    if of_class & BAD_WORDS:
+    if of_class & BAD_WORDS - {"header"}:
         return True
     if tag not in ("div", "aside") or "section" in of_class:
         return bool(of_id) and of_id <= {*ADVERTS, "comments", "sidebar"}
-    return of_id <= BAD_WORDS | PLAIN_WORDS
-
+    return bool(of_id) and of_id <= BAD_WORDS | PLAIN_WORDS
 
-def _inside(element: Element | None, tags: set[str]) -> bool:
-    while element is not None:
-        if element.tag in tags:
-            return True
-        element = element.parent
-    return False
 
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text outside of what is left out, in page order."""
-    root = Element("html", None, False, False)
-    stack, blocks = [root], []
+def tree_of(page: str) -> tuple[list[Element], list[Block]]:
+    """The page's elements, parents before children, and its blocks of text outside of what is left out, in page order."""
+    root = Element("html", None, False, TEXT, False)
+    stack, elements, blocks = [root], [root], []
+    # depths of the open elements of a tag, and of those that are blocks, innermost last
+    depths: dict[str, list[int]] = {}
+    block_depths = [0]
     pieces: list[str] = []
     linked = links = 0
     owner = root
@@ -151,21 +198,20 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links, owner
         for element in stack[depth:]:
             links -= element.tag == "a"
+            depths[element.tag].pop()
             if element.tag in BLOCKS:
                 flush()
+                block_depths.pop()
         del stack[depth:]
-        owner = stack[-1]
-        while owner.tag not in BLOCKS and owner.parent is not None:
-            owner = owner.parent
+        owner = stack[block_depths[-1]]
+
+    def innermost(tags: Iterable[str]) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
 
-    def open_at(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> int:
+    def open_at(tags: Iterable[str], stop: Iterable[str]) -> int:
         """Depth of the innermost open element of these tags, 0 if a stopping one comes first."""
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in tags:
-                return depth
-            if stack[depth].tag in stop:
-                return 0
-        return 0
+        depth = innermost(tags)
+        return depth if depth and depth > innermost(stop) else 0
 
     def add(text: str) -> None:
         nonlocal linked
@@ -191,8 +237,8 @@ def blocks_of(page: str) -> list[Block]:
         attributes = tag_match[3] or tag_match[6] or ""
         if closing:
             # an inline end tag does not reach beyond the block it stands in
-            depth = open_at({tag}, frozenset() if tag in BLOCKS or tag in ("td", "th") else BLOCKS)
-            if depth:
+            depth = innermost((tag,))
+            if depth and (tag in BLOCKS or tag in ("td", "th") or depth > block_depths[-1]):
                 close(depth)
             continue
         if tag in ("html", "body"):
@@ -214,7 +260,7 @@ def blocks_of(page: str) -> list[Block]:
                 pieces.append(" ")
             continue
         parent = stack[-1]
-        left_out, good = (True, False) if parent.left_out else _looks(tag, attributes, parent)
+        left_out, kind, good = (True, TEXT, False) if parent.left_out else _looks(tag, attributes, parent)
         if tag in RAW:
             finish = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = finish.end() if finish else end
@@ -225,13 +271,16 @@ def blocks_of(page: str) -> list[Block]:
             flush()
         elif tag in ("td", "th") and not left_out:
             pieces.append(" ")
-        element = Element(tag, parent, left_out, good)
-        stack.append(element)
-        links += tag == "a"
+        element = Element(tag, parent, left_out, kind, good)
+        depths.setdefault(tag, []).append(len(stack))
         if tag in BLOCKS:
+            block_depths.append(len(stack))
             owner = element
+        stack.append(element)
+        elements.append(element)
+        links += tag == "a"
     flush()
-    return blocks
+    return elements, blocks
 
 
 def _points(block: Block) -> float:
@@ -240,59 +289,108 @@ def _points(block: Block) -> float:
     return points * (1 - block.linked / length)
 
 
-def main_blocks(blocks: list[Block]) -> list[Block]:
+def cut_by_name(elements: list[Element], blocks: list[Block]) -> None:
+    """Marks what is cut for its names, with all that it holds."""
+    for block in blocks:
+        block.owner.held += _points(block)
+    for element in reversed(elements[1:]):
+        element.parent.held += element.held
+        element.cut = False
+    comments = set()
+    for element in elements[1:]:
+        if element.kind == COMMENTS or element.parent in comments:
+            comments.add(element)
+    articles = [e for e in elements if e.tag in ARTICLES and e.held > 0]
+    main = max((e for e in articles if e not in comments), key=lambda e: e.held, default=None)
+    main = main or max(articles, key=lambda e: e.held, default=None)
+    spared, around = set(), main
+    while around is not None:
+        spared.add(around)
+        around = around.parent
+    half = elements[0].held / 2
+    for element in elements[1:]:
+        kept = element in spared or main is None and element.kind == SUSPECT and element.held > half
+        element.cut = element.parent.cut or element.kind != TEXT and not kept
+
+
+def score(elements: list[Element], blocks: list[Block]) -> None:
+    """Sums points, characters and characters in links of all elements, from the last to the first.
+
+    A block's points count in full where they go to, by half one element farther out, then by
+    a sixth, and by three quarters of that for each element more.
+    """
+    for block in blocks:
+        owner = block.owner
+        owner.chars += len(block.text)
+        owner.linked += block.linked
+        (owner.parent if owner.tag in PASSED_ON and owner.parent else owner).own += _points(block)
+    for element in reversed(elements[1:]):
+        parent = element.parent
+        parent.near += element.own
+        parent.far += element.near / 6 + element.far * 0.75
+        parent.chars += element.chars
+        parent.linked += element.linked
+
+
+def _worth(element: Element) -> float:
+    bonus = 1.25 if element.good else 1.0
+    return element.points * bonus * (1 - element.linked / max(1, element.chars))
+
+
+def _cut_link_lists(elements: list[Element], best: Element) -> None:
+    """Marks what is mostly links inside ``best``, and headings with nothing else behind them."""
+    children: dict[Element, list[Element]] = {}
+    inside = {best}
+    for element in elements[1:]:
+        if element.parent in inside:
+            inside.add(element)
+            element.cut |= element.parent.cut or (element.tag in LINK_LISTS and element.linked > MOSTLY * element.chars)
+            if element.chars:
+                children.setdefault(element.parent, []).append(element)
+    for row in children.values():
+        last = None  # a heading that only link lists have followed
+        for element in [*row, None]:
+            if element is not None and element.cut and element.tag in LINK_LISTS:
+                dropped = last is not None
+            elif element is None or element.tag in HEADINGS:
+                if last is not None and dropped:
+                    last.cut = True
+                last, dropped = element, False
+            else:
+                last = None
+
+
+def main_blocks(elements: list[Element], blocks: list[Block]) -> list[Block]:
     """The blocks of the best container and of the siblings that belong to it."""
+    cut_by_name(elements, blocks)
+    blocks = [b for b in blocks if not b.owner.cut]
     if not blocks:
         return []
-    touched: dict[int, Element] = {}
-    for block in blocks:
-        points, owner = _points(block), block.owner
-        # a paragraph's points go to what is around it; text straight inside a container is the container's own
-        around = owner.parent if owner.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li") and owner.parent else owner
-        level = 0
-        while around is not None:
-            around.points += points / (1, 2)[level] if level < 2 else points / (3 * level)
-            touched[id(around)] = around
-            around, level = around.parent, level + 1
-        inside = owner
-        while inside is not None:
-            inside.chars += len(block.text)
-            inside.linked += block.linked
-            inside = inside.parent
-
-    def worth(element: Element) -> float:
-        bonus = 1.25 if element.good else 1.0
-        return element.points * bonus * (1 - element.linked / max(1, element.chars))
-
-    best = max(touched.values(), key=worth)  # of equals the first in page order
+    score(elements, blocks)
+    best = max((e for e in elements if not e.cut and e.points), key=_worth, default=elements[0])  # of equals the first in page order
     around = best
     while around is not None:
-        if around.tag in ("article", "main"):
+        if around.tag in ARTICLES:
             best = around
             break
         around = around.parent
-    threshold = SHARE * worth(best)
-    kept = {id(best): True}
-
-    def belongs(block: Block) -> bool:
-        path, element = [], block.owner
-        while element is not None and id(element) not in kept:
-            if element.parent is best.parent:
-                running = element.tag in HEADINGS or element.tag == "p" and element.linked < 0.25 * element.chars
-                kept[id(element)] = running or worth(element) >= threshold > 0
-                break
-            path.append(element)
-            element = element.parent
-        verdict = element is not None and kept[id(element)]
-        for passed in path:
-            kept[id(passed)] = verdict
-        return verdict
-
-    return [b for b in blocks if belongs(b)]
+    threshold = SHARE * _worth(best)
+    _cut_link_lists(elements, best)
+    kept = {best}
+    for element in elements[1:]:
+        if element.cut or element is best:
+            continue
+        if element.parent is best.parent:
+            running = element.tag in HEADINGS or element.tag == "p" and element.linked < 0.25 * element.chars
+            if running or _worth(element) >= threshold > 0:
+                kept.add(element)
+        elif element.parent in kept:
+            kept.add(element)
+    return [b for b in blocks if b.owner in kept]
 
 
 def extract(page: str | None) -> str:
-    return "\n".join(b.text for b in main_blocks(blocks_of(page))) if page else ""
+    return "\n".join(b.text for b in main_blocks(*tree_of(page))) if page else ""
 
 
 def with_main_text(pages: DataFrame, page: str = "html", result: str = "text") -> DataFrame:
