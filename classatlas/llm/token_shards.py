@@ -14,6 +14,8 @@ Index: the distinct keys of a shard are hashed into a row of bits; a key alone a
 keeps it, the others go to the next, smaller level. A key's slot is the number of set bits
 before its own, so n keys have exactly the slots 0 to n - 1 at about four bits a key. The
 stored fingerprint tells keys that are not in the shard. A lookup reads one place per level.
+Whole shards are read through it as well: their keys are looked up, and the payload is read
+in ranges of neighbouring documents.
 
 The table of shards (``manifest``) has one row per shard with its id range, so that a key's
 shard is found by bisection; where a shard starts among all ids is a running sum over it.
@@ -48,6 +50,8 @@ MAGIC = b"CATOKEN1"
 #: Bits of a level per key that is still without a slot.
 GAMMA = 1.7
 MAX_LEVELS = 48
+#: Bytes and documents that are read at a time.
+RANGE, ROWS = 4 << 20, 500
 #: Entries of a worker's table of encoded pieces, and characters of the longest that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
 
@@ -215,9 +219,6 @@ class Shard:
         at, length = self._places[name]
         return np.frombuffer(self.file.read_at(length, at), kind)
 
-    def keys(self) -> np.ndarray:
-        return self._section("keys", "<i8")
-
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First document and number of documents of each key; 0 documents if it isn't there."""
         slots = self.index.slots(keys)
@@ -227,15 +228,32 @@ class Shard:
         first[known], count[known] = self.entries["first"][slots[known]], self.entries["count"][slots[known]]
         return first, count
 
-    def ids(self, document: int) -> np.ndarray:
-        start, end = int(self.starts[document]), int(self.starts[document + 1])
-        size = self.kind.itemsize
-        return np.frombuffer(self.file.read_at((end - start) * size, start * size), self.kind).astype("<u4")
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the index says each document is, and its key; the documents of null ids, which have no key, come first."""
+        keys = np.unique(self._section("keys", "<i8")[self.nulls:])
+        first, count = self.find(keys)
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.concatenate([np.arange(self.nulls), np.repeat(first, count) + nth]), np.repeat(keys, count)
+
+    def read(self, places: np.ndarray, most: int = RANGE) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """The ids of the documents at these places; neighbours are read by ranges of about ``most`` bytes."""
+        begins, ends = (self.starts[places + k] * self.kind.itemsize for k in (0, 1))
+        at = 0
+        while at < len(places):
+            upto = at + 1
+            while upto < len(places) and begins[upto] == ends[upto - 1] and ends[upto] - begins[at] <= most and upto - at < ROWS:
+                upto += 1
+            data = self.file.read_at(int(ends[upto - 1] - begins[at]), int(begins[at]))
+            yield places[at:upto], [
+                np.frombuffer(data[b: e], self.kind).astype("<u4").tobytes()
+                for b, e in zip((begins[at:upto] - begins[at]).tolist(), (ends[at:upto] - begins[at]).tolist())]
+            at = upto
 
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of every document with this key."""
         first, count = self.find(np.array([key], np.int64))
-        return [self.ids(int(first[0]) + k) for k in range(int(count[0]))]
+        places = first[0] + np.arange(count[0])
+        return [np.frombuffer(ids, "<u4") for _, some in self.read(places) for ids in some]
 
 
 def write_shards(
@@ -283,18 +301,19 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return placed.select("path", "start").repartition(shards).mapInPandas(read, "doc_id long, start long, ids binary")
 
 
-def _documents(shard: Shard, start: int, rows: int = 500) -> Iterator[pd.DataFrame]:
-    keys = shard.keys()
-    first, count = shard.find(keys[shard.nulls:])
-    places = np.arange(shard.nulls, len(keys))
-    if ((places < first) | (places >= first + count)).any():
-        raise ValueError("the index of a shard does not lead to its documents")
-    for at in range(0, len(keys), rows):
-        some = range(at, min(at + rows, len(keys)))
+def _documents(shard: Shard, start: int) -> Iterator[pd.DataFrame]:
+    """The documents of a shard in the order of their keys, each where the index leads to."""
+    places, keys = shard.places()
+    if len(places) != len(shard.starts) - 1:
+        raise ValueError("the index of a shard does not lead to all of its documents")
+    done = 0
+    for some, ids in shard.read(places):
+        numbers = range(done, done + len(some))
+        done += len(some)
         yield pd.DataFrame({
-            "doc_id": pd.array([None if k < shard.nulls else int(keys[k]) for k in some], "Int64"),
-            "start": [start + int(shard.starts[k]) for k in some],
-            "ids": [shard.ids(k).tobytes() for k in some]})
+            "doc_id": pd.array([None if k < shard.nulls else int(keys[k - shard.nulls]) for k in numbers], "Int64"),
+            "start": start + shard.starts[some],
+            "ids": ids})
 
 
 class TokenStore:

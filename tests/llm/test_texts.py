@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import base64
+import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -75,7 +78,6 @@ def test_shards_hold_what_the_library_encodes(session, table):
     folder = table("documents", rows, DOCUMENTS)
     found = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in queries.op9_token_shards(session, folder).collect())
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
     encode = lambda t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
     starts = 0
     for start, _, n, _ in found:
@@ -93,6 +95,42 @@ def test_shards_hold_what_the_library_encodes(session, table):
     assert store.get(5) == [] and store.get(-(1 << 60)) == []
 
 
+def test_shards_are_read_through_their_index(tmp_path):
+    """Wrong places in the index give other documents, a missing key is noticed."""
+    writer = token_shards.ShardWriter(f"file://{tmp_path}/a.ids", np.dtype("<u2"))
+    texts = {None: [[1]], 3: [[2, 3], [4]], 9: [[], [5]], 12: [[6] * 70_000]}
+    for key, documents in texts.items():
+        for ids in documents:
+            writer.add(key, np.array(ids, "<u2").tobytes())
+    writer.close()
+
+    def read(shard):
+        frames = list(token_shards._documents(shard, 100))
+        return [(None if r.doc_id is pd.NA else r.doc_id, r.start, np.frombuffer(r.ids, "<u4").tolist()) for f in frames for r in f.itertuples()]
+
+    shard = token_shards.Shard(f"file://{tmp_path}/a.ids")
+    assert read(shard) == [(None, 100, [1]), (3, 101, [2, 3]), (3, 103, [4]), (9, 104, []), (9, 104, [5]), (12, 105, [6] * 70_000)]
+    right = shard.entries
+    shard.entries = right.copy()
+    two = shard.index.slots(np.array([3, 9]))
+    shard.entries[two] = right[two[::-1]]
+    shard.entries["print"] = right["print"]
+    assert [ids for key, _, ids in read(shard) if key == 3] == [[], [5]]
+    shard.entries["print"] = 0
+    with pytest.raises(ValueError):
+        read(shard)
+    shard.entries = right
+    for most in (1, 5, 1 << 20):
+        assert [np.frombuffer(i, "<u4").tolist() for _, some in shard.read(np.array([5, 1, 2, 4]), most) for i in some] == [[6] * 70_000, [2, 3], [4], [5]]
+
+
+def test_shards_of_other_tables(session, table):
+    assert queries.op9_token_shards(session, table("documents", [], DOCUMENTS)).count() == 0
+    docs = session.createDataFrame([(2, "a b", "x", "y"), (1, "c", "x", "y")], "doc_id long, text string, start string, ids string")
+    found = token_shards.read_shards(token_shards.write_shards(docs, FILE, public_tokenizers.PATTERN)).collect()
+    assert [(r["doc_id"], r["start"], len(r["ids"]) // 4) for r in sorted(found)] == [(1, 0, 2), (2, 2, 3)]
+
+
 def test_added_tokens_of_the_file_as_the_library():
     encoder, tokenizer, end = token_shards.FileEncoder(FILE, public_tokenizers.PATTERN), Tokenizer.from_file(FILE), "<|endoftext|>"
     texts = [*TEXTS, end, end * 3, f"a {end} b", f" {end}\n\n{end}  ", f"<|{end}|> <|endoftext|", f"é{end}漢", "plain"]
@@ -170,6 +208,93 @@ def test_what_stands_beside_the_best_container_is_kept():
     assert html_text.extract(page).split("\n") == ["First", *lines, "Second", "A short paragraph, one of few.", "Another short paragraph."]
 
 
+LONG = "".join(f"<p>Paragraph {k}, of some length, with commas, to be the best of all.</p>" for k in range(5))
+LINES = html_text.extract(LONG).split("\n")
+
+
+@pytest.mark.parametrize(("page", "before", "behind"), [
+    ("<div class='with-sidebar layout'><article>{}</article><div class=sidebar>no</div></div>", [], []),
+    ("<div class='search'><main>{}</main></div>", [], []),
+    ("<div class='sidebar-left content'><article>{}</article></div>", [], []),
+    ("<div class='has-banner no-comments'><div class=entry>{}</div></div><div class=banner>no, no</div>", [], []),
+    ("<form id=all><div>{}</div><div>Name<input></div></form>", [], []),
+    ("<article>{}<article class='comment'><p>no comment, no, no</p></article></article>", [], []),
+    ("<article>{}</article><article class='comment depth-2'><p>no comment, no, no</p></article>", [], []),
+    ("<article>{}</article><div id=comments><article><p>no, no</p></article></div>", [], []),
+    ("<article>{}</article><div class=related><article><p>A teaser, no, no, of another article.</p></article></div>", [], []),
+    ("<div class='page-header'>no</div><article>{}</article><div class='page-footer'>no</div><div class='content-newsletter'>no</div>", [], []),
+    ("<article><header class='entry-header'><h1>Title</h1></header>{}<div class='story-share'>no</div><div class='post-tags'>no</div>"
+     "<div class='post-nav'>no</div><div class='discussion'>no</div></article>", ["Title"], []),
+    ("<main><h1>Head</h1>{}<h3>You may also like</h3><ul><li><a href=x>one of them</a><li><a href=y>two</a></ul></main>", ["Head"], []),
+    ("<main>{}<div class=links><a href=x>x</a> <a href=y>y</a></div><h2>Next</h2><ul><li>an item, <a href=z>here</a></ul></main>", [], ["Next", "an item, here"]),
+    ("<main><h1>Head</h1><ul><li><a href='#a'>contents</a></ul>{}<p><a href=x>a source</a></p></main>", ["Head"], ["a source"]),
+])
+def test_what_is_cut_around_and_inside_an_article(page, before, behind):
+    assert html_text.extract(page.replace("{}", LONG)).split("\n") == [*before, *LINES, *behind]
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 20_000 + "deep", "<i>" * 8_000 + "<p>text of a block</p>" * 3_000, "<p>" + "<b>" * 20_000 + "x" + "</b>" * 20_000,
+    "<table>" + "<div><p>a" * 10_000, "<ul><li>" * 10_000 + "x", "<article><div class='sidebar x'>" * 5_000 + "x",
+])
+def test_time_does_not_grow_with_depth(page):
+    started = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - started < 3
+
+
+def test_points_are_those_of_all_blocks_below():
+    """Against sums over all ancestors of every block, on random pages."""
+    draw = random.Random(21)
+    for _ in range(200):
+        parts = []
+        for _ in range(draw.randint(1, 60)):
+            parts.append(draw.choice(["<div>", "<div class=post>", "<section>", "<p>", "</p>", "</div>", "</section>", "<ul><li>", "</ul>", "<a href=x>", "</a>",
+                                      "<article>", "</article>", "<h2>", "</h2>", "word, " * draw.randint(1, 30), "text " * draw.randint(1, 90)]))
+        elements, blocks = html_text.tree_of("".join(parts))
+        html_text.cut_by_name(elements, blocks)
+        html_text.score(elements, blocks)
+        points, chars, linked = collections.Counter(), collections.Counter(), collections.Counter()
+        for block in blocks:
+            around, level = block.owner.parent if block.owner.tag in html_text.PASSED_ON and block.owner.parent else block.owner, 0
+            while around is not None:
+                points[around] += html_text._points(block) * (1, 0.5)[level] if level < 2 else html_text._points(block) / 6 * 0.75 ** (level - 2)
+                around, level = around.parent, level + 1
+            around = block.owner
+            while around is not None:
+                chars[around] += len(block.text)
+                linked[around] += block.linked
+                around = around.parent
+        for e in elements:
+            assert e.points == pytest.approx(points[e]) and (e.chars, e.linked) == (chars[e], linked[e])
+        worth = {e: points[e] * (1.25 if e.good else 1) * (1 - linked[e] / max(1, chars[e])) for e in elements}
+        kept = html_text.main_blocks(*html_text.tree_of("".join(parts)))
+        if blocks and max(worth.values()) > 0 and not any(e.tag == "article" for e in elements):
+            best = max(elements, key=lambda e: worth[e])
+            inside = [b.text for b in blocks if _within(b.owner, best) and not any(_linked_list(e, chars, linked) for e in _path(b.owner, best))]
+            assert set(inside) - {b.text for b in kept} <= {b.text for b in blocks if b.owner.tag == "h2"}
+
+
+def _path(element, top):
+    while element is not top:
+        yield element
+        element = element.parent
+
+
+def _within(element, top):
+    while element is not None and element is not top:
+        element = element.parent
+    return element is top
+
+
+def _linked_list(element, chars, linked):
+    return element.tag in html_text.LINK_LISTS and linked[element] > html_text.MOSTLY * chars[element]
+
+
+def test_main_text_of_an_empty_table(session, table):
+    assert queries.op2_html_text(session, table("pages", [], "page_id long, url string, html string")).count() == 0
+
+
 def test_main_text_of_given_pages(session):
     """The given pages hold their text in one article of headings and paragraphs."""
     import html
