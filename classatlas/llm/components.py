@@ -44,3 +44,23 @@ def components(links: DataFrame) -> DataFrame:
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.withColumn("root", F.col("node")))
+
+
+def extended(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``roots`` as ``components`` gives them with more ``links`` (a, b) taken in, written.
+
+    Links are moved to the roots of their ends first, so that only components that meet are
+    contracted. Without new links nothing is computed.
+    """
+    if roots is None:
+        return written(components(links), "components-roots")
+    end = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    moved = links.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b")
+    between = written(moved.distinct(), "components-between")
+    if between.isEmpty():
+        return roots
+    merged = written(components(between).withColumnRenamed("root", "to"), "components-merged")
+    old = roots.join(merged.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = merged.join(roots.select("node"), "node", "left_anti").select("node", F.col("to").alias("root"))
+    return written(old.unionByName(new), "components-roots")

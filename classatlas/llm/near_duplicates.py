@@ -39,16 +39,18 @@ gives no rows. Other columns are ignored by ``classes`` and kept by ``one_per_cl
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from classatlas.llm.common import NOT_BLANK, computed_once, shingles_of, text_or_empty, words_of, written
-from classatlas.llm.components import components
+from classatlas.llm.common import NOT_BLANK, computed_once, text_or_empty, written
+from classatlas.llm.components import extended
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -56,6 +58,10 @@ BANDS, ROWS = 32, 6
 COMPONENTS = BANDS * ROWS
 #: Registers that agree at least, four standard deviations below the threshold.
 AGREE = int(COMPONENTS * THRESHOLD - 4 * (COMPONENTS * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
+#: Characters of texts, and bytes of words, that are hashed together.
+TOGETHER = 1 << 19
+#: Rates of the hash of words: an odd number, and where the values of bytes are drawn from; any will do.
+BASE, SEED = 0x9FB21C651E98DF25, 2024
 
 _STEP, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -66,68 +72,177 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """For each register the (mixed) shingle that hits it first."""
-    keys, counts = np.unique(shingles, return_counts=True)
-    keys, weights = _mixed(keys.view(np.uint64) + _STEP), counts.astype(np.float64)
-    earliest, winner = np.full(COMPONENTS, np.inf), np.zeros(COMPONENTS, np.uint64)
+# -- shingles -------------------------------------------------------------------
+
+@functools.lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1), modulo 2 ** 64."""
+    row = np.full(n, base, np.uint64)
+    row[0] = 1
+    return np.cumprod(row)
+
+
+@functools.cache
+def _byte_values() -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64)
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, in order of their places: sums of byte values times powers of the place, mixed."""
+    found = np.zeros(len(starts), np.uint64)
+    inverse = pow(BASE, -1, 1 << 64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        upto = max(at + 1, int(np.searchsorted(ends, low + TOGETHER, "right")))
+        high = int(ends[upto - 1])
+        size = max(TOGETHER, 1 << (high - low).bit_length()) + 1
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_byte_values()[data[low:high]] * _powers(BASE, size)[: high - low], out=sums[1:])
+        s, e = starts[at:upto] - low, ends[at:upto] - low
+        found[at:upto] = (sums[e] - sums[s]) * _powers(inverse, size)[s] + (e - s).astype(np.uint64)
+        at = upto
+    return _mixed(found)
+
+
+def shingled(texts: list[str | None]) -> tuple[list[bytes | None], list[np.ndarray]]:
+    """Per text a digest of its words (none without words), and the hashes of its shingles."""
+    raw = [(t or "").lower().encode() for t in texts]
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    in_word = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
+    before = np.concatenate([[False], in_word[:-1]])
+    kept = in_word | before
+    word = in_word[kept]
+    # each word, and one blank behind it
+    compact = np.where(word, data[kept], np.uint8(0x20))
+    ends = np.flatnonzero(~word)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    borders = np.cumsum([len(r) + 1 for r in raw])
+    words = np.bincount(np.searchsorted(borders, np.flatnonzero(in_word & ~before), "right"), minlength=len(texts))
+    last = np.cumsum(words)
+    first = last - words
+    runs = np.where(words > 0, np.maximum(words - SHINGLE + 1, 1), 0)
+    # the first word of every shingle, and its last one
+    done = np.cumsum(runs)
+    opens = np.arange(done[-1] if len(done) else 0) + np.repeat(first - done + runs, runs)
+    closes = np.minimum(opens + SHINGLE, np.repeat(last, runs)) - 1
+    hashes = _span_hashes(compact, starts[opens], ends[closes])
+    whole = compact.tobytes()
+    nodes = [hashlib.md5(whole[starts[f]: ends[e - 1]]).digest() if e > f else None for f, e in zip(first, last)]
+    return nodes, np.split(hashes, done[:-1])
+
+
+def _in_parts(texts: pd.Series) -> Iterator[list[str | None]]:
+    """The texts, about ``TOGETHER`` characters at a time."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or "")
+        if size > TOGETHER:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+# -- signatures -------------------------------------------------------------------
+
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each register of each bag (different shingles, weights) the (mixed) shingle that hits it first."""
+    winner = np.zeros((len(bags), COMPONENTS), np.uint64)
+    sizes = np.array([len(keys) for keys, _ in bags], np.int64)
+    # few shingles need many arrivals each: they are drawn several at a time, with bags of about their size
+    classes = np.where(sizes > 0, np.log2(np.clip(COMPONENTS // np.maximum(sizes, 1), 1, None)).astype(np.int64), -1)
+    for scale in np.unique(classes[classes >= 0]):
+        chosen = np.flatnonzero(classes == scale)
+        winner[chosen] = _race([bags[k] for k in chosen], 2 << int(scale) if scale else 1)
+    return winner
+
+
+def _race(bags: list[tuple[np.ndarray, np.ndarray]], ahead: int) -> np.ndarray:
+    """The arrivals of all shingles of all bags, ``ahead`` of each at a time, until no register can change."""
+    keys = _mixed(np.concatenate([k for k, _ in bags]) + _STEP)
+    weights = np.concatenate([w for _, w in bags]).astype(np.float64)
+    bag = np.repeat(np.arange(len(bags)), [len(k) for k, _ in bags])
+    earliest, winner = np.full(len(bags) * COMPONENTS, np.inf), np.zeros(len(bags) * COMPONENTS, np.uint64)
     clock, done = np.zeros(len(keys)), 0
     while len(keys):
-        # few shingles need many arrivals each; they are drawn several at a time
-        ahead = max(1, 2 * COMPONENTS // len(keys))
         turns = np.arange(done + 1, done + ahead + 1, dtype=np.uint64)
         drawn = _mixed(keys[:, None] + turns * _STEP)
         waits = -np.log(((drawn >> np.uint64(12)) + np.uint64(1)) * 2.0**-52) / weights[:, None]
         times = clock[:, None] + np.cumsum(waits, axis=1)
-        registers = (_mixed(drawn) % np.uint64(COMPONENTS)).astype(np.intp)
+        registers = (_mixed(drawn) % np.uint64(COMPONENTS)).astype(np.intp) + bag[:, None] * COMPONENTS
         early = times < earliest[registers]
         at, when = registers[early], times[early]
         who = np.broadcast_to(keys[:, None], times.shape)[early]
-        order = np.argsort(-when, kind="stable")  # of several hits the earliest is written last
-        earliest[at[order]], winner[at[order]] = when[order], who[order]
+        np.minimum.at(earliest, at, when)
+        best = when == earliest[at]
+        winner[at[best]] = who[best]
         clock, done = times[:, -1], done + ahead
-        going = clock < earliest.max()
-        keys, weights, clock = keys[going], weights[going], clock[going]
-    return winner
+        going = clock < earliest.reshape(-1, COMPONENTS).max(1)[bag]
+        keys, weights, clock, bag = keys[going], weights[going], clock[going], bag[going]
+    return winner.reshape(-1, COMPONENTS)
 
 
-def _bands(winner: np.ndarray) -> np.ndarray:
-    """One hash per band, different for equal contents of different bands."""
-    rows = winner.reshape(BANDS, ROWS)
-    hashed = _mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP)
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The registers of one text's shingles, with repeats."""
+    return signatures([np.unique(shingles.view(np.uint64), return_counts=True)])[0]
+
+
+def _bands(winners: np.ndarray) -> np.ndarray:
+    """One hash per band of each signature, different for equal contents of different bands."""
+    rows = winners.reshape(-1, BANDS, ROWS)
+    hashed = np.broadcast_to(_mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP), rows.shape[:2])
     for k in range(ROWS):
-        hashed = _mixed(hashed * _M1 + rows[:, k])
+        hashed = _mixed(hashed * _M1 + rows[:, :, k])
     return hashed.view(np.int64)
 
 
 @F.pandas_udf(T.StructType([
-    T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.ShortType())),
-    T.StructField("set_sig", T.ArrayType(T.ShortType()))]))
+    T.StructField("node", T.BinaryType()), T.StructField("buckets", T.ArrayType(T.LongType())),
+    T.StructField("sig", T.ArrayType(T.ShortType())), T.StructField("set_sig", T.ArrayType(T.ShortType()))]))
 def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Hashes of the bands of both signatures, in order; the signatures, the second one only if shingles repeat."""
-    short = lambda winner: winner.astype(np.uint16).view(np.int16)
+    """The digest of the words; hashes of the bands of both signatures, in order; the signatures, the second one only if shingles repeat."""
     for rows in batches:
-        buckets, sigs, set_sigs = [], [], []
-        for row in rows:
-            shingles = np.asarray(row, np.int64)
-            distinct = np.unique(shingles)
-            winners = [signature(shingles)] + ([signature(distinct)] if len(distinct) < len(shingles) else [])
-            buckets.append(np.unique(np.concatenate([_bands(w) for w in winners])))
-            sigs.append(short(winners[0]))
-            set_sigs.append(short(winners[1]) if winners[1:] else None)
-        yield pd.DataFrame({"buckets": buckets, "sig": sigs, "set_sig": pd.Series(set_sigs, dtype=object)})
-
-
-@F.pandas_udf(T.StructType([T.StructField("set", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))]))
+        nodes, buckets, sigs, set_sigs = [], [], [], []
+        for texts in _in_parts(rows):
+            digests, shingles = shingled(texts)
+            bags = [np.unique(s, return_counts=True) for s in shingles]
+            again = [k for k, (_, counts) in enumerate(bags) if len(counts) and counts.max() > 1]
+            winners = signatures(bags + [(bags[k][0], np.ones(len(bags[k][0]))) for k in again])
+            bands, short = _bands(winners), winners.astype(np.uint16).view(np.int16)
+            of_bag, of_set = list(np.sort(bands[: len(bags)], axis=1)), [None] * len(bags)
+            for n, k in enumerate(again, len(bags)):
+                of_bag[k], of_set[k] = np.unique(bands[[k, n]]), short[n]
+            nodes += digests
+            buckets += of_bag
+            sigs += list(short[: len(bags)])
+            set_sigs += of_set
+        yield pd.DataFrame({"node": pd.Series(nodes, dtype=object), "buckets": pd.Series(buckets, dtype=object),
+                            "sig": pd.Series(sigs, dtype=object), "set_sig": pd.Series(set_sigs, dtype=object)})
+
+
+@F.pandas_udf(T.StructType([
+    T.StructField("node", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))]))
 def _collected(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Different shingles, and if some repeat, how often each occurs."""
+    """The digest of the words, the different shingles, and if some repeat, how often each occurs."""
     for rows in batches:
-        sets, weights = [], []
-        for row in rows:
-            keys, counts = np.unique(np.asarray(row, np.int64), return_counts=True)
-            sets.append(keys)
-            weights.append(counts if counts.max() > 1 else None)
-        yield pd.DataFrame({"set": sets, "counts": pd.Series(weights, dtype=object)})
+        nodes, sets, weights = [], [], []
+        for texts in _in_parts(rows):
+            digests, shingles = shingled(texts)
+            for keys, counts in (np.unique(s, return_counts=True) for s in shingles):
+                sets.append(keys.view(np.int64))
+                weights.append(counts if len(counts) and counts.max() > 1 else None)
+            nodes += digests
+        yield pd.DataFrame({"node": pd.Series(nodes, dtype=object), "set": pd.Series(sets, dtype=object), "counts": pd.Series(weights, dtype=object)})
+
+
+@F.pandas_udf(T.BinaryType())
+def _node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The digest of the words."""
+    for rows in batches:
+        nodes = [hashlib.md5(b" ".join((t or "").lower().encode().split())).digest() for t in rows]
+        yield pd.Series(nodes, dtype=object)
 
 
 def _levels(keys: Column, counts: Column) -> Column:
@@ -176,19 +291,6 @@ def similarity(set_a: Column, levels_a: Column, set_b: Column, levels_b: Column)
     return F.greatest(_jaccard(set_a, set_b), with_repeats)
 
 
-def _node(words: Column) -> Column:
-    return F.unhex(F.md5(F.array_join(words, " ")))
-
-
-def _shingled(documents: DataFrame) -> DataFrame:
-    """(doc_id, tie, node, shingles) of the rows that have words; node is a digest of the words, tie a hash of the text."""
-    words = documents.where(~_wordless()).select(
-        "doc_id", F.xxhash64("text").alias("tie"), words_of(F.lower("text")).alias("words"))
-    digested = words.select(
-        "doc_id", "tie", _node(F.col("words")).alias("node"), shingles_of(F.col("words"), SHINGLE).alias("shingles"))
-    return computed_once(digested, ["node", "shingles"])
-
-
 def _agree(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
 
@@ -200,35 +302,25 @@ def _plausible(sig_a: Column, set_sig_a: Column, sig_b: Column, set_sig_b: Colum
 
 
 class _Links:
-    """Verifies pairs of nodes (a, b) and gathers the links found."""
+    """Verifies pairs of nodes (a, b) and keeps the components of the links found."""
 
-    def __init__(self, nodes: DataFrame, shingles: DataFrame):
-        self.nodes, self.shingles, self.found = nodes, shingles, []
-
-    @staticmethod
-    def _with(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(table.select(
-                F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
-        return pairs
+    def __init__(self, nodes: DataFrame):
+        self.nodes, self.roots = nodes, None
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of the pairs that are links."""
+        for side in "ab":
+            pairs = pairs.join(self.nodes.select(
+                F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("sig", "set_sig", "set", "levels"))), side)
         plausible = _plausible(*(F.col(c) for c in ("sig_a", "set_sig_a", "sig_b", "set_sig_b")))
-        agreeing = self._with(pairs, self.nodes, "sig", "set_sig").where(plausible).select("a", "b")
-        compared = self._with(agreeing, self.shingles, "set", "levels").select(
-            "a", "b", similarity(*(F.col(c) for c in ("set_a", "levels_a", "set_b", "levels_b"))).alias("similarity"))
+        exact = similarity(*(F.col(c) for c in ("set_a", "levels_a", "set_b", "levels_b")))
+        compared = pairs.where(plausible).select("a", "b", exact.alias("similarity"))
         return self.add(computed_once(compared, ["similarity"]).where(F.col("similarity") >= THRESHOLD))
 
     def add(self, links: DataFrame) -> DataFrame:
-        self.found.append(written(links, "near-links"))
-        return self.found[-1]
-
-    def roots(self) -> DataFrame:
-        links = self.found[0].select("a", "b")
-        for more in self.found[1:]:
-            links = links.unionByName(more.select("a", "b"))
-        return written(components(links), "near-roots")
+        found = written(links, "near-links")
+        self.roots = extended(self.roots, found)
+        return found
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -246,7 +338,7 @@ def _central_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return apart.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
 
 
-def _remaining_links(members: DataFrame, nodes: DataFrame, shingles: DataFrame, roots: DataFrame) -> DataFrame:
+def _remaining_links(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Links between different classes in a bucket, at least one end outside the bucket's largest class.
 
     Shingles are compared by the join itself, so that only links leave it.
@@ -255,8 +347,7 @@ def _remaining_links(members: DataFrame, nodes: DataFrame, shingles: DataFrame,
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes"))
     split = largest.where("classes > 1").select("bucket", F.col("top.root").alias("top"))
-    mixed = written(
-        rooted.join(written(split, "near-split"), "bucket").join(nodes.select("node", "buckets", "sig", "set_sig"), "node").join(shingles, "node"), "near-remaining")
+    mixed = written(rooted.join(written(split, "near-split"), "bucket").join(nodes, "node"), "near-remaining")
     outside = mixed.where("root <> top").alias("x")
     # buckets are in order, so what both share before this one stands before it in both
     before = lambda side: F.slice(f"{side}.buckets", F.lit(1), F.col(f"{side}.place"))
@@ -273,9 +364,9 @@ def _remaining_links(members: DataFrame, nodes: DataFrame, shingles: DataFrame,
 
 def _classified(documents: DataFrame) -> DataFrame:
     """(doc_id, node, root) of every row that has words; equal words are one node."""
-    texts = documents.select("doc_id", "text")
-    signed = _shingled(texts).select("doc_id", "tie", "node", _signed("shingles").alias("s"))
-    rows = written(signed.select("doc_id", "tie", "node", "s.*"), "near-signatures")
+    texts = documents.where(~_wordless()).select("doc_id", "text")
+    signed = texts.select("doc_id", F.xxhash64("text").alias("tie"), _signed("text").alias("s"))
+    rows = written(signed.select("doc_id", "tie", "s.*"), "near-signatures")
     nodes = written(rows.groupBy("node").agg(
         F.min(F.struct("doc_id", "tie")).alias("rep"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"),
         F.first("set_sig").alias("set_sig")), "near-nodes")
@@ -283,18 +374,19 @@ def _classified(documents: DataFrame) -> DataFrame:
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
     members = written(buckets.join(written(shared.drop("last"), "near-leads"), "bucket"), "near-members")
     # the shingles of one row per node that shares a bucket; texts are joined before anything is computed of them
-    wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node").select("rep.*")
-    chosen = texts.withColumn("tie", F.xxhash64("text")).alias("t").join(
-        wanted.alias("w"), (F.col("t.tie") == F.col("w.tie")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
-    collected = _shingled(chosen.drop("tie")).select("node", _collected("shingles").alias("c"))
-    shingles = written(collected.select("node", "c.set", _levels(F.col("c.set"), F.col("c.counts")).alias("levels")), "near-shingles")
-
-    links = _Links(nodes, shingles)
+    wanted = members.select("node").distinct().join(nodes, "node")
+    key = (F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tie")
+    chosen = texts.withColumn("tie", F.xxhash64("text")).select(*key, "text").join(
+        wanted.select("rep.*").select(*key), ["no_id", "id", "tie"], "left_semi").dropDuplicates(["no_id", "id", "tie"])
+    collected = chosen.select(_collected("text").alias("c")).select(
+        "c.node", "c.set", _levels(F.col("c.set"), F.col("c.counts")).alias("levels"))
+    full = written(wanted.drop("rep").join(collected, "node"), "near-shingles")
+
+    links = _Links(full)
     first = links.verify(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     links.verify(_central_pairs(members, first))
-    roots = links.roots()
-    links.add(_remaining_links(members, nodes, shingles, roots))
-    return _rooted(rows.select("doc_id", "node"), links.roots())
+    links.add(_remaining_links(members, full, links.roots))
+    return _rooted(rows.select("doc_id", "node"), links.roots)
 
 
 def _wordless() -> Column:
@@ -315,9 +407,11 @@ def one_per_class(documents: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "node")).alias("first")
     chosen = _classified(documents).groupBy("root").agg(first).select(
         F.col("first.node").alias("_node"), F.col("first.doc_id").alias("_id"))
-    # texts are dealt out by node here, so that the choice among equal rows moves nothing again
-    keyed = documents.where(~_wordless()).withColumn("_node", _node(words_of(F.lower("text"))))
-    kept = keyed.join(chosen, "_node").where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    nth = F.row_number().over(Window.partitionBy("_node").orderBy("_node"))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(
-        *(F.col(f"`{c}`") for c in documents.columns)).unionByName(documents.where(_wordless()))
+    kept = documents.where(~_wordless()).withColumn("_node", _node("text")).join(chosen, "_node").where(
+        F.col("doc_id").eqNullSafe(F.col("_id")))
+    # of equal rows one, met before the exchange; rows of one id and equal words may differ otherwise
+    names = [f"c{k}" for k in range(len(documents.columns))]
+    row = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, names)))
+    one = kept.groupBy("_node").agg(F.first(row).alias("row"))
+    return one.select(*(F.col(f"row.{n}").alias(c) for c, n in zip(documents.columns, names))).unionByName(
+        documents.where(_wordless()))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from classatlas.llm.common import written
-from classatlas.llm.components import components
+from classatlas.llm.components import extended
 
 SHINGLE, SEED = 4, 42
 RADIUS = 4
@@ -109,46 +109,35 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return written(keyed.join(several, ["mask", "key"]), "simhash-members")
 
 
-class _Components:
-    """Links found so far and the components they form."""
-
-    def __init__(self):
-        self.roots: DataFrame | None = None
-
-    def add(self, links: DataFrame) -> None:
-        found = written(links.select("a", "b").distinct(), "simhash-links")
-        edges = found if self.roots is None else found.unionByName(self.roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
-        self.roots = written(components(edges), "simhash-roots")
-
-    def of(self, members: DataFrame) -> DataFrame:
-        return members.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def roots_of(nodes: DataFrame) -> DataFrame:
     """(node, root) of the nodes that have links: root is the least node of the component."""
-    spark = nodes.sparkSession
-    found = _Components()
+    spark, roots = nodes.sparkSession, None
     tables = [_signed(m) for m in masks()]
     keyed = nodes.select("node", F.explode(F.array(*map(F.lit, tables))).alias("mask")).withColumn(
         "key", F.col("node").bitwiseAND(F.col("mask")))
+    few = F.bit_count(F.bitwise_not("mask")) <= FEW
+    meets = (
+        (F.col("x.mask") == F.col("y.mask")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
+        & (F.col("x.root") != F.col("y.root")) & _near("x.node", "y.node"))
     while True:
         members = _shared(keyed)
-        found.add(members.where((F.col("node") != F.col("lead")) & _near("node", "lead")).select(
-            F.col("lead").alias("a"), F.col("node").alias("b")))
-        rooted = found.of(members.drop("lead"))
+        to_lead = members.where((F.col("node") != F.col("lead")) & _near("node", "lead"))
+        roots = extended(roots, written(to_lead.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "simhash-links"))
+        rooted = _rooted(members.drop("lead"), roots)
         state = rooted.groupBy("mask", "key").agg(
             F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most")
-        open_ones = written(rooted.join(written(state.drop("least", "most"), "simhash-open"), ["mask", "key"]), "simhash-mixed")
-        few = F.bit_count(F.bitwise_not("mask")) <= FEW
-        small = open_ones.where((F.col("n") <= SMALL) | few)
-        meets = (
-            (F.col("x.mask") == F.col("y.mask")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-            & (F.col("x.root") != F.col("y.root")) & _near("x.node", "y.node"))
-        found.add(small.alias("x").join(small.alias("y"), meets).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-        large = open_ones.where((F.col("n") > SMALL) & ~few)
-        used = [r["mask"] for r in large.select("mask").distinct().collect()]  # at most 31, then 31 times 31
+        several = written(rooted.join(written(state.drop("least", "most"), "simhash-open"), ["mask", "key"]), "simhash-mixed")
+        small = several.where((F.col("n") <= SMALL) | few)
+        pairs = small.alias("x").join(small.alias("y"), meets).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        roots = extended(roots, written(pairs.distinct(), "simhash-links"))
+        large = several.where((F.col("n") > SMALL) & ~few)
+        used = [r["mask"] for r in large.select("mask").distinct().collect()]  # masks, not rows: at most 31, then 31 times 31
         if not used:
-            return found.roots
+            return roots
         finer = spark.createDataFrame(
             [(m, [_signed(x) for x in masks(m & (1 << 64) - 1)]) for m in used], "mask long, finer array<long>")
         keyed = large.select("mask", "node").join(F.broadcast(finer), "mask").select(

@@ -232,9 +232,11 @@ def test_exact_similarity_is_the_probability_jaccard(session):
             a = [k for k in range(n) for _ in range(draw.randint(1, most))]
             b = [k for k in range(n // 4, n + 3) for _ in range(draw.randint(1, most))]
             pairs.append((a, b))
-    frame = session.createDataFrame(pairs, "a array<bigint>, b array<bigint>").select("a", "b", *(
-        near_duplicates._collected(c).alias(f"c{c}") for c in "ab"))
-    sides = [x for c in "ab" for x in (F.col(f"c{c}.set"), near_duplicates._levels(F.col(f"c{c}.set"), F.col(f"c{c}.counts")))]
+    counted = lambda bag: (sorted(set(bag)), [bag.count(k) for k in sorted(set(bag))] if len(set(bag)) < len(bag) else None)
+    frame = session.createDataFrame(
+        [(a, b, *counted(a), *counted(b)) for a, b in pairs],
+        "a array<bigint>, b array<bigint>, ka array<bigint>, na array<bigint>, kb array<bigint>, nb array<bigint>")
+    sides = [x for c in "ab" for x in (F.col(f"k{c}"), near_duplicates._levels(F.col(f"k{c}"), F.col(f"n{c}")))]
     for r in frame.select("a", "b", near_duplicates.similarity(*sides).alias("s")).collect():
         a, b = collections.Counter(r["a"]), collections.Counter(r["b"])
         assert r["s"] == pytest.approx(max(len(a.keys() & b.keys()) / len(a.keys() | b.keys()), _probability_similar(a, b)))
@@ -266,6 +268,34 @@ def test_repeated_passage_is_near_the_single_one(session, table):
     assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
 
 
+def test_shingles_and_digests_of_texts():
+    """Equal runs of five words have equal hashes, others have not; the words' digest knows neither case nor white space."""
+    draw = random.Random(15)
+    texts = [None, "", " \n", "a", "A  b", "a b", "a b c d e", "a b c d e f", "f\ta b c D e", "é É x y z w", "x" * 2_000_000 + " a b c d e f g",
+             " ".join(draw.choice("abc") for _ in range(3_000)), *(_words(draw, n) for n in (3, 40, 200_000))]
+    nodes, hashes = near_duplicates.shingled(texts)
+    names = {}
+    for text, node, found in zip(texts, nodes, hashes):
+        words = (text or "").lower().split()
+        assert node == (hashlib.md5(" ".join(words).encode()).digest() if words else None)
+        runs = [tuple(words[k: k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+        assert len(found) == len(runs)
+        for run, value in zip(runs, found.tolist()):
+            assert names.setdefault(run, value) == value
+    assert len(set(names.values())) == len(names)
+    one_by_one = [near_duplicates.signature(h) for h in hashes if len(h)]
+    together = near_duplicates.signatures([np.unique(h, return_counts=True) for h in hashes if len(h)])
+    assert (np.array(one_by_one) == together).all()
+
+
+def test_one_of_many_equal_rows_stays(session):
+    rows = [(1, "some words of one text here", "x", k % 2) for k in range(400)] + [(2, "some words of one text here", "x", 1), (None, "other words of a text", "y", 0)] * 3
+    docs = session.createDataFrame(rows, "doc_id long, text string, node string, row int")
+    kept = near_duplicates.one_per_class(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, r["node"]) for r in kept.collect()) == [(0, "y"), (1, "x")]
+    assert near_duplicates.classes(docs).count() == len(rows)
+
+
 def test_components(session):
     draw = random.Random(9)
     links = [(k, k + 1) for k in range(0, 60)] + [(draw.randint(100, 160), draw.randint(100, 160)) for _ in range(50)] + [(200, k) for k in range(201, 240)]
@@ -277,6 +307,11 @@ def test_components(session):
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert {r["node"]: r["root"] for r in found} == {x: root[x] for x in linked} and len(found) == len(linked)
     assert components.components(session.createDataFrame([], "a long, b long")).count() == 0
+    frames = [session.createDataFrame(links[k::3], "a long, b long") for k in range(3)]
+    step_by_step = None
+    for frame in [*frames, frames[0]]:
+        step_by_step = components.extended(step_by_step, frame)
+    assert {r["node"]: r["root"] for r in step_by_step.collect()} == {x: root[x] for x in linked}
 
 
 def test_pipeline(session, table):
