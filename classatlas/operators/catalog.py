@@ -33,19 +33,22 @@ def containing(entries: DataFrame, fqns: DataFrame) -> DataFrame:
     return join_lookup(files, wanted, ["entry_name"]).select("fqn", "jar_path").distinct()
 
 
-def by_simple_name(entries: DataFrame, simple_names: DataFrame) -> DataFrame:
+def simple_names(entries: DataFrame) -> DataFrame:
+    """``(simple_name, jar_path, fqn)`` of top-level classes inside some package, distinct."""
+    entry = F.col("entry_name")
+    last = F.regexp_replace(F.substring_index(entry, "/", -1), r"\.class$", "")
+    return entries.where(names.is_top_level_class(entry) & F.contains(entry, F.lit("/"))).select(
+        last.alias("simple_name"),
+        "jar_path",
+        F.translate(F.regexp_replace(entry, r"(\.class)+$", ""), "/", ".").alias("fqn"),
+    ).distinct()
+
+
+def by_simple_name(entries: DataFrame, wanted: DataFrame) -> DataFrame:
     """Suffix probe: ``(simple_name, jar_path, fqn)``, distinct.
 
     The suffix test is an equality on the last path segment, so it joins by hash
     instead of comparing every entry with every name. Classes outside any
     package never match.
     """
-    entry = F.col("entry_name")
-    last = F.regexp_replace(F.substring_index(entry, "/", -1), r"\.class$", "")
-    candidates = entries.where(names.is_top_level_class(entry) & F.contains(entry, F.lit("/"))).select(
-        last.alias("simple_name"),
-        "jar_path",
-        F.translate(F.regexp_replace(entry, r"(\.class)+$", ""), "/", ".").alias("fqn"),
-    )
-    wanted = simple_names.select("simple_name").distinct()
-    return join_lookup(candidates, wanted, ["simple_name"], "left_semi").distinct()
+    return join_lookup(simple_names(entries), wanted.select("simple_name").distinct(), ["simple_name"], "left_semi")

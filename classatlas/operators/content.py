@@ -30,19 +30,29 @@ def name_sources(texts: DataFrame) -> DataFrame:
 
 
 def first_text(rows: DataFrame, keys: list[str], order: str, *kept: str) -> DataFrame:
-    """The row of the smallest ``order`` per key, reduced to keys, ``order`` and ``kept``.
-
-    ``order`` is unique within a key. Ranking looks at keys and ``order`` only, and
-    keeps the few keys that occur more than once; texts are neither sorted nor
-    aggregated, and they move only if those keys are too many to be broadcast.
+    """The row of the smallest ``order`` per key, reduced to keys, ``order`` and ``kept``; one row per key.
+
+    Of rows of equal ``order`` the one with the smallest hash of ``kept`` is taken, and one
+    of equal rows. Ranking looks at keys, ``order`` and that hash only, and keeps the few keys
+    that occur more than once; texts are neither sorted nor aggregated, and they move only if
+    those keys are too many to be broadcast. Only keys whose first row comes several times
+    are reduced by an exchange of these rows; without any, that part of the plan is dropped
+    at run time.
     """
-    repeated = rows.groupBy(*keys).agg(F.min(order).alias("first_order"), F.count("*").alias("n")).where("n > 1")
+    mark = F.xxhash64(*kept)
+    counted = rows.groupBy(*keys, F.col(order).alias("_order"), mark.alias("_mark")).agg(F.count("*").alias("_copies"))
+    repeated = counted.groupBy(*keys).agg(
+        F.min(F.struct("_order", "_mark", "_copies")).alias("first"), F.sum("_copies").alias("n")).where("n > 1")
     same_key = reduce(
         lambda a, b: a & b, (F.col(f"r.{key}").eqNullSafe(F.col(f"f.{key}")) for key in keys)
     )
+    columns = [F.col(f"r.{name}").alias(name) for name in (*keys, order, *kept)]
+    is_first = F.col(f"r.{order}").eqNullSafe(F.col("f.first._order")) & (
+        F.xxhash64(*(F.col(f"r.{name}") for name in kept)) == F.col("f.first._mark"))
     ranked = rows.alias("r").join(repeated.alias("f"), same_key, "left")
-    first = F.isnull("f.first_order") | (F.col(f"r.{order}") == F.col("f.first_order"))
-    return ranked.where(first).select(*(f"r.{name}" for name in (*keys, order, *kept)))
+    single = ranked.where(F.isnull("f.first") | (is_first & (F.col("f.first._copies") == 1))).select(*columns)
+    copies = rows.alias("r").join(repeated.where("first._copies > 1").alias("f"), same_key).where(is_first)
+    return single.unionByName(copies.select(*columns).dropDuplicates(keys))
 
 
 def keep_first(named: DataFrame) -> DataFrame:

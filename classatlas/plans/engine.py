@@ -8,19 +8,20 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from classatlas.functions import names, text
 from classatlas.functions.structure import class_structure
-from classatlas.operators import catalog, changes, content, hotspot, registry, resolve, stats, warmup
-from classatlas.schemas import DECOMPILED, SOURCES_JAR
+from classatlas.operators import catalog, changes, content, hotspot, lookup, name_index, registry, resolve, stats, warmup
+from classatlas.schemas import SOURCES_JAR
 from classatlas.session import ensure_checkpoint_dir
-from classatlas.sources.archives import read_entry_names, read_source_entries, read_sources
+from classatlas.sources.archives import existing_entries, read_entry_names, read_source_entries, read_sources
 from classatlas.sources.artifacts import default_repository, list_artifacts
 from classatlas.sources.decompile import Decompiler, decompile
-from classatlas.sources.store import Store
+from classatlas.sources.store import Store, StoreLocked
 
 
 class ClassNotFound(LookupError):
@@ -69,112 +70,162 @@ class Atlas:
         candidates = [os.path.join(self.repository, *parts[:n]) for n in range(deepest, 1, -1)]
         return [path for path in candidates if os.path.exists(path)] or [self.repository]
 
-    def _holding(self, artifacts: DataFrame, fqn: str) -> DataFrame:
-        entry = fqn.replace(".", "/") + names.CLASS_SUFFIX
-        hits = read_entry_names(artifacts, exact=entry).where("entry_idx >= 0")
-        return hits.select(F.lit(fqn).alias("fqn"), "jar_path").distinct()
+    def _still_held(self, hits: DataFrame) -> DataFrame:
+        """Registry hits whose archive exists and still holds the class."""
+        entry = names.entry_of_class(F.col("fqn"))
+        held = existing_entries(hits.select("jar_path", entry.alias("entry_name")))
+        return hits.withColumn("entry_name", entry).join(held, ["jar_path", "entry_name"], "left_semi").drop("entry_name")
 
-    def _find_qualified(self, fqn: str, version: str | None) -> tuple[DataFrame, str]:
-        """Registry first; on a miss the tiers are searched until one matches.
+    def _in_tiers(self, requests: DataFrame) -> DataFrame:
+        """Hits of the narrowest package directory with any match; the root comes last.
 
-        The version is a filter on registry hits but comes after the tiers: the
-        first tier with any match decides.
+        Every round lists the next wider directory of the names that are still open. A
+        wider one contains the narrower ones, whose archives are not opened again: what
+        they hold of any open name is known by then.
         """
-        scopes = self.scopes(fqn)
-        known = self.store.of_class("class_registry", fqn).select("fqn", "jar_path")
-        hits = self._holding(resolve.of_version(known, version), fqn).checkpoint()
-        if not hits.isEmpty():
-            return hits.withColumn("lookup_source", F.lit("registry")), scopes[0]
-        tiers = scopes if scopes[-1] == self.repository else [*scopes, self.repository]
-        used, searched = scopes[0], None
-        for scope in tiers:
-            artifacts = list_artifacts(self.spark, scope)
-            # a wider tier contains the narrower ones, which held nothing
-            fresh = artifacts if searched is None else artifacts.join(searched, "jar_path", "left_anti")
-            hits = self._holding(fresh, fqn).checkpoint()
-            searched, used = artifacts.select("jar_path"), scope
-            if not hits.isEmpty():
-                break
-        return hits.withColumn("lookup_source", F.lit("scan")), used
-
-    def _find_simple(self, name: str) -> tuple[str | None, DataFrame]:
-        suffix = f"/{name}{names.CLASS_SUFFIX}"
-        entries = read_entry_names(list_artifacts(self.spark, self.repository), suffix=suffix)
-        wanted = self.spark.createDataFrame([(name,)], "simple_name string")
-        matches = catalog.by_simple_name(entries.where("entry_idx >= 0"), wanted).checkpoint()
-        best = resolve.archives_of_best(matches).checkpoint()
-        winner = best.select("fqn").first()
-        hits = best.select("fqn", "jar_path").withColumn("lookup_source", F.lit("scan"))
-        return (winner["fqn"] if winner else None), hits
+        open_names = requests.select(F.col("name").alias("fqn")).distinct()
+        opened, holding = None, None
+        tier = 0
+        while True:
+            prefixes = names.search_prefixes(F.col("fqn"))
+            directories = open_names.where(F.size(prefixes) >= tier).select(
+                F.concat_ws("/", F.lit(self.repository), F.get(prefixes, F.lit(tier))).alias("path"))
+            artifacts = list_artifacts(self.spark, directories).select("jar_path")
+            fresh = artifacts if opened is None else artifacts.join(opened, "jar_path", "left_anti")
+            found = self._holding_any(fresh, open_names).checkpoint()
+            holding = found if holding is None else holding.unionByName(found)
+            opened = artifacts if opened is None else opened.unionByName(fresh)
+            # a match counts once the directory searched for its own name contains it
+            inside = F.substring("jar_path", F.lit(len(self.repository) + 2), F.length("jar_path"))
+            reached = holding.where(resolve.tier_of(F.col("fqn"), inside) <= tier).select("fqn").distinct()
+            open_names = open_names.where(F.size(prefixes) > tier).join(reached, "fqn", "left_anti").checkpoint()
+            if open_names.isEmpty():
+                return lookup.in_narrowest_tier(requests, holding, self.repository)
+            tier += 1
+
+    def _holding_any(self, artifacts: DataFrame, fqns: DataFrame) -> DataFrame:
+        """``(fqn, jar_path)``: which artifacts hold which of the classes."""
+        one = fqns.limit(2).collect()
+        entry = one[0]["fqn"].replace(".", "/") + names.CLASS_SUFFIX if len(one) == 1 else None
+        # of one name the reader hands on the matches only
+        entries = read_entry_names(artifacts, exact=entry, suffix=names.CLASS_SUFFIX)
+        return catalog.containing(entries.where("entry_idx >= 0"), fqns)
+
+    def _read_names(self, artifacts: DataFrame) -> DataFrame | None:
+        """Open archives whose present state is not in the index of simple names; their rows, stored as well.
+
+        A store that stays locked is not written, the rows serve this lookup all the same.
+        """
+        unread = name_index.unread(artifacts, self.store.name_archives()).checkpoint()
+        if unread.isEmpty():
+            return None
+        entries = read_entry_names(unread, suffix=names.CLASS_SUFFIX).where("entry_idx >= 0")
+        fresh = name_index.of_entries(entries, unread).checkpoint()
+        try:
+            with self.store.run():
+                self._store_names(fresh, unread)
+        except StoreLocked:
+            pass
+        return fresh
+
+    def _store_names(self, rows: DataFrame, states: DataFrame) -> None:
+        self.store.write("simple_names", rows)
+        self.store.write("name_archives", states)
+
+    def _by_simple_name(self, requests: DataFrame) -> DataFrame:
+        artifacts = list_artifacts(self.spark, self.repository)
+        fresh = self._read_names(artifacts)
+        wanted = requests.select(F.col("name").alias("simple_name"))
+        index = self.store.simple_names(wanted)
+        index = index if fresh is None else index.unionByName(fresh)
+        return lookup.of_best_name(requests, name_index.matches(index, wanted, artifacts).checkpoint())
+
+    def find_all(self, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All versions of many classes at once, from ``(raw, wanted)`` rows; ``wanted`` is a version or NULL.
+
+        Returns the answers, one row per request and artifact, and the outcome, one row
+        per request with its number of versions, 0 for a miss. Registry first; what it
+        does not know, or not in the wanted version, is searched in tiers, where the
+        version comes after the tiers: the first tier with any match decides.
+        """
+        wanted = lookup.normalized(requests).checkpoint()
+        hits = self._hits(wanted)
+        return lookup.answers(hits, self._texts(hits)), lookup.outcome(wanted, hits)
+
+    def _hits(self, wanted: DataFrame) -> DataFrame:
+        """``(name, wanted, fqn, jar_path, lookup_source)`` of normalized requests."""
+        parts = []
+
+        def add(hits: DataFrame, origin: str) -> DataFrame:
+            parts.append(hits.withColumn("lookup_source", F.lit(origin)).checkpoint())
+            return parts[-1]
+
+        qualified = lookup.qualified(wanted).checkpoint()
+        if not qualified.isEmpty():
+            registry = self.store.of_names("class_registry", qualified.select(F.col("name").alias("fqn")))
+            known = add(self._still_held(lookup.registered(qualified, registry)), lookup.REGISTRY)
+            missed = lookup.unanswered(qualified, known).checkpoint()
+            if not missed.isEmpty():
+                add(self._in_tiers(missed), lookup.SCAN)
+        simple = lookup.simple(wanted).checkpoint()
+        if not simple.isEmpty():
+            add(self._by_simple_name(simple), lookup.SCAN)
+        if not parts:
+            return self.spark.createDataFrame([], "name string, wanted string, fqn string, jar_path string, lookup_source string")
+        return reduce(DataFrame.unionByName, parts)
 
     def find(self, raw: str, version: str | None = None) -> Found:
-        """All versions of a class with their source, in version order."""
-        name = self.normalize(raw)
-        if "." in name:
-            fqn, (hits, root) = name, self._find_qualified(name, version)
-        else:
-            root = self.repository
-            fqn, hits = self._find_simple(name)
-        matched = resolve.of_version(hits, version)
-        if fqn is None or matched.isEmpty():
-            raise ClassNotFound(f"Class {fqn or name} not found (scan dir: {root})")
-        return Found(fqn, root, self._materialize(fqn, matched))
-
-    def _materialize(self, fqn: str, hits: DataFrame) -> DataFrame:
-        """Cached text, else the sources archive, else the decompiler."""
-        looked_up = content.from_cache(hits, self.store.sources(fqn)).checkpoint()
-        missing = looked_up.where(~F.col("cache_hit")).select("fqn", "jar_path", "lookup_source")
+        """All versions of one class with their source, in version order: a batch of one request."""
+        request = self.spark.createDataFrame([(raw, version)], "raw string, wanted string")
+        hits = self._hits(lookup.normalized(request).checkpoint())
+        first = hits.select("fqn", "jar_path", "lookup_source").first()
+        name = first["fqn"] if first else self.normalize(raw)
+        scopes = self.scopes(name) if "." in raw else [self.repository]
+        if first is None:
+            raise ClassNotFound(f"Class {name} not found (scan dir: {self.repository if '.' not in raw else scopes[0]})")
+        root = scopes[0]
+        if first["lookup_source"] == lookup.SCAN:
+            # the directory that was searched when the class was found
+            root = next((s for s in scopes if first["jar_path"].startswith(f"{s}/")), self.repository)
+        versions = lookup.answers(hits, self._texts(hits)).drop(*lookup.REQUEST).orderBy(*resolve.version_order())
+        return Found(name, root, versions)
+
+    def _texts(self, hits: DataFrame) -> DataFrame:
+        """``(fqn, jar_path, content, source, cache_hit)``: cached text, else the sources archive, else the decompiler."""
+        wanted = hits.select("fqn", "jar_path").distinct().checkpoint()
+        cached = self.store.sources(wanted.select("fqn")).join(wanted, ["fqn", "jar_path"], "left_semi").checkpoint()
+        missing = wanted.join(cached.select("fqn", "jar_path"), ["fqn", "jar_path"], "left_anti").checkpoint()
         read = self._read_sources_of(missing).checkpoint()
-        rest = missing.join(read.select("jar_path"), "jar_path", "left_anti")
-        found = (
-            looked_up.where("cache_hit")
-            .select("fqn", "jar_path", "lookup_source", "cache_hit", "content", "source")
-            .unionByName(
-                missing.join(read, "jar_path")
-                .withColumn("source", F.lit(SOURCES_JAR))
-                .withColumn("cache_hit", F.lit(False))
-            )
-            .unionByName(self._decompile_class(rest))
-        )
-        return (
-            resolve.with_version(found)
-            .withColumn("content_hash", text.content_hash(F.col("content")))
-            .select(
-                "fqn", "version", "jar_path", "content_hash", "content",
-                "cache_hit", "source", "lookup_source",
-            )
-            .orderBy(*resolve.version_order())
-        )
+        rest = missing.join(read.select("fqn", "jar_path"), ["fqn", "jar_path"], "left_anti")
+        return lookup.preferred_text(cached, read, self._decompile_class(rest))
 
     def _read_sources_of(self, hits: DataFrame) -> DataFrame:
-        """``(jar_path, content)`` of the class in the sibling archives that have it."""
+        """``(fqn, jar_path, content)`` of the classes in the sibling archives that have them."""
         requests = hits.select(
-            "jar_path",
+            "fqn", "jar_path",
             names.sources_jar_path(F.col("jar_path")).alias("sources_path"),
             names.source_entry_of_class(F.col("fqn")).alias("entry_name"),
         ).where("sources_path is not null")
-        return read_source_entries(requests).select("jar_path", "content")
+        found = read_source_entries(requests.drop("fqn").distinct()).select("jar_path", "entry_name", "content")
+        # inner classes share the entry of their outer class
+        return requests.join(found, ["jar_path", "entry_name"]).select("fqn", "jar_path", "content")
 
     def _decompile_class(self, hits: DataFrame) -> DataFrame:
+        """``(fqn, jar_path, content)``; nothing without a tool."""
         if self.decompiler is None:
-            done = hits.withColumn("content", F.lit(None).cast("string"))
-            return done.withColumn("source", F.lit(None).cast("string")).withColumn("cache_hit", F.lit(False))
+            return hits.select("fqn", "jar_path", F.lit(None).cast("string").alias("content")).limit(0)
         outputs = decompile(hits, self.decompiler)
         failure = outputs.where("error is not null").first()
         if failure is not None:
             raise DecompileError(failure["error"])
-        return hits.join(outputs.select("jar_path", "output"), "jar_path").select(
-            *hits.columns,
-            text.content_for_class(F.col("output"), F.col("fqn")).alias("content"),
-            F.lit(DECOMPILED).alias("source"),
-            F.lit(False).alias("cache_hit"),
-        )
+        return outputs.select(
+            "fqn", "jar_path", text.content_for_class(F.col("output"), F.col("fqn")).alias("content"))
 
     def structures(self, found: Found) -> DataFrame:
         """Contract per version; the sources archive wins even over a cached text."""
         versions = found.versions.select("fqn", "version", "jar_path", "content", "source")
         original = self._read_sources_of(versions).withColumnRenamed("content", "original")
-        chosen = versions.join(original, "jar_path", "left")
+        chosen = versions.join(original, ["fqn", "jar_path"], "left")
         return chosen.select(
             "fqn", "version", "jar_path",
             F.when(F.col("original").isNotNull(), F.lit(SOURCES_JAR))
@@ -199,8 +250,11 @@ class Atlas:
         fresh = registry.uncataloged(artifacts, self.store.manifest())
         entries = read_entry_names(fresh, suffix=names.CLASS_SUFFIX).checkpoint()
         status, classes = catalog.archive_status(entries), catalog.classes(entries)
+        unread = name_index.unread(artifacts.join(fresh.select("jar_path"), "jar_path", "left_semi"), self.store.name_archives()).checkpoint()
         with self.store.run() as run:
             self._append_registry(classes, status.where("readable").select("jar_path"), run)
+            # what was opened anyway also answers lookups of simple names
+            self._store_names(name_index.of_entries(entries.where("entry_idx >= 0"), unread), unread)
         return registry.index_summary(artifacts, status, classes).withColumn(
             "root", F.lit(path or self.repository)
         )

@@ -64,6 +64,13 @@ JAR_MTIME = T.StructType([
     T.StructField("mtime_ns", T.LongType()),
 ])
 
+SIMPLE_NAMES = T.StructType([
+    T.StructField("simple_name", T.StringType()),
+    T.StructField("fqn", T.StringType()),
+    T.StructField("jar_path", T.StringType()),
+    T.StructField("mtime_ns", T.LongType()),
+])
+
 MEMBER = T.StructType([
     T.StructField("declaration", T.StringType()),
     T.StructField("comment", T.StringType()),

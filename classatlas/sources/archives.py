@@ -150,6 +150,24 @@ def read_entry_names(
     return paths.mapInArrow(_reader(exact, suffix), ENTRIES)
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which of the ``(jar_path, entry_name)`` pairs exist; rows of an archive come one after the other."""
+    path, held = None, frozenset()
+    for batch in batches:
+        found = []
+        for jar_path, entry_name in zip(*(batch.column(c).to_pylist() for c in ("jar_path", "entry_name"))):
+            if jar_path != path:
+                path, held = jar_path, frozenset(row[2] for row in _entry_rows(jar_path))
+            found.append(entry_name in held)
+        yield batch.filter(pa.array(found, pa.bool_()))
+
+
+def existing_entries(pairs: DataFrame) -> DataFrame:
+    """Those ``(jar_path, entry_name)`` pairs whose archive has the entry; each archive is opened once."""
+    ordered = _spread(pairs.select("jar_path", "entry_name").distinct(), "jar_path").sortWithinPartitions("jar_path")
+    return ordered.mapInArrow(_held, "jar_path string, entry_name string")
+
+
 def read_sources(pairs: DataFrame) -> DataFrame:
     """All class sources of ``(jar_path, sources_path)`` pairs, keyed by the binary archive."""
     paths = pairs.select("jar_path", "sources_path", F.lit(None).cast("string").alias("entry_name"))

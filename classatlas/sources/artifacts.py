@@ -81,16 +81,19 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield packed()
 
 
-def list_artifacts(spark: SparkSession, roots: str | list[str]) -> DataFrame:
-    """All ``*.jar`` paths below the roots with modification time and size.
+def list_artifacts(spark: SparkSession, roots: str | list[str] | DataFrame) -> DataFrame:
+    """All ``*.jar`` paths below the roots (a ``path`` column, if many) with modification time and size.
 
     Hidden directories are searched, symbolic links to directories are not
     followed, and a directory named like an archive is reported as well.
     """
     ensure_checkpoint_dir(spark)
-    roots = [roots] if isinstance(roots, str) else roots
     slots = spark.sparkContext.defaultParallelism
-    frontier = spark.createDataFrame([(root,) for root in roots], "path string").coalesce(1)
+    one = isinstance(roots, str)
+    if isinstance(roots, DataFrame):
+        frontier = roots.select("path").distinct()
+    else:
+        frontier = spark.createDataFrame([(root,) for root in ([roots] if one else roots)], "path string").coalesce(1)
     rounds = []
     while True:
         listed = frontier.mapInArrow(_list_directories, _LISTING).checkpoint()
@@ -102,7 +105,7 @@ def list_artifacts(spark: SparkSession, roots: str | list[str]) -> DataFrame:
     found = reduce(DataFrame.unionByName, rounds)
     artifacts = found.select(F.col("path").alias("jar_path"), "mtime_ns", "length")
     # only nested roots can list a path twice
-    return artifacts if len(roots) == 1 else artifacts.distinct()
+    return artifacts if one else artifacts.distinct()
 
 
 def with_version(artifacts: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def registered(store):
 
 
 def test_second_writer_fails_and_changes_nothing(spark, tmp_path):
-    first, second = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    first, second = (Store(spark, str(tmp_path / "store"), wait=0.3) for _ in range(2))
     with first.run() as number:
         first.write("class_registry", pairs(spark, "a"))
         with pytest.raises(StoreLocked):
@@ -42,7 +42,7 @@ def test_failed_run_frees_the_store_and_stays_unseen(spark, tmp_path):
 
 
 def test_lock_of_a_dead_driver_is_released_by_hand(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), wait=0.3)
     store._lock()
     with pytest.raises(StoreLocked), store.run():
         pass
