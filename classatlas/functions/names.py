@@ -36,10 +36,6 @@ def is_qualified(name: Column) -> Column:
     return F.contains(name, F.lit("."))
 
 
-def simple_name(fqn: Column) -> Column:
-    return F.substring_index(fqn, ".", -1)
-
-
 def is_top_level_class(entry_name: Column) -> Column:
     """Class files outside inner classes; a ``$`` anywhere in the path excludes."""
     return F.endswith(entry_name, F.lit(CLASS_SUFFIX)) & ~F.contains(entry_name, F.lit("$"))
@@ -55,13 +51,6 @@ def entry_of_class(fqn: Column) -> Column:
     return F.concat(F.translate(fqn, ".", "/"), F.lit(CLASS_SUFFIX))
 
 
-def has_simple_name(entry_name: Column, name: Column) -> Column:
-    """Suffix probe: the entry is ``.../<name>.class`` below at least one directory."""
-    return is_top_level_class(entry_name) & F.endswith(
-        entry_name, F.concat(F.lit("/"), name, F.lit(CLASS_SUFFIX))
-    )
-
-
 def source_entry_of_class(fqn: Column) -> Column:
     """The ``.java`` entry holding a class; inner classes live in their outer file."""
     return F.concat(F.translate(F.substring_index(fqn, "$", 1), ".", "/"), F.lit(JAVA_SUFFIX))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from classatlas.functions import names
 from classatlas.operators import catalog
 from classatlas.operators.skew import join_lookup
+from classatlas.session import ensure_checkpoint_dir
 
 
 def valid_hits(hits: DataFrame, artifacts: DataFrame, entries: DataFrame) -> DataFrame:
@@ -108,6 +109,26 @@ def version_order() -> list[Column]:
     return [F.col("version").asc_nulls_first(), F.col("jar_path").asc()]
 
 
+def positions(hits: DataFrame, *keys: str) -> DataFrame:
+    """Adds ``position``, the place of a hit among those of its keys in version order, from 1.
+
+    ``hits`` have ``version``, ``jar_path`` and keys that are not NULL. They are dealt out by
+    range and written, so that one key with very many hits spreads over tasks; the sizes of
+    the ranges, one row per task, and the first place of every key give the rest.
+    """
+    ensure_checkpoint_dir(hits.sparkSession)
+    order = [F.col(k).asc() for k in keys] + version_order()
+    placed = hits.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "_at", F.monotonically_increasing_id()).checkpoint().withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = placed.join(F.broadcast(sizes), "_part").withColumn(
+        "_place", F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).drop("_at", "_part", "_before")
+    first = numbered.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    return join_lookup(numbered, first, list(keys)).withColumn("position", F.col("_place") - F.col("_first") + 1).drop("_place", "_first")
+
+
 def default_version(hits: DataFrame) -> DataFrame:
     """Per class the artifact of the last known version, else the first one.
 

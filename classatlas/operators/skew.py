@@ -17,7 +17,9 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "i
     """Join with a lookup of few rows per key; ``rows`` may have keys of any frequency.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. Rows with a NULL
-    key find no partner, as in any equi-join.
+    key find no partner, as in any equi-join. The lookup is computed and written here,
+    while the plan is built; with ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    Spark removes its files once the result is no longer referenced.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     return rows.join(lookup.checkpoint(), on, how)

@@ -22,10 +22,10 @@ def queue_order(tasks: DataFrame) -> DataFrame:
     ).orderBy(F.col("priority").desc(), F.col("seq").asc())
 
 
-def group_targets(artifacts: DataFrame, group: str, limit: int | None = None) -> DataFrame:
-    """Artifacts of a group; ``jar_path`` is relative to the repository root."""
-    targets = artifacts.where(F.startswith("jar_path", F.lit(names.group_directory(group) + "/")))
-    targets = targets.orderBy("jar_path")
+def group_targets(artifacts: DataFrame, group: str, limit: int | None = None, root: str = "") -> DataFrame:
+    """Artifacts of a group in order of their paths, which lie below ``root``."""
+    directory = f"{root}/{names.group_directory(group)}/" if root else f"{names.group_directory(group)}/"
+    targets = artifacts.where(F.startswith("jar_path", F.lit(directory))).orderBy("jar_path")
     return targets if limit is None else targets.limit(limit)
 
 

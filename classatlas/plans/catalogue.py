@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from classatlas.functions import names, text
 from classatlas.functions.structure import class_structure, has_member
-from classatlas.operators import catalog, changes, content, hotspot, registry, resolve, stats, warmup
+from classatlas.operators import catalog, changes, content, hotspot, lookup, name_index, registry, resolve, stats, warmup
 from classatlas.plans import standin
 from classatlas.plans.render import text_line, version_json
 from classatlas.schemas import DECOMPILED, SOURCES_JAR
+from classatlas.sources.archives import existing_entries, read_entry_names, read_source_entries, read_sources
 from classatlas.sources.store import Store
 from classatlas.streaming.access import replay_requests
 from classatlas.streaming.indexing import write_sources
@@ -285,11 +286,98 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return cached.unionByName(fresh)
 
 
+def _known_states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The simple-name index of an earlier time and the states of archives it was made from.
+
+    Some archives were never read, others have changed since and held another class then.
+    """
+    states = standin.artifact_states(spark, d).where(~standin.every(F.col("jar_path"), 4))
+    changed = standin.every(F.col("jar_path"), 3)
+    index = name_index.of_entries(standin.entries(spark, d), states.where(~changed))
+    old = states.where(changed).select("jar_path", (F.col("mtime_ns") - 1).alias("mtime_ns"))
+    gone = standin.classes(spark, d).select("simple_name", "jar_path").distinct().join(old, "jar_path").select(
+        "simple_name", standin.cat("org.zz.gone.", F.col("simple_name")).alias("fqn"), "jar_path", "mtime_ns")
+    return index.unionByName(gone), states.where(~changed).unionByName(old)
+
+
 def find_simple_best(spark: SparkSession, d: str) -> DataFrame:
-    """Every simple name resolved to its best qualified name and that name's versions."""
+    """Every simple name resolved to its best qualified name and that name's versions.
+
+    Answered from the index of simple names, after reading the archives that it does not
+    know in their present state.
+    """
+    artifacts = standin.artifact_states(spark, d)
+    index, read = _known_states(spark, d)
+    unread = name_index.unread(artifacts, read)
+    opened = standin.entries(spark, d).join(unread.select("jar_path"), "jar_path", "left_semi")
+    index = index.unionByName(name_index.of_entries(opened, unread))
     wanted = standin.classes(spark, d).select("simple_name")
-    matches = catalog.by_simple_name(standin.entries(spark, d), wanted)
-    return resolve.with_version(resolve.archives_of_best(matches))
+    return resolve.with_version(resolve.archives_of_best(name_index.matches(index, wanted, artifacts)))
+
+
+def find_batch(spark: SparkSession, d: str) -> DataFrame:
+    """All pasted names at once, some with a version, misses included, through a store.
+
+    The registry knows labelled documents only; archives of some versions are gone, and not
+    all hold what the registry says. What is not found there is searched in tiers, simple
+    names go by the index; texts come from the cache, the sources or the decompiler.
+    """
+    store = Store(spark, standin.scratch(spark, "find"), slots=8)
+    with store.run() as run:
+        store.write("class_registry", _known_registry(spark, d).withColumn("seq", F.lit(run).cast("long")))
+        cached = standin.cache_writes(spark, d).where(~standin.every(F.col("jar_path"), 2))
+        store.write("class_sources", content.keep_last(cached))
+        states = standin.artifact_states(spark, d)
+        store.write("simple_names", name_index.of_entries(standin.entries(spark, d), states))
+    alive = ~standin.every(F.col("jar_path"), 5)
+    artifacts, entries = states.where(alive), standin.entries(spark, d).where(alive)
+    raw = standin.raw_queries(spark, d).select("raw", F.when(
+        F.col("doc_id") % 5 == 0, standin.cat((F.col("doc_id") % 12).cast("string"), ".0")).alias("wanted"))
+    wanted = lookup.normalized(raw).checkpoint()
+    qualified, simple = lookup.qualified(wanted), lookup.simple(wanted)
+
+    registry_rows = store.of_names("class_registry", qualified.select(F.col("name").alias("fqn")))
+    known = lookup.registered(qualified, registry_rows)
+    held = known.join(resolve.valid_hits(known.select("fqn", "jar_path").distinct(), artifacts, entries), ["fqn", "jar_path"], "left_semi").checkpoint()
+    missed = lookup.unanswered(qualified, held)
+    holding = catalog.containing(entries, missed.select(F.col("name").alias("fqn")))
+    index = store.simple_names(simple.select(F.col("name").alias("simple_name")))
+    named = lookup.of_best_name(simple, name_index.matches(index, simple.select(F.col("name").alias("simple_name")), artifacts))
+    hits = held.withColumn("lookup_source", F.lit(lookup.REGISTRY)).unionByName(
+        lookup.in_narrowest_tier(missed, holding).unionByName(named).withColumn("lookup_source", F.lit(lookup.SCAN))).checkpoint()
+
+    pairs = hits.select("fqn", "jar_path").distinct()
+    texts = lookup.preferred_text(
+        store.sources(pairs.select("fqn")), _sources_with_gaps(spark, d), standin.decompiler_pieces(spark, d))
+    found = lookup.answers(hits, texts).drop("content").withColumn("version_key", F.coalesce("wanted", F.lit("")))
+    placed = resolve.positions(found, "name", "version_key").drop("wanted")
+    outcome = lookup.outcome(wanted, hits).withColumn("version_key", F.coalesce("wanted", F.lit("")))
+    return outcome.join(placed, ["name", "version_key"], "left").drop("version_key")
+
+
+def archive_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Classes read from real archives."""
+    archives = standin.archives(spark, d)
+    classes = catalog.classes(read_entry_names(archives.select("jar_path"), suffix=names.CLASS_SUFFIX))
+    return archives.select("doc_id", "jar_path").join(classes, "jar_path").select("doc_id", "fqn")
+
+
+def archive_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Which real archives hold the class file of their class."""
+    archives = standin.archives(spark, d).withColumn("entry_name", names.entry_of_class(F.col("fqn")))
+    held = existing_entries(archives.select("jar_path", "entry_name"))
+    return archives.join(held, ["jar_path", "entry_name"], "left_semi").select("doc_id", "fqn")
+
+
+def archive_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of real sources archives, once read whole and once by entry; invalid bytes are replaced."""
+    archives = standin.archives(spark, d)
+    whole = content.keep_first(content.name_sources(read_sources(archives))).select(
+        "jar_path", "fqn", text.content_hash(F.col("content")).alias("content_hash"))
+    requests = archives.withColumn("entry_name", names.source_entry_of_class(F.col("fqn")))
+    single = read_source_entries(requests).select("jar_path", text.content_hash(F.col("content")).alias("entry_hash"))
+    return archives.select("doc_id", "jar_path").join(whole, "jar_path").join(single, "jar_path").select(
+        "doc_id", "fqn", "content_hash", "entry_hash")
 
 
 def ambiguity(spark: SparkSession, d: str) -> DataFrame:
@@ -478,7 +566,7 @@ def queries() -> dict[str, Query]:
         collapse_whitespace, decode_text, class_structures, structure_members, member_search,
         registry_build, registry_counts, registry_append_new, registry_store, registry_lookup, registry_validated,
         uncataloged_artifacts, index_summary, search_scopes, tiered_scan, find_fqn_versions,
-        find_simple_best, ambiguity, default_version, cache_upsert, cache_upsert_stream, cache_lookup, missing_sources,
+        find_batch, archive_catalog, archive_probe, archive_sources, find_simple_best, ambiguity, default_version, cache_upsert, cache_upsert_stream, cache_lookup, missing_sources,
         load_union, load_skip_flag, load_summary, hotspot_state, hotspot_requests,
         hotspot_requests_late, hotspot_requests_stream, hotspot_top10, hotspot_top_unwarmed,
         store_stats, mtime_changes, mtime_snapshot, warmup_queue_order, warmup_targets_group,

@@ -297,8 +297,9 @@ class Atlas:
         pairs = targets.select(
             "jar_path", names.sources_jar_path(F.col("jar_path")).alias("sources_path")
         ).where("sources_path is not null")
+        # each archive is read once; what follows ranks keys and passes texts on
         read = content.name_sources(read_sources(pairs)).checkpoint()
-        sources = allowed(content.keep_first(read)).checkpoint()
+        sources = allowed(content.keep_first(read))
         gaps = content.needs_decompiling(targets, classes, sources.select("jar_path", "fqn"))
         if self.decompiler is None:
             # originals are all there is: only artifacts without any are failures
@@ -388,7 +389,8 @@ class Atlas:
             targets = hotspot.top_unwarmed(self.store.hotspots(), top)
         elif group is not None:
             directory = os.path.join(self.repository, names.group_directory(group))
-            targets = list_artifacts(self.spark, directory).orderBy("jar_path")
+            # only the group's own directory is listed
+            targets = warmup.group_targets(list_artifacts(self.spark, directory), group, limit, self.repository)
         elif jar_path is not None:
             targets = self.spark.createDataFrame([(jar_path,)], "jar_path string")
         else:

@@ -84,6 +84,45 @@ found AS (
   FROM texts WHERE fqn IN (SELECT class_name FROM req)
 )"""
 
+_LIVE = r"""
+live AS (SELECT * FROM entries WHERE split_part(jar_path, '/', -2)::DOUBLE % 5 <> 0)"""
+
+_ENT_IS_LIVE = "ent AS (SELECT * FROM live)"
+
+_BATCH = r"""
+asked AS (
+  SELECT DISTINCT class_name AS name, CASE WHEN doc_id % 5 = 0 THEN (doc_id % 12)::VARCHAR || '.0' END AS wanted FROM req
+),
+held AS (
+  SELECT DISTINCT fqn, jar_path FROM ent JOIN (SELECT DISTINCT fqn AS name FROM cls) ON entry_name = replace(name, '.', '/') || '.class'
+),
+listed AS (
+  SELECT name, wanted, fqn, jar_path FROM asked JOIN known ON name = fqn SEMI JOIN held USING (fqn, jar_path)
+  WHERE wanted IS NULL OR split_part(jar_path, '/', -2) = wanted
+),
+missed AS (SELECT * FROM asked WHERE contains(name, '.') AND NOT EXISTS (
+  SELECT 1 FROM listed l WHERE l.name = asked.name AND l.wanted IS NOT DISTINCT FROM asked.wanted)),
+tiered AS (
+  SELECT fqn, jar_path, CASE WHEN starts_with(jar_path, 'org/' || split_part(fqn, '.', 2) || '/core/') THEN 0
+    WHEN starts_with(jar_path, 'org/' || split_part(fqn, '.', 2) || '/') THEN 1 ELSE 2 END AS tier FROM held
+),
+hits AS (
+  SELECT name, wanted, fqn, jar_path, 'registry' AS lookup_source FROM listed
+  UNION ALL
+  SELECT name, wanted, fqn, jar_path, 'scan' FROM missed
+  JOIN (SELECT * FROM tiered QUALIFY tier = min(tier) OVER (PARTITION BY fqn)) ON name = fqn
+  WHERE wanted IS NULL OR split_part(jar_path, '/', -2) = wanted
+  UNION ALL
+  SELECT name, wanted, fqn, jar_path, 'scan' FROM asked JOIN best ON name = simple_name JOIN per_jar USING (simple_name, fqn)
+  WHERE wanted IS NULL OR split_part(jar_path, '/', -2) = wanted
+),
+answers AS (
+  SELECT h.*, split_part(jar_path, '/', -2) AS version, sha256(content) AS content_hash, cache_hit, source,
+    row_number() OVER (PARTITION BY name, wanted ORDER BY split_part(jar_path, '/', -2), jar_path) AS position,
+    count(*) OVER (PARTITION BY name, wanted) AS n
+  FROM hits h JOIN texts USING (fqn, jar_path)
+)"""
+
 _KNOWN = r"""
 known AS (
   SELECT fqn, jar_path, min(doc_id) AS seq FROM cls WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY ALL
@@ -272,6 +311,18 @@ def oracle_sql() -> dict[str, str]:
         "find_simple_best": _with(_CLASSES, _ENTRIES, _SUFFIX) + """
             SELECT simple_name, fqn, jar_path, split_part(jar_path, '/', -2) AS version
             FROM per_jar JOIN best USING (simple_name, fqn)""",
+        "find_batch": _with(_CLASSES, _ENTRIES.replace("ent AS", "entries AS", 1), _LIVE, _ENT_IS_LIVE, _SUFFIX, _QUERIES, _KNOWN, _CACHE, _BATCH) + """
+            SELECT q.name, q.wanted, coalesce(n, 0) AS versions, fqn, version, jar_path, content_hash, cache_hit, source,
+              lookup_source, position
+            FROM asked q LEFT JOIN answers a ON a.name = q.name AND a.wanted IS NOT DISTINCT FROM q.wanted""",
+        "archive_catalog": _with(_CLASSES, _ENTRIES) + f"""
+            SELECT doc_id, {_CLASS_OF_ENTRY} AS fqn FROM ent
+            WHERE suffix(entry_name, '.class') AND NOT contains(entry_name, '$')""",
+        "archive_probe": _with(_CLASSES, _ENTRIES) + """
+            SELECT doc_id, fqn FROM ent WHERE entry_name = replace(fqn, '.', '/') || '.class'""",
+        "archive_sources": _with(_CLASSES) + """
+            SELECT doc_id, fqn, sha256(text) AS content_hash, sha256(text) AS entry_hash
+            FROM (SELECT doc_id, fqn, content || '// ' || chr(65533) || chr(10) AS text FROM cls)""",
         "ambiguity": _with(_CLASSES, _ENTRIES, _SUFFIX) + "SELECT simple_name, fqn, artifacts FROM best",
         "default_version": _with(_CLASSES) + """
             SELECT fqn, version, jar_path FROM (SELECT DISTINCT fqn, version, jar_path FROM cls)

@@ -7,8 +7,13 @@ rename and concatenate columns; selections belong to the operators.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +98,41 @@ def entries(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def artifact_states(spark: SparkSession, directory: str) -> DataFrame:
+    """``(jar_path, mtime_ns)``: the newest document of an artifact stands for its modification time."""
+    return classes(spark, directory).groupBy("jar_path").agg(F.max("doc_id").alias("mtime_ns"))
+
+
+def _write_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One binary archive per row and a sources archive beside it; only paths leave the task."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            os.makedirs(os.path.dirname(row["jar_path"]), exist_ok=True)
+            with zipfile.ZipFile(row["jar_path"], "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("META-INF/MANIFEST.MF", "")
+                archive.writestr(row["entry_name"], row["fqn"])
+            with zipfile.ZipFile(row["sources_path"], "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("org/package-info.java", "package org;")
+                archive.writestr(row["source_entry"], row["content"].encode() + b"// \xff\r\n")
+        yield batch.select(["doc_id", "jar_path", "sources_path", "fqn"])
+
+
+def archives(spark: SparkSession, directory: str) -> DataFrame:
+    """``doc_id, jar_path, sources_path, fqn`` of real archives, two per document, written by tasks.
+
+    The sources end in a line with an invalid byte and a line end of another system.
+    """
+    base = re.sub("^file:/*", "/", scratch(spark, "archives"))
+    home = cat(base, "/", (F.col("doc_id") % 97).cast("string"), "/", F.col("doc_id").cast("string"), "/a")
+    texts = with_content(documents_spread(spark, directory).withColumn("fqn", cat("org.", F.col("lang"), ".core.", F.col("simple_name"))))
+    named = entries(spark, directory).select("doc_id", "entry_name").join(texts, "doc_id")
+    rows = named.select(
+        "doc_id", cat(home, ".jar").alias("jar_path"), cat(home, names.SOURCES_SUFFIX).alias("sources_path"), "fqn",
+        "entry_name", names.source_entry_of_class(F.col("fqn")).alias("source_entry"), "content")
+    written = rows.mapInArrow(_write_archives, "doc_id long, jar_path string, sources_path string, fqn string")
+    return written.checkpoint()
+
+
 def source_text(text: Column) -> Column:
     """A compilation unit around a whole document."""
     return cat(

@@ -198,8 +198,8 @@ class Store:
         wanted = requests.select(key).where(F.col(key) != "").distinct().checkpoint()
         if wanted.isEmpty():
             return self.rows(table).limit(0)
-        # the comparison tells the optimizer that pruning by these rows pays
-        slotted = wanted.where(F.col(key) != "").withColumn("slot", name_slot(F.col(key), self.slots))
+        # a comparison tells the optimizer that pruning by these rows pays; this one always holds
+        slotted = wanted.withColumn("slot", name_slot(F.col(key), self.slots)).where("slot >= 0")
         few = wanted.limit(FEW_REQUESTS + 1).count() <= FEW_REQUESTS
         return self.rows(table).join(F.broadcast(slotted) if few else slotted, ["slot", key])
 

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from classatlas.operators import hotspot
 from classatlas.plans import standin
 from classatlas.sources.store import Store
-from classatlas.streaming.tags import batch_tag
+from classatlas.streaming.tags import BatchTags
 
 _REQUESTS = "jar_path string, event_id long, priority long, mode string"
 
@@ -40,8 +40,10 @@ def count_accesses(
     written, so they arrive at least once. Counters are compacted now and then, so
     that a batch never reads more than one row per artifact and recent batch.
     """
+    tags = BatchTags(name, checkpoint)
+
     def handle(batch: DataFrame, number: int) -> None:
-        tag = batch_tag(batch.sparkSession, name, checkpoint, number)
+        tag = tags.of(batch.sparkSession, number)
         if store.has_run(tag):
             return
         rows = batch.persist()

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from classatlas.operators import content
 from classatlas.sources.store import Store
-from classatlas.streaming.tags import batch_tag
+from classatlas.streaming.tags import BatchTags
 
 
 def write_sources(
@@ -19,8 +19,10 @@ def write_sources(
     and the trigger its pace. A repeated batch is recognised by its tag. Errors
     stop the query instead of being lost.
     """
+    tags = BatchTags(name, checkpoint)
+
     def flush(batch: DataFrame, number: int) -> None:
-        tag = batch_tag(batch.sparkSession, name, checkpoint, number)
+        tag = tags.of(batch.sparkSession, number)
         if not store.has_run(tag):
             with store.run(tag):
                 store.write("class_sources", content.keep_last(batch))

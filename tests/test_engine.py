@@ -8,8 +8,10 @@ import os
 import pytest
 
 from classatlas.operators import hotspot
+from classatlas.plans import engine as engine_module
 from classatlas.plans import render
 from classatlas.plans.engine import Atlas, ClassNotFound, DecompileError
+from classatlas.sources.archives import read_entry_names
 from classatlas.sources.decompile import Decompiler
 
 BANNER = "/*\n * Decompiled with CFR 0.152.\n */\n"
@@ -106,6 +108,61 @@ def test_simple_name_takes_most_archives_then_largest_name(atlas, repository, ja
     assert atlas.find("Quay").class_name == "net.harbor.Quay"
 
 
+def test_only_changed_archives_are_opened_for_simple_names(atlas, repository, jar, monkeypatch):
+    opened = []
+
+    def reading(artifacts, **choice):
+        opened.append(sorted(os.path.basename(r["jar_path"]) for r in artifacts.select("jar_path").collect()))
+        return read_entry_names(artifacts, **choice)
+
+    monkeypatch.setattr(engine_module, "read_entry_names", reading)
+    assert atlas.find("Quay").class_name == "net.harbor.Quay"
+    assert opened == [["dock-2.4.jar", "dock-2.5-sources.jar", "dock-2.5.jar"]]
+    assert atlas.find("Tide").class_name == "net.harbor.Tide" and len(opened) == 1
+    path = repository / "net/harbor/dock/2.4/dock-2.4.jar"
+    jar(path, ("net/harbor/New.class", b""))
+    os.utime(path, ns=(10**18, 10**18))
+    assert [v["version"] for v in rows(atlas.find("Quay").versions)] == ["2.5"]
+    assert opened[1:] == [["dock-2.4.jar"]]
+    os.remove(repository / "net/harbor/dock/2.5/dock-2.5.jar")
+    with pytest.raises(ClassNotFound):
+        atlas.find("Quay")
+    assert len(opened) == 2
+    atlas.store.compact("simple_names")
+    assert {r["fqn"] for r in rows(atlas.store.simple_names())} == {"net.harbor.New", "net.harbor.Quay", "net.harbor.Tide"}
+    # a store that stays locked answers as well, it only forgets what was read
+    atlas.store.wait = 0.1
+    jar(repository / "new/1/new-1.jar", ("org/x/y/Fresh.class", b""))
+    atlas.store._lock()
+    assert rows(atlas._hits(atlas.spark.createDataFrame([("Fresh", None)], "name string, wanted string")))[0]["fqn"] == "org.x.y.Fresh"
+    atlas.store.release()
+    assert len(opened) == 3
+
+
+def test_index_answers_simple_names(atlas, monkeypatch):
+    atlas.index().collect()
+    monkeypatch.setattr(engine_module, "read_entry_names", lambda *a, **k: pytest.fail("opened an archive"))
+    assert atlas.find("Tide").class_name == "net.harbor.Tide"
+
+
+def test_find_all_answers_many_requests(atlas, repository, jar, spark):
+    jar(repository / "net/harbor/quay/9/quay-9.jar", ("net/harbor/Quay.class", b""), ("net/harbor/Quay$Inner.class", b""))
+    jar(repository / "mirror/9.0/copy-9.0.jar", ("org/only/far/C.class", b""))
+    atlas.load(str(repository / "net/harbor/dock/2.5/dock-2.5.jar")).collect()
+    asked = [("import net.harbor.Quay;", None), ("net.harbor.Quay", None), ("net.harbor.Quay", "2.4"), ("net.harbor.Quay", "7"), ("Tide", "2.5"),
+             ("Tide", None), ("org.only.far.C", None), ("no.such.Name", None), ("Nothing", None), (" ; ", None), (None, None), ("net.harbor.Quay$Inner", None)]
+    answers, outcome = atlas.find_all(spark.createDataFrame(asked, "raw string, wanted string"))
+    assert {(r["name"], r["wanted"]): r["versions"] for r in rows(outcome)} == {
+        ("net.harbor.Quay", None): 1, ("net.harbor.Quay", "2.4"): 1, ("net.harbor.Quay", "7"): 0, ("Tide", "2.5"): 1, ("Tide", None): 2,
+        ("org.only.far.C", None): 1, ("no.such.Name", None): 0, ("Nothing", None): 0, ("net.harbor.Quay$Inner", None): 1}
+    found = sorted(((r["name"], r["version"], r["lookup_source"], r["source"], r["cache_hit"]) for r in rows(answers)), key=str)
+    assert found == [
+        ("Tide", "2.4", "scan", "decompiled", False), ("Tide", "2.5", "scan", "sources-jar", True), ("Tide", "2.5", "scan", "sources-jar", True),
+        ("net.harbor.Quay$Inner", "9", "scan", "decompiled", False), ("net.harbor.Quay", "2.4", "scan", "decompiled", False),
+        ("net.harbor.Quay", "2.5", "registry", "sources-jar", True), ("org.only.far.C", "9.0", "scan", "decompiled", False)]
+    assert atlas.find_all(spark.createDataFrame([], "raw string, wanted string"))[1].count() == 0
+
+
 def test_unreadable_sources_fall_through_and_failing_tool_aborts(spark, tmp_path, repository, fake_java):
     (repository / "net/harbor/dock/2.5/dock-2.5-sources.jar").write_bytes(b"broken")
     java, _ = fake_java("", code=3, error="boom")

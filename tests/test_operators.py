@@ -192,3 +192,19 @@ def test_queue_order(spark):
         "jar_path string, priority long, seq long, mode string",
     )
     assert [(r["priority"], r["seq"]) for r in warmup.queue_order(tasks).collect()] == [(2, 1), (2, 2), (1, 0)]
+
+
+def test_one_row_per_key_on_equal_order(spark):
+    """Repeated and contradicting writes of equal age leave one row, the same one in any order of the rows."""
+    writes = [("A", "j", "x", "s", 1), ("A", "j", "y", "s", 1), ("A", "j", "x", "s", 0), ("B", "j", "z", "s", 2), ("B", "j", "z", "s", 2),
+              ("C", "j", None, "s", 3), ("C", "j", None, "s", 3), (None, "j", "n", "s", 1), ("D", "j", "only", "s", 1)]
+    schema = "fqn string, jar_path string, content string, source string, seq long"
+    kept = [sorted(map(str, content.keep_last(spark.createDataFrame(rows, schema)).collect())) for rows in (writes, writes[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 5
+
+
+def test_positions_in_version_order(spark):
+    hits = [("a", v, f"p{k}") for k, v in enumerate(["2", None, "10", "2", None])] + [("b", "1", f"q{k}") for k in range(300)]
+    found = resolve.positions(spark.createDataFrame(hits, "name string, version string, jar_path string"), "name").collect()
+    assert {r["jar_path"]: r["position"] for r in found if r["name"] == "a"} == {"p1": 1, "p4": 2, "p2": 3, "p0": 4, "p3": 5}
+    assert sorted(r["position"] for r in found if r["name"] == "b") == list(range(1, 301))
