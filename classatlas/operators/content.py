@@ -20,15 +20,22 @@ def with_sources_path(artifacts: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def name_sources(texts: DataFrame) -> DataFrame:
-    """``(jar_path, entry_idx, fqn, content)`` of source entries."""
+    """``(jar_path, entry_idx, fqn, content)`` of source entries, with their ``error`` if they have one."""
     return texts.select(
         "jar_path",
         "entry_idx",
         text.class_of_source(F.col("content"), F.col("entry_name")).alias("fqn"),
         "content",
+        *(c for c in texts.columns if c == "error"),
     )
 
 
+def readable(read: DataFrame) -> DataFrame:
+    """Rows of archives all of whose entries could be read; a damaged archive counts as absent as a whole."""
+    damaged = read.where("error is not null").select("jar_path").distinct()
+    return read.where("error is null").drop("error").join(damaged, "jar_path", "left_anti")
+
+
 def first_text(rows: DataFrame, keys: list[str], order: str, *kept: str) -> DataFrame:
     """The row of the smallest ``order`` per key, reduced to keys, ``order`` and ``kept``; one row per key.
 

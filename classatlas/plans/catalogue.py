@@ -372,7 +372,8 @@ def archive_probe(spark: SparkSession, d: str) -> DataFrame:
 def archive_sources(spark: SparkSession, d: str) -> DataFrame:
     """Texts of real sources archives, once read whole and once by entry; invalid bytes are replaced."""
     archives = standin.archives(spark, d)
-    whole = content.keep_first(content.name_sources(read_sources(archives))).select(
+    read = content.name_sources(read_sources(archives)).checkpoint()
+    whole = content.keep_first(content.readable(read)).select(
         "jar_path", "fqn", text.content_hash(F.col("content")).alias("content_hash"))
     requests = archives.withColumn("entry_name", names.source_entry_of_class(F.col("fqn")))
     single = read_source_entries(requests).select("jar_path", text.content_hash(F.col("content")).alias("entry_hash"))

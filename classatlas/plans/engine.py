@@ -160,16 +160,17 @@ class Atlas:
             parts.append(hits.withColumn("lookup_source", F.lit(origin)).checkpoint())
             return parts[-1]
 
-        qualified = lookup.qualified(wanted).checkpoint()
-        if not qualified.isEmpty():
+        is_qualified = names.is_qualified(F.col("name"))
+        kinds = wanted.agg(F.count_if(is_qualified).alias("qualified"), F.count_if(~is_qualified).alias("simple")).first()
+        qualified = lookup.qualified(wanted)
+        if kinds["qualified"]:
             registry = self.store.of_names("class_registry", qualified.select(F.col("name").alias("fqn")))
             known = add(self._still_held(lookup.registered(qualified, registry)), lookup.REGISTRY)
             missed = lookup.unanswered(qualified, known).checkpoint()
             if not missed.isEmpty():
                 add(self._in_tiers(missed), lookup.SCAN)
-        simple = lookup.simple(wanted).checkpoint()
-        if not simple.isEmpty():
-            add(self._by_simple_name(simple), lookup.SCAN)
+        if kinds["simple"]:
+            add(self._by_simple_name(lookup.simple(wanted)), lookup.SCAN)
         if not parts:
             return self.spark.createDataFrame([], "name string, wanted string, fqn string, jar_path string, lookup_source string")
         return reduce(DataFrame.unionByName, parts)
@@ -299,7 +300,7 @@ class Atlas:
         ).where("sources_path is not null")
         # each archive is read once; what follows ranks keys and passes texts on
         read = content.name_sources(read_sources(pairs)).checkpoint()
-        sources = allowed(content.keep_first(read))
+        sources = allowed(content.keep_first(content.readable(read)))
         gaps = content.needs_decompiling(targets, classes, sources.select("jar_path", "fqn"))
         if self.decompiler is None:
             # originals are all there is: only artifacts without any are failures

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from classatlas.functions.names import SPECIAL_SOURCES, is_class_source
+from classatlas.functions.names import SPECIAL_SOURCES
 from classatlas.schemas import ENTRIES, ENTRY_TEXT
+from classatlas.sources.zip_ranges import read_texts
 
 _ROWS = 4096
 _BYTES = 16 << 20
@@ -83,33 +83,11 @@ def _reader(exact: str | None, suffix: str | None):
     return read_names
 
 
-def _check(archive: zipfile.ZipFile, infos: list[zipfile.ZipInfo]) -> None:
-    """Read through entries without keeping them; raises if one is damaged."""
-    for info in infos:
-        with archive.open(info) as stream:
-            while stream.read(1 << 20):
-                pass
-
-
-def _text_rows(jar_path: str, sources_path: str, wanted: str | None) -> Iterator[tuple]:
-    """One requested entry, or every class source when none is requested.
-
-    A damaged entry makes the whole archive count as unreadable, so nothing may
-    be handed on before all of it was read through once.
-    """
+def _text_rows(jar_path: str, sources_path: str, wanted: str) -> Iterator[tuple]:
+    """One requested entry, if the archive has it."""
     with zipfile.ZipFile(sources_path) as archive:
-        if wanted is not None:
-            if wanted in archive.namelist():
-                yield jar_path, 0, wanted, decode(archive.read(wanted))
-            return
-        chosen = [
-            (index, info)
-            for index, info in enumerate(archive.infolist())
-            if info.filename.endswith(".java") and not info.filename.endswith(SPECIAL_SOURCES)
-        ]
-        _check(archive, [info for _, info in chosen])
-        for index, info in chosen:
-            yield jar_path, index, info.filename, decode(archive.read(info))
+        if wanted in archive.namelist():
+            yield jar_path, 0, wanted, decode(archive.read(wanted))
 
 
 def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,11 +146,16 @@ def existing_entries(pairs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_held, "jar_path string, entry_name string")
 
 
+def _is_source(name: str) -> bool:
+    return name.endswith(".java") and not name.endswith(SPECIAL_SOURCES)
+
+
 def read_sources(pairs: DataFrame) -> DataFrame:
-    """All class sources of ``(jar_path, sources_path)`` pairs, keyed by the binary archive."""
-    paths = pairs.select("jar_path", "sources_path", F.lit(None).cast("string").alias("entry_name"))
-    texts = _spread(paths, "sources_path").mapInArrow(_read_texts, ENTRY_TEXT)
-    return texts.where(is_class_source(F.col("entry_name")))
+    """All class sources of ``(jar_path, sources_path)`` pairs, keyed by the binary archive.
+
+    Large archives are read by several tasks. Rows with an ``error`` tell what could not be read.
+    """
+    return read_texts(pairs, _is_source, decode)
 
 
 def read_source_entries(requests: DataFrame) -> DataFrame:

@@ -196,12 +196,12 @@ class Store:
         """
         key = BY_NAME[table]
         wanted = requests.select(key).where(F.col(key) != "").distinct().checkpoint()
-        if wanted.isEmpty():
+        found = wanted.limit(FEW_REQUESTS + 1).count()
+        if not found:
             return self.rows(table).limit(0)
         # a comparison tells the optimizer that pruning by these rows pays; this one always holds
         slotted = wanted.withColumn("slot", name_slot(F.col(key), self.slots)).where("slot >= 0")
-        few = wanted.limit(FEW_REQUESTS + 1).count() <= FEW_REQUESTS
-        return self.rows(table).join(F.broadcast(slotted) if few else slotted, ["slot", key])
+        return self.rows(table).join(F.broadcast(slotted) if found <= FEW_REQUESTS else slotted, ["slot", key])
 
     @contextmanager
     def run(self, tag: str | None = None, base_of: str | None = None) -> Iterator[int]:

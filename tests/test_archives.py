@@ -89,7 +89,7 @@ def test_sources_are_named_and_deduplicated(spark, tmp_path, jar):
         ("net/harbor/Bad.java", b"package net.harbor;\nclass Bad { String s = \"\xff\"; }"),
     )
     pairs = spark.createDataFrame([(binary, sources)], "jar_path string, sources_path string")
-    named = content.keep_first(content.name_sources(read_sources(pairs)))
+    named = content.keep_first(content.readable(content.name_sources(read_sources(pairs))))
     texts = {row["fqn"]: row["content"] for row in named.collect()}
     assert set(texts) == {"net.harbor.A", "net.harbor.Empty", "net.harbor.Bad"}
     assert texts["net.harbor.A"] == "package net.harbor;\npublic class A {}\n"
@@ -106,7 +106,75 @@ def test_damaged_sources_count_as_absent(spark, tmp_path, jar):
     data[position] ^= 0xFF
     (tmp_path / "x-sources.jar").write_bytes(bytes(data))
     pairs = spark.createDataFrame([("x.jar", sources)], "jar_path string, sources_path string")
-    assert read_sources(pairs).count() == 0
+    read = read_sources(pairs)
+    assert sorted((r["entry_name"], r["error"] is None) for r in read.collect()) == [("a/A.java", True), ("a/B.java", False)]
+    assert content.readable(content.name_sources(read)).count() == 0
+
+
+def test_archives_by_ranges_equal_the_library(tmp_path, monkeypatch):
+    """Directories and contents of archives of many forms, read through windows of any size."""
+    import random
+    import zipfile
+
+    from classatlas.sources import zip_ranges
+
+    draw, plain = random.Random(4), str(tmp_path / "plain.zip")
+    with zipfile.ZipFile(plain, "w", zipfile.ZIP_DEFLATED) as archive:
+        for k in range(60):
+            archive.writestr(f"é{k}/n{k}.java", draw.randbytes(draw.choice([0, 1, 300, 9_000])), draw.choice([zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED]))
+        archive.comment = b"a comment " * 9
+    data = open(plain, "rb").read()
+    (tmp_path / "prefixed.zip").write_bytes(b"#!/bin/sh\n" * 50 + data)
+    with zipfile.ZipFile(tmp_path / "streamed.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        with archive.open("a.java", "w", force_zip64=True) as entry:
+            entry.write(b"text" * 1000)
+    monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 5)
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 2_000)
+    with zipfile.ZipFile(tmp_path / "wide.zip", "w", zipfile.ZIP_STORED) as archive:
+        for k in range(9):
+            archive.writestr(f"{k}.java", draw.randbytes(900 * k))
+    with zipfile.ZipFile(tmp_path / "empty.zip", "w"):
+        pass
+    monkeypatch.undo()
+    for name in ("plain", "prefixed", "streamed", "wide", "empty"):
+        path = str(tmp_path / f"{name}.zip")
+        for window in (1, 100, 1 << 20):
+            file = zip_ranges.RangeFile(path, window)
+            entries = zip_ranges.directory(file)
+            with zipfile.ZipFile(path) as archive:
+                assert [(e.name, e.packed, e.size, e.checksum) for e in entries] == [
+                    (i.filename, i.compress_size, i.file_size, i.CRC) for i in archive.infolist()]
+                assert all(zip_ranges.content_of(file, e) == archive.read(archive.infolist()[e.index]) for e in entries)
+    for broken in (b"", b"x" * 100, data[:-70], data[200:], data[:len(data) // 2], END_ONLY):
+        (tmp_path / "broken.zip").write_bytes(broken)
+        file = zip_ranges.RangeFile(str(tmp_path / "broken.zip"))
+        with pytest.raises(zip_ranges.Damaged):
+            for entry in zip_ranges.directory(file):
+                zip_ranges.content_of(file, entry)
+    first = zip_ranges.directory(zip_ranges.RangeFile(plain))[1]
+    for wrong in (first._replace(flags=1), first._replace(method=99), first._replace(size=first.size + 1), first._replace(checksum=1), first._replace(place=3)):
+        with pytest.raises(zip_ranges.Damaged):
+            zip_ranges.content_of(zip_ranges.RangeFile(plain), wrong)
+
+
+def test_large_archives_are_read_by_several_tasks(spark, tmp_path, jar, monkeypatch):
+    from classatlas.sources import zip_ranges
+
+    monkeypatch.setattr(zip_ranges, "STRETCH", 1000)
+    jar(tmp_path / "b-sources.jar", *((f"a/C{k}.java", f"package a;\nclass C{k} {{ }} // {k * 7919} " * 20) for k in range(80)))
+    (tmp_path / "bad-sources.jar").write_bytes(b"no archive")
+    rows = [("b.jar", str(tmp_path / "b-sources.jar")), ("c.jar", f"file://{tmp_path}/b-sources.jar"), ("bad.jar", str(tmp_path / "bad-sources.jar")),
+            ("none.jar", str(tmp_path / "none-sources.jar"))]
+    read = read_sources(spark.createDataFrame(rows, "jar_path string, sources_path string"))
+    found = read.withColumn("task", F.spark_partition_id()).collect()
+    assert [(r["jar_path"], r["entry_idx"]) for r in found if r["error"]] == [("bad.jar", -1)]
+    for jar_path in ("b.jar", "c.jar"):
+        own = [r for r in found if r["jar_path"] == jar_path]
+        assert sorted(r["entry_idx"] for r in own) == list(range(80)) and len({r["task"] for r in own}) > 1
+    assert content.readable(content.name_sources(read)).count() == 160
+
+
+END_ONLY = b"PK\x05\x06" + bytes(16) + b"\xff\xff"
 
 
 def test_single_source_read(spark, tmp_path, jar):
