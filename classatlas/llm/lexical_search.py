@@ -197,9 +197,8 @@ def _offer_all(heaps: Heaps, batch: pd.DataFrame, index: ItemIndex, weight: np.n
         heaps.offer(scores.reshape(len(some), index.items), ids[some], no_id[some])
 
 
-def _best_of_block(documents: DataFrame, block: list[Row], items: DataFrame, top: int) -> DataFrame:
+def _best_of_block(documents: DataFrame, block: list[Row], index, items: DataFrame, top: int) -> DataFrame:
     spark = documents.sparkSession
-    index = spark.sparkContext.broadcast(ItemIndex.build([r["text"] for r in block]))
     counts = written(counted(documents, index), "search-counts")
     n, length = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(counts, len(index.value.terms))
@@ -227,9 +226,11 @@ def search(items: DataFrame, documents: DataFrame, top: int = TOP) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``top`` documents (doc_id, text) of every item (item_id, text) that score above 0."""
     spark, folder, schema = documents.sparkSession, None, None
     for block in blocks_of(items):
-        best = _best_of_block(documents, block, items, top)
+        index = spark.sparkContext.broadcast(ItemIndex.build([r["text"] for r in block]))
+        best = _best_of_block(documents, block, index, items, top)
         folder, schema = folder or shared_folder(spark, "search-best"), best.schema
         best.write.mode("append").parquet(folder)
+        index.destroy()  # one index at a time is held
     if folder is None:
         kind = items.schema["item_id"].dataType.simpleString()
         return spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
