@@ -73,16 +73,11 @@ def keep_last(writes: DataFrame) -> DataFrame:
     return first_text(latest, ["fqn", "jar_path"], "age", "content", "source").drop("age")
 
 
-def parse_output(outputs: DataFrame) -> DataFrame:
-    """Decompiler output to ``(jar_path, entry_idx, fqn, content)`` rows."""
-    return outputs.where("output is not null").select(
-        "jar_path", F.posexplode(text.split_decompiled(F.col("output"))).alias("entry_idx", "piece")
-    ).select(
-        "jar_path",
-        F.col("entry_idx").cast("long").alias("entry_idx"),
-        F.col("piece.class_name").alias("fqn"),
-        F.col("piece.content").alias("content"),
-    )
+def parse_pieces(pieces: DataFrame) -> DataFrame:
+    """Pieces of decompiler output to ``(jar_path, entry_idx, fqn, content)`` rows; a piece has one class or none."""
+    return pieces.where("piece is not null").select(
+        "jar_path", "entry_idx", F.explode(text.split_decompiled(F.col("piece"))).alias("found")
+    ).select("jar_path", "entry_idx", F.col("found.class_name").alias("fqn"), F.col("found.content").alias("content"))
 
 
 def needs_decompiling(artifacts: DataFrame, catalog: DataFrame, covered: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from classatlas.schemas import SOURCES_JAR
 from classatlas.session import ensure_checkpoint_dir
 from classatlas.sources.archives import existing_entries, read_entry_names, read_source_entries, read_sources
 from classatlas.sources.artifacts import default_repository, list_artifacts
-from classatlas.sources.decompile import Decompiler, decompile
+from classatlas.sources.decompile import Decompiler, decompile, decompile_archives
 from classatlas.sources.store import Store, StoreLocked
 
 
@@ -307,9 +307,9 @@ class Atlas:
             failed = targets.join(sources, "jar_path", "left_anti")
             kept = sources.select("jar_path", "fqn", "content", F.lit(SOURCES_JAR).alias("source"))
             return kept, failed, gaps.join(failed, "jar_path", "left_anti")
-        outputs = decompile(gaps.select("jar_path", F.lit(None).cast("string").alias("fqn")), self.decompiler)
+        outputs = decompile_archives(gaps, self.decompiler)
         failed = outputs.where("error is not null").select("jar_path")
-        decompiled = allowed(content.parse_output(outputs))
+        decompiled = allowed(content.parse_pieces(outputs))
         kept = content.source_wins(sources, decompiled).join(failed, "jar_path", "left_anti")
         return kept, failed, gaps.limit(0)
 

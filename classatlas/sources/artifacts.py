@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classatlas.functions.names import version_of_path
+from classatlas.functions.names import parent_directories, version_of_path
 from classatlas.session import ensure_checkpoint_dir
 
 # directories one task lists below each directory of its input
@@ -81,6 +81,17 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield packed()
 
 
+def disjoint(roots: DataFrame) -> DataFrame:
+    """``path`` of the directories that lie below no other of them, each once.
+
+    What they hold is what all of them hold; a subtree outside is never entered, and none twice.
+    """
+    paths = roots.select("path").distinct()
+    above = paths.select("path", F.explode(parent_directories(F.col("path"))).alias("above"))
+    covered = above.join(paths.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
+    return paths.join(covered, "path", "left_anti")
+
+
 def list_artifacts(spark: SparkSession, roots: str | list[str] | DataFrame) -> DataFrame:
     """All ``*.jar`` paths below the roots (a ``path`` column, if many) with modification time and size.
 
@@ -91,7 +102,7 @@ def list_artifacts(spark: SparkSession, roots: str | list[str] | DataFrame) -> D
     slots = spark.sparkContext.defaultParallelism
     one = isinstance(roots, str)
     if isinstance(roots, DataFrame):
-        frontier = roots.select("path").distinct()
+        frontier, one = disjoint(roots), True
     else:
         frontier = spark.createDataFrame([(root,) for root in ([roots] if one else roots)], "path string").coalesce(1)
     rounds = []

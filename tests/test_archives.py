@@ -224,3 +224,54 @@ def test_only_missing_files_count_as_absent(tmp_path, monkeypatch):
     monkeypatch.setattr(archives.zipfile, "ZipFile", too_many)
     with pytest.raises(OSError):
         list(archives._entry_rows(str(tmp_path / "a.jar")))
+
+
+def test_nested_directories_are_listed_once(spark, tmp_path, jar):
+    from classatlas.sources.artifacts import disjoint
+
+    for place in ("a/b/c/1.jar", "a/b/2.jar", "a/bc/3.jar", "d/4.jar"):
+        jar(tmp_path / place)
+    asked = [f"{tmp_path}/{p}" for p in ("a/b", "a/b/c", "a/b", "a/bc", "none")]
+    roots = spark.createDataFrame([(p,) for p in asked], "path string")
+    assert sorted(r["path"] for r in disjoint(roots).collect()) == sorted({asked[0], asked[3], asked[4]})
+    assert [os.path.basename(p) for p in paths(list_artifacts(spark, roots))] == ["2.jar", "1.jar", "3.jar"]
+    assert list_artifacts(spark, roots.limit(0)).count() == 0
+
+
+def test_tool_output_is_cut_at_banners_as_it_comes():
+    from classatlas.functions.text import DECOMPILED_BANNER as banner
+    from classatlas.sources.decompile import split_at_banners
+
+    head = banner + " 0.1.\n */\n"
+    for text, pieces in [
+        ("", [""]), ("no banner\r\nat all", ["no banner\nat all"]), ("noise" + head + "class A {}\r\n" + head + "é漢", [head + "class A {}\n", head + "é漢"]),
+        (head + head, [head, head]), ("/*\n" + head[:8] + head + "x\r", [head + "x\r"]),
+    ]:
+        data = text.encode()
+        for size in (1, 2, 7, 10_000):
+            chunks = [data[k: k + size] for k in range(0, len(data), size)]
+            assert list(split_at_banners(chunks)) == pieces
+    assert list(split_at_banners([b"a\xff"])) == ["a\ufffd"]
+
+
+def test_tool_failures_after_some_pieces(spark, tmp_path):
+    from classatlas.functions.text import DECOMPILED_BANNER as banner
+    from classatlas.sources.decompile import Decompiler, ToolFailed, decompile_archives
+
+    def tool(script, **more):
+        path = tmp_path / f"java{len(list(tmp_path.iterdir()))}"
+        (tmp_path / "out").write_text(f"{banner} 1 */\nclass A {{}}\n{banner} 1 */\nclass B {{}}\n")
+        path.write_text(f"#!/bin/sh\n{script}\n")
+        path.chmod(0o755)
+        return Decompiler("tool.jar", str(path), **more)
+
+    out = f"cat {tmp_path}/out"
+    assert len(list(tool(out).pieces("a.jar"))) == 2
+    noisy = tool(f"{out}; head -c 3000000 /dev/zero | tr '\\0' x >&2; echo boom >&2; exit 3")
+    for failing, message in ((noisy, "boom"), (tool(f"{out}; exec sleep 60", timeout=0.5), "no end"), (Decompiler("t", str(tmp_path / "none")), "Failed to execute")):
+        with pytest.raises(ToolFailed, match=message):
+            list(failing.pieces("a.jar"))
+    rows = decompile_archives(spark.createDataFrame([("a.jar",), ("b.jar",)], "jar_path string"), noisy).collect()
+    assert sorted((r["jar_path"], r["entry_idx"], r["error"] is None) for r in rows) == [
+        (p, k, k < 2) for p in ("a.jar", "b.jar") for k in range(3)]
+    assert content.parse_pieces(decompile_archives(spark.createDataFrame([("a.jar",)], "jar_path string"), tool(out))).count() == 2
