@@ -14,7 +14,9 @@ Defined cases: a null html is an empty payload, payloads of no bytes are duplica
 other like any (``least_bytes`` raises that bound). Rows that share the largest id of their
 payload are all responses; a null id counts as the smallest, and a null id reads back as
 null. A null URL leaves its header out; control characters in a URL are percent-encoded.
-An empty table writes no file and reads no row. Other columns are not written. A task that
+An empty table writes no file and reads no row. Other columns are not written. Only archives
+that this module wrote are read: a record of another type than response or revisit, or one
+without a payload digest, is a fault. A task that
 runs again writes a file of another name; only files in the manifest count.
 """
 
