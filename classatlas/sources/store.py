@@ -103,15 +103,16 @@ class Store:
 
     def _lock(self) -> None:
         files, path = self._filesystem(self._location("writer.lock"))
-        pause, until = 0.05, time.monotonic() + self.wait
+        pause, until, strange = 0.05, time.monotonic() + self.wait, 0
         while True:
             try:
                 files.create(path, False).close()
                 return
             except Exception as failure:
                 if not files.exists(path):
-                    # the holder may have gone between both calls; anything else comes again
-                    if time.monotonic() >= until:
+                    # the holder may have gone between both calls; anything else comes again at once
+                    strange += 1
+                    if strange > 3:
                         raise
                 elif time.monotonic() >= until:
                     raise StoreLocked(f"another run is writing to {self.path}") from failure
