@@ -44,11 +44,17 @@ def quality_rules() -> str:
     """The rule table as SQL conditions over measures of every text."""
     bounds = []
     for rule in quality.RULES:
-        bounds += [f"{rule.measure} >= {rule.least}"] if rule.least is not None else []
-        bounds += [f"{rule.measure} <= {rule.most}"] if rule.most is not None else []
+        free = f"NOT {rule.where} OR " if rule.where else ""
+        bounds += [f"({free}{rule.measure} >= {rule.least})"] if rule.least is not None else []
+        bounds += [f"({free}{rule.measure} <= {rule.most})"] if rule.most is not None else []
+    listed = ", ".join(f"'{lang}'" for lang in quality.STOP_LANGUAGES)
     stop = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+        coalesce(lower(lang) IN ({listed}), true)
+        AND strlen(coalesce(text, '')) <= {quality.MOST_BYTES} * length(coalesce(text, '')) AS stop_words_known
+    FROM documents),
 words AS (
     SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i
     FROM (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d)),
@@ -73,7 +79,7 @@ lines AS (
     FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
     WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
 base AS (
-    SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+    SELECT doc_id, stop_words_known, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
         coalesce(n_symbols, 0)::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
         coalesce(n_stop_words, 0) AS n_stop_words, coalesce(n_stutters, 0) AS n_stutters

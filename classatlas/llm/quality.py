@@ -8,6 +8,10 @@ Defined cases: a null, empty or blank text has no words and zero measures and fa
 first rule. Repeated rows and other columns are left as they are; input columns named like
 a result column are replaced. An empty table gives no rows.
 
+The stop-word rule judges only texts whose language has words in ``STOP_WORDS``: ``lang`` is one
+of ``STOP_LANGUAGES`` or unknown (null, or no such column), and the text has at most 1.5 bytes
+a character, which texts in another script exceed. Others are judged by the remaining rules.
+
 Repeated windows are found by 64-bit hashes of eight words; within one text of a million
 words the chance of a false repeat is below one in a million.
 """
@@ -23,7 +27,9 @@ from classatlas.llm.common import NOT_BLANK, computed_once, shingles_of, text_or
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
-#: Frequent words of the four languages; running text contains some of them.
+#: Frequent words of the languages below; running text in one of them contains some.
+STOP_LANGUAGES = ("en", "de", "fr", "es")
+MOST_BYTES = 1.5
 STOP_WORDS = (
     "the of and to in is that it for was on with as by at this from are be have not or an "
     "der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch "
@@ -33,11 +39,15 @@ STOP_WORDS = (
 
 
 class Rule(NamedTuple):
-    """A measure must lie between ``least`` and ``most``; None leaves that side open."""
+    """A measure must lie between ``least`` and ``most``; None leaves that side open.
+
+    With ``where``, a measure that is true or false, the rule holds for the rows where it is true.
+    """
 
     measure: str
     least: float | None
     most: float | None
+    where: str | None = None
 
 
 #: Rules of the base verdict and of the method. Ratios are per word or per line.
@@ -46,7 +56,7 @@ RULES = (
     *BASE_RULES,
     Rule("mean_word_length", 2, 15),
     Rule("symbol_ratio", None, 0.25),
-    Rule("stop_word_ratio", 0.02, None),
+    Rule("stop_word_ratio", 0.02, None, "stop_words_known"),
     Rule("dup_line_ratio", None, 0.5),
     Rule("stutter_ratio", None, 0.3),
 )
@@ -72,7 +82,12 @@ def _covered_words() -> Column:
         lambda done: done["n"])
 
 
-def measures(text: Column) -> dict[str, tuple[Column, ...]]:
+def _stop_words_known(text: Column, lang: Column) -> Column:
+    listed = F.lower(lang).isin(*STOP_LANGUAGES)
+    return F.coalesce(listed, F.lit(True)) & (F.octet_length(text) <= MOST_BYTES * F.length(text))
+
+
+def measures(text: Column, lang: Column) -> dict[str, Column]:
     """Layers of measures; a layer may use the columns of those before it."""
     lines = F.filter(F.split(text_or_empty(text), "\n", -1), lambda x: x.rlike(NOT_BLANK))
     words = F.col("_words")
@@ -92,6 +107,7 @@ def measures(text: Column) -> dict[str, tuple[Column, ...]]:
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(_covered_words(), F.lit(0)).cast("long"),
+        "stop_words_known": _stop_words_known(text_or_empty(text), lang),
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
         "n_stutters": F.size(F.filter(
             words, lambda w, i: (i > 0) & (F.get(words, i - 1) == w))).cast("long"),
@@ -106,7 +122,7 @@ def measures(text: Column) -> dict[str, tuple[Column, ...]]:
 
 def added_columns() -> set[str]:
     """Names of the columns that ``apply_rules`` adds."""
-    return {*measures(F.lit("")), "base_failed", "kept"}
+    return {*measures(F.lit(""), F.lit("")), "base_failed", "kept"}
 
 
 def _passes(rule: Rule) -> Column:
@@ -115,7 +131,7 @@ def _passes(rule: Rule) -> Column:
         verdict = verdict & (value >= rule.least)
     if rule.most is not None:
         verdict = verdict & (value <= rule.most)
-    return verdict
+    return verdict if rule.where is None else ~F.col(rule.where) | verdict
 
 
 def _all(rules) -> Column:
@@ -125,11 +141,14 @@ def _all(rules) -> Column:
     return verdict
 
 
-def apply_rules(documents: DataFrame, text: str = "text", rules=RULES, base=BASE_RULES) -> DataFrame:
+def apply_rules(
+    documents: DataFrame, text: str = "text", rules=RULES, base=BASE_RULES, lang: str = "lang"
+) -> DataFrame:
     """Every row with all measures, ``base_failed`` and ``kept``."""
-    layers = measures(F.col(f"`{text}`"))
-    taken = {*layers, "base_failed", "kept"}
-    rows = documents.select(*(F.col(f"`{c}`") for c in documents.columns if c.lower() not in taken or c == text))
+    known = F.col(f"`{lang}`") if lang in documents.columns else F.lit(None).cast("string")
+    layers = measures(F.col(f"`{text}`"), known)
+    taken, own = {*layers, "base_failed", "kept"}, (text, lang)
+    rows = documents.select(*(F.col(f"`{c}`") for c in documents.columns if c.lower() not in taken or c in own))
     for name, column in layers.items():
         rows = rows.withColumn(name, column)
     judged = rows.withColumn("base_failed", ~_all(base)).withColumn("kept", ~F.col("base_failed") & _all(rules))

@@ -65,7 +65,7 @@ def op5_mix_sources(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
-    judged = quality.apply_rules(read(spark, directory, "documents").select("doc_id", "text"))
+    judged = quality.apply_rules(read(spark, directory, "documents").select("doc_id", "lang", "text"))
     return judged.select("doc_id", *quality.RESULT)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from classatlas.llm import queries
+from classatlas.llm import quality, queries
 from tests.compare import connect, mismatch
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -16,6 +17,8 @@ AWKWARD_TEXTS = [
     "a\u2003b \U0001F600\U0001F600 the of and " * 9, "x" * 200_000 + " the", "Reen Reen Reen the the the of of of " * 5,
     "\nthe\n\nthe\n", "der die das und " * 8, " ".join(f"w{k} the" for k in range(3000)),
 ]
+POLISH = " ".join(f"zdanie{k} jest krótkie i jasne" for k in range(9))
+RUSSIAN = " ".join(f"слово{k} стоит здесь" for k in range(9))
 URLS = [
     None, "", "no host", "http://", "http:///en/", "https://EXAMPLE.com/en/x", "https://example.com/en", "http://www.example.com/en/",
     "http://a.www.example.com/en/q?x=/es/", "http://notexample.com/en/1", "http://example.com.net/es/", "http://x.net/es/#a",
@@ -38,9 +41,22 @@ def _agrees(session, folder, table, name):
 
 def test_awkward_texts_by_quality_rules(session, table):
     rows = [(k, t, None, None, None) for k, t in enumerate(AWKWARD_TEXTS + AWKWARD_TEXTS[:6])] + [(None, "the", "x", "y", 3)]
+    rows += [(200 + k, t, lang, None, None) for k, (t, lang) in enumerate(
+        (t, lang) for t in (POLISH, RUSSIAN, "the of and " * 30, LINE) for lang in (None, "", "pl", "en", "EN"))]
     _agrees(session, table("documents", rows, DOCUMENTS), "documents", "op6_quality_rules")
 
 
+def test_texts_without_listed_stop_words_are_kept_where_the_list_does_not_apply(session):
+    """Only a language of the list, or an unknown one in a script of the list, is held to its words."""
+    rows = [(1, POLISH, "pl"), (2, RUSSIAN, None), (3, RUSSIAN, "ru"), (4, RUSSIAN, "en"), (5, POLISH, "en"), (6, POLISH, None)]
+    frame = session.createDataFrame(rows, "doc_id int, text string, lang string")
+    kept = lambda f: {r["doc_id"] for r in quality.apply_rules(f).where("kept").collect()}
+    assert kept(frame) == {1, 2, 3, 4}
+    assert kept(frame.drop("lang")) == {2, 3, 4}
+    clashing = frame.withColumn("stop_words_known", F.lit(7)).withColumn("n_words", F.lit("x"))
+    assert kept(clashing) == {1, 2, 3, 4}
+
+
 def test_awkward_urls(session, table):
     rows = [(k, u, None) for k, u in enumerate(URLS + URLS[4:9])] + [(None, "http://a.net/es/", ""), (3, None, None)]
     _agrees(session, table("pages", rows, "page_id long, url string, html string"), "pages", "op4_url_filter")
