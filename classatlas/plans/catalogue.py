@@ -18,6 +18,7 @@ from classatlas.plans import standin
 from classatlas.plans.render import text_line, version_json
 from classatlas.schemas import DECOMPILED, SOURCES_JAR
 from classatlas.sources.archives import existing_entries, read_entry_names, read_source_entries, read_sources
+from classatlas.sources.arrivals import artifact_changes
 from classatlas.sources.store import Store
 from classatlas.streaming.access import replay_requests
 from classatlas.streaming.indexing import write_sources
@@ -381,6 +382,27 @@ def archive_sources(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "fqn", "content_hash", "entry_hash")
 
 
+def artifact_changes_stream(spark: SparkSession, d: str) -> DataFrame:
+    """How often a stream that stops and goes on reports real archives; binary ones of one language change between."""
+    base, root = standin.scratch(spark, "changes"), standin.archive_folder(spark)
+    archives = standin.archives(spark, d, root)
+
+    def follow() -> None:
+        reports = artifact_changes(spark, root, settle_seconds=0.05).writeStream.format("parquet")
+        reports.option("path", f"{base}/reports").option("checkpointLocation", f"{base}/offsets").trigger(
+            availableNow=True).start().awaitTermination()
+
+    follow()
+    standin.touch(archives.where(F.startswith("fqn", F.lit("org.fr."))))
+    follow()
+    seen = spark.read.schema("jar_path string").parquet(f"{base}/reports").groupBy("jar_path").agg(F.count("*").alias("n"))
+    return (
+        archives.join(seen.withColumnRenamed("n", "binary_reports"), "jar_path", "left")
+        .join(seen.select(F.col("jar_path").alias("sources_path"), F.col("n").alias("sources_reports")), "sources_path", "left")
+        .select("doc_id", "fqn", "binary_reports", "sources_reports")
+    )
+
+
 def ambiguity(spark: SparkSession, d: str) -> DataFrame:
     wanted = standin.classes(spark, d).select("simple_name")
     return resolve.best_qualified_name(catalog.by_simple_name(standin.entries(spark, d), wanted))
@@ -567,7 +589,7 @@ def queries() -> dict[str, Query]:
         collapse_whitespace, decode_text, class_structures, structure_members, member_search,
         registry_build, registry_counts, registry_append_new, registry_store, registry_lookup, registry_validated,
         uncataloged_artifacts, index_summary, search_scopes, tiered_scan, find_fqn_versions,
-        find_batch, archive_catalog, archive_probe, archive_sources, find_simple_best, ambiguity, default_version, cache_upsert, cache_upsert_stream, cache_lookup, missing_sources,
+        find_batch, archive_catalog, archive_probe, archive_sources, artifact_changes_stream, find_simple_best, ambiguity, default_version, cache_upsert, cache_upsert_stream, cache_lookup, missing_sources,
         load_union, load_skip_flag, load_summary, hotspot_state, hotspot_requests,
         hotspot_requests_late, hotspot_requests_stream, hotspot_top10, hotspot_top_unwarmed,
         store_stats, mtime_changes, mtime_snapshot, warmup_queue_order, warmup_targets_group,

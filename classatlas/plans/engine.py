@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from classatlas.functions import names, text
 from classatlas.functions.structure import class_structure
@@ -19,9 +20,11 @@ from classatlas.operators import catalog, changes, content, hotspot, lookup, nam
 from classatlas.schemas import SOURCES_JAR
 from classatlas.session import ensure_checkpoint_dir
 from classatlas.sources.archives import existing_entries, read_entry_names, read_source_entries, read_sources
+from classatlas.sources.arrivals import artifact_changes
 from classatlas.sources.artifacts import default_repository, list_artifacts
 from classatlas.sources.decompile import Decompiler, decompile, decompile_archives
 from classatlas.sources.store import Store, StoreLocked
+from classatlas.streaming.tags import BatchTags
 
 
 class ClassNotFound(LookupError):
@@ -266,14 +269,7 @@ class Atlas:
         The snapshot moves for every artifact, also for one that cannot be read.
         """
         artifacts = list_artifacts(self.spark, self.repository)
-        snapshot = self.store.mtimes()
-        changed = changes.changed(artifacts, snapshot).checkpoint()
-        moved = changes.moved_snapshot(artifacts, snapshot).checkpoint()
-        entries = read_entry_names(changed, suffix=names.CLASS_SUFFIX).checkpoint()
-        status, classes = catalog.archive_status(entries), catalog.classes(entries)
-        with self.store.run() as run:
-            self.store.write("jar_mtime", moved)
-            self._append_registry(classes, status.where("readable").select("jar_path"), run)
+        status, classes = self._take_in(artifacts, self.store.mtimes())
         return registry.side_by_side(
             artifacts.agg(F.count("*").alias("scanned_jars")),
             status.agg(
@@ -282,6 +278,47 @@ class Atlas:
             classes.agg(F.count("*").alias("indexed_classes")),
         ).withColumn("root", F.lit(self.repository))
 
+    def _take_in(self, artifacts: DataFrame, snapshot: DataFrame, tag: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Catalog those of ``artifacts`` that changed since ``snapshot`` in one run; their status and classes."""
+        changed = changes.changed(artifacts, snapshot).checkpoint()
+        moved = changes.moved_snapshot(artifacts, snapshot).checkpoint()
+        entries = read_entry_names(changed, suffix=names.CLASS_SUFFIX).checkpoint()
+        status, classes = catalog.archive_status(entries), catalog.classes(entries)
+        with self.store.run(tag) as run:
+            self.store.write("jar_mtime", moved)
+            self._append_registry(classes, status.where("readable").select("jar_path"), run)
+        return status, classes
+
+    def follow(
+        self, checkpoint: str, settle_seconds: float = 10, compact_every: int = 100, **trigger
+    ) -> StreamingQuery:
+        """Keep the catalog up to date by a stream of changed artifacts; what ``update`` does, without a full listing.
+
+        A batch is one run of the store, and none if nothing changed. A repeated batch is
+        recognised by its tag; one that found other artifacts when it was repeated takes
+        in nothing twice, since the snapshot moves with every run.
+        """
+        tags = BatchTags("follow", checkpoint)
+
+        def take_in(batch: DataFrame, number: int) -> None:
+            tag = tags.of(batch.sparkSession, number)
+            if self.store.has_run(tag):
+                return
+            # each reading of the batch would walk the tree again
+            artifacts = batch.checkpoint()
+            if not artifacts.isEmpty():
+                self._take_in(artifacts, self.store.mtimes(artifacts), tag)
+            if number % compact_every == compact_every - 1:
+                self.store.compact("jar_mtime")
+
+        return (
+            artifact_changes(self.spark, self.repository, settle_seconds)
+            .writeStream.foreachBatch(take_in)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+
     # -- load and warm up ---------------------------------------------------
 
     def _classes_of(

@@ -323,6 +323,10 @@ def oracle_sql() -> dict[str, str]:
         "archive_sources": _with(_CLASSES) + """
             SELECT doc_id, fqn, sha256(text) AS content_hash, sha256(text) AS entry_hash
             FROM (SELECT doc_id, fqn, content || '// ' || chr(65533) || chr(10) AS text FROM cls)""",
+        "artifact_changes_stream": _with(_CLASSES) + """
+            SELECT doc_id, fqn, (CASE WHEN lang = 'fr' THEN 2 ELSE 1 END)::BIGINT AS binary_reports,
+                1::BIGINT AS sources_reports
+            FROM cls""",
         "ambiguity": _with(_CLASSES, _ENTRIES, _SUFFIX) + "SELECT simple_name, fqn, artifacts FROM best",
         "default_version": _with(_CLASSES) + """
             SELECT fqn, version, jar_path FROM (SELECT DISTINCT fqn, version, jar_path FROM cls)

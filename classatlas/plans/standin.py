@@ -117,12 +117,17 @@ def _write_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.select(["doc_id", "jar_path", "sources_path", "fqn"])
 
 
-def archives(spark: SparkSession, directory: str) -> DataFrame:
+def archive_folder(spark: SparkSession) -> str:
+    """A new folder for archives, as a path that file functions of tasks take."""
+    return re.sub("^file:/*", "/", scratch(spark, "archives"))
+
+
+def archives(spark: SparkSession, directory: str, base: str | None = None) -> DataFrame:
     """``doc_id, jar_path, sources_path, fqn`` of real archives, two per document, written by tasks.
 
     The sources end in a line with an invalid byte and a line end of another system.
     """
-    base = re.sub("^file:/*", "/", scratch(spark, "archives"))
+    base = base or archive_folder(spark)
     home = cat(base, "/", (F.col("doc_id") % 97).cast("string"), "/", F.col("doc_id").cast("string"), "/a")
     texts = with_content(documents_spread(spark, directory).withColumn("fqn", cat("org.", F.col("lang"), ".core.", F.col("simple_name"))))
     named = entries(spark, directory).select("doc_id", "entry_name").join(texts, "doc_id")
@@ -133,6 +138,18 @@ def archives(spark: SparkSession, directory: str) -> DataFrame:
     return written.checkpoint()
 
 
+def _touch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("jar_path").to_pylist():
+            os.utime(path)
+        yield batch
+
+
+def touch(archives: DataFrame) -> None:
+    """Give archives the present as their modification time."""
+    archives.select("jar_path").mapInArrow(_touch, "jar_path string").write.format("noop").mode("overwrite").save()
+
+
 def source_text(text: Column) -> Column:
     """A compilation unit around a whole document."""
     return cat(

@@ -36,11 +36,11 @@ def default_repository() -> str:
     return str(Path.home() / ".m2" / "repository")
 
 
-def _children(directory: str) -> Iterator[os.DirEntry]:
+def children(directory: str) -> Iterator[os.DirEntry]:
     """Entries of a directory; none if it is gone. Any other failure fails the task, and Spark tries again."""
     try:
-        with os.scandir(directory) as children:
-            yield from children
+        with os.scandir(directory) as found:
+            yield from found
     except (FileNotFoundError, NotADirectoryError):
         return
 
@@ -50,7 +50,7 @@ def _walk(top: str) -> Iterator[tuple[str, bool, bool, int, int]]:
     waiting, budget = deque([top]), _BUDGET
     while waiting and budget:
         budget -= 1
-        for child in _children(waiting.popleft()):
+        for child in children(waiting.popleft()):
             if child.name.endswith(".jar") and child.name != ".jar":
                 try:
                     status = child.stat()

@@ -291,15 +291,19 @@ class Store:
             ).alias("class_count"),
         )
 
-    def mtimes(self) -> DataFrame:
-        return self._latest_times("jar_mtime")
+    def mtimes(self, artifacts: DataFrame | None = None) -> DataFrame:
+        """``(jar_path, mtime_ns)`` as last seen, of all or of some artifacts; of few, no others are shuffled."""
+        return self._latest_times("jar_mtime", artifacts)
 
     def name_archives(self) -> DataFrame:
         """``(jar_path, mtime_ns)``: what archives looked like when their simple names were read."""
         return self._latest_times("name_archives")
 
-    def _latest_times(self, table: str) -> DataFrame:
-        return self.rows(table).groupBy("jar_path").agg(F.max_by("mtime_ns", "run").alias("mtime_ns"))
+    def _latest_times(self, table: str, artifacts: DataFrame | None = None) -> DataFrame:
+        rows = self.rows(table)
+        if artifacts is not None:
+            rows = rows.join(artifacts.select("jar_path"), "jar_path", "left_semi")
+        return rows.groupBy("jar_path").agg(F.max_by("mtime_ns", "run").alias("mtime_ns"))
 
     def simple_names(self, requests: DataFrame | None = None) -> DataFrame:
         """``(simple_name, fqn, jar_path, mtime_ns)``, of all names or those in ``requests``; old states of archives are in it."""
