@@ -213,14 +213,14 @@ def test_only_missing_files_count_as_absent(tmp_path, monkeypatch):
 
     from classatlas.sources import archives, artifacts
 
-    assert list(artifacts._children(str(tmp_path / "gone"))) == []
+    assert list(artifacts.children(str(tmp_path / "gone"))) == []
 
     def too_many(path):
         raise OSError(errno.EMFILE, "Too many open files", path)
 
     monkeypatch.setattr(os, "scandir", too_many)
     with pytest.raises(OSError):
-        list(artifacts._children(str(tmp_path)))
+        list(artifacts.children(str(tmp_path)))
     monkeypatch.setattr(archives.zipfile, "ZipFile", too_many)
     with pytest.raises(OSError):
         list(archives._entry_rows(str(tmp_path / "a.jar")))
