@@ -32,9 +32,12 @@ def cat(*parts: Column | str) -> Column:
 
 
 def stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A given table as a stream of files."""
+    """A given table as a stream of files, be it one file or a folder of them.
+
+    A source of files wants a folder; only a pattern may name either, also one without a choice.
+    """
     schema = table(spark, directory, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+    return spark.readStream.schema(schema).parquet(f"{directory}/{{{name}.parquet}}")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 
+import duckdb
 import pytest
 
 from classatlas.operators import hotspot
+from classatlas.plans import catalogue, oracles
 from classatlas.sources.store import Store
 from classatlas.streaming.access import count_accesses, running_counts
 from classatlas.streaming.indexing import write_sources
+from tests.compare import mismatch
 from tests.test_operators import LOG, model_requests, random_log
 
 
@@ -120,3 +123,14 @@ def test_write_errors_stop_the_stream(spark, tmp_path):
     with pytest.raises(Exception):
         query.awaitTermination()
 
+
+@pytest.mark.parametrize("table, query", [("documents", "cache_upsert_stream"), ("events", "hotspot_requests_stream")])
+def test_a_table_in_parts_is_streamed_whole(spark, tmp_path, table, query):
+    """A given table may be a folder of files, the later rows in any of them."""
+    rows = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
+    key = rows.columns[0]
+    rows.repartition(3, key).write.parquet(str(tmp_path / f"{table}.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    assert duck.execute(f"SELECT count(*) FROM glob('{tmp_path}/{table}.parquet/*.parquet')").fetchone()[0] == 3
+    assert mismatch(catalogue.queries()[query](spark, str(tmp_path)), duck, oracles.oracle_sql()[query]) is None
