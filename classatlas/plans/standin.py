@@ -7,6 +7,7 @@ rename and concatenate columns; selections belong to the operators.
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import uuid
@@ -22,6 +23,11 @@ from classatlas.functions.text import DECOMPILED_BANNER
 from classatlas.operators import hotspot
 from classatlas.session import ensure_checkpoint_dir, use_all_slots
 
+#: Folders that archives are dealt out to; each is filled by one task.
+FOLDERS = 1024
+#: Entries of archives up to this length are not worth a compressor.
+STORED_BYTES = 100
+
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -82,11 +88,11 @@ def documents_spread(spark: SparkSession, directory: str) -> DataFrame:
     return use_all_slots(wanted)
 
 
-def entries(spark: SparkSession, directory: str) -> DataFrame:
-    """Archive entries: classes, inner classes, descriptors, manifests and odd names."""
+def entry_name() -> Column:
+    """Name of the entry that a class stands for: classes, inner classes, descriptors, manifests and odd names."""
     path = cat("org/", F.col("lang"), "/core/", F.col("simple_name"))
     kind = F.col("doc_id") % 9
-    name = (
+    return (
         F.when(kind == 0, cat(path, "$Inner.class"))
         .when(kind == 1, F.lit("META-INF/MANIFEST.MF"))
         .when(kind == 2, cat(F.col("simple_name"), ".class"))
@@ -95,8 +101,12 @@ def entries(spark: SparkSession, directory: str) -> DataFrame:
         .when(kind == 5, cat("org/", F.col("lang"), "/core/package-info.class"))
         .otherwise(cat(path, ".class"))
     )
+
+
+def entries(spark: SparkSession, directory: str) -> DataFrame:
+    """Archive entries, one per document."""
     return classes(spark, directory).select(
-        "doc_id", "jar_path", F.col("doc_id").alias("entry_idx"), name.alias("entry_name"),
+        "doc_id", "jar_path", F.col("doc_id").alias("entry_idx"), entry_name().alias("entry_name"),
         "fqn", "simple_name",
     )
 
@@ -106,17 +116,30 @@ def artifact_states(spark: SparkSession, directory: str) -> DataFrame:
     return classes(spark, directory).groupBy("jar_path").agg(F.max("doc_id").alias("mtime_ns"))
 
 
+def _write_archive(path: str, *entries: tuple[str, str | bytes]) -> None:
+    """Made in memory and written at once, as an archive of one text is small; only longer entries are deflated."""
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as archive:
+        for name, data in entries:
+            method = zipfile.ZIP_DEFLATED if len(data) > STORED_BYTES else zipfile.ZIP_STORED
+            archive.writestr(zipfile.ZipInfo(name), data, method, 1)
+    with open(path, "wb") as file:
+        file.write(made.getbuffer())
+
+
 def _write_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One binary archive per row and a sources archive beside it; only paths leave the task."""
+    folders = set()
     for batch in batches:
         for row in batch.to_pylist():
-            os.makedirs(os.path.dirname(row["jar_path"]), exist_ok=True)
-            with zipfile.ZipFile(row["jar_path"], "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr("META-INF/MANIFEST.MF", "")
-                archive.writestr(row["entry_name"], row["fqn"])
-            with zipfile.ZipFile(row["sources_path"], "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr("org/package-info.java", "package org;")
-                archive.writestr(row["source_entry"], row["content"].encode() + b"// \xff\r\n")
+            folder = os.path.dirname(row["jar_path"])
+            if folder not in folders:
+                os.makedirs(folder, exist_ok=True)
+                folders.add(folder)
+            _write_archive(row["jar_path"], ("META-INF/MANIFEST.MF", ""), (row["entry_name"], row["fqn"]))
+            _write_archive(
+                row["sources_path"], ("org/package-info.java", "package org;"),
+                (row["source_entry"], row["content"].encode() + b"// \xff\r\n"))
         yield batch.select(["doc_id", "jar_path", "sources_path", "fqn"])
 
 
@@ -131,12 +154,14 @@ def archives(spark: SparkSession, directory: str, base: str | None = None) -> Da
     The sources end in a line with an invalid byte and a line end of another system.
     """
     base = base or archive_folder(spark)
-    home = cat(base, "/", (F.col("doc_id") % 97).cast("string"), "/", F.col("doc_id").cast("string"), "/a")
-    texts = with_content(documents_spread(spark, directory).withColumn("fqn", cat("org.", F.col("lang"), ".core.", F.col("simple_name"))))
-    named = entries(spark, directory).select("doc_id", "entry_name").join(texts, "doc_id")
-    rows = named.select(
+    folder = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDERS))
+    home = cat(base, "/", folder.cast("string"), "/", F.col("doc_id").cast("string"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    # texts move once, and whole folders to a task
+    dealt = table(spark, directory, "documents").where("doc_id is not null").repartition(tasks, folder)
+    rows = with_content(classes_of(dealt)).select(
         "doc_id", cat(home, ".jar").alias("jar_path"), cat(home, names.SOURCES_SUFFIX).alias("sources_path"), "fqn",
-        "entry_name", names.source_entry_of_class(F.col("fqn")).alias("source_entry"), "content")
+        entry_name().alias("entry_name"), names.source_entry_of_class(F.col("fqn")).alias("source_entry"), "content")
     written = rows.mapInArrow(_write_archives, "doc_id long, jar_path string, sources_path string, fqn string")
     return written.checkpoint()
 

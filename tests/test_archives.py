@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from classatlas.operators import catalog, content
+from classatlas.plans import standin
+from classatlas.sources import zip_ranges
 from classatlas.sources.archives import read_entry_names, read_source_entries, read_sources
 from classatlas.sources.artifacts import list_artifacts
 
@@ -275,3 +278,25 @@ def test_tool_failures_after_some_pieces(spark, tmp_path):
     assert sorted((r["jar_path"], r["entry_idx"], r["error"] is None) for r in rows) == [
         (p, k, k < 2) for p in ("a.jar", "b.jar") for k in range(3)]
     assert content.parse_pieces(decompile_archives(spark.createDataFrame([("a.jar",)], "jar_path string"), tool(out))).count() == 2
+
+
+def test_made_archives_of_a_folder_need_one_call_for_it(tmp_path, monkeypatch):
+    rows = [{"doc_id": k, "jar_path": f"{tmp_path}/7/{k}.jar", "sources_path": f"{tmp_path}/7/{k}-sources.jar", "fqn": "a.B",
+             "entry_name": "a/B.class", "source_entry": "a/B.java", "content": "x" * k} for k in range(0, 300, 50)]
+    made = []
+    monkeypatch.setattr(standin.os, "makedirs", lambda path, exist_ok, make=os.makedirs: (made.append(path), make(path, exist_ok=exist_ok)))
+    list(standin._write_archives(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert made == [f"{tmp_path}/7"]
+    for row in rows:
+        file = zip_ranges.RangeFile(row["sources_path"])
+        assert [zip_ranges.content_of(file, e) for e in zip_ranges.directory(file)] == [
+            b"package org;", row["content"].encode() + b"// \xff\r\n"]
+        file.close()
+
+
+def test_made_archives_move_texts_once(spark, monkeypatch, capsys):
+    """The documents are dealt out once, by folder, and joined with nothing."""
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda frame: frame)
+    standin.archives(spark, "/root/testdata/sf0.001", "/nowhere").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Join" not in plan
