@@ -173,22 +173,27 @@ def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def _listed(wanted):
     def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of many small archives leave together, those of a large one in slices
+        rows: list[tuple] = []
         for batch in batches:
-            for row in batch.to_pylist():
+            for paths in zip(*(batch.column(c).to_pylist() for c in ("jar_path", "sources_path"))):
                 # an absent archive has no rows; any other failure of reading ends the task, and Spark tries again
                 try:
-                    file = RangeFile(row["sources_path"])
+                    file = RangeFile(paths[1])
                 except (FileNotFoundError, IsADirectoryError, NotADirectoryError):
                     continue
-                paths = (row["jar_path"], row["sources_path"])
                 try:
-                    rows = [(*paths, *entry, None) for entry in directory(file) if wanted(entry.name)]
+                    rows += [(*paths, *entry, None) for entry in directory(file) if wanted(entry.name)]
                 except Damaged as failure:
-                    rows = [(*paths, -1, None, 0, 0, 0, 0, 0, 0, str(failure))]
+                    rows.append((*paths, -1, None, 0, 0, 0, 0, 0, 0, str(failure)))
                 finally:
                     file.close()
-                for at in range(0, len(rows), ROWS):
-                    yield _packed(rows[at: at + ROWS], _PLAN_ARROW)
+                if len(rows) >= ROWS:
+                    for at in range(0, len(rows), ROWS):
+                        yield _packed(rows[at: at + ROWS], _PLAN_ARROW)
+                    rows = []
+        if rows:
+            yield _packed(rows, _PLAN_ARROW)
 
     return list_all
 

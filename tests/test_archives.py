@@ -300,3 +300,13 @@ def test_made_archives_move_texts_once(spark, monkeypatch, capsys):
     standin.archives(spark, "/root/testdata/sf0.001", "/nowhere").explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_listed_entries_of_small_archives_leave_together(tmp_path, jar):
+    pairs = [{"jar_path": f"{k}", "sources_path": jar(tmp_path / f"{k}.jar", ("A.java", "a"), ("B.class", "b"))} for k in range(5)]
+    (tmp_path / "broken.jar").write_text("no archive")
+    pairs[2:2] = [{"jar_path": "broken", "sources_path": str(tmp_path / "broken.jar")}, {"jar_path": "gone", "sources_path": str(tmp_path / "gone.jar")}]
+    batches = list(zip_ranges._listed(lambda name: name.endswith(".java"))(iter([pa.RecordBatch.from_pylist(pairs)])))
+    assert len(batches) == 1
+    assert [(r["jar_path"], r["entry_name"], r["error"] is None) for r in batches[0].to_pylist()] == [
+        ("0", "A.java", True), ("1", "A.java", True), ("broken", None, False), ("2", "A.java", True), ("3", "A.java", True), ("4", "A.java", True)]
