@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from classatlas.functions import names, text
 from classatlas.operators.skew import join_lookup
 from classatlas.schemas import DECOMPILED, SOURCES_JAR
+from classatlas.session import ensure_checkpoint_dir
+
+#: Keys of several texts up to which they are broadcast; more are joined by an exchange.
+FEW_KEYS = 50_000
 
 
 def with_sources_path(artifacts: DataFrame, existing: DataFrame) -> DataFrame:
@@ -40,25 +44,35 @@ def first_text(rows: DataFrame, keys: list[str], order: str, *kept: str) -> Data
     """The row of the smallest ``order`` per key, reduced to keys, ``order`` and ``kept``; one row per key.
 
     Of rows of equal ``order`` the one with the smallest hash of ``kept`` is taken, and one
-    of equal rows. Ranking looks at keys, ``order`` and that hash only, and keeps the few keys
-    that occur more than once; texts are neither sorted nor aggregated, and they move only if
-    those keys are too many to be broadcast. Only keys whose first row comes several times
-    are reduced by an exchange of these rows; without any, that part of the plan is dropped
-    at run time.
+    of equal rows. Ranking looks at keys, ``order`` and that hash only, and keeps the keys
+    that occur more than once; texts are neither sorted nor aggregated. Those keys are written
+    and counted here, while the plan is built: up to ``FEW_KEYS`` are broadcast and no text
+    moves, only more of them are joined by an exchange. Only keys whose first row comes several
+    times are reduced by an exchange of these rows; without any, there is no such part.
     """
+    ensure_checkpoint_dir(rows.sparkSession)
     mark = F.xxhash64(*kept)
     counted = rows.groupBy(*keys, F.col(order).alias("_order"), mark.alias("_mark")).agg(F.count("*").alias("_copies"))
     repeated = counted.groupBy(*keys).agg(
-        F.min(F.struct("_order", "_mark", "_copies")).alias("first"), F.sum("_copies").alias("n")).where("n > 1")
+        F.min(F.struct("_order", "_mark", "_copies")).alias("first"), F.sum("_copies").alias("n")).where("n > 1").checkpoint()
+    found = repeated.agg(F.count("*").alias("keys"), F.count_if(F.col("first._copies") > 1).alias("copied")).first()
+    if not found["keys"]:
+        return rows.select(*keys, order, *kept)
+
+    def held(lookup: DataFrame, size: int) -> DataFrame:
+        return (F.broadcast(lookup) if size <= FEW_KEYS else lookup).alias("f")
+
     same_key = reduce(
         lambda a, b: a & b, (F.col(f"r.{key}").eqNullSafe(F.col(f"f.{key}")) for key in keys)
     )
     columns = [F.col(f"r.{name}").alias(name) for name in (*keys, order, *kept)]
     is_first = F.col(f"r.{order}").eqNullSafe(F.col("f.first._order")) & (
         F.xxhash64(*(F.col(f"r.{name}") for name in kept)) == F.col("f.first._mark"))
-    ranked = rows.alias("r").join(repeated.alias("f"), same_key, "left")
+    ranked = rows.alias("r").join(held(repeated, found["keys"]), same_key, "left")
     single = ranked.where(F.isnull("f.first") | (is_first & (F.col("f.first._copies") == 1))).select(*columns)
-    copies = rows.alias("r").join(repeated.where("first._copies > 1").alias("f"), same_key).where(is_first)
+    if not found["copied"]:
+        return single
+    copies = rows.alias("r").join(held(repeated.where("first._copies > 1"), found["copied"]), same_key).where(is_first)
     return single.unionByName(copies.select(*columns).dropDuplicates(keys))
 
 

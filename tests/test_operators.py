@@ -208,3 +208,22 @@ def test_positions_in_version_order(spark):
     found = resolve.positions(spark.createDataFrame(hits, "name string, version string, jar_path string"), "name").collect()
     assert {r["jar_path"]: r["position"] for r in found if r["name"] == "a"} == {"p1": 1, "p4": 2, "p2": 3, "p0": 4, "p3": 5}
     assert sorted(r["position"] for r in found if r["name"] == "b") == list(range(1, 301))
+
+
+def test_first_texts_do_not_move_when_few_keys_repeat(spark, capsys):
+    schema = "fqn string, jar_path string, content string, source string, seq long"
+    writes = [("A", "j", "1", "s", 1), ("A", "j", "2", "s", 2), ("B", None, "3", "s", 1), ("B", None, "4", "s", 0), ("C", "j", "5", "s", 0)]
+    kept = content.keep_last(spark.createDataFrame(writes, schema))
+    kept.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert sorted(r["content"] for r in kept.collect()) == ["2", "3", "5"]
+
+
+def test_first_texts_of_many_repeated_keys_are_the_same(spark, monkeypatch):
+    schema = "fqn string, jar_path string, content string, source string, seq long"
+    writes = [(f"A{k % 7}", None if k % 3 else "j", str(k % 5), "s", k // 40) for k in range(200)]
+    frame = spark.createDataFrame(writes, schema)
+    few = sorted(map(str, content.keep_last(frame).collect()))
+    monkeypatch.setattr(content, "FEW_KEYS", 2)
+    assert sorted(map(str, content.keep_last(frame).collect())) == few and len(few) == 14
